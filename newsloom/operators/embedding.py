@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import terms
+from newsloom.session import ship_package
 
 DEFAULT_DIM = 64
 
@@ -84,6 +85,7 @@ def model_embedder(name: str, dim: int, load: Callable[[], Callable[[list[str]],
             yield out
 
     def embed(rows: DataFrame, text: str, vector: str) -> DataFrame:
+        ship_package(rows.sparkSession)
         return rows.withColumn(vector, encode(F.col(text)))
 
     return Embedder(name, dim, embed)

@@ -9,11 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import clean_text, has_text, is_usable_summary, tidy_generated
+from newsloom.functions.text import SUMMARY_LETTERS, clean_text, has_text, tidy_generated
 from newsloom.operators import centrality as C
 from newsloom.operators.embedding import Embedder, get_embedder, once_per_worker
 from newsloom.operators.merge import upsert
 from newsloom.schemas import DEFAULT_RATIO, SHORT_FALLBACK_RATIO
+from newsloom.session import ship_package
 
 # A summarizer maps documents (doc_id, text) and a ratio to (doc_id, summary).
 Summarizer = Callable[[DataFrame, float], DataFrame]
@@ -60,6 +61,7 @@ def row_summarizer(name: str, load: Callable[[], Callable[[str, float], str]]) -
             for texts in batches:
                 yield texts.map(lambda t: None if t is None else function(t, ratio))
 
+        ship_package(docs.sparkSession)
         return docs.select("doc_id", apply("text").alias("summary"))
 
     return summarize
@@ -103,8 +105,6 @@ def generated_summary(
     ``keep_last`` selects the variant that keeps the last output even if it has
     no letters, and tests for letters without folding case.
     """
-    from newsloom.functions.text import SUMMARY_LETTERS
-
     letters = frozenset(SUMMARY_LETTERS)
 
     def usable(text: str) -> bool:
@@ -123,6 +123,7 @@ def generated_summary(
                 out[given] = _generate_batch(generator, texts[given].tolist(), usable, keep_last)
             yield out
 
+    ship_package(docs.sparkSession)
     raw = docs.select("doc_id", generate(clean_text(F.col("text"))).alias("summary"))
     return raw.select("doc_id", tidy_generated(F.col("summary")).alias("summary"))
 
