@@ -174,6 +174,7 @@ def with_list(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
 # --- the search ----------------------------------------------------------------------------
 
 
+REQUEST = ["news_id", "k", "category_filter"]
 QUERY = ["space", "key_a", "key_b"]
 
 
@@ -360,14 +361,14 @@ def _search(
     max_k: int,
     one_list: tuple[int, int] | None,
 ) -> DataFrame:
-    """(news_id, k, rank, match_id, score) for requests (news_id, k, space, embedding)."""
+    """(news_id, k, category_filter, rank, match_id, score) for requests with ``space`` and ``embedding``."""
     spark = requests.sparkSession
     shared_dir(spark)  # makes checkpoint() usable
     ship_package(spark)
     keep = max_k + 1  # one more, because the article itself is dropped at the end
     distinct = _distinct_vectors(candidates, keep)
     usable = F.exists("embedding", lambda x: x != 0)
-    keyed = requests.where(usable).select("news_id", "k", "space", "embedding", *_vector_key())
+    keyed = requests.where(usable).select(*REQUEST, "space", "embedding", *_vector_key())
     queries = keyed.groupBy(*QUERY).agg(F.first("embedding").alias("embedding"))
 
     def scored(visits: DataFrame, listed: DataFrame) -> DataFrame:
@@ -399,12 +400,11 @@ def _search(
     pairs = found.select(*QUERY, "score", F.explode("ids").alias("id"))
     gathered = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id")))
     lists = pairs.groupBy(*QUERY).agg(F.slice(gathered, 1, keep).alias("matches"))
-    asked = keyed.select("news_id", "k", *QUERY).join(lists, QUERY)
+    asked = keyed.select(*REQUEST, *QUERY).join(lists, QUERY)
     others = F.filter("matches", lambda m: m["id"] != F.col("news_id"))
-    top = asked.select("news_id", "k", F.posexplode(F.slice(others, 1, F.col("k"))).alias("_pos", "m"))
+    top = asked.select(*REQUEST, F.posexplode(F.slice(others, 1, F.col("k"))).alias("_pos", "m"))
     return top.select(
-        "news_id",
-        "k",
+        *REQUEST,
         (F.col("_pos") + 1).alias("rank"),
         F.col("m.id").alias("match_id"),
         (-F.col("m.s")).alias("score"),
@@ -415,6 +415,8 @@ def _with_details(matches: DataFrame, index: DataFrame, floor_digits: int = 4) -
     details = index.select(F.col("news_id").alias("match_id"), "title", "category")
     return matches.join(details, "match_id").select(
         F.col("news_id").alias("source_news_id"),
+        "k",
+        "category_filter",
         "rank",
         F.col("match_id").alias("news_id"),
         "title",

@@ -13,7 +13,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-_NAME = re.compile(r"^(base|delta)-(\d{10})(?:-(.+))?$")
+_NAME = re.compile(r"^batch=(\d{10})-(base|delta)(?:-(.+))?$")
 
 
 class BatchTable:
@@ -41,7 +41,7 @@ class BatchTable:
             match = _NAME.match(status.getPath().getName())
             if match:
                 marker = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-                found.append((int(match[2]), match[1], match[3], fs.exists(marker)))
+                found.append((int(match[1]), match[2], match[3], fs.exists(marker)))
         return sorted(found, key=lambda f: f[0])
 
     def committed(self) -> list[str]:
@@ -60,7 +60,8 @@ class BatchTable:
         folders = self.committed()
         if not folders:
             return self.spark.createDataFrame([], self.schema)
-        rows = self.spark.read.schema(self.schema).parquet(*folders)
+        # The directories look like partitions of one table, which lets them be read together.
+        rows = self.spark.read.schema(self.schema).option("basePath", self.path).parquet(*folders)
         return rows.select(self.schema.fieldNames())
 
     def append(self, rows: DataFrame, tag: str | None = None) -> bool:
@@ -88,4 +89,4 @@ class BatchTable:
 
     @staticmethod
     def _name(number: int, kind: str, tag: str | None) -> str:
-        return f"{kind}-{number:010d}" + (f"-{tag}" if tag is not None else "")
+        return f"batch={number:010d}-{kind}" + (f"-{tag}" if tag is not None else "")
