@@ -41,7 +41,8 @@ RANK_DIGITS = 9
 SLACK = 1e-8
 MAX_LISTS = 4096
 ROWS_PER_TILE = 2048
-QUERIES_PER_PRODUCT = 1024
+QUERIES_PER_PRODUCT = 512
+VISITS_PER_BATCH = 8192
 # Pivots are broadcast; MAX_LISTS of the usual dimensions stay far below this.
 MAX_PIVOT_BYTES = 64 << 20
 
@@ -145,6 +146,11 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.where(norms == 0, 1.0, norms)
 
 
+def _blocks(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    for start in range(0, batch.num_rows, size):
+        yield batch.slice(start, size)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """An Arrow list column of equal lengths as a float64 matrix."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
@@ -158,15 +164,12 @@ def with_list(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            cosines = _unit(_matrix(batch.column("embedding"))) @ shared.value.T
-            nearest = cosines.argmax(axis=1)
-            columns = batch.columns + [
-                pa.array(nearest, pa.int32()),
-                pa.array(cosines[np.arange(len(nearest)), nearest], pa.float64()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names + ["list_id", "pivot_cosine"])
+            for part in _blocks(batch, QUERIES_PER_PRODUCT):
+                cosines = _unit(_matrix(part.column("embedding"))) @ shared.value.T
+                nearest = cosines.argmax(axis=1)
+                best = cosines[np.arange(len(nearest)), nearest]
+                columns = part.columns + [pa.array(nearest, pa.int32()), pa.array(best, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, part.schema.names + ["list_id", "pivot_cosine"])
 
     return vectors.mapInArrow(assign, f"{fields}, list_id int, pivot_cosine double")
 
@@ -211,21 +214,22 @@ def _visits(queries: DataFrame, pivots: np.ndarray, reach: np.ndarray, nprobe: i
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, radius = shared.value
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            cosines = np.clip(_unit(_matrix(batch.column("embedding"))) @ centres.T, -1.0, 1.0)
-            near = np.zeros(cosines.shape, dtype=bool)
-            first = np.argsort(-cosines, axis=1, kind="stable")[:, :nprobe]
-            np.put_along_axis(near, first, True, axis=1)
-            if beyond:
-                gap = np.maximum(np.arccos(cosines) - radius[None, :], 0.0)
-                bound = batch.column("bound").to_numpy(zero_copy_only=False)
-                near = ~near & (np.cos(np.minimum(gap, np.pi)) + SLACK >= bound[:, None])
-            row, visited = np.nonzero(near & np.isfinite(radius)[None, :])
-            out = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays(
-                out.columns + [pa.array(visited, pa.int32())], names + ["list_id"]
-            )
+            for part in _blocks(batch, QUERIES_PER_PRODUCT):
+                cosines = np.clip(_unit(_matrix(part.column("embedding"))) @ centres.T, -1.0, 1.0)
+                near = np.zeros(cosines.shape, dtype=bool)
+                first = np.argsort(-cosines, axis=1, kind="stable")[:, :nprobe]
+                np.put_along_axis(near, first, True, axis=1)
+                if beyond:
+                    gap = np.maximum(np.arccos(cosines) - radius[None, :], 0.0)
+                    bound = part.column("bound").to_numpy(zero_copy_only=False)
+                    near = ~near & (np.cos(np.minimum(gap, np.pi)) + SLACK >= bound[:, None])
+                row, visited = np.nonzero(near & np.isfinite(radius)[None, :])
+                # A query may visit every list, so its copies leave in pieces.
+                for start in range(0, len(row), VISITS_PER_BATCH):
+                    piece = slice(start, start + VISITS_PER_BATCH)
+                    copies = part.take(pa.array(row[piece]))
+                    lists = pa.array(visited[piece], pa.int32())
+                    yield pa.RecordBatch.from_arrays(copies.columns + [lists], names + ["list_id"])
 
     return queries.mapInArrow(route, f"{fields}, list_id int")
 
@@ -265,13 +269,14 @@ def _score(
         candidates.withColumn("tile", slot(F.col("ids")[0], "tiles"))
         .withColumn("chunk", numbers("chunks"))
         .select(*place, "tile", "chunk", F.lit(0).alias("side"), "ids", "embedding",
-                F.lit(None).cast("bigint").alias("key_a"), F.lit(None).cast("bigint").alias("key_b"))
+                F.lit(None).cast("bigint").alias("key_a"), F.lit(None).cast("bigint").alias("key_b"),
+                F.lit(None).cast("double").alias("bound"))
     )
     chunked = (
         visits.withColumn("chunk", slot(F.col("key_a"), "chunks"))
         .withColumn("tile", numbers("tiles"))
         .select(*place, "tile", "chunk", F.lit(1).alias("side"),
-                F.lit(None).cast("array<bigint>").alias("ids"), "embedding", "key_a", "key_b")
+                F.lit(None).cast("array<bigint>").alias("ids"), "embedding", "key_a", "key_b", "bound")
     )
     cell = [*place, "tile", "chunk"]
     stream = tiled.unionByName(chunked).repartition(*cell).sortWithinPartitions(*cell, "side")
@@ -288,7 +293,7 @@ def _score(
                 if not parts and tile is None:
                     continue
                 if tile is None:
-                    tile = _build_tile(parts)
+                    tile = _Tile(parts, keep)
                     parts = []
                 yield from _best_in_tile(rows, tile, keep, floor)
 
@@ -310,42 +315,65 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, int, pa.RecordBatch]]:
         yield cell, int(rest[3][start]), batch.slice(int(start), int(stop - start))
 
 
-def _build_tile(parts: list[tuple[np.ndarray, pa.Array]]) -> tuple[np.ndarray, pa.Array]:
+class _Tile:
     """Unit vectors and id lists of a tile, ordered by lowest id so that position breaks ties."""
-    vectors = np.concatenate([p[0] for p in parts])
-    ids = pa.concat_arrays([p[1] for p in parts])
-    lowest = ids.flatten().to_numpy(zero_copy_only=False)[
-        np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))[:-1]]).astype(np.int64)
-    ]
-    order = np.argsort(lowest, kind="stable")
-    return _unit(vectors[order]), ids.take(pa.array(order))
-
-
-def _best_in_tile(
-    rows: pa.RecordBatch, tile: tuple[np.ndarray, pa.Array], keep: int, floor: float
-) -> Iterator[pa.RecordBatch]:
-    vectors, ids = tile
-    for start in range(0, rows.num_rows, QUERIES_PER_PRODUCT):
-        part = rows.slice(start, QUERIES_PER_PRODUCT)
-        scores = _unit(_matrix(part.column("embedding"))) @ vectors.T
-        ranked = np.where(scores >= floor, np.round(scores, RANK_DIGITS), -np.inf)
-        if ranked.shape[1] > keep:
-            at = ranked.shape[1] - keep
-            cut = np.partition(ranked, at, axis=1)[:, at][:, None]
-            above, level = ranked > cut, ranked == cut
-            room = keep - above.sum(axis=1, keepdims=True)
-            chosen = above | (level & (np.cumsum(level, axis=1) <= room))
-        else:
-            chosen = np.ones(ranked.shape, dtype=bool)
-        row, col = np.nonzero(chosen & np.isfinite(ranked))
-        if len(row) == 0:
+
+    def __init__(self, parts: list[tuple[np.ndarray, pa.Array]], keep: int):
+        vectors = np.concatenate([p[0] for p in parts])
+        ids = pa.concat_arrays([p[1] for p in parts])
+        lengths = ids.value_lengths().to_numpy(zero_copy_only=False)
+        firsts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+        order = np.argsort(ids.flatten().to_numpy(zero_copy_only=False)[firsts], kind="stable")
+        self.ids = ids.take(pa.array(order))
+        self.exact = _unit(vectors[order])
+        # The rough pass takes every n_groups-th column as a group; zero vectors fill them up.
+        self.n_groups = 4 * keep
+        self.width = -(-len(order) // self.n_groups)
+        rough = np.zeros((self.n_groups * self.width, vectors.shape[1]), dtype=np.float32)
+        rough[: len(order)] = self.exact
+        self.rough = np.ascontiguousarray(rough.T)
+
+
+def _best_in_tile(rows: pa.RecordBatch, tile: _Tile, keep: int, floor: float) -> Iterator[pa.RecordBatch]:
+    """The best ``keep`` vectors of the tile for each query.
+
+    Single precision finds who can be among them, double precision decides. The
+    rough scores are off by less than ``error``, and the keep-th largest of the
+    group maxima is a lower bound on the keep-th score, so nothing is missed.
+    """
+    for part in _blocks(rows, QUERIES_PER_PRODUCT):
+        queries = _unit(_matrix(part.column("embedding")))
+        error = (queries.shape[1] + 16) * 2.0**-24 + 10.0**-RANK_DIGITS
+        scores = queries.astype(np.float32) @ tile.rough
+        maxima = scores.reshape(len(scores), tile.width, tile.n_groups).max(axis=1)
+        at = tile.n_groups - keep
+        reached = np.partition(maxima, at, axis=1)[:, at].astype(np.float64) - error
+        needed = np.maximum(part.column("bound").to_numpy(zero_copy_only=False), reached) - 2 * error
+        hits = np.flatnonzero(scores >= needed.astype(np.float32)[:, None])
+        row, col = np.divmod(hits, scores.shape[1])
+        exact = np.concatenate(
+            [np.einsum("ij,ij->i", queries[row[p]], tile.exact[col[p]]) for p in _pieces(len(row))] or [np.empty(0)]
+        )
+        good = exact >= floor
+        row, col, exact = row[good], col[good], np.round(exact[good], RANK_DIGITS)
+        order = np.lexsort((col, -exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        # Position within the query's own run of hits.
+        starts = np.searchsorted(row, row, side="left")
+        chosen = np.arange(len(row)) - starts < keep
+        if not chosen.any():
             continue
-        at_row = pa.array(row)
+        at_row = pa.array(row[chosen])
         columns = [part.column(c).take(at_row) for c in QUERY]
-        columns += [ids.take(pa.array(col)), pa.array(ranked[row, col], pa.float64())]
+        columns += [tile.ids.take(pa.array(col[chosen])), pa.array(exact[chosen], pa.float64())]
         yield pa.RecordBatch.from_arrays(columns, [*QUERY, "ids", "score"])
 
 
+def _pieces(n: int, size: int = 1 << 16) -> Iterator[slice]:
+    for start in range(0, n, size):
+        yield slice(start, min(n, start + size))
+
+
 def _best(found: DataFrame, keep: int) -> DataFrame:
     order = Window.partitionBy(*QUERY).orderBy(F.col("score").desc(), F.col("ids")[0])
     return found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= keep).drop("_rank")
@@ -369,7 +397,8 @@ def _search(
     distinct = _distinct_vectors(candidates, keep)
     usable = F.exists("embedding", lambda x: x != 0)
     keyed = requests.where(usable).select(*REQUEST, "space", "embedding", *_vector_key())
-    queries = keyed.groupBy(*QUERY).agg(F.first("embedding").alias("embedding"))
+    vectors = keyed.groupBy(*QUERY).agg(F.first("embedding").alias("embedding"))
+    queries = vectors.withColumn("bound", F.lit(SCORE_FLOOR))
 
     def scored(visits: DataFrame, listed: DataFrame) -> DataFrame:
         return _score(visits, listed, keep, rows_per_tile, SCORE_FLOOR)
@@ -392,7 +421,7 @@ def _search(
             # With keep vectors found, the worst of them bounds what can still matter.
             full = found.groupBy(*QUERY).agg(F.count("*").alias("n"), F.min("score").alias("least"))
             bound = F.when(F.col("n") >= keep, F.col("least")).otherwise(F.lit(SCORE_FLOOR))
-            bounded = queries.join(full, QUERY, "left").select(*queries.columns, bound.alias("bound"))
+            bounded = vectors.join(full, QUERY, "left").select(*vectors.columns, bound.alias("bound"))
             rest = scored(_visits(bounded, pivots, reach, nprobe, beyond=True), listed)
             found = _best(found.unionByName(rest), keep)
 
@@ -436,6 +465,10 @@ def _spaces(requests: DataFrame, index: DataFrame, unfiltered: bool, filtered: b
         tag = F.explode(F.array(every, own))
     else:
         tag = own if filtered else every
+    if not unfiltered:
+        # Only the categories asked for; with a table partitioned by category, only their files.
+        wanted = requests.select(F.col("category_filter").alias("category")).distinct()
+        index = index.join(wanted, "category", "left_semi")
     return requests.withColumn("space", space), index.select("news_id", "embedding", tag.alias("space"))
 
 
@@ -491,10 +524,11 @@ def _top_k(
     ).first()
     sourced = with_source(checked, index).where("status = 'ok'")
     asked, candidates = _spaces(sourced, index, shape["unfiltered"], shape["filtered"])
-    size = index.agg(F.count("*").alias("n"), F.approx_count_distinct("category").alias("c")).first()
+    n_sets = F.lit(1) if shape["unfiltered"] else F.approx_count_distinct("category")
+    size = index.agg(F.count("*").alias("n"), n_sets.alias("sets")).first()
     if pivots is None:
         if n_lists is None:
-            n_lists = default_lists(size["n"], 1 if shape["unfiltered"] else size["c"], rows_per_tile)
+            n_lists = default_lists(size["n"], size["sets"], rows_per_tile)
         pivots = choose_pivots(index, n_lists) if n_lists > 1 else np.empty((0, 0))
     # With one list and one candidate set the sizes are known and need no counting per list.
     one_list = None if shape["filtered"] else (max(1, size["n"]), max(1, shape["n"]))

@@ -33,7 +33,8 @@ def with_categories(requests: DataFrame, articles: DataFrame) -> DataFrame:
 def statused_batch(articles: DataFrame, index: DataFrame) -> DataFrame:
     """One row per id with ``status``: ``indexed`` (to be), ``already_indexed`` or ``no_title``."""
     single = keep_one_per_key(articles, "id", [F.col("title"), F.col("description"), F.col("category")])
-    known = matching_keys(index.select(F.col("news_id").alias("id")), single, "id")
+    # Probed with the bare ids, so that the articles' other columns are computed once.
+    known = matching_keys(index.select(F.col("news_id").alias("id")), articles, "id")
     flagged = single.join(known.withColumn("_known", F.lit(True)), "id", "left")
     status = (
         F.when(F.col("_known"), "already_indexed").when(~has_text(F.col("title")), "no_title").otherwise("indexed")
