@@ -14,6 +14,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.functions.columns import with_evaluated
 from newsloom.functions.text import clean_sentences, clean_text, terms
 from newsloom.functions.vectors import dot
 from newsloom.operators.embedding import Embedder
@@ -25,7 +26,7 @@ LOWER_INDEX_FIRST, HIGHER_INDEX_FIRST = "lower", "higher"
 def with_sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to (doc_id, cleaned, sentences, n_sentences), without a shuffle."""
     cleaned = docs.select("doc_id", clean_text(F.col("text")).alias("cleaned"))
-    split = cleaned.withColumn("sentences", clean_sentences(F.col("cleaned")))
+    split = with_evaluated(cleaned, "sentences", clean_sentences(F.col("cleaned")))
     return split.withColumn("n_sentences", F.size("sentences"))
 
 

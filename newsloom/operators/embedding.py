@@ -17,6 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.columns import with_evaluated
 from newsloom.functions.text import terms
 from newsloom.session import ship_package
 
@@ -51,7 +52,7 @@ def hashed_embedder(dim: int = DEFAULT_DIM, seed: str = "", name: str = "hashed"
         )
         buckets = term_buckets(F.col(text), dim, seed).cast("array<string>")
         counted = counter.transform(rows.withColumn("_buckets", F.coalesce(buckets, F.array().cast("array<string>"))))
-        return counted.withColumn(vector, vector_to_array("_counts", "float32")).drop("_buckets", "_counts")
+        return with_evaluated(counted, vector, vector_to_array("_counts", "float32")).drop("_buckets", "_counts")
 
     return Embedder(name, dim, embed)
 

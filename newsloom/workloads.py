@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import payloads, text as X
+from newsloom.functions.columns import with_evaluated
 from newsloom.functions.vectors import l2_normalize
 from newsloom.operators import centrality as C
 from newsloom.operators import constraints, merge, stats
@@ -51,7 +52,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_articles(documents: DataFrame) -> DataFrame:
-    split = documents.withColumn("_s", X.clean_sentences(X.clean_text(F.col("text"))))
+    split = with_evaluated(documents, "_s", X.clean_sentences(X.clean_text(F.col("text"))))
     titled = F.size("_s") >= 2
     return split.select(
         F.col("doc_id").alias("id"),
