@@ -242,10 +242,11 @@ def _score(
     floor: float,
     one_list: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """(space, key_a, key_b, ids, score): the best ``keep`` vectors per query and tile.
+    """(space, key_a, key_b, ids, score, ranked): the best ``keep`` vectors per query and tile.
 
-    ``one_list`` gives the numbers of candidates and visits when there is a single
-    list; otherwise they are counted per list.
+    ``ranked`` is the score rounded for ranking. ``one_list`` gives the numbers of
+    candidates and visits when there is a single list; otherwise they are counted
+    per list.
     """
     place = ["space", "list_id"]
     per_chunk = 8 * rows_per_tile
@@ -298,7 +299,7 @@ def _score(
                 yield from _best_in_tile(rows, tile, keep, floor)
 
     return stream.mapInArrow(
-        score_cells, "space string, key_a bigint, key_b bigint, ids array<bigint>, score double"
+        score_cells, "space string, key_a bigint, key_b bigint, ids array<bigint>, score double, ranked double"
     )
 
 
@@ -355,9 +356,10 @@ def _best_in_tile(rows: pa.RecordBatch, tile: _Tile, keep: int, floor: float) ->
             [np.einsum("ij,ij->i", queries[row[p]], tile.exact[col[p]]) for p in _pieces(len(row))] or [np.empty(0)]
         )
         good = exact >= floor
-        row, col, exact = row[good], col[good], np.round(exact[good], RANK_DIGITS)
-        order = np.lexsort((col, -exact, row))
-        row, col, exact = row[order], col[order], exact[order]
+        row, col, exact = row[good], col[good], exact[good]
+        ranked = np.round(exact, RANK_DIGITS)
+        order = np.lexsort((col, -ranked, row))
+        row, col, exact, ranked = row[order], col[order], exact[order], ranked[order]
         # Position within the query's own run of hits.
         starts = np.searchsorted(row, row, side="left")
         chosen = np.arange(len(row)) - starts < keep
@@ -365,8 +367,8 @@ def _best_in_tile(rows: pa.RecordBatch, tile: _Tile, keep: int, floor: float) ->
             continue
         at_row = pa.array(row[chosen])
         columns = [part.column(c).take(at_row) for c in QUERY]
-        columns += [tile.ids.take(pa.array(col[chosen])), pa.array(exact[chosen], pa.float64())]
-        yield pa.RecordBatch.from_arrays(columns, [*QUERY, "ids", "score"])
+        columns += [tile.ids.take(pa.array(col[chosen])), pa.array(exact[chosen]), pa.array(ranked[chosen])]
+        yield pa.RecordBatch.from_arrays(columns, [*QUERY, "ids", "score", "ranked"])
 
 
 def _pieces(n: int, size: int = 1 << 16) -> Iterator[slice]:
@@ -375,7 +377,7 @@ def _pieces(n: int, size: int = 1 << 16) -> Iterator[slice]:
 
 
 def _best(found: DataFrame, keep: int) -> DataFrame:
-    order = Window.partitionBy(*QUERY).orderBy(F.col("score").desc(), F.col("ids")[0])
+    order = Window.partitionBy(*QUERY).orderBy(F.col("ranked").desc(), F.col("ids")[0])
     return found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= keep).drop("_rank")
 
 
@@ -426,8 +428,8 @@ def _search(
             found = _best(found.unionByName(rest), keep)
 
     # Per distinct query vector at most keep * keep pairs, cut to keep; then one list per request.
-    pairs = found.select(*QUERY, "score", F.explode("ids").alias("id"))
-    gathered = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id")))
+    pairs = found.select(*QUERY, "score", "ranked", F.explode("ids").alias("id"))
+    gathered = F.sort_array(F.collect_list(F.struct((-F.col("ranked")).alias("order"), "id", "score")))
     lists = pairs.groupBy(*QUERY).agg(F.slice(gathered, 1, keep).alias("matches"))
     asked = keyed.select(*REQUEST, *QUERY).join(lists, QUERY)
     others = F.filter("matches", lambda m: m["id"] != F.col("news_id"))
@@ -436,11 +438,11 @@ def _search(
         *REQUEST,
         (F.col("_pos") + 1).alias("rank"),
         F.col("m.id").alias("match_id"),
-        (-F.col("m.s")).alias("score"),
+        F.col("m.score").alias("score"),
     )
 
 
-def _with_details(matches: DataFrame, index: DataFrame, floor_digits: int = 4) -> DataFrame:
+def _with_details(matches: DataFrame, index: DataFrame) -> DataFrame:
     details = index.select(F.col("news_id").alias("match_id"), "title", "category")
     return matches.join(details, "match_id").select(
         F.col("news_id").alias("source_news_id"),
@@ -450,7 +452,7 @@ def _with_details(matches: DataFrame, index: DataFrame, floor_digits: int = 4) -
         F.col("match_id").alias("news_id"),
         "title",
         "category",
-        F.round("score", floor_digits).alias("similarity_score"),
+        F.round("score", 4).alias("similarity_score"),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.payloads import category_key
 from newsloom.operators.similarity import check_requests, top_k, with_source
 from newsloom.schemas import ALL_CATEGORIES_KEY, CACHE_TTL_SECONDS, CACHED_LIST
+from newsloom.session import shared_dir
 
 KEY = ["news_id", "k", "category_key"]
 
@@ -83,10 +84,12 @@ def invalidate(cache: DataFrame, indexed: DataFrame) -> DataFrame:
 def serve(requests: DataFrame, index: DataFrame, cache: DataFrame, as_of: Column, **search) -> tuple[DataFrame, DataFrame]:
     """Answer requests: (news_id, k, category_key, items, cached) and the cache afterwards.
 
-    Requests that cannot be answered get null items.
+    Requests that cannot be answered get null items. The computed lists feed both
+    results, so they are written to the checkpoint folder once.
     """
+    shared_dir(requests.sparkSession)
     looked = read_cache(requests, cache, as_of)
-    fresh = expiring(missed_lists(looked.where(~F.col("hit")), index, **search), as_of)
+    fresh = expiring(missed_lists(looked.where(~F.col("hit")), index, **search), as_of).checkpoint()
     made = fresh.select(*KEY, F.col("items").alias("_made"))
     answers = looked.join(made, KEY, "left").select(
         *KEY, F.coalesce("items", "_made").alias("items"), F.col("hit").alias("cached")
