@@ -43,6 +43,7 @@ MAX_LISTS = 4096
 ROWS_PER_TILE = 2048
 QUERIES_PER_PRODUCT = 512
 VISITS_PER_BATCH = 8192
+TILES_PER_CHUNK = 8
 # Pivots are broadcast; MAX_LISTS of the usual dimensions stay far below this.
 MAX_PIVOT_BYTES = 64 << 20
 
@@ -234,30 +235,32 @@ def _visits(queries: DataFrame, pivots: np.ndarray, reach: np.ndarray, nprobe: i
     return queries.mapInArrow(route, f"{fields}, list_id int")
 
 
+def _grid(candidates: DataFrame, visits: DataFrame, place: list[str], rows_per_tile: int) -> DataFrame:
+    """Per place: into how many tiles its candidates go and into how many chunks its visits."""
+
+    def pieces(rows: DataFrame, size: int, name: str) -> DataFrame:
+        return rows.groupBy(*place).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+
+    return pieces(candidates, rows_per_tile, "tiles").join(
+        pieces(visits, rows_per_tile * TILES_PER_CHUNK, "chunks"), place
+    )
+
+
 def _score(
-    visits: DataFrame,
-    candidates: DataFrame,
-    keep: int,
-    rows_per_tile: int,
-    floor: float,
-    one_list: tuple[int, int] | None = None,
+    visits: DataFrame, candidates: DataFrame, grid: DataFrame | tuple[int, int], keep: int, floor: float
 ) -> DataFrame:
     """(space, key_a, key_b, ids, score, ranked): the best ``keep`` vectors per query and tile.
 
-    ``ranked`` is the score rounded for ranking. ``one_list`` gives the numbers of
-    candidates and visits when there is a single list; otherwise they are counted
-    per list.
+    ``ranked`` is the score rounded for ranking. ``grid`` is the table of
+    :func:`_grid`, or two numbers where there is one place only.
     """
     place = ["space", "list_id"]
-    per_chunk = 8 * rows_per_tile
-    if one_list is None:
-        n_tiles = candidates.groupBy(*place).agg(F.ceil(F.count("*") / rows_per_tile).cast("int").alias("tiles"))
-        n_chunks = visits.groupBy(*place).agg(F.ceil(F.count("*") / per_chunk).cast("int").alias("chunks"))
-        grid = n_tiles.join(n_chunks, place)
-        candidates, visits = candidates.join(grid, place), visits.join(grid, place)
-    else:
-        sizes = [F.lit(-(-one_list[0] // rows_per_tile)).alias("tiles"), F.lit(-(-one_list[1] // per_chunk)).alias("chunks")]
+    if isinstance(grid, tuple):
+        sizes = [F.lit(grid[0]).alias("tiles"), F.lit(grid[1]).alias("chunks")]
         candidates, visits = candidates.select("*", *sizes), visits.select("*", *sizes)
+    else:
+        on = [c for c in place if c in grid.columns]
+        candidates, visits = candidates.join(grid, on), visits.join(grid, on)
 
     def numbers(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -389,7 +392,7 @@ def _search(
     rows_per_tile: int,
     exact: bool,
     max_k: int,
-    one_list: tuple[int, int] | None,
+    one_list: DataFrame | tuple[int, int],
 ) -> DataFrame:
     """(news_id, k, category_filter, rank, match_id, score) for requests with ``space`` and ``embedding``."""
     spark = requests.sparkSession
@@ -402,14 +405,9 @@ def _search(
     vectors = keyed.groupBy(*QUERY).agg(F.first("embedding").alias("embedding"))
     queries = vectors.withColumn("bound", F.lit(SCORE_FLOOR))
 
-    def scored(visits: DataFrame, listed: DataFrame) -> DataFrame:
-        return _score(visits, listed, keep, rows_per_tile, SCORE_FLOOR)
-
     if len(pivots) <= 1:
         only = F.lit(0).alias("list_id")
-        found = _score(
-            queries.select("*", only), distinct.select("*", only), keep, rows_per_tile, SCORE_FLOOR, one_list
-        )
+        found = _score(queries.select("*", only), distinct.select("*", only), one_list, keep, SCORE_FLOOR)
         found = _best(found, keep)
     else:
         # Lists are read for their radius, by both rounds and for their counts.
@@ -417,15 +415,20 @@ def _search(
         reach = np.full(len(pivots), np.nan)
         for row in listed.groupBy("list_id").agg(F.min("pivot_cosine").alias("c")).collect():
             reach[row["list_id"]] = np.arccos(np.clip(row["c"], -1.0, 1.0)) + SLACK
-        found = _best(scored(_visits(queries, pivots, reach, nprobe, beyond=False), listed), keep)
+
+        def scored(asking: DataFrame, beyond: bool) -> DataFrame:
+            visits = _visits(asking, pivots, reach, nprobe, beyond)
+            grid = _grid(listed, visits, ["space", "list_id"], rows_per_tile)
+            return _score(visits, listed, grid, keep, SCORE_FLOOR)
+
+        found = _best(scored(queries, beyond=False), keep)
         if exact and int(np.isfinite(reach).sum()) > nprobe:
             found = found.checkpoint()
             # With keep vectors found, the worst of them bounds what can still matter.
             full = found.groupBy(*QUERY).agg(F.count("*").alias("n"), F.min("score").alias("least"))
             bound = F.when(F.col("n") >= keep, F.col("least")).otherwise(F.lit(SCORE_FLOOR))
             bounded = vectors.join(full, QUERY, "left").select(*vectors.columns, bound.alias("bound"))
-            rest = scored(_visits(bounded, pivots, reach, nprobe, beyond=True), listed)
-            found = _best(found.unionByName(rest), keep)
+            found = _best(found.unionByName(scored(bounded, beyond=True)), keep)
 
     # Per distinct query vector at most keep * keep pairs, cut to keep; then one list per request.
     pairs = found.select(*QUERY, "score", "ranked", F.explode("ids").alias("id"))
@@ -524,16 +527,22 @@ def _top_k(
         F.coalesce(F.bool_or(no_filter), F.lit(True)).alias("unfiltered"),
         F.coalesce(F.bool_or(~no_filter), F.lit(False)).alias("filtered"),
     ).first()
-    sourced = with_source(checked, index).where("status = 'ok'")
-    asked, candidates = _spaces(sourced, index, shape["unfiltered"], shape["filtered"])
+    tagged, candidates = _spaces(checked, index, shape["unfiltered"], shape["filtered"])
+    asked = with_source(tagged, index).where("status = 'ok'")
     n_sets = F.lit(1) if shape["unfiltered"] else F.approx_count_distinct("category")
     size = index.agg(F.count("*").alias("n"), n_sets.alias("sets")).first()
     if pivots is None:
         if n_lists is None:
             n_lists = default_lists(size["n"], size["sets"], rows_per_tile)
         pivots = choose_pivots(index, n_lists) if n_lists > 1 else np.empty((0, 0))
-    # With one list and one candidate set the sizes are known and need no counting per list.
-    one_list = None if shape["filtered"] else (max(1, size["n"]), max(1, shape["n"]))
+    # For a single list the sizes come from plain counts, before any vector is touched.
+    if shape["filtered"]:
+        one_list = _grid(candidates.select("space"), tagged.select("space"), ["space"], rows_per_tile)
+    else:
+        one_list = (
+            max(1, -(-size["n"] // rows_per_tile)),
+            max(1, -(-shape["n"] // (rows_per_tile * TILES_PER_CHUNK))),
+        )
     found = _search(asked, candidates, pivots, nprobe, rows_per_tile, exact, shape["max_k"], one_list)
     return _with_details(found, index) if details else found
 

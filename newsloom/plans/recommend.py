@@ -49,7 +49,9 @@ def missed_lists(misses: DataFrame, index: DataFrame, **search) -> DataFrame:
 
     Candidates that are all below the score floor still give a list, an empty one.
     """
-    asked = answerable(misses, index)
+    # Read by several branches of the search and by the final join.
+    shared_dir(misses.sparkSession)
+    asked = answerable(misses, index).checkpoint()
     matches = top_k(asked, index, **search)
     item = F.struct("rank", F.struct("news_id", "title", "category", "similarity_score").alias("item"))
     in_order = F.transform(F.sort_array(F.collect_list(item)), lambda x: x["item"])

@@ -14,7 +14,7 @@ from newsloom.operators import centrality as C
 from newsloom.operators.embedding import Embedder, get_embedder, once_per_worker
 from newsloom.operators.merge import upsert
 from newsloom.schemas import DEFAULT_RATIO, SHORT_FALLBACK_RATIO
-from newsloom.session import ship_package
+from newsloom.session import shared_dir, ship_package
 
 # A summarizer maps documents (doc_id, text) and a ratio to (doc_id, summary).
 Summarizer = Callable[[DataFrame, float], DataFrame]
@@ -209,10 +209,18 @@ def summarize_misses(
         F.when(F.col("_generated").isNull(), "position").otherwise("generated").alias("short_method"),
         F.when(F.col("_central").isNull(), "position").otherwise("embedding").alias("default_method"),
     )
-    return statused.select("news_id", "status").join(made, "news_id", "left")
+    failed = statused.where("status <> 'ok'").select("news_id", "status")
+    return made.select("news_id", F.lit("ok").alias("status"), *made.columns[1:]).unionByName(
+        failed, allowMissingColumns=True
+    )
 
 
 def store_summaries(results: DataFrame, made: DataFrame, as_of: Column) -> DataFrame:
-    """The results table after the upsert; rows with errors write nothing."""
-    updates = made.where("status = 'ok'").select("news_id", "summary_short", "summary_default")
+    """The results table after the upsert; rows with errors write nothing.
+
+    The upsert reads its updates in three places, so the summaries are written to
+    the checkpoint folder first instead of being made three times.
+    """
+    shared_dir(made.sparkSession)
+    updates = made.where("status = 'ok'").select("news_id", "summary_short", "summary_default").checkpoint()
     return upsert(results, updates, as_of)

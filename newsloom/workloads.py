@@ -635,10 +635,7 @@ def cache_lookup(spark, sf_dir):
 
 def cache_write_back(spark, sf_dir):
     """The cache after the log's misses were computed and stored."""
-    rows, stored = index(spark, sf_dir), cache(spark, sf_dir)
-    looked = recommend.read_cache(request_log(spark, sf_dir), stored, at(AS_OF))
-    fresh = recommend.expiring(recommend.missed_lists(looked.where(~F.col("hit")), rows), at(AS_OF))
-    after = recommend.write_back(stored, fresh)
+    _, after = recommend.serve(request_log(spark, sf_dir), index(spark, sf_dir), cache(spark, sf_dir), at(AS_OF))
     ids = F.transform("items", lambda i: i["news_id"].cast("string"))
     return after.select(
         "news_id", F.col("k").cast("bigint").alias("k"), "category_key",
