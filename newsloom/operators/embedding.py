@@ -70,7 +70,8 @@ def once_per_worker(name: str, load: Callable[[], Any]) -> Any:
 def model_embedder(name: str, dim: int, load: Callable[[], Callable[[list[str]], Any]]) -> Embedder:
     """Host a user's encoder: ``load()`` returns a function from texts to vectors.
 
-    It is called once per Arrow batch. Null texts get null vectors.
+    It is loaded once per Python worker under its name and called once per Arrow
+    batch. Null texts get null vectors.
     """
 
     @F.pandas_udf("array<float>")

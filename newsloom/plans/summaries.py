@@ -76,7 +76,7 @@ def _generate_batch(generator: Generator, texts: list[str], usable: Callable[[st
             break
         prompts = [prefix + texts[i] for i in open_rows]
         unanswered = []
-        for i, answer in zip(open_rows, _answers(generator, prompts)):
+        for i, answer in zip(open_rows, _answers(generator, prompts), strict=True):
             if answer is not None and (keep_last or usable(answer)):
                 out[i] = answer
             elif keep_last:

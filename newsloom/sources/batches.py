@@ -75,6 +75,10 @@ class BatchTable:
         """Publish the rows as the whole table."""
         self._write(rows, "base", None)
 
+    def compact(self) -> None:
+        """Fold all batches into one base; tags of folded batches stay known."""
+        self.replace(self.read())
+
     def _write(self, rows: DataFrame, kind: str, tag: str | None) -> None:
         listing = self._listing()
         number = listing[-1][0] + 1 if listing else 0

@@ -86,6 +86,9 @@ def test_batch_table(spark):
     stored.replace(stored.read().where("news_id = 3"))
     stored.append(row(5))
     assert sorted(r.news_id for r in stored.read().collect()) == [3, 5]
+    stored.compact()
+    assert len(stored.committed()) == 1 and stored.read().count() == 2
+    assert not stored.append(row(6), "a")
 
 
 def result(spark, rows):
