@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import exact_dedup, license_scan, mixing, simhash
+from newsloom.llm import ann_forest, edit_counts, exact_dedup, license_scan, mixing, piece_codec, simhash
 from newsloom.llm.common import table
 
 
@@ -26,6 +26,22 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op7_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    return ann_forest.nearest(embeddings, "vec_id", "embedding", F.col("id") % 20 == 0, k=20)
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return piece_codec.encoded(documents, {"doc_id": F.col("doc_id")}, piece_codec.read_model())
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    edits = edit_counts.sample_edits(F.coalesce(F.col("text"), F.lit("")))
+    return edit_counts.counted(documents, {"doc_id": F.col("doc_id")}, edit_counts.read_ranks(), edits)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -33,6 +49,9 @@ QUERIES = {
         op2_license_scan,
         op4_simhash,
         op5_source_mix,
+        op7_ann_forest,
+        op9_sentencepiece,
+        op10_token_counts,
     )
 }
 
