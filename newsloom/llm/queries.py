@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import ann_forest, edit_counts, exact_dedup, license_scan, mixing, piece_codec, simhash
+from newsloom.llm import ann_forest, edit_counts, exact_dedup, license_scan, mixing, piece_codec, simhash, toxicity
 from newsloom.llm.common import table
 
 
@@ -17,6 +17,14 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    net = toxicity.fit(documents, table(spark, sf_dir, "labels"))
+    return toxicity.scored(documents, net, {"doc_id": F.col("doc_id")}).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", toxicity.predicted(F.col("score")).alias("predicted")
+    )
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,6 +55,7 @@ QUERIES = {
     for f in (
         op1_exact_dedup,
         op2_license_scan,
+        op3_toxicity,
         op4_simhash,
         op5_source_mix,
         op7_ann_forest,
