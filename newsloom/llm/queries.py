@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import ann_forest, edit_counts, exact_dedup, license_scan, mixing, piece_codec, simhash, toxicity
+from newsloom.llm import ann_forest, edit_counts, exact_dedup, license_scan, masked_lm, mixing, piece_codec, simhash, toxicity
 from newsloom.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op7_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_forest.nearest(embeddings, "vec_id", "embedding", F.col("id") % 20 == 0, k=20)
 
 
+def op8_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.pseudo_likelihood(table(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id")})
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return piece_codec.encoded(documents, {"doc_id": F.col("doc_id")}, piece_codec.read_model())
@@ -59,6 +63,7 @@ QUERIES = {
         op4_simhash,
         op5_source_mix,
         op7_ann_forest,
+        op8_masked_lm,
         op9_sentencepiece,
         op10_token_counts,
     )
