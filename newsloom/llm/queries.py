@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import ann_forest, edit_counts, exact_dedup, license_scan, masked_lm, mixing, piece_codec, simhash, toxicity
+from newsloom.llm import ann_forest, edit_counts, exact_dedup, html_text, license_scan, masked_lm, mixing, piece_codec, simhash, toxicity
 from newsloom.llm.common import table
 
 
@@ -34,6 +34,12 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    net = html_text.train(html_text.training_pages())
+    return html_text.extracted(pages, net, {"page_id": F.col("page_id"), "url": F.col("url")})
+
+
 def op7_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     embeddings = table(spark, sf_dir, "embeddings")
     return ann_forest.nearest(embeddings, "vec_id", "embedding", F.col("id") % 20 == 0, k=20)
@@ -62,6 +68,7 @@ QUERIES = {
         op3_toxicity,
         op4_simhash,
         op5_source_mix,
+        op6_html_text,
         op7_ann_forest,
         op8_masked_lm,
         op9_sentencepiece,
