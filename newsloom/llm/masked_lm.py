@@ -36,7 +36,7 @@ VOCABULARY = 1 << 16
 CLASSES, SINGLE = 128, 64
 INPUTS, SIZE, HIDDEN = 4096, 16, 32
 SIDE = 2
-EVERY, BATCH, RATE = 8, 512, 0.01
+EVERY, BATCH, RATE = 8, 256, 0.01
 CHUNK = 2048
 CACHED_WORDS = 300_000
 AT_ONCE = 1 << 14

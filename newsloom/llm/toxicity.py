@@ -23,7 +23,9 @@ or none, every score is 0.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -74,9 +76,12 @@ class Net:
     def inputs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows of the word table (0: unknown) and the n-grams as (buckets, word of each)."""
         rows = np.array([self.vocabulary.get(w, 0) for w in words], np.int64)
-        grams = [ngrams(w) for w in words]
-        of = np.repeat(np.arange(len(words)), [len(g) for g in grams])
-        return rows, np.array([g for x in grams for g in x], np.int64), of
+        grams, lengths = array("i"), np.zeros(len(words), np.int32)
+        for i, w in enumerate(words):
+            found = ngrams(w)
+            grams.extend(found)
+            lengths[i] = len(found)
+        return rows, np.array(grams, np.int32), np.repeat(np.arange(len(words), dtype=np.int32), lengths)
 
     def vectors(self, rows: np.ndarray, grams: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = np.bincount(of, minlength=len(rows)).astype(np.float32)
@@ -264,7 +269,7 @@ class Trainer:
 def windows_of(numbers: np.ndarray) -> np.ndarray:
     """Rows of WINDOW word numbers; -1 behind the end."""
     starts = np.array(window_starts(len(numbers)))
-    padded = np.full(int(starts[-1]) + WINDOW, -1, np.int64)
+    padded = np.full(int(starts[-1]) + WINDOW, -1, np.int32)
     padded[: len(numbers)] = numbers
     return padded[starts[:, None] + np.arange(WINDOW)]
 
@@ -274,11 +279,12 @@ def train(texts: list[str], labels: list[int], rates: tuple[float, float] = (0.5
     y = np.array(labels, np.float32)
     if not (y == 1).any() or not (y == 0).any():
         return None
-    tokens = [words_of(t) for t in texts]
+    tokens = [[sys.intern(w) for w in words_of(t)] for t in texts]  # one object per word
     net = new_net(tokens, seed)
     words = sorted({w for t in tokens for w in t}) or [""]
     number = {w: i for i, w in enumerate(words)}
-    per_text = [windows_of(np.array([number[w] for w in t], np.int64)) for t in tokens]
+    per_text = [windows_of(np.array([number[w] for w in t], np.int32)) for t in tokens]
+    del tokens
     windows, doc = np.concatenate(per_text), np.repeat(np.arange(len(texts)), [len(w) for w in per_text])
     trainer, rng = Trainer(net, words), np.random.default_rng(seed)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
