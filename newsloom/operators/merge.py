@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.operators.constraints import with_result_defaults
+from newsloom.operators.constraints import keep_one_per_key, with_result_defaults
 from newsloom.sources.articles import matching_keys
 
 
@@ -15,9 +15,11 @@ def upsert(existing: DataFrame, updates: DataFrame, as_of: Column, key: str = "n
     A null in ``updates`` means "not produced". ``created_at`` survives and
     ``updated_at`` moves only on touched rows. The existing table is on the
     streamed side of a left join, so a small batch is broadcast and the stored
-    text is not shuffled.
+    text is not shuffled. Of several updates of one key the first counts, by the
+    produced columns in their order, larger values first and nulls last.
     """
     produced = [c for c in updates.columns if c != key]
+    updates = keep_one_per_key(updates, key, [F.col(c).desc_nulls_last() for c in produced] or [F.col(key)])
     new = updates.select(key, F.lit(True).alias("_touched"), *[F.col(c).alias(f"_new_{c}") for c in produced])
     joined = existing.join(new, key, "left")
     columns = []

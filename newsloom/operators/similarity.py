@@ -23,6 +23,7 @@ What keeps hot groups small:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,19 +40,25 @@ from newsloom.session import shared_dir, ship_package
 # Scores are rounded before ranking, so that ties are ties and not floating-point noise.
 RANK_DIGITS = 9
 SLACK = 1e-8
-MAX_LISTS = 4096
 ROWS_PER_TILE = 2048
 QUERIES_PER_PRODUCT = 512
 VISITS_PER_BATCH = 8192
 TILES_PER_CHUNK = 8
-# Pivots are broadcast; MAX_LISTS of the usual dimensions stay far below this.
+# Pivots are broadcast, so their size is checked.
 MAX_PIVOT_BYTES = 64 << 20
 
 
+def normal_requests(requests: DataFrame) -> DataFrame:
+    """Requests with the default for a missing k, and null for an empty filter."""
+    normal = requests.withColumn("k", F.coalesce(F.col("k"), F.lit(DEFAULT_K)))
+    if "category_filter" in requests.columns:
+        normal = normal.withColumn("category_filter", F.nullif(F.col("category_filter"), F.lit("")))
+    return normal
+
+
 def check_requests(requests: DataFrame) -> DataFrame:
-    """Add ``status``: ``invalid`` when k is out of bounds. A missing k is the default."""
-    k = F.coalesce(F.col("k"), F.lit(DEFAULT_K))
-    return requests.withColumn("k", k).withColumn(
+    """Add ``status``: ``invalid`` when k is out of bounds. A missing k is the default, an empty filter none."""
+    return normal_requests(requests).withColumn(
         "status", F.when(F.col("k").between(MIN_K, MAX_K), "ok").otherwise("invalid")
     )
 
@@ -112,7 +119,6 @@ def pair_scores(pairs: DataFrame, index: DataFrame) -> DataFrame:
 
 def choose_pivots(index: DataFrame, n_lists: int) -> np.ndarray:
     """``n_lists`` unit vectors of the index, by lowest hash of the id. Any pivots keep the search exact."""
-    n_lists = min(n_lists, MAX_LISTS)
     rows = (
         index.where(F.col("embedding").isNotNull())
         .select(F.xxhash64("news_id").alias("_h"), "news_id", "embedding")
@@ -123,14 +129,9 @@ def choose_pivots(index: DataFrame, n_lists: int) -> np.ndarray:
     return _checked(np.array([r["embedding"] for r in rows], dtype=np.float64))
 
 
-def train_lists(index: DataFrame, n_lists: int = 100, seed: int = 1, sample_per_list: int = 256) -> np.ndarray:
-    """List centres by k-means on unit vectors. Only the training is sampled; every row gets a list."""
-    n_lists = min(n_lists, MAX_LISTS)
-    wanted = n_lists * sample_per_list
+def train_lists(index: DataFrame, n_lists: int = 100, seed: int = 1) -> np.ndarray:
+    """List centres by k-means on all unit vectors."""
     given = index.where(F.exists("embedding", lambda x: x != 0))
-    total = given.count()
-    if total > wanted:
-        given = given.sample(fraction=min(1.0, 1.1 * wanted / total), seed=seed)
     vectors = given.select(array_to_vector("embedding").alias("v"))
     model = KMeans(k=n_lists, seed=seed, featuresCol="v", distanceMeasure="cosine", maxIter=10).fit(vectors)
     return _checked(np.array(model.clusterCenters(), dtype=np.float64))
@@ -478,8 +479,8 @@ def _spaces(requests: DataFrame, index: DataFrame, unfiltered: bool, filtered: b
 
 
 def default_lists(n_rows: int, n_spaces: int, rows_per_tile: int) -> int:
-    """About one tile per list and candidate set."""
-    return int(min(MAX_LISTS, max(1, -(-n_rows // (max(1, n_spaces) * rows_per_tile)))))
+    """About one tile per list and candidate set, and no more lists than the root of the rows: those are broadcast."""
+    return max(1, min(-(-n_rows // (max(1, n_spaces) * rows_per_tile)), math.isqrt(n_rows)))
 
 
 def top_k(

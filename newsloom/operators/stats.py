@@ -31,4 +31,5 @@ def tally(statused: DataFrame) -> DataFrame:
         F.count_if(skipped).alias("skipped"),
         F.count_if(F.col("status") == "already_indexed").alias("already_indexed"),
         F.count_if(F.col("status") == "no_title").alias("no_title"),
+        F.count_if(F.col("status") == "invalid").alias("invalid"),
     )

@@ -279,10 +279,10 @@ SELECT doc_id, idx, round(score, 6) AS score, rank FROM ranked""",
     "count_by_category": "SELECT label::VARCHAR AS category, count(*) AS n FROM embeddings GROUP BY label",
     "index_stats": """SELECT sum(n)::BIGINT AS total_embeddings, string_agg(label || '=' || n, ',' ORDER BY label::VARCHAR) AS by_category
 FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label)""",
-    "index_tally": f"""WITH {ARTICLES}, statused AS (SELECT CASE WHEN doc_id IS NOT NULL THEN 'known' WHEN coalesce(title, '') = '' THEN 'untitled' ELSE 'new' END AS s
+    "index_tally": f"""WITH {ARTICLES}, statused AS (SELECT CASE WHEN doc_id IS NOT NULL THEN 'known' WHEN coalesce(title, '') = '' THEN 'untitled' WHEN length(category) > 50 THEN 'bad' ELSE 'new' END AS s
   FROM articles LEFT JOIN labels ON doc_id = id)
-SELECT count(*) FILTER (s = 'new') AS indexed, count(*) FILTER (s <> 'new') AS skipped,
-  count(*) FILTER (s = 'known') AS already_indexed, count(*) FILTER (s = 'untitled') AS no_title FROM statused""",
+SELECT count(*) FILTER (s = 'new') AS indexed, count(*) FILTER (s IN ('known', 'untitled')) AS skipped,
+  count(*) FILTER (s = 'known') AS already_indexed, count(*) FILTER (s = 'untitled') AS no_title, count(*) FILTER (s = 'bad') AS invalid FROM statused""",
     "collected_audio": f"""WITH voices(voice_id, description) AS (VALUES {VOICES}),
 made AS (SELECT doc_id AS news_id, voice_id, 'http://localhost:9000/news/audio/' || voice_id || '/tts_20240116_000000_' || substr(md5(text), 1, 8) || '.wav' AS url
   FROM labels JOIN documents USING (doc_id), voices WHERE toxic = 0 AND coalesce(text, '') <> '')

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import artifacts as A
@@ -12,19 +12,15 @@ from newsloom.schemas import LINK_MARGIN_SECONDS, LINK_TTL_SECONDS
 
 # The default voices and their descriptions.
 DEFAULT_VOICES = [("Doan", "Giọng nữ miền Nam"), ("Binh", "Giọng nam miền Bắc")]
-MAX_VOICES = 1000
 
 
 def default_voices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(DEFAULT_VOICES, "voice_id string, description string")
 
 
-def _listed(voices: DataFrame) -> list[Row]:
-    """The voice table on the driver; it is refused if it is not a small one."""
-    rows = voices.select("voice_id", "description").limit(MAX_VOICES + 1).collect()
-    if len(rows) > MAX_VOICES:
-        raise ValueError("the voice table is meant to be small")
-    return sorted(rows, key=lambda v: v["voice_id"])
+def _listed(voices: DataFrame) -> Column:
+    """The voice table as one array, a scalar subquery of the plan that uses it."""
+    return voices.agg(F.sort_array(F.collect_list(F.struct("voice_id", "description")))).scalar()
 
 
 def audio_requests(requests: DataFrame, results: DataFrame) -> DataFrame:
@@ -41,12 +37,11 @@ def work_list(requests: DataFrame, articles: DataFrame, results: DataFrame, voic
     no join to fan out and articles are not shuffled for it. Status is ``ok``,
     ``not_found`` or ``no_content``; the latter two have no voice.
     """
-    listed = _listed(voices)
     misses = audio_requests(requests, results).where(~F.col("hit")).select("news_id")
     content = articles.select(F.col("id").alias("news_id"), F.lit(True).alias("_known"), F.col("content_plain_text").alias("text"))
     found = misses.join(content, "news_id", "left")
     status = F.when(F.col("_known").isNull(), "not_found").when(~has_text(F.col("text")), "no_content").otherwise("ok")
-    every = F.array(*[F.struct(F.lit(v["voice_id"]).alias("voice_id"), F.lit(v["description"]).alias("description")) for v in listed])
+    every = _listed(voices)
     nothing = F.array(F.lit(None).cast("struct<voice_id:string,description:string>"))
     fanned = found.withColumn("status", status).withColumn(
         "_voice", F.explode(F.when(F.col("status") == "ok", every).otherwise(nothing))
@@ -56,7 +51,7 @@ def work_list(requests: DataFrame, articles: DataFrame, results: DataFrame, voic
 
 def missing_voices(articles: DataFrame, results: DataFrame, voices: DataFrame) -> DataFrame:
     """(news_id, voice_id) pairs that no stored record covers."""
-    names = F.array(*[F.lit(v["voice_id"]) for v in _listed(voices)])
+    names = _listed(voices).getField("voice_id")
     wanted = articles.select(F.col("id").alias("news_id"), F.explode(names).alias("voice_id"))
     made = results.select("news_id", F.explode("audio_files").alias("a")).select("news_id", "a.voice_id")
     return wanted.join(made, ["news_id", "voice_id"], "left_anti")

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import category_or_unknown, embedding_input, has_text
-from newsloom.operators.constraints import keep_one_per_key, valid_rows, with_violations
+from newsloom.operators.constraints import keep_one_per_key, quarantined_rows, valid_rows, with_violations
 from newsloom.operators.embedding import Embedder, get_embedder
-from newsloom.schemas import EMBEDDING
+from newsloom.schemas import EMBEDDING, MAX_CATEGORY_CHARS
 from newsloom.sources.articles import matching_keys
 from newsloom.sources.batches import BatchTable
 
@@ -31,21 +31,30 @@ def with_categories(requests: DataFrame, articles: DataFrame) -> DataFrame:
 
 
 def statused_batch(articles: DataFrame, index: DataFrame) -> DataFrame:
-    """One row per id with ``status``: ``indexed`` (to be), ``already_indexed`` or ``no_title``."""
-    single = keep_one_per_key(articles, "id", [F.col("title"), F.col("description"), F.col("category")])
+    """One row per id with ``status``: ``indexed`` (to be), ``already_indexed``, ``no_title`` or ``invalid``.
+
+    Of several articles with one id, one with a title comes first.
+    """
+    titled_first = F.when(has_text(F.col("title")), 0).otherwise(1)
+    single = keep_one_per_key(articles, "id", [titled_first, F.col("title"), F.col("description"), F.col("category")])
     # Probed with the bare ids, so that the articles' other columns are computed once.
     known = matching_keys(index.select(F.col("news_id").alias("id")), articles, "id")
     flagged = single.join(known.withColumn("_known", F.lit(True)), "id", "left")
     status = (
-        F.when(F.col("_known"), "already_indexed").when(~has_text(F.col("title")), "no_title").otherwise("indexed")
+        F.when(F.col("_known"), "already_indexed")
+        .when(~has_text(F.col("title")), "no_title")
+        .when(F.col("id").isNull() | (F.length("category") > MAX_CATEGORY_CHARS), "invalid")
+        .otherwise("indexed")
     )
     return flagged.withColumn("status", status).drop("_known")
 
 
-def embedding_rows(statused: DataFrame, as_of: Column, embedder: Embedder | None = None) -> DataFrame:
-    """Embedding-table rows for the articles to be indexed."""
+def embedding_rows(
+    statused: DataFrame, as_of: Column, embedder: Embedder | None = None, status: str = "indexed"
+) -> DataFrame:
+    """Embedding-table rows for the articles to be indexed (or of another status)."""
     embedder = embedder or get_embedder()
-    fresh = statused.where("status = 'indexed'").select(
+    fresh = statused.where(F.col("status") == status).select(
         F.col("id").alias("news_id"),
         category_or_unknown(F.col("category")).alias("category"),
         "title",
@@ -62,14 +71,21 @@ def index_batch(
     as_of: Column,
     embedder: Embedder | None = None,
     tag: str | None = None,
+    quarantine: str | None = None,
 ) -> DataFrame:
     """Append the new valid rows as one batch and return the statused articles.
 
-    Rows that break a constraint are not appended; see :func:`quarantine`.
+    Rows that break a constraint are not appended. They have the status
+    ``invalid`` and, with a ``quarantine`` path, are added there as Parquet
+    together with the names of the constraints. The statused articles are
+    persisted, as each output reads them; the caller may unpersist them.
     """
     embedder = embedder or get_embedder()
     before = table.read()
-    statused = statused_batch(articles, before)
+    statused = statused_batch(articles, before).persist()
     checked = with_violations(embedding_rows(statused, as_of, embedder), embedder.dim)
     table.append(valid_rows(checked), tag)
+    if quarantine is not None:
+        broken = with_violations(embedding_rows(statused, as_of, embedder, "invalid"), embedder.dim)
+        quarantined_rows(broken).write.mode("append").parquet(quarantine)
     return statused

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.payloads import category_key
-from newsloom.operators.similarity import check_requests, top_k, with_source
+from newsloom.operators.similarity import check_requests, normal_requests, top_k, with_source
 from newsloom.schemas import ALL_CATEGORIES_KEY, CACHE_TTL_SECONDS, CACHED_LIST
 from newsloom.session import shared_dir
 
@@ -20,7 +20,7 @@ def read_cache(requests: DataFrame, cache: DataFrame, as_of: Column) -> DataFram
     on the cache side of the join, so expired lists are dropped at the scan.
     """
     live = cache.where(F.col("expires_at") > as_of).select(*KEY, "items", F.lit(True).alias("_live"))
-    keyed = requests.withColumn("category_key", category_key(F.col("category_filter")))
+    keyed = normal_requests(requests).withColumn("category_key", category_key(F.col("category_filter")))
     return keyed.join(live, KEY, "left").withColumn("hit", F.coalesce("_live", F.lit(False))).drop("_live")
 
 
@@ -35,8 +35,13 @@ def answerable(requests: DataFrame, index: DataFrame) -> DataFrame:
     wanted = requests.select("news_id", "k", "category_filter").distinct()
     sourced = with_source(check_requests(wanted).where("status = 'ok'"), index).where("status = 'ok'")
     own = index.select("news_id", F.col("category").alias("_own"))
-    # The rollup's null row is the whole index, which is what a null filter searches.
-    crowd = index.rollup("category").agg(F.count("*").alias("_members")).withColumnRenamed("category", "_in")
+    # The rollup's total is the whole index, which is what a null filter searches; rows without a category are no set.
+    crowd = (
+        index.rollup("category")
+        .agg(F.count("*").alias("_members"), F.grouping("category").alias("_total"))
+        .where((F.col("_total") == 1) | F.col("category").isNotNull())
+        .select(F.col("category").alias("_in"), "_members")
+    )
     asked = sourced.drop("embedding").join(own, "news_id")
     sized = asked.join(crowd, F.col("category_filter").eqNullSafe(F.col("_in")), "left")
     is_member = F.col("category_filter").isNull() | (F.col("_own") == F.col("category_filter"))

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from newsloom.schemas import ARTICLE, DEFAULT_PAGE_SIZE, MAX_PAGE_SIZE
 
 LIST_FIELDS = ["id", "title", "description", "category", "publisher_id"]
-# Up to this many leading rows a page is a plain top-k; deeper pages are located first.
-SHALLOW_ROWS = 50_000
-ID_BANDS = 4096
 
 
 def read_articles(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
@@ -28,49 +25,35 @@ def list_articles(articles: DataFrame, category: str | None = None) -> DataFrame
 
 
 def page_of(rows: DataFrame, page: int = 0, size: int = DEFAULT_PAGE_SIZE, key: str = "id") -> DataFrame:
-    """Rows ``[page * size, (page + 1) * size)`` in key order.
+    """Rows ``[page * size, (page + 1) * size)`` in key order, null keys first.
 
     Spark answers ``orderBy.offset.limit`` by keeping offset + limit rows in one
-    task. For deep pages the id range holding the page is located first from
-    per-band counts (at most ``ID_BANDS`` rows reach the driver per step), so only
-    that band is sorted and the range filter reaches the scan.
+    task. So the key range that holds the page is located first, from the counts
+    and bounds of a range partitioning (one row per partition reaches the driver);
+    only that range is sorted, and its filter reaches the scan.
     """
     if page < 0 or not 1 <= size <= MAX_PAGE_SIZE:
         raise ValueError("page must be >= 0 and size between 1 and %d" % MAX_PAGE_SIZE)
-    skip = page * size
-    if skip > SHALLOW_ROWS:
-        rows, skip = _narrow(rows, key, skip, skip + size)
-    return rows.orderBy(key).offset(skip).limit(size)
-
-
-def _narrow(rows: DataFrame, key: str, first: int, last: int) -> tuple[DataFrame, int]:
-    """Restrict to the key range that holds sorted positions [first, last)."""
-    low, high = rows.agg(F.min(key), F.max(key)).first()
-    while low is not None and high > low and first > SHALLOW_ROWS:
-        width = (high - low) // ID_BANDS + 1
-        in_range = rows.where(F.col(key).between(low, high))
-        band = F.floor((F.col(key) - F.lit(low)) / F.lit(width)).cast("long")
-        counts = sorted(
-            (r["band"], r["n"])
-            for r in in_range.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()
-        )
-        seen, start, stop = 0, None, None
-        for b, n in counts:
-            if start is None and seen + n > first:
-                start, before = b, seen
-            seen += n
-            if start is not None and seen >= last:
-                stop = b
-                break
-        if start is None:
-            return in_range.where(F.lit(False)), 0
-        stop = counts[-1][0] if stop is None else stop
-        new_low, new_high = low + start * width, min(high, low + (stop + 1) * width - 1)
-        first, last = first - before, last - before
-        if (new_low, new_high) == (low, high):
-            break
-        low, high = new_low, new_high
-    return rows.where(F.col(key).between(low, high)), first
+    first, last, k = page * size, (page + 1) * size, F.col(key)
+    parts = (
+        rows.select(k)
+        .repartitionByRange(k)
+        .groupBy(F.spark_partition_id().alias("part"))
+        .agg(F.count(k).alias("n"), F.count_if(k.isNull()).alias("nulls"), F.min(k).alias("low"), F.max(k).alias("high"))
+        .orderBy("part")
+        .collect()
+    )
+    nulls = before = sum(p["nulls"] for p in parts)
+    skipped, held = nulls, []
+    for p in parts:
+        if p["n"] and before < last and before + p["n"] > first:
+            skipped = skipped if held else before
+            held.append(p)
+        before += p["n"]
+    within = k.between(held[0]["low"], held[-1]["high"]) if held else F.lit(False)
+    if first < nulls:
+        within, skipped = within | k.isNull(), 0
+    return rows.where(within).orderBy(key).offset(first - skipped if first >= skipped else 0).limit(size)
 
 
 def fetch_fields(requests: DataFrame, articles: DataFrame, fields: list[str]) -> DataFrame:

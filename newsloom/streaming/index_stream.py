@@ -29,7 +29,7 @@ def index_stream(
     def one_batch(rows: DataFrame, batch_id: int) -> None:
         tag = f"{name}-{batch_id}"
         if not table.has_batch(tag):
-            index_batch(rows, table, as_of, embedder, tag)
+            index_batch(rows, table, as_of, embedder, tag).unpersist()
 
     writer = articles.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -17,14 +17,16 @@ OUTPUT = "key string, computed_at timestamp, expires_at timestamp, n_requests bi
 
 
 def computed_once(
-    requests: DataFrame, ttl_seconds: int = CACHE_TTL_SECONDS, watermark: str = "0 seconds"
+    requests: DataFrame, ttl_seconds: int = CACHE_TTL_SECONDS, watermark: str = "1 day"
 ) -> DataFrame:
     """A stream of requests (key, ts) to the computations it causes.
 
     The first request for a key computes; requests before the expiry are hits and
     do not prolong it; the next one computes again. ``n_requests`` counts the
     requests of the micro-batch that the computation served. The state is one
-    expiry time per key and is dropped once the watermark has passed it.
+    expiry time per key and is dropped once the watermark has passed it. Requests
+    that come later than ``watermark`` behind the latest are the only ones dropped;
+    a request before the last expiry is a hit, whatever the order of arrival.
 
     Expiries chain, so one key is one task's work; it needs the times only, eight
     bytes per request of the key in the micro-batch, and skips from expiry to

@@ -36,15 +36,16 @@ def index_of(spark):
     return BatchTable(spark, scratch_path(spark, "index"), EMBEDDING, partition_by="category")
 
 
-def test_pages(spark, monkeypatch):
+def test_pages(spark):
     ids = [(i * 7 if i < 900 else 10**15 + i,) for i in range(1000)]
     rows = spark.createDataFrame(ids, "id bigint")
-    for limit in (50_000, 100, 0):
-        monkeypatch.setattr(A, "SHALLOW_ROWS", limit)
-        monkeypatch.setattr(A, "ID_BANDS", 16)
-        for page in (0, 2, 9, 17, 19, 20):
-            got = [r.id for r in A.page_of(rows, page, 50).collect()]
-            assert got == sorted(i for i, in ids)[page * 50 : page * 50 + 50], (limit, page)
+    for page in (0, 2, 9, 17, 19, 20):
+        got = [r.id for r in A.page_of(rows, page, 50).collect()]
+        assert got == sorted(i for i, in ids)[page * 50 : page * 50 + 50], page
+    keys = [None] * 3 + [f"k{i:03}" for i in range(20)]
+    named = spark.createDataFrame([(k,) for k in keys], "id string").repartition(4)
+    for page in range(6):
+        assert [r.id for r in A.page_of(named, page, 5).collect()] == keys[page * 5 : page * 5 + 5], page
     for page, size in ((-1, 10), (0, 0), (0, 201)):
         with pytest.raises(ValueError):
             A.page_of(rows, page, size)
@@ -113,8 +114,12 @@ def test_upsert_and_delete(spark):
 def test_index_twice_adds_nothing(spark):
     rows = spark.createDataFrame(EDGE_ARTICLES, ARTICLE_FIELDS)
     stored = index_of(spark)
-    first = indexing.index_batch(rows, stored, at(T0))
-    assert stats.tally(first).first().asDict() == {"indexed": 5, "skipped": 2, "already_indexed": 0, "no_title": 2}
+    bad = scratch_path(spark, "quarantine")
+    first = indexing.index_batch(rows, stored, at(T0), quarantine=bad)
+    assert stats.tally(first).first().asDict() == {
+        "indexed": 4, "skipped": 2, "already_indexed": 0, "no_title": 2, "invalid": 1
+    }
+    assert [r.violations for r in spark.read.parquet(bad).collect()] == [["category_too_long"]]
     got = {r.news_id: r for r in stored.read().collect()}
     assert set(got) == {1, 4, 5, 7} and got[4].category == got[5].category == "UNKNOWN" and got[7].title == "Seven"
     indexing.index_batch(rows, stored, at(T1))
