@@ -19,6 +19,8 @@ A null text counts as empty. Rows repeated as a whole are all returned.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from newsloom.functions.columns import with_evaluated
 from newsloom.llm.common import text_or_empty
 
-WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+# Every ASCII character but digits and letters stands between words.
+GAPS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 THRESHOLD = 0.9
 
@@ -54,12 +56,14 @@ TEMPLATES = (
 )
 
 
-def lowered(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+def spaced(text: Column, keep_lines: bool = False) -> Column:
+    """The text with A-Z lower-cased and a blank for whatever stands between words (line ends may stay)."""
+    gaps = GAPS.replace("\n", "") if keep_lines else GAPS
+    return F.translate(text, UPPER + gaps, LOWER + " " * len(gaps))
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+def words(blanked: Column) -> Column:
+    return F.array_remove(F.split(blanked, " "), "")
 
 
 def _literals(values: list[str]) -> Column:
@@ -75,13 +79,13 @@ def template_rows(spark: SparkSession, templates: tuple[tuple[str, str], ...]) -
     return (
         spark.range(1)
         .select(F.explode(F.array(*rows)).alias("t"))
-        .select("t.template", "t.label", F.array_distinct(words(lowered(F.col("t.notice")))).alias("tokens"))
+        .select("t.template", "t.label", F.array_distinct(words(spaced(F.col("t.notice")))).alias("tokens"))
     )
 
 
 def token_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
     """The template words, from the rarest in the corpus to the commonest; each document counts once."""
-    held = F.explode(F.array_intersect(words(lowered(text_or_empty())), _literals(vocabulary)))
+    held = F.explode(F.array_intersect(words(spaced(text_or_empty())), _literals(vocabulary)))
     counted = {r["token"]: r["n"] for r in docs.select(held.alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
     return sorted(vocabulary, key=lambda w: (counted.get(w, 0), w))
 
@@ -108,10 +112,16 @@ def block_matches(
     index = sets.select("*", F.posexplode("wanted").alias("at", "token")).where("at <= size - need")
     first = sorted({r["token"] for r in index.select("token").collect()})
 
-    lines = docs.select(*[c.alias(n) for n, c in keys.items()], F.split(lowered(text_or_empty()), "\n").alias("_lines"))
+    # A text or line without any of the first words as a substring has no match and need not be cut into words.
+    def may(text: Column) -> Column:
+        return reduce(or_, [text.contains(order[i]) for i in first])
+
+    texts = docs.select(*[c.alias(n) for n, c in keys.items()], text_or_empty().alias("_whole"))
+    texts = with_evaluated(texts, "_spaced", spaced(F.col("_whole"), keep_lines=True)).drop("_whole")
+    lines = texts.where(may(F.col("_spaced"))).select(*keys, F.split("_spaced", "\n").alias("_lines"))
     blocks = lines.select(*keys, F.posexplode("_lines").alias("block", "line"))
     blocks = with_evaluated(
-        blocks.where(F.col("line") != ""),
+        blocks.where(may(F.col("line"))),
         "held",
         by_rank(F.array_intersect(words(F.col("line")), _literals(order))),
     ).drop("line")
@@ -143,14 +153,11 @@ def _places_of(phrase: str, label: str, tokens: Column) -> Column:
     return F.transform(found, lambda i: F.struct(F.lit(label).alias("label"), i.cast("long").alias("place")))
 
 
-def phrase_places(text: Column, tokens: Column) -> Column:
-    """Array of (label, place) of the phrases' places; only texts that a pattern finds are walked through."""
-    may = F.lit(False)
-    for phrase in PHRASES:
-        may = may | text.rlike(phrase.replace(" ", GAP))
+def phrase_places(tokens: Column) -> Column:
+    """Array of (label, place) of the phrases' places; only texts with the word that ends all phrases are walked through."""
     none = F.array().cast("array<struct<label:string,place:bigint>>")
     found = F.concat(*[_places_of(phrase, label, tokens) for phrase, label in PHRASES.items()])
-    return F.when(may & (F.size(tokens) > 0), found).otherwise(none)
+    return F.when(F.array_contains(tokens, "license"), found).otherwise(none)
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -165,10 +172,10 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
         .groupBy("_doc", "_text")
         .agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
     )
-    rows = docs.select("doc_id", lowered(text).alias("_lower"), F.md5(text).alias("_key"))
-    rows = with_evaluated(rows, "_words", words(F.col("_lower")))
-    rows = rows.select("doc_id", "_key", F.size("_words").cast("long").alias("n_words"), "_lower", "_words")
-    rows = with_evaluated(rows, "_places", phrase_places(F.col("_lower"), F.col("_words"))).drop("_lower", "_words")
+    rows = docs.select("doc_id", spaced(text).alias("_spaced"), F.md5(text).alias("_key"))
+    rows = with_evaluated(rows, "_words", words(F.col("_spaced")))
+    rows = rows.select("doc_id", "_key", F.size("_words").cast("long").alias("n_words"), "_words")
+    rows = with_evaluated(rows, "_places", phrase_places(F.col("_words"))).drop("_words")
     place = F.transform("_places", lambda p: p["place"])
     base = F.array_distinct(F.transform("_places", lambda p: p["label"]))
     nothing = F.array().cast("array<string>")
