@@ -33,11 +33,12 @@ def with_sentences(docs: DataFrame) -> DataFrame:
 def split_documents(docs: DataFrame) -> DataFrame:
     """:func:`with_sentences`, with each document placed by its id.
 
-    The null filter is one Spark would add to some users of the result and not to
-    others; stating it keeps the exchange identical, so that it is reused.
+    The text is split below the exchange, which carries the sentences, so users
+    that share the exchange share the splitting. The null filter is one Spark
+    would add to some users of the result and not to others; stating it keeps the
+    exchange identical, so that it is reused.
     """
-    placed = docs.select("doc_id", "text").where("doc_id is not null").repartition("doc_id")
-    return with_sentences(placed)
+    return with_sentences(docs.where("doc_id is not null")).drop("cleaned").repartition("doc_id")
 
 
 def explode_sentences(split: DataFrame) -> DataFrame:

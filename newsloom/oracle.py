@@ -299,7 +299,7 @@ FROM best JOIN units a USING (doc_id, idx) JOIN units b ON b.doc_id = a.doc_id A
     "position_summary": f"WITH {SPLIT_DOCS} SELECT doc_id, {lead(0.3)} AS summary FROM split_docs",
     "tfidf_summary": summary(TFIDF, "DESC"),
     "embedding_summary": summary(hashed(), "ASC"),
-    "second_embedder_summary": summary(hashed(96, "b:"), "ASC"),
+    "second_embedder_summary": summary(hashed(96, "b:"), "DESC"),
     "short_documents": f"WITH {SPLIT_DOCS} SELECT doc_id, c AS cleaned, c AS summary FROM split_docs WHERE len(ss) <= 2",
     "row_plugin_summary": f"""SELECT doc_id, len(list_filter(regexp_split_to_array(text, '{SPACE}'), lambda w: w <> ''))::VARCHAR AS summary FROM documents""",
     "two_summaries": f"""WITH {RESULTS}, {LEFT_OUT}, {SPLIT_DOCS}, {hashed()}, {CENTRALITY}, {ranks('ASC')}, {picked(0.3)}

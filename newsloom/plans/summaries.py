@@ -44,11 +44,14 @@ def tfidf_summary(docs: DataFrame, ratio: float = DEFAULT_RATIO) -> DataFrame:
 
 
 def embedding_summary(
-    docs: DataFrame, ratio: float = DEFAULT_RATIO, embedder: Embedder | None = None
+    docs: DataFrame,
+    ratio: float = DEFAULT_RATIO,
+    embedder: Embedder | None = None,
+    ties: str = C.LOWER_INDEX_FIRST,
 ) -> DataFrame:
     split = C.split_documents(docs)
     embedded = C.embed_sentences(C.explode_sentences(split), embedder or get_embedder())
-    return C.pick_top(split, C.dense_centrality(embedded), ratio)
+    return C.pick_top(split, C.dense_centrality(embedded), ratio, ties)
 
 
 def row_summarizer(name: str, load: Callable[[], Callable[[str, float], str]]) -> Summarizer:
@@ -145,7 +148,7 @@ def get_summarizer(name: str) -> Summarizer:
     return _summarizers[name]
 
 
-register_summarizer("embedding-b", partial(embedding_summary, embedder=get_embedder("hashed-b")))
+register_summarizer("embedding-b", partial(embedding_summary, embedder=get_embedder("hashed-b"), ties=C.HIGHER_INDEX_FIRST))
 
 
 def summary_requests(requests: DataFrame, results: DataFrame) -> DataFrame:
@@ -183,7 +186,8 @@ def summarize_misses(
     statused = found.withColumn("status", status)
     docs = statused.where("status = 'ok'").select(F.col("news_id").alias("doc_id"), "text")
 
-    # Every branch below starts from this placement by document, so none of them shuffles again.
+    # The extractive branches start from this placement by document and add no shuffle of their own;
+    # the generator reads the cleaned texts and is joined.
     split = C.split_documents(docs)
     fallback = split.select(
         "doc_id",

@@ -91,6 +91,16 @@ def test_batch_table(spark):
     assert len(stored.committed()) == 1 and stored.read().count() == 2
     assert not stored.append(row(6), "a")
 
+    late = stored._name("delta", "late")
+    stored.compact()
+    stored._write(row(7), late)
+    assert sorted(r.news_id for r in stored.read().collect()) == [3, 5, 7] and stored.has_batch("late")
+    folders = stored.committed()
+    kept = stored.read(folders).where("news_id <> 3")
+    stored.append(row(8))
+    stored.replace(kept, folders)
+    assert sorted(r.news_id for r in stored.read().collect()) == [5, 7, 8]
+
 
 def result(spark, rows):
     return spark.createDataFrame(rows, RESULT)
