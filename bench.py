@@ -16,6 +16,7 @@ from newsloom.workloads import QUERIES
 
 HEADLINE = [
     "top_k_all",
+    "top_k_all_by_lists",
     "top_k_same_category",
     "top_k_approximate",
     "similar_to_one",

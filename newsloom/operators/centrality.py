@@ -45,10 +45,12 @@ def explode_sentences(split: DataFrame) -> DataFrame:
     """(doc_id, n_sentences, idx, sentence).
 
     The outer form, because Spark would otherwise push a filter on the size of
-    the array, regular expressions and all, down below the exchange.
+    the array, regular expressions and all, down below the exchange. The filter
+    reads ``n_sentences`` so that every user asks the exchange for the same
+    columns, and is wrapped so that no null check on it is moved below.
     """
     exploded = split.select("doc_id", "n_sentences", F.posexplode_outer("sentences").alias("idx", "sentence"))
-    return exploded.where("idx is not null")
+    return exploded.where(F.coalesce(F.col("idx") < F.col("n_sentences"), F.lit(False)))
 
 
 def _by(*keys: str) -> Window:

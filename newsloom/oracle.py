@@ -6,10 +6,10 @@ used by the library.
 
 from __future__ import annotations
 
-from newsloom.functions.text import SUMMARY_LETTERS
-from newsloom.plans.audio import DEFAULT_VOICES
-
 EARLIER, AS_OF = "TIMESTAMP '2024-01-01 00:00:00'", "TIMESTAMP '2024-01-16 00:00:00'"
+# The letters of a usable summary; the default voices.
+LETTERS = "a-záàảãạăắằẳẵặâấầẩẫậéèẻẽẹêếềểễệíìỉĩịóòỏõọôốồổỗộơớờởỡợúùủũụưứừửữựýỳỷỹỵđ"
+VOICES = "('Doan', 'Giọng nữ miền Nam'), ('Binh', 'Giọng nam miền Bắc')"
 SPACE = r"[\s\p{Z}\x0b\x85\x1c-\x1f]+"
 
 
@@ -161,7 +161,6 @@ SELECT method, count(*) AS n_docs, round(avg(length(summary)), 4) AS avg_summary
 FROM made JOIN documents USING (doc_id) GROUP BY method"""
 
 
-VOICES = ", ".join(f"('{v}', '{d}')" for v, d in DEFAULT_VOICES)
 FILE_NAME = "'tts_20240116_000000_' || substr(md5(content), 1, 8) || '.wav'"
 
 
@@ -213,9 +212,9 @@ SELECT doc_id, array_to_string(list_filter([
     "content_status": """SELECT doc_id AS id, CASE WHEN lang IN ('fr', 'de') OR text IS NULL OR text = '' THEN 'no_content' ELSE 'ok' END AS status
 FROM documents""",
     "request_bounds": f"WITH {LOG} SELECT event_id, k, CASE WHEN k BETWEEN 1 AND 50 THEN 'ok' ELSE 'invalid' END AS status FROM log",
-    "usable_summaries": f"""SELECT doc_id, regexp_matches(lower(text), '[{SUMMARY_LETTERS}]') AS usable,
-  regexp_matches(lower(regexp_replace(text, '[a-z]', '', 'g')), '[{SUMMARY_LETTERS}]') AS usable_capitals,
-  regexp_matches(regexp_replace(text, '[a-z]', '', 'g'), '[{SUMMARY_LETTERS}]') AS usable_capitals_exact FROM documents""",
+    "usable_summaries": f"""SELECT doc_id, regexp_matches(lower(text), '[{LETTERS}]') AS usable,
+  regexp_matches(lower(regexp_replace(text, '[a-z]', '', 'g')), '[{LETTERS}]') AS usable_capitals,
+  regexp_matches(regexp_replace(text, '[a-z]', '', 'g'), '[{LETTERS}]') AS usable_capitals_exact FROM documents""",
     "clean_text": f"SELECT doc_id, {clean('text')} AS cleaned FROM documents",
     "sentences": rf"""WITH parts AS (SELECT doc_id, list_filter(list_transform(
   string_split(regexp_replace(text, '([.!?]){SPACE}', '\1' || chr(1), 'g'), chr(1)),
@@ -269,6 +268,7 @@ WHERE NOT (voice_id = 'Binh' AND d.doc_id IN (SELECT doc_id FROM labels WHERE to
     "similar_to_one_in_category": top_k("a.news_id = 7 AND b.category = '3'", 50).replace("SELECT source_news_id, rank", "SELECT rank"),
     "top_k_all": top_k("true", 10),
     "top_k_all_by_lists": top_k("true", 10),
+    "top_k_approximate_all_lists": top_k("true", 10),
     "top_k_same_category": top_k("a.category = b.category", 50),
     "top_k_other_category": top_k("((a.category::INT + 3) % 10)::VARCHAR = b.category", 50),
     "position_ranking": f"""WITH {SPLIT_DOCS}, scored AS (SELECT *, round(1 - idx / n, 9) AS score FROM sent), {ranks('ASC')}
@@ -336,6 +336,9 @@ SELECT news_id, k::BIGINT AS k, category_key, items, {shown('expires_at')} AS ex
 UNION ALL
 SELECT news_id, k::BIGINT, category_key, (news_id + 1)::VARCHAR, {shown('expires_at')} FROM cache ANTI JOIN fresh USING (news_id, k, category_key)""",
     "cache_invalidation": f"WITH {CACHE} SELECT news_id, k::BIGINT AS k, category_key FROM cache WHERE category_key NOT IN ('0', '1', '2', 'all')",
+    "cache_after_indexing": f"""WITH {CACHE}, {ARTICLES}
+SELECT news_id, k::BIGINT AS k, category_key FROM cache WHERE category_key <> 'all' AND category_key NOT IN
+  (SELECT substr(category, 4) FROM articles WHERE category IN ('src1', 'src2', 'src3') AND title <> '' AND id NOT IN (SELECT doc_id FROM labels))""",
     "links_to_refresh": f"""WITH signed AS (SELECT user_id * 3 AS news_id, max(ts) FILTER (ts <= {AS_OF}) AS signed_at FROM events GROUP BY 1)
 SELECT doc_id AS news_id, 'Binh' AS voice_id, 'audio/Binh/' || doc_id AS s3_key FROM labels LEFT JOIN signed ON news_id = doc_id
 WHERE toxic = 1 AND NOT coalesce(signed_at + INTERVAL 86340 SECOND > {AS_OF}, false)""",

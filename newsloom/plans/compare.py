@@ -7,16 +7,21 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.plans.summaries import get_summarizer
+from newsloom.operators import centrality as C
+from newsloom.plans.summaries import summarize_split
 from newsloom.schemas import COMPARE_RATIO
 
 
 def compare_methods(docs: DataFrame, methods: list[str], ratio: float = COMPARE_RATIO) -> DataFrame:
-    """(method, n_docs, avg_summary_chars, avg_compression), compression being summary over text length."""
+    """(method, n_docs, avg_summary_chars, avg_compression), compression being summary over text length.
+
+    The built-in methods share one exchange, below which the texts are split once.
+    """
+    split = C.split_documents(docs)
     lengths = docs.select("doc_id", F.length("text").alias("text_chars"))
 
     def made(method: str) -> DataFrame:
-        summary = get_summarizer(method)(docs, ratio)
+        summary = summarize_split(method, docs, split, ratio)
         return summary.select("doc_id", F.lit(method).alias("method"), F.length("summary").alias("chars"))
 
     every = reduce(DataFrame.unionByName, [made(m) for m in methods]).join(lengths, "doc_id")

@@ -37,8 +37,17 @@ def position_summary(docs: DataFrame, ratio: float = DEFAULT_RATIO) -> DataFrame
     return split.select("doc_id", position_column(F.col("sentences"), ratio).alias("summary"))
 
 
+def position_summary_of_split(split: DataFrame, ratio: float = DEFAULT_RATIO) -> DataFrame:
+    """:func:`position_summary` of documents already placed; it reads the columns that the other methods read."""
+    lead = F.slice("sentences", 1, C.n_kept(F.col("n_sentences"), ratio))
+    return split.select("doc_id", F.array_join(lead, " ").alias("summary"))
+
+
 def tfidf_summary(docs: DataFrame, ratio: float = DEFAULT_RATIO) -> DataFrame:
-    split = C.split_documents(docs)
+    return tfidf_summary_of_split(C.split_documents(docs), ratio)
+
+
+def tfidf_summary_of_split(split: DataFrame, ratio: float = DEFAULT_RATIO) -> DataFrame:
     scored = C.sparse_centrality(C.tfidf_weights(C.explode_sentences(split)))
     return C.pick_top(split, scored, ratio, ties=C.HIGHER_INDEX_FIRST)
 
@@ -49,7 +58,15 @@ def embedding_summary(
     embedder: Embedder | None = None,
     ties: str = C.LOWER_INDEX_FIRST,
 ) -> DataFrame:
-    split = C.split_documents(docs)
+    return embedding_summary_of_split(C.split_documents(docs), ratio, embedder, ties)
+
+
+def embedding_summary_of_split(
+    split: DataFrame,
+    ratio: float = DEFAULT_RATIO,
+    embedder: Embedder | None = None,
+    ties: str = C.LOWER_INDEX_FIRST,
+) -> DataFrame:
     embedded = C.embed_sentences(C.explode_sentences(split), embedder or get_embedder())
     return C.pick_top(split, C.dense_centrality(embedded), ratio, ties)
 
@@ -136,10 +153,17 @@ _summarizers: dict[str, Summarizer] = {
     "tfidf": tfidf_summary,
     "embedding": embedding_summary,
 }
+# The same from the result of ``centrality.split_documents``, so that several methods can share it.
+_of_split: dict[str, Summarizer] = {
+    "position": position_summary_of_split,
+    "tfidf": tfidf_summary_of_split,
+    "embedding": embedding_summary_of_split,
+}
 
 
 def register_summarizer(name: str, summarizer: Summarizer) -> None:
     _summarizers[name] = summarizer
+    _of_split.pop(name, None)
 
 
 def get_summarizer(name: str) -> Summarizer:
@@ -148,6 +172,13 @@ def get_summarizer(name: str) -> Summarizer:
     return _summarizers[name]
 
 
+def summarize_split(name: str, docs: DataFrame, split: DataFrame, ratio: float) -> DataFrame:
+    """The named method on the shared ``split`` where it can start from it, else on ``docs``."""
+    if name in _of_split:
+        return _of_split[name](split, ratio)
+    return get_summarizer(name)(docs, ratio)
+
+
 register_summarizer("embedding-b", partial(embedding_summary, embedder=get_embedder("hashed-b"), ties=C.HIGHER_INDEX_FIRST))
 
 

@@ -21,7 +21,7 @@ from newsloom.operators import similarity as S
 from newsloom.operators.embedding import get_embedder
 from newsloom.plans import audio, indexing, recommend, summaries
 from newsloom.plans.compare import compare_methods
-from newsloom.schemas import AUDIO_FILE, EMBEDDING, RECOMMENDED, RESULT
+from newsloom.schemas import AUDIO_FILE, EMBEDDING, RESULT
 from newsloom.session import scratch_path
 from newsloom.sources import articles as A
 from newsloom.sources.batches import BatchTable
@@ -457,6 +457,12 @@ def top_k_approximate(spark, sf_dir):
     return ranked(S.top_k_approximate(S.all_requests(rows), rows, centres, nprobe=12))
 
 
+def top_k_approximate_all_lists(spark, sf_dir):
+    """Visiting every list leaves nothing out, so this is the exact result."""
+    rows = index(spark, sf_dir)
+    return ranked(S.top_k_approximate(S.all_requests(rows), rows, S.train_lists(rows, n_lists=32), nprobe=32))
+
+
 def approximate_recall(spark, sf_dir):
     rows = index(spark, sf_dir)
     return S.recall(top_k_approximate(spark, sf_dir), S.top_k(S.all_requests(rows), rows))
@@ -650,6 +656,15 @@ def cache_invalidation(spark, sf_dir):
     return kept.select("news_id", F.col("k").cast("bigint").alias("k"), "category_key")
 
 
+def cache_after_indexing(spark, sf_dir):
+    """What stays cached after new articles of three sources, each named like a cached category, were indexed."""
+    given = articles(spark, sf_dir).where("category in ('src1', 'src2', 'src3')")
+    arriving = given.withColumn("category", F.substring("category", 4, 10))
+    statused = indexing.index_batch(arriving, seeded_index(spark, sf_dir), at(AS_OF))
+    kept = recommend.invalidate(cache(spark, sf_dir), statused.where("status = 'indexed'").select("category"))
+    return kept.select("news_id", F.col("k").cast("bigint").alias("k"), "category_key")
+
+
 def links_to_refresh(spark, sf_dir):
     """Stored artifacts against links signed at the times of the event log."""
     signed = table(spark, sf_dir, "events").groupBy(
@@ -683,12 +698,14 @@ QUERIES: dict[str, Query] = {
         summary_cache, audio_cache, audio_work_list, missing_voices,
         similar_to_one, similar_to_one_in_category, top_k_all, top_k_all_by_lists,
         top_k_same_category, top_k_other_category, top_k_approximate, approximate_recall,
+        top_k_approximate_all_lists,
         position_ranking, tfidf_ranking, embedding_ranking,
         total_indexed, count_by_category, index_stats, index_tally, collected_audio,
         tfidf_weights, similarity_rows, compared_methods,
         position_summary, tfidf_summary, embedding_summary, second_embedder_summary,
         short_documents, generated_summary, row_plugin_summary, two_summaries, stored_summaries,
         index_snapshot, index_from_stream, cache_lookup, cache_write_back, cache_invalidation,
+        cache_after_indexing,
         links_to_refresh, computed_once_stream,
     )
 }

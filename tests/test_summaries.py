@@ -105,6 +105,19 @@ def test_tfidf_needs_one_exchange(docs, plan):
     assert text.count("Exchange hashpartitioning") == 1 and "ArrowEval" not in text
 
 
+def test_methods_split_once(spark, docs, plan):
+    """All users of the split read one exchange; the comparison adds the scan of the lengths."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        alone = [plan(f(docs)) for f in (summaries.tfidf_summary, summaries.embedding_summary)]
+        together = plan(compare_methods(docs, ["position", "tfidf", "embedding"]))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    for text, reused in [(alone[0], 1), (alone[1], 1), (together, 4)]:
+        assert text.count("ReusedExchange") == reused
+        assert text.count("REPARTITION_BY_COL") == 1 + reused
+
+
 def test_position_summary_does_not_shuffle(docs, plan):
     assert "Exchange" not in plan(summaries.position_summary(docs))
 
