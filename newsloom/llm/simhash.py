@@ -148,11 +148,13 @@ def links(nodes: DataFrame) -> DataFrame:
     return asked.join(filed, (F.col("key") == F.col("asked")) & near).select("a", "b")
 
 
-def labelled(docs: DataFrame, keys: dict) -> DataFrame:
-    """The key columns, ``fp`` and ``component_id`` (least reachable doc_id) of every row."""
-    rows = written(fingerprints(docs, {**keys, "_id": F.col("doc_id")}), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min("_id").alias("least_id")), "fingerprint-nodes")
-    groups = components(links(nodes)).withColumnRenamed("node", "fp")
+def nodes_of(rows: DataFrame) -> DataFrame:
+    return written(rows.groupBy("fp").agg(F.min("_id").alias("least_id")), "fingerprint-nodes")
+
+
+def grouped(rows: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` (with _id and ``fp``) without _id, with the component of their fp by the links ``found``, and its least _id."""
+    groups = components(found).withColumnRenamed("node", "fp")
     joined = nodes.join(groups, "fp", "left").select(
         "fp", "least_id", F.coalesce("component", "fp").alias("component")
     )
@@ -161,6 +163,13 @@ def labelled(docs: DataFrame, keys: dict) -> DataFrame:
     return rows.join(labels, "fp").drop("_id")
 
 
+def labelled(docs: DataFrame, keys: dict) -> DataFrame:
+    """The key columns, ``fp`` and ``component_id`` (least reachable doc_id) of every row."""
+    rows = written(fingerprints(docs, {**keys, "_id": F.col("doc_id")}), "fingerprints")
+    nodes = nodes_of(rows)
+    return grouped(rows, nodes, links(nodes))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id."""
     return labelled(docs, {"doc_id": F.col("doc_id")}).select(
@@ -173,7 +182,11 @@ def one_per_group(docs: DataFrame) -> DataFrame:
 
     Of repeated rows one stays.
     """
-    found = labelled(docs, {"_row": row_key(docs), "_doc": F.col("doc_id")})
+    return kept_of(docs, labelled(docs, {"_row": row_key(docs), "_doc": F.col("doc_id")}))
+
+
+def kept_of(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay by their labels (_row, _doc, component, component_id)."""
     stays = found.where(F.col("_doc").eqNullSafe(F.col("component_id"))).groupBy("component").agg(
         F.min("_row").alias("_row")
     )

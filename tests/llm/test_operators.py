@@ -17,6 +17,7 @@ from newsloom.llm import (
     masked_lm,
     mixing,
     piece_codec,
+    shingle_join,
     simhash,
     toxicity,
 )
@@ -404,3 +405,36 @@ def test_edits_equal_full_counts(spark, docs, nothing):
     after = edit_counts.recounted(edit_counts.attach(first, more), keys, ranks, F.col("edits")).collect()
     for r in after:
         assert r.edited_tokens == len(counter.encoding.encode_ordinary(r.edited_text)) and r.edited_chars == len(r.edited_text)
+
+
+# --- shingle join ---------------------------------------------------------------
+
+
+def test_shingle_groups_equal_brute_force(spark):
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    passage = rnd.choices(words, k=60)
+    texts = []
+    for g in range(12):
+        base = rnd.choices(words, k=rnd.choice((8, 40, 160, 200))) + (passage if g % 3 == 0 else [])
+        for k in range(8 if g else 40):
+            copy = list(base)
+            for _ in range(rnd.randrange(1 + len(base) // 20)):
+                copy[rnd.randrange(len(copy))] = rnd.choice(words)
+            texts.append(" ".join(copy))
+    texts += ["", " ", "one two", "One  two", "one three"]
+    sets = [set(shingle_join.shingle_set(t.encode()).tolist()) for t in texts]
+    group, missed = list(range(len(texts))), 0
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+                bits = (simhash.fingerprint(texts[a].encode()) ^ simhash.fingerprint(texts[b].encode())).bit_count()
+                missed += bits > simhash.MAX_BITS
+    assert missed > 100  # what three bits do not see
+    table = spark.createDataFrame(rows_of(texts), DOCS)
+    got = {r.doc_id: r.component_id for r in shingle_join.labelled(table, {"doc_id": F.col("doc_id")}).collect()}
+    first = min(got)
+    assert got == {first + i: first + g for i, g in enumerate(group)}
+    assert sorted(r.doc_id - first for r in shingle_join.one_per_group(table).collect()) == sorted(set(group))
