@@ -2,7 +2,8 @@
 
 A word enters as the sum of two inputs: a vector of its own, if enough training
 texts hold it, and the vectors of its character n-grams (with its ends marked), so
-that unseen forms of a word are known by their parts. A window of ``WINDOW`` words
+that unseen forms of a word are known by their parts. Runs longer than ``PIECE``
+characters, as of scripts without blanks, are read as overlapping pieces. A window of ``WINDOW`` words
 is read in both directions by gated recurrent units; attention over the states
 gives one vector and a logit. Windows start every ``STEP`` words, so that they
 overlap, and cover the whole text; the document's logit is that of its worst
@@ -40,6 +41,7 @@ from newsloom.llm.common import map_batches, text_or_empty
 WINDOW, STEP = 24, 12
 SIZE, HIDDEN = 16, 8
 NGRAMS, BUCKETS = (3, 4, 5, 6), 1 << 15
+PIECE, OVERLAP = 60, 12
 LEAST_DOCS = 3
 PER_CLASS = 1000
 FIRST_WINDOWS = 12_000  # per class, in the first phase
@@ -51,11 +53,15 @@ WORD = re.compile(r"[^\W_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """The words of a text; a longer one than ``PIECE`` as overlapping pieces, each a word of its own."""
+    found = WORD.findall(text.lower())
+    if all(len(w) <= PIECE for w in found):
+        return found
+    return [w[i : i + PIECE] for w in found for i in range(0, max(1, len(w) - OVERLAP), PIECE - OVERLAP)]
 
 
 def ngrams(word: str) -> list[int]:
-    marked = f"^{word[:60]}$".encode()
+    marked = f"^{word}$".encode()
     return [zlib.crc32(marked[i : i + n]) % BUCKETS for n in NGRAMS for i in range(len(marked) - n + 1)]
 
 

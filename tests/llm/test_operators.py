@@ -317,6 +317,20 @@ def test_toxicity_held_out(spark, docs, nothing):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def test_long_words_are_read_to_their_end():
+    for n in (1, 59, 60, 61, 108, 109, 500):
+        word = "".join(chr(0x4E00 + i) for i in range(n))
+        pieces = toxicity.words_of(word)
+        assert pieces[0] == word[: toxicity.PIECE] and len(pieces[-1]) <= toxicity.PIECE
+        assert all(any(word[i : i + 3] in p for p in pieces) for i in range(n))
+    rnd = random.Random(9)
+    labels = [i % 2 for i in range(200)]
+    net = toxicity.train([bag(rnd, bad) for bad in labels], labels)
+    ends = ["x" * 90 + "".join(bag(rnd, bad).split()) for bad in (0, 1)]
+    got = toxicity.Scorer(net).scores(ends)
+    assert got[0] != got[1]
+
+
 def test_windows_cover_texts():
     for n in range(0, 120):
         w = toxicity.windows_of(np.arange(n))
