@@ -8,11 +8,11 @@ token within its class: the ``SINGLE`` commonest places are classes of their own
 the others share the rest.
 
 Counts cover every token of every document. Training also passes over every
-document: each task fits the network to every ``EVERY``-th position of its rows,
-from common first weights, and the weights are averaged by the positions seen. So
-what is gathered grows with the corpus, while counts and weights themselves have
-fixed sizes. Sums are taken in the order of the partitions, so a rerun over the
-same files gives the same scores.
+document: each task fits the network to every position of its rows, from common
+first weights, and the weights are averaged by the positions seen. So what is
+gathered grows with the corpus, while counts and weights themselves have fixed
+sizes. Sums are taken in the order of the partitions, so a rerun over the same
+files gives the same scores.
 
 A null text counts as empty and scores 0 over 0 tokens. Rows repeated as a whole
 are scored alike. Texts are scored whole.
@@ -36,7 +36,7 @@ VOCABULARY = 1 << 16
 CLASSES, SINGLE = 128, 64
 INPUTS, SIZE, HIDDEN = 4096, 16, 32
 SIDE = 2
-EVERY, BATCH, RATE = 8, 256, 0.01
+BATCH, RATE = 2048, 0.01
 CHUNK = 2048
 CACHED_WORDS = 300_000
 AT_ONCE = 1 << 14
@@ -207,8 +207,8 @@ def fit(docs: DataFrame, statistics: Statistics) -> dict[str, np.ndarray]:
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 tokens, around = contexts([reader.places(t.as_py()) for t in batch["_text"].slice(i, 64)])
-                near.append(around[EVERY // 2 :: EVERY])
-                wanted.append(classes[tokens[EVERY // 2 :: EVERY]])
+                near.append(around)
+                wanted.append(classes[tokens])
                 held += len(wanted[-1])
                 if held >= 32 * BATCH:
                     _learn(trainer, np.concatenate(near), np.concatenate(wanted))

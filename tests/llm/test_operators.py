@@ -340,6 +340,17 @@ def test_windows_cover_texts():
 # --- language model -------------------------------------------------------------
 
 
+def test_masked_lm_trains_on_every_position(spark):
+    texts = ["one two three"] * 3 + ["four", "", "five six"]
+    table = spark.createDataFrame(rows_of(texts), DOCS).coalesce(1)
+    statistics = masked_lm.Statistics(masked_lm.corpus_counts(table))
+    first, weights = masked_lm.first_weights(statistics.prior), masked_lm.fit(table, statistics)
+    inputs = {w: int(masked_lm.Reader().places(w)[0]) % masked_lm.INPUTS for w in "one two three five six".split()}
+    for row in inputs.values():  # each is a neighbour of a position
+        assert (weights["embed"][row] != first["embed"][row]).any()
+    assert (weights["out"] != first["out"]).all(axis=0).any()
+
+
 def test_masked_lm_uses_both_sides(spark, docs, nothing):
     rnd = random.Random(6)
     def text(n):
