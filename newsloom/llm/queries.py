@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import ann_forest, edit_counts, exact_dedup, html_text, license_scan, masked_lm, mixing, piece_codec, simhash, toxicity
+from newsloom.llm import (
+    ann_forest,
+    byte_codec,
+    edit_counts,
+    exact_dedup,
+    html_text,
+    lexical_tree,
+    license_scan,
+    masked_lm,
+    mixing,
+    piece_codec,
+    simhash,
+    toxicity,
+    whitening,
+)
 from newsloom.llm.common import table
 
 
@@ -60,6 +74,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_counts.counted(documents, {"doc_id": F.col("doc_id")}, edit_counts.read_ranks(), edits)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_tree.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    made = byte_codec.encoded(documents, {"doc_id": F.col("doc_id")}, byte_codec.read_ranks(), decode=True)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return made.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), {"vec_id": F.col("vec_id")}, "embedding")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -73,11 +102,17 @@ QUERIES = {
         op8_masked_lm,
         op9_sentencepiece,
         op10_token_counts,
+        op11_lexical_search,
+        op12_byte_bpe,
+        op13_whitening,
     )
 }
 
 _NOTICES = ", ".join(f"('{label}', '{notice}')" for label, notice in license_scan.TEMPLATES)
 
+_CAPITALS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
 ORACLE = {
     "op1_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
@@ -143,4 +178,26 @@ ORACLE = {
                     ELSE size * (floor(target / source_size * number + shift) - floor(target / source_size * (number - 1) + shift))
                END::BIGINT AS taken
         FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source""",
+    "op11_lexical_search": rf"""
+        WITH d AS (
+            SELECT doc_id, row_number() OVER () AS place, regexp_extract_all(translate(coalesce(text, ''), {_CAPITALS}), {_TERM}) AS words
+            FROM documents),
+        s AS (SELECT count(*) AS docs, sum(len(words))::BIGINT AS terms FROM d WHERE len(words) > 0),
+        q AS (
+            SELECT item, item_id, term, count(*) AS times
+            FROM (SELECT row_number() OVER () AS item, item_id,
+                         unnest(regexp_extract_all(translate(coalesce(text, ''), {_CAPITALS}), {_TERM})) AS term FROM benchmark)
+            GROUP BY ALL),
+        t AS (
+            SELECT place, doc_id, n, term, count(*) AS tf
+            FROM (SELECT place, doc_id, len(words)::BIGINT AS n, unnest(words) AS term FROM d) GROUP BY ALL),
+        f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+        w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM f, s),
+        scored AS (
+            SELECT item, item_id, place, doc_id,
+                   sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * docs) // terms)))))::BIGINT AS score
+            FROM q JOIN t USING (term) JOIN w USING (term), s GROUP BY ALL),
+        ranks AS (
+            SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST) AS number FROM scored WHERE score > 0)
+        SELECT item_id, number::INTEGER AS rank, doc_id, score FROM ranks WHERE number <= 20""",
 }
