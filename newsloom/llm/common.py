@@ -26,7 +26,11 @@ def written(rows: DataFrame, name: str) -> DataFrame:
 
 
 def saved(rows: DataFrame) -> DataFrame:
-    """An eager checkpoint in the shared folder, for small tables; Spark removes it once unused."""
+    """An eager checkpoint in the shared folder, for small tables.
+
+    Spark removes it once unused only where ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    is set; otherwise it stays in that folder.
+    """
     shared_dir(rows.sparkSession)
     return rows.checkpoint(eager=True)
 
@@ -44,5 +48,12 @@ def map_batches(
 
 
 def row_key(rows: DataFrame) -> Column:
-    """A hash of all columns of a row: joins decisions to rows even where ids repeat."""
-    return F.xxhash64(*[F.col(c) for c in rows.columns])
+    """128 bits of all columns of a row, nulls told apart: joins decisions to rows even where ids repeat."""
+    cells = [F.col(f"`{c}`") for c in rows.columns]
+    cells += [c.isNull() for c in cells]
+    return F.struct(F.xxhash64(*cells).alias("a"), F.xxhash64(F.lit("b"), *cells).alias("b"))
+
+
+def whole_rows(rows: DataFrame) -> DataFrame:
+    """(key, row): each row as one struct under its :func:`row_key`, so that no name can clash."""
+    return rows.select(row_key(rows).alias("key"), F.struct("*").alias("row"))

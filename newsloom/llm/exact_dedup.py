@@ -250,9 +250,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one per distinct text."""
-    groups = text_groups(docs).select(F.col("digest").alias("_kept_digest"), F.col("keep_id").alias("_kept_id"))
-    keyed = docs.withColumn("_text_digest", digest_of(text_or_empty()))
-    stays = (F.col("_text_digest") == F.col("_kept_digest")) & F.col("doc_id").eqNullSafe(F.col("_kept_id"))
-    return (
-        keyed.join(groups, stays, "left_semi").dropDuplicates(["doc_id", "_text_digest"]).select(*docs.columns)
-    )
+    groups = text_groups(docs).select(F.col("digest").alias("kept_digest"), F.col("keep_id").alias("kept_id"))
+    keyed = docs.select(digest_of(text_or_empty()).alias("digest"), F.struct("*").alias("row"))
+    stays = (F.col("digest") == F.col("kept_digest")) & F.col("row.doc_id").eqNullSafe(F.col("kept_id"))
+    return keyed.join(groups, stays, "left_semi").dropDuplicates(["digest"]).select("row.*")

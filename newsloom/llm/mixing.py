@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from newsloom.llm.common import BLANK_WORD, row_key, saved, written
+from newsloom.llm.common import BLANK_WORD, row_key, saved, whole_rows, written
 
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
@@ -116,10 +116,5 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     decided = (
         sampled(docs, {"_row": row_key(docs)}).groupBy("_row").agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
     )
-    return (
-        docs.withColumn("_own_row", row_key(docs))
-        .dropDuplicates(["_own_row"])
-        .join(decided, F.col("_own_row") == F.col("_row"))
-        .select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
-        .drop("_copy")
-    )
+    rows = whole_rows(docs).dropDuplicates(["key"]).join(decided, F.col("key") == F.col("_row"))
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy")).select("row.*")

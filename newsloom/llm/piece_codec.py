@@ -4,9 +4,11 @@ The model file is parsed as protobuf; its normaliser, blank marker, scores or
 merges and byte fallback are rebuilt as a tokenizers pipeline. Texts are cut
 where a blank marker begins a word, which changes nothing as long as no piece has
 a marker inside (checked at loading; otherwise texts stay whole). So each distinct
-word is encoded once per worker, in batches on the library's threads, and each is
-compared with what the SentencePiece library gives: that is the parity check, and
-where the two differ SentencePiece's ids count and ``parity`` is false.
+word is encoded and decoded once per worker, in batches on the library's threads,
+and each is compared with what the SentencePiece library gives: that is the parity
+check. The ids are the tokenizers library's; ``parity`` is false where a word's
+differ from SentencePiece's. A text decodes to its words' texts one after the
+other, as no byte sequence goes on behind a marker.
 
 A null text counts as empty and has no ids. Texts are processed whole. The
 vocabulary file is a parameter; its bytes travel to the tasks with the function.
@@ -136,13 +138,11 @@ class Codec:
             steps.append(normalizers.Prepend(MARK))
         self.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
         self.plain = model.prefix and not model.charsmap and not model.squeeze
-        end = [decoders.Strip(" ", 1, 0)] if model.prefix else []
-        self.words.decoder = decoders.Sequence(
-            [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *end]
-        )
+        self.words.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         self.cut = not any(MARK in text.lstrip(MARK) for text, _, _ in model.pieces)
         self.cache: dict[str, bytes] = {}
         self.differ: set[str] = set()
+        self.altered: dict[str, str] = {}  # words that do not decode to themselves, and what they decode to
         self.held = 0
 
     def normalized(self, text: str) -> str:
@@ -163,23 +163,37 @@ class Codec:
         ours = [x.ids for x in self.words.encode_batch_fast(new, add_special_tokens=False)]
         bare = [(w[1:] if self.model.prefix and w[:1] == MARK else w).replace(MARK, " ") for w in new]
         theirs = self.judge.encode(bare)
-        for word, a, b, asked in zip(new, ours, theirs, bare, strict=True):
+        back = self.words.decode_batch(ours, skip_special_tokens=False)
+        for word, a, b, asked, made in zip(new, ours, theirs, bare, back, strict=True):
             if a != b and asked:  # a lone marker is no text by itself, so there is nothing to compare
                 self.differ.add(word)
-                a = b
+            if made != word.replace(MARK, " "):
+                self.altered[word] = made
             self.cache[word] = array("i", a).tobytes()
             self.held += len(word) + WORD_COST
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
-        """Per text its ids and whether both libraries agree on all its words."""
+    def _without_prefix(self, text: str) -> str:
+        return text[1:] if self.model.prefix and text[:1] == " " else text
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool, bool]]:
+        """Per text its ids, whether both libraries agree on all its words, and whether the ids decode to the text."""
         words = [self.split(t) for t in texts]
         self._learn(words)
         cache = self.cache
-        ids = [np.frombuffer(b"".join([cache[w] for w in text]), np.int32) for text in words]
-        return [(x, not self.differ or self.differ.isdisjoint(text)) for x, text in zip(ids, words, strict=True)]
+        out = []
+        for given, text in zip(texts, words, strict=True):
+            ids = np.frombuffer(b"".join([cache[w] for w in text]), np.int32)
+            if self.altered and not self.altered.keys().isdisjoint(text):
+                back = "".join([self.altered[w] if w in self.altered else w.replace(MARK, " ") for w in text])
+            else:
+                back = "".join(text).replace(MARK, " ")
+            out.append((ids, not self.differ or self.differ.isdisjoint(text), self._without_prefix(back) == given))
+        return out
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
-        return self.words.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+        """The texts of whole lists of ids."""
+        made = self.words.decode_batch([list(map(int, x)) for x in ids], skip_special_tokens=False)
+        return [self._without_prefix(t) for t in made]
 
 
 # --- tables ---------------------------------------------------------------------
@@ -213,13 +227,12 @@ def encoded(docs: DataFrame, keys: dict[str, Column], model: bytes, threads: int
                 part = batch.slice(start, DOCS_AT_ONCE)
                 texts = part["_text"].to_pylist()
                 done = tool.encode(texts)
-                ids = [x for x, _ in done]
+                ids = [x for x, _, _ in done]
                 lengths = np.array([len(x) for x in ids], np.int64)
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(flat))
-                back = [a == b for a, b in zip(tool.decode(ids), texts, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [*[part[n] for n in names], lists, pa.array(lengths), pa.array(back), pa.array([p for _, p in done])],
+                    [*[part[n] for n in names], lists, pa.array(lengths), pa.array([b for _, _, b in done]), pa.array([p for _, p, _ in done])],
                     [*names, "ids", "n_tokens", "round_trip", "parity"],
                 )
 
@@ -237,7 +250,7 @@ def decoded(rows: DataFrame, keys: dict[str, Column], model: bytes, threads: int
         for batch in batches:
             for start in range(0, batch.num_rows, DOCS_AT_ONCE):
                 part = batch.slice(start, DOCS_AT_ONCE)
-                texts = tool.words.decode_batch(part["_ids"].to_pylist(), skip_special_tokens=False)
+                texts = tool.decode(part["_ids"].to_pylist())
                 yield pa.RecordBatch.from_arrays([*[part[n] for n in names], pa.array(texts, pa.string())], [*names, "text"])
 
     return map_batches(rows, decode, f"{kept}, text string")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import map_batches, row_key, text_or_empty, written
+from newsloom.llm.common import map_batches, row_key, text_or_empty, whole_rows, written
 from newsloom.llm.components import components
 
 MAX_BITS = 3
@@ -190,9 +190,5 @@ def kept_of(docs: DataFrame, found: DataFrame) -> DataFrame:
     stays = found.where(F.col("_doc").eqNullSafe(F.col("component_id"))).groupBy("component").agg(
         F.min("_row").alias("_row")
     )
-    return (
-        docs.withColumn("_own_row", row_key(docs))
-        .join(stays.select(F.col("_row").alias("_kept_row")), F.col("_own_row") == F.col("_kept_row"), "left_semi")
-        .dropDuplicates(["_own_row"])
-        .select(*docs.columns)
-    )
+    kept = stays.select(F.col("_row").alias("kept"))
+    return whole_rows(docs).join(kept, F.col("key") == F.col("kept"), "left_semi").dropDuplicates(["key"]).select("row.*")

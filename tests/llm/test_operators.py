@@ -383,8 +383,10 @@ def test_codec_parity_and_round_trip(spark, docs, nothing):
     codec = piece_codec.Codec(piece_codec.read_model())
     texts = odd_texts(800, 1) + ["", " ", "▁x ▁", LONG]
     done = codec.encode(texts)
-    assert [x.tolist() for x, _ in done] == judge.encode(texts) and all(p for _, p in done)
-    assert codec.decode([x for x, _ in done]) == judge.decode([x.tolist() for x, _ in done])
+    ids = [x.tolist() for x, _, _ in done]
+    assert ids == judge.encode(texts) and all(p for _, p, _ in done)
+    assert codec.decode(ids) == judge.decode(ids)
+    assert [b for _, _, b in done] == [a == b for a, b in zip(texts, judge.decode(ids), strict=True)]
     model, keys = piece_codec.read_model(), {"doc_id": F.col("doc_id")}
     rows = piece_codec.encoded(docs, {**keys, "was": F.coalesce("text", F.lit(""))}, model)
     assert rows.where("round_trip and parity").count() == docs.count()
@@ -407,7 +409,7 @@ def test_unigram_models(tmp_path):
     normalizer = field(3, bytes([3 << 3, 1, 4 << 3, 0]))
     data = b"".join(piece(*p) for p in pieces) + trainer + normalizer
     done = piece_codec.Codec(data).encode(["ab abb b", "aé  b", "", "abab"])
-    assert all(p for _, p in done) and len(done[0][0]) > 3
+    assert all(p for _, p, _ in done) and len(done[0][0]) > 3
 
 
 def test_edits_equal_full_counts(spark, docs, nothing):
@@ -435,7 +437,41 @@ def test_edits_equal_full_counts(spark, docs, nothing):
 # --- shingle join ---------------------------------------------------------------
 
 
-def test_shingle_groups_equal_brute_force(spark):
+def shingles(text):
+    words = "".join(c.lower() if c < "\x80" else c for c in text).replace("\n", " ").split(" ")
+    words = [w for w in words if w]
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_stages_take_any_columns_and_rows(spark):
+    """Names that operators use inside, nulls in any column, repeated rows, empty tables."""
+    names = "_row _own_row _kept_row _copies _copy copies _kept_id _text_digest _kept_digest key row digest fp n hub component"
+    schema = "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in names.split())
+    text = " ".join(f"w{i}" for i in range(60))
+    given = [(1, text, "a"), (2, text, "a"), (2, text, "a"), (3, text + " end", None), (None, "one", "a"), (4, None, "b"), (5, None, None), (6, "", "b"), (7, "x " * 9, "b")]
+    rows = [(*r, *[str(k) if (k + n) % 3 else None for k in range(len(names.split()))]) for n, r in enumerate(given)]
+    table = spark.createDataFrame(rows, schema)
+    for stage in (exact_dedup.kept_rows, shingle_join.one_per_group, simhash.one_per_group, mixing.mixed_rows):
+        kept = stage(table)
+        assert kept.columns == table.columns
+        assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in rows}
+        assert stage(table.limit(0)).collect() == []
+    assert sorted(r.doc_id for r in exact_dedup.kept_rows(table).where("doc_id is not null").collect()) == [2, 3, 6, 7]
+    assert sorted(r.doc_id for r in shingle_join.one_per_group(table).where("doc_id is not null").collect()) == [1, 4, 7]
+
+
+def test_row_keys_tell_nulls_apart(spark):
+    from newsloom.llm.common import row_key
+
+    rows = spark.createDataFrame([("x", None), (None, "x"), (None, None), ("", None)], "a string, b string")
+    assert rows.select(row_key(rows).alias("k")).distinct().count() == 4
+
+
+@pytest.mark.parametrize("frequent", [8, 10**9])
+def test_shingle_groups_equal_brute_force(spark, monkeypatch, frequent):
+    """Whatever the order of the shingles, by their frequency or by hash alone."""
+    monkeypatch.setattr(shingle_join, "FREQUENT", frequent)
+    monkeypatch.setattr(shingle_join, "COUNTED", 3000)
     rnd = random.Random(5)
     words = [f"w{i}" for i in range(400)]
     passage = rnd.choices(words, k=60)
@@ -448,7 +484,8 @@ def test_shingle_groups_equal_brute_force(spark):
                 copy[rnd.randrange(len(copy))] = rnd.choice(words)
             texts.append(" ".join(copy))
     texts += ["", " ", "one two", "One  two", "one three"]
-    sets = [set(shingle_join.shingle_set(t.encode()).tolist()) for t in texts]
+    sets = [shingles(t) for t in texts]
+    assert [len(shingle_join.shingle_set(t.encode())) for t in texts] == [len(s) for s in sets]
     group, missed = list(range(len(texts))), 0
     for a in range(len(texts)):
         for b in range(a):

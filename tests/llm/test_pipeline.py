@@ -3,13 +3,21 @@
 import collections
 
 import corpus_pipeline as P
-import numpy as np
-from newsloom.llm import mixing, piece_codec, simhash, toxicity
+from newsloom.llm import mixing, piece_codec, toxicity
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
 
+def shingles(text):
+    words = text.encode().lower().split()  # of bytes: ASCII letters and blanks only
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def alike(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
 def test_pipeline(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     table = spark.read.parquet(f"{SF}/documents.parquet")
@@ -19,12 +27,13 @@ def test_pipeline(spark):
     for i in sorted(left):
         keep[docs[i].text] = i
     left = sorted(keep.values())
-    fps = np.array([simhash.fingerprint(docs[i].text.encode()) for i in left], np.uint64)
+    sets = [shingles(docs[i].text) for i in left]
     group = list(range(len(left)))
     for a in range(len(left)):
-        for b in np.flatnonzero(np.bitwise_count(fps ^ fps[a]) <= 3).tolist():
-            old, new = max(group[a], group[b]), min(group[a], group[b])
-            group = [new if g == old else g for g in group]
+        for b in range(a):
+            if group[a] != group[b] and alike(sets[a], sets[b]):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = [new if g == old else g for g in group]
     left = [left[i] for i in sorted(set(group))]
     mixed = mixing.mixed_sizes(table.where(F.col("doc_id").isin(left)))
     want = collections.Counter({r.doc_id: r.copies for r in mixed.collect() if r.copies})
