@@ -92,7 +92,8 @@ class ByteCodec:
         if self.held > CACHED_BYTES:
             self.cache.clear()
             self.held = 0
-        new = list({p for text in parts for p in text} - self.cache.keys())
+        cache = self.cache
+        new = list({p for text in parts for p in text if p not in cache})
         once = {}
         for part, made in zip(new, self.tool.encode_batch_fast(new, add_special_tokens=False), strict=True):
             ids = array("i", made.ids).tobytes()
@@ -108,7 +109,7 @@ class ByteCodec:
         once = self._learn(parts)
         cache = self.cache
         if once:
-            cache = cache | once
+            return [np.frombuffer(b"".join([once[p] if p in once else cache[p] for p in text]), np.int32) for text in parts]
         return [np.frombuffer(b"".join([cache[p] for p in text]), np.int32) for text in parts]
 
     def decode(self, ids: pa.Array) -> pa.Array:

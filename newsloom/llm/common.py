@@ -22,7 +22,17 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     spark = rows.sparkSession
     path = scratch_path(spark, name)
     rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    table = spark.read.schema(rows.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables made by :func:`written` once nothing will read them again."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._written_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def saved(rows: DataFrame) -> DataFrame:

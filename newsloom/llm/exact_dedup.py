@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import map_batches, text_or_empty, written
+from newsloom.llm.common import map_batches, release, text_or_empty, written
 from newsloom.session import ship_package
 
 KEYS_PER_FILTER = 1 << 10
@@ -214,9 +214,8 @@ def text_groups(docs: DataFrame) -> DataFrame:
     late = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
     snapshot = write_snapshot(grouped(docs.where(~late)))
     batch = written(grouped(docs.where(late)), "batch-texts")
-    found = written(matches(batch, snapshot), "matches").select(
-        "digest", F.col("keep_id").alias("found_id"), F.col("n").alias("found_n")
-    )
+    matched = written(matches(batch, snapshot), "matches")
+    found = matched.select("digest", F.col("keep_id").alias("found_id"), F.col("n").alias("found_n"))
     old = snapshot.texts.join(found, "digest", "left").select(
         "digest",
         F.greatest("keep_id", "found_id").alias("keep_id"),
@@ -226,6 +225,7 @@ def text_groups(docs: DataFrame) -> DataFrame:
     groups = written(old.unionByName(new), "text-groups")
     if not groups.groupBy("digest").count().where("count > 1").isEmpty():
         raise ValueError("two different texts have one SHA-256 digest")
+    release(batch, matched, snapshot.texts, snapshot.filters)
     return groups
 
 

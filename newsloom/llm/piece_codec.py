@@ -32,7 +32,7 @@ from newsloom.llm.common import map_batches, text_or_empty
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-CACHED_CHARS, WORD_COST = 32_000_000, 64  # of the words remembered, and what each adds to its characters
+CACHED_CHARS, WORD_COST = 64_000_000, 64  # of the words remembered, and what each adds to its characters
 DOCS_AT_ONCE = 128
 
 # Piece and model kinds of the format.
@@ -140,6 +140,7 @@ class Codec:
         self.plain = model.prefix and not model.charsmap and not model.squeeze
         self.words.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         self.cut = not any(MARK in text.lstrip(MARK) for text, _, _ in model.pieces)
+        self.texts = ["" if kind == BYTE else text for text, _, kind in model.pieces]
         self.cache: dict[str, bytes] = {}
         self.differ: set[str] = set()
         self.altered: dict[str, str] = {}  # words that do not decode to themselves, and what they decode to
@@ -159,18 +160,22 @@ class Codec:
         if self.held > CACHED_CHARS:
             self.cache.clear()
             self.held = 0
-        new = sorted({w for text in words for w in text} - self.cache.keys())
+        cache = self.cache
+        new = sorted({w for text in words for w in text if w not in cache})
         ours = [x.ids for x in self.words.encode_batch_fast(new, add_special_tokens=False)]
         bare = [(w[1:] if self.model.prefix and w[:1] == MARK else w).replace(MARK, " ") for w in new]
         theirs = self.judge.encode(bare)
-        back = self.words.decode_batch(ours, skip_special_tokens=False)
-        for word, a, b, asked, made in zip(new, ours, theirs, bare, back, strict=True):
+        texts = self.texts
+        other = []  # words that are not just their pieces' texts, as where bytes stand in for a character
+        for word, a, b, asked in zip(new, ours, theirs, bare, strict=True):
             if a != b and asked:  # a lone marker is no text by itself, so there is nothing to compare
                 self.differ.add(word)
-            if made != word.replace(MARK, " "):
-                self.altered[word] = made
-            self.cache[word] = array("i", a).tobytes()
-            self.held += len(word) + WORD_COST
+            if "".join([texts[i] for i in a]) != word:
+                other.append((word, a))
+            cache[word] = array("i", a).tobytes()
+        self.held += sum(map(len, new)) + WORD_COST * len(new)
+        back = self.words.decode_batch([a for _, a in other], skip_special_tokens=False) if other else []
+        self.altered |= {w: made for (w, _), made in zip(other, back, strict=True) if made != w.replace(MARK, " ")}
 
     def _without_prefix(self, text: str) -> str:
         return text[1:] if self.model.prefix and text[:1] == " " else text
