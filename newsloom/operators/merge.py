@@ -5,21 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.operators.constraints import keep_one_per_key, with_result_defaults
+from newsloom.operators.constraints import with_result_defaults
 from newsloom.sources.articles import matching_keys
 
 
-def upsert(existing: DataFrame, updates: DataFrame, as_of: Column, key: str = "news_id") -> DataFrame:
+def merged_updates(updates: DataFrame, key: str = "news_id", order: str | None = None) -> DataFrame:
+    """One row per key: of each column the first value that is not null.
+
+    Updates with a larger ``order`` come first; among equal ones, or without an
+    order, larger values do. Columns are settled one by one, so updates that each
+    bring another column all count. Partial results are combined before the
+    exchange, which keeps a hot key cheap.
+    """
+    produced = [c for c in updates.columns if c not in (key, order)]
+    place = lambda c: F.struct(*([order] if order else []), c)
+    first = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), place(c))).alias(c) for c in produced]
+    return updates.groupBy(key).agg(*first) if first else updates.select(key).distinct()
+
+
+def upsert(existing: DataFrame, updates: DataFrame, as_of: Column, key: str = "news_id", order: str | None = None) -> DataFrame:
     """Update the columns that ``updates`` carries, keep the others, insert new keys.
 
     A null in ``updates`` means "not produced". ``created_at`` survives and
     ``updated_at`` moves only on touched rows. The existing table is on the
     streamed side of a left join, so a small batch is broadcast and the stored
-    text is not shuffled. Of several updates of one key the first counts, by the
-    produced columns in their order, larger values first and nulls last.
+    text is not shuffled. Several updates of one key become one by :func:`merged_updates`.
     """
-    produced = [c for c in updates.columns if c != key]
-    updates = keep_one_per_key(updates, key, [F.col(c).desc_nulls_last() for c in produced] or [F.col(key)])
+    produced = [c for c in updates.columns if c not in (key, order)]
+    updates = merged_updates(updates, key, order)
     new = updates.select(key, F.lit(True).alias("_touched"), *[F.col(c).alias(f"_new_{c}") for c in produced])
     joined = existing.join(new, key, "left")
     columns = []

@@ -10,6 +10,13 @@ Two plans:
 around pivots. A request first visits its nearest lists, which gives a lower
 bound on its k-th best score; then it visits just those lists whose best
 possible score, by the triangle inequality on angles, reaches that bound.
+Pivots are broadcast while they are small. Beyond that they form a tree: only its
+upper level is broadcast, vectors and requests go to the branches near them, and
+the lower level meets them there in a join.
+
+``top_k_approximate`` files each vector under ``spill`` lists: the nearest, and
+others chosen so that they explain what the nearest leaves over. A request visits
+lists until the next one is more than ``stop`` radians farther than the nearest.
 
 What keeps hot groups small:
 
@@ -24,7 +31,8 @@ What keeps hot groups small:
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +52,12 @@ ROWS_PER_TILE = 2048
 QUERIES_PER_PRODUCT = 512
 VISITS_PER_BATCH = 8192
 TILES_PER_CHUNK = 8
-# Pivots are broadcast, so their size is checked.
+ROWS_PER_BRANCH_PART = 1 << 16
+# Pivots are broadcast up to this size; larger sets become a tree.
 MAX_PIVOT_BYTES = 64 << 20
+# How much a further list is to differ from the nearest, against how near it is to be itself.
+SPILL_WEIGHT = 1.0
+STOP = 0.25
 
 
 def normal_requests(requests: DataFrame) -> DataFrame:
@@ -117,16 +129,45 @@ def pair_scores(pairs: DataFrame, index: DataFrame) -> DataFrame:
 # --- lists ---------------------------------------------------------------------------------
 
 
-def choose_pivots(index: DataFrame, n_lists: int) -> np.ndarray:
-    """``n_lists`` unit vectors of the index, by lowest hash of the id. Any pivots keep the search exact."""
-    rows = (
-        index.where(F.col("embedding").isNotNull())
-        .select(F.xxhash64("news_id").alias("_h"), "news_id", "embedding")
-        .orderBy("_h", "news_id")
-        .limit(n_lists)
-        .collect()
-    )
-    return _checked(np.array([r["embedding"] for r in rows], dtype=np.float64))
+def choose_pivots(index: DataFrame, n_lists: int, levels: int | None = None) -> np.ndarray | PivotTree:
+    """``n_lists`` unit vectors of the index, by lowest hash of the id. Any pivots keep the search exact.
+
+    With two ``levels``, which is the choice for pivots too large to broadcast,
+    they stay a table, and only about the root of their number is collected.
+    """
+    given = index.where(F.exists("embedding", lambda x: x != 0))
+    dim = (given.select(F.size("embedding").alias("dim")).first() or {"dim": 0})["dim"]
+    if levels is None:
+        levels = 1 if n_lists * dim * 8 <= MAX_PIVOT_BYTES else 2
+    if levels == 1:
+        return _collected(given, n_lists)
+    tops = _collected(given, max(1, min(math.isqrt(n_lists), MAX_PIVOT_BYTES // (8 * max(1, dim)))))
+    # Numbered by ids alone; the vectors join them afterwards.
+    order = [F.xxhash64("news_id"), F.col("news_id")]
+    chosen = given.select("news_id").orderBy(*order).limit(n_lists)
+    numbered = chosen.select("news_id", (F.row_number().over(Window.orderBy(*order)) - 1).alias("number"))
+    own = given.join(numbered, "news_id").select("number", "embedding").dropDuplicates(["number"])
+    shared_dir(index.sparkSession)
+    placed = with_list(own, tops).select(F.col("list_id").alias("top_id"), "number", "embedding").checkpoint()
+    return PivotTree(tops, placed, n_lists) if len(tops) else tops
+
+
+def _collected(given: DataFrame, n: int) -> np.ndarray:
+    rows = given.select(F.xxhash64("news_id").alias("_h"), "news_id", "embedding").orderBy("_h", "news_id").limit(n).collect()
+    pivots = np.array([r["embedding"] for r in rows], dtype=np.float64)
+    return _unit(pivots) if pivots.size else pivots.reshape(0, 0)
+
+
+@dataclass(frozen=True)
+class PivotTree:
+    """Upper pivots as a matrix; the lower ones as a table (top_id, number, embedding) that joins what is routed."""
+
+    tops: np.ndarray
+    pivots: DataFrame
+    n_lists: int
+
+    def __len__(self) -> int:
+        return self.n_lists
 
 
 def train_lists(index: DataFrame, n_lists: int = 100, seed: int = 1) -> np.ndarray:
@@ -134,13 +175,7 @@ def train_lists(index: DataFrame, n_lists: int = 100, seed: int = 1) -> np.ndarr
     given = index.where(F.exists("embedding", lambda x: x != 0))
     vectors = given.select(array_to_vector("embedding").alias("v"))
     model = KMeans(k=n_lists, seed=seed, featuresCol="v", distanceMeasure="cosine", maxIter=10).fit(vectors)
-    return _checked(np.array(model.clusterCenters(), dtype=np.float64))
-
-
-def _checked(pivots: np.ndarray) -> np.ndarray:
-    if pivots.nbytes > MAX_PIVOT_BYTES:
-        raise ValueError("pivots are too large to broadcast; use fewer lists")
-    return _unit(pivots) if pivots.size else pivots.reshape(0, 0)
+    return _unit(np.array(model.clusterCenters(), dtype=np.float64))
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -176,6 +211,114 @@ def with_list(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     return vectors.mapInArrow(assign, f"{fields}, list_id int, pivot_cosine double")
 
 
+def with_lists(vectors: DataFrame, centres: np.ndarray, spill: int) -> DataFrame:
+    """Each vector once per list it is filed under: the nearest, and further ones.
+
+    A further list is near the vector as well, and its own error points elsewhere
+    than the nearest list's does: a request that misses the vector's nearest list
+    because of that error is likely to visit the other.
+    """
+    shared = vectors.sparkSession.sparkContext.broadcast(centres)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema)
+    spill = max(1, min(spill, len(centres)))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _blocks(batch, QUERIES_PER_PRODUCT):
+                unit, at = _unit(_matrix(part.column("embedding"))), np.arange(part.num_rows)
+                cosines = unit @ shared.value.T
+                lists = [cosines.argmax(axis=1)]
+                if spill > 1:
+                    left = _unit(unit - cosines[at, lists[0]][:, None] * shared.value[lists[0]])
+                    along = np.einsum("ij,ij->i", unit, left)[:, None] - left @ shared.value.T
+                    loss = 2.0 - 2.0 * cosines + SPILL_WEIGHT * along**2
+                    loss[at, lists[0]] = np.inf
+                    lists += list(np.argsort(loss, axis=1, kind="stable")[:, : spill - 1].T)
+                for chosen in lists:
+                    columns = part.columns + [pa.array(chosen, pa.int32()), pa.array(cosines[at, chosen], pa.float64())]
+                    yield pa.RecordBatch.from_arrays(columns, part.schema.names + ["list_id", "pivot_cosine"])
+
+    return vectors.mapInArrow(assign, f"{fields}, list_id int, pivot_cosine double")
+
+
+def _at_branches(rows: DataFrame, tree: PivotTree, within) -> tuple[DataFrame, Callable]:
+    """``rows`` (with top_id) where the tree's lower pivots are: one branch and part of its rows to a group.
+
+    ``within(part, numbers, pivots)`` gets a batch of rows of one branch with the
+    numbers and unit vectors of its pivots, and yields batches. Rows of a branch are
+    cut into parts by their counted number, and its pivots go to each part.
+    """
+    names = rows.columns
+    parts = rows.groupBy("top_id").agg(F.ceil(F.count("*") / ROWS_PER_BRANCH_PART).cast("int").alias("_parts"))
+    spread = rows.join(parts, "top_id").withColumn("_part", F.pmod(F.xxhash64("embedding"), F.col("_parts")).cast("int"))
+    blank = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in names if c not in ("top_id", "embedding")]
+    lower = tree.pivots.join(parts, "top_id").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    lower = lower.select("top_id", "embedding", "number", "_part", *blank, F.lit(0).alias("_side"))
+    sent = spread.select("top_id", "embedding", F.lit(None).cast("int").alias("number"), "_part", *[c for c in names if c not in ("top_id", "embedding")], F.lit(1).alias("_side"))
+    cell = ["top_id", "_part"]
+    stream = lower.unionByName(sent).repartition(*cell).sortWithinPartitions(*cell, "_side")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, numbers, vectors = None, [], []
+        for batch in batches:
+            marks = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (*cell, "_side")]).astype(np.int64)
+            edges = np.flatnonzero((np.diff(marks, axis=1) != 0).any(axis=0)) + 1 if batch.num_rows else []
+            for start, stop in zip([0, *edges], [*edges, batch.num_rows]):
+                if start == stop:
+                    continue
+                run, here = batch.slice(int(start), int(stop - start)), tuple(marks[:2, start])
+                if here != current:
+                    current, numbers, vectors = here, [], []
+                if marks[2, start] == 0:
+                    numbers.append(run.column("number").to_numpy(zero_copy_only=False))
+                    vectors.append(_unit(_matrix(run.column("embedding"))))
+                elif numbers:
+                    held, known = np.concatenate(vectors), np.concatenate(numbers).astype(np.int64)
+                    for part in _blocks(run, QUERIES_PER_PRODUCT):
+                        yield from within(part.select(names), known, held)
+
+    return stream, meet
+
+
+def _with_list_by_tree(vectors: DataFrame, tree: PivotTree) -> DataFrame:
+    """As :func:`with_list`, by the nearest upper pivot and the nearest lower one under it; adds ``top_id`` and ``top_cosine``."""
+    upper = with_list(vectors, tree.tops).withColumnRenamed("list_id", "top_id").withColumnRenamed("pivot_cosine", "top_cosine")
+    # An upper pivot without lower ones owns nothing; its vectors go to the branch of the first pivot that has some.
+    held = tree.pivots.agg(F.sort_array(F.collect_set("top_id")).alias("held")).first()["held"]
+    if len(held) < len(tree.tops):
+        full = np.array(held)
+        own = with_list(vectors, tree.tops[full])
+        names = F.array(*[F.lit(int(t)) for t in full])
+        upper = own.select(*vectors.columns, F.element_at(names, F.col("list_id") + 1).alias("top_id"), F.col("pivot_cosine").alias("top_cosine"))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in upper.schema)
+
+    def nearest(part: pa.RecordBatch, numbers: np.ndarray, pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cosines = _unit(_matrix(part.column("embedding"))) @ pivots.T
+        best = cosines.argmax(axis=1)
+        columns = [pa.array(numbers[best], pa.int32()), pa.array(cosines[np.arange(len(best)), best])]
+        yield pa.RecordBatch.from_arrays(part.columns + columns, part.schema.names + ["list_id", "pivot_cosine"])
+
+    stream, meet = _at_branches(upper, tree, nearest)
+    return stream.mapInArrow(meet, f"{fields}, list_id int, pivot_cosine double")
+
+
+def _visits_by_tree(queries: DataFrame, tree: PivotTree, top_reach: np.ndarray, reach: np.ndarray, nprobe: int, beyond: bool) -> DataFrame:
+    """As :func:`_visits`. ``beyond`` names every list that can reach the bound, those of the first round too."""
+    upper = _visits(queries, tree.tops, top_reach, 1, beyond, again=True).withColumnRenamed("list_id", "top_id")
+    names = upper.columns
+    shared = queries.sparkSession.sparkContext.broadcast(reach)
+
+    def route(part: pa.RecordBatch, numbers: np.ndarray, pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cosines = np.clip(_unit(_matrix(part.column("embedding"))) @ pivots.T, -1.0, 1.0)
+        radius = shared.value[numbers]
+        near = _near(part, np.where(np.isfinite(radius)[None, :], cosines, -2.0), radius, nprobe, beyond, again=True)
+        yield from _copies(part, near & np.isfinite(radius)[None, :], numbers)
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in upper.schema)
+    stream, meet = _at_branches(upper, tree, route)
+    return stream.mapInArrow(meet, f"{fields}, list_id int").select(*[c for c in names if c != "top_id"], "list_id")
+
+
 # --- the search ----------------------------------------------------------------------------
 
 
@@ -203,14 +346,41 @@ def _vector_key() -> list[Column]:
     return [F.xxhash64("embedding").alias("key_a"), F.xxhash64(F.lit("b"), "embedding").alias("key_b")]
 
 
-def _visits(queries: DataFrame, pivots: np.ndarray, reach: np.ndarray, nprobe: int, beyond: bool) -> DataFrame:
+def _near(part: pa.RecordBatch, cosines: np.ndarray, radius: np.ndarray, nprobe: int, beyond: bool, stop: float = 0.0, again: bool = False) -> np.ndarray:
+    """Which of the lists each query visits, see :func:`_visits`."""
+    near = np.zeros(cosines.shape, dtype=bool)
+    first = np.argsort(-cosines, axis=1, kind="stable")[:, :nprobe]
+    np.put_along_axis(near, first, True, axis=1)
+    if stop > 0.0:
+        angles = np.arccos(np.clip(cosines, -1.0, 1.0))
+        near |= angles <= angles.min(axis=1, keepdims=True) + stop
+    if beyond:
+        gap = np.maximum(np.arccos(np.clip(cosines, -1.0, 1.0)) - radius[None, :], 0.0)
+        bound = part.column("bound").to_numpy(zero_copy_only=False)
+        open_ = np.cos(np.minimum(gap, np.pi)) + SLACK >= bound[:, None]
+        near = open_ if again else ~near & open_
+    return near
+
+
+def _copies(part: pa.RecordBatch, near: np.ndarray, numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
+    row, visited = np.nonzero(near)
+    # A query may visit every list, so its copies leave in pieces.
+    for start in range(0, len(row), VISITS_PER_BATCH):
+        piece = slice(start, start + VISITS_PER_BATCH)
+        copies = part.take(pa.array(row[piece]))
+        yield pa.RecordBatch.from_arrays(copies.columns + [pa.array(numbers[visited[piece]], pa.int32())], part.schema.names + ["list_id"])
+
+
+def _visits(
+    queries: DataFrame, pivots: np.ndarray, reach: np.ndarray, nprobe: int, beyond: bool, stop: float = 0.0, again: bool = False
+) -> DataFrame:
     """One row per query and list to visit.
 
-    First round: the ``nprobe`` nearest lists. ``beyond``: every other list whose
-    best possible score reaches the query's ``bound``.
+    First round: the ``nprobe`` nearest lists, and all that are at most ``stop``
+    radians farther than the nearest. ``beyond``: every other list whose best
+    possible score reaches the query's ``bound``; with ``again``, not only others.
     """
     shared = queries.sparkSession.sparkContext.broadcast((pivots, reach))
-    names = [f.name for f in queries.schema]
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,20 +388,9 @@ def _visits(queries: DataFrame, pivots: np.ndarray, reach: np.ndarray, nprobe: i
         for batch in batches:
             for part in _blocks(batch, QUERIES_PER_PRODUCT):
                 cosines = np.clip(_unit(_matrix(part.column("embedding"))) @ centres.T, -1.0, 1.0)
-                near = np.zeros(cosines.shape, dtype=bool)
-                first = np.argsort(-cosines, axis=1, kind="stable")[:, :nprobe]
-                np.put_along_axis(near, first, True, axis=1)
-                if beyond:
-                    gap = np.maximum(np.arccos(cosines) - radius[None, :], 0.0)
-                    bound = part.column("bound").to_numpy(zero_copy_only=False)
-                    near = ~near & (np.cos(np.minimum(gap, np.pi)) + SLACK >= bound[:, None])
-                row, visited = np.nonzero(near & np.isfinite(radius)[None, :])
-                # A query may visit every list, so its copies leave in pieces.
-                for start in range(0, len(row), VISITS_PER_BATCH):
-                    piece = slice(start, start + VISITS_PER_BATCH)
-                    copies = part.take(pa.array(row[piece]))
-                    lists = pa.array(visited[piece], pa.int32())
-                    yield pa.RecordBatch.from_arrays(copies.columns + [lists], names + ["list_id"])
+                used = np.isfinite(radius)[None, :]
+                near = _near(part, np.where(used, cosines, -2.0), radius, nprobe, beyond, stop, again)
+                yield from _copies(part, near & used, np.arange(len(centres)))
 
     return queries.mapInArrow(route, f"{fields}, list_id int")
 
@@ -388,12 +547,14 @@ def _best(found: DataFrame, keep: int) -> DataFrame:
 def _search(
     requests: DataFrame,
     candidates: DataFrame,
-    pivots: np.ndarray,
+    pivots: np.ndarray | PivotTree,
     nprobe: int,
     rows_per_tile: int,
     exact: bool,
     max_k: int,
     one_list: DataFrame | tuple[int, int],
+    spill: int = 1,
+    stop: float = 0.0,
 ) -> DataFrame:
     """(news_id, k, category_filter, rank, match_id, score) for requests with ``space`` and ``embedding``."""
     spark = requests.sparkSession
@@ -411,28 +572,38 @@ def _search(
         found = _score(queries.select("*", only), distinct.select("*", only), one_list, keep, SCORE_FLOOR)
         found = _best(found, keep)
     else:
+        tree = isinstance(pivots, PivotTree)
         # Lists are read for their radius, by both rounds and for their counts.
-        listed = with_list(distinct, pivots).checkpoint()
-        reach = np.full(len(pivots), np.nan)
-        for row in listed.groupBy("list_id").agg(F.min("pivot_cosine").alias("c")).collect():
-            reach[row["list_id"]] = np.arccos(np.clip(row["c"], -1.0, 1.0)) + SLACK
+        if tree:
+            listed = _with_list_by_tree(distinct, pivots).checkpoint()
+            top_reach = _radii(listed, "top_id", "top_cosine", len(pivots.tops))
+        else:
+            listed = (with_lists(distinct, pivots, spill) if spill > 1 else with_list(distinct, pivots)).checkpoint()
+        reach = _radii(listed, "list_id", "pivot_cosine", len(pivots))
 
         def scored(asking: DataFrame, beyond: bool) -> DataFrame:
-            visits = _visits(asking, pivots, reach, nprobe, beyond)
+            if tree:
+                visits = _visits_by_tree(asking, pivots, top_reach, reach, nprobe, beyond)
+            else:
+                visits = _visits(asking, pivots, reach, nprobe, beyond, stop)
             grid = _grid(listed, visits, ["space", "list_id"], rows_per_tile)
             return _score(visits, listed, grid, keep, SCORE_FLOOR)
 
-        found = _best(scored(queries, beyond=False), keep)
+        # A vector that was met in several lists stands there as often, until ids are told apart below.
+        found = _best(scored(queries, beyond=False), keep * spill)
         if exact and int(np.isfinite(reach).sum()) > nprobe:
             found = found.checkpoint()
             # With keep vectors found, the worst of them bounds what can still matter.
             full = found.groupBy(*QUERY).agg(F.count("*").alias("n"), F.min("score").alias("least"))
             bound = F.when(F.col("n") >= keep, F.col("least")).otherwise(F.lit(SCORE_FLOOR))
             bounded = vectors.join(full, QUERY, "left").select(*vectors.columns, bound.alias("bound"))
-            found = _best(found.unionByName(scored(bounded, beyond=True)), keep)
+            found = _best(found.unionByName(scored(bounded, beyond=True)), keep * (2 if tree else 1))
+            spill = 2 if tree else spill
 
     # Per distinct query vector at most keep * keep pairs, cut to keep; then one list per request.
     pairs = found.select(*QUERY, "score", "ranked", F.explode("ids").alias("id"))
+    if spill > 1:
+        pairs = pairs.groupBy(*QUERY, "id").agg(F.max("score").alias("score"), F.max("ranked").alias("ranked"))
     gathered = F.sort_array(F.collect_list(F.struct((-F.col("ranked")).alias("order"), "id", "score")))
     lists = pairs.groupBy(*QUERY).agg(F.slice(gathered, 1, keep).alias("matches"))
     asked = keyed.select(*REQUEST, *QUERY).join(lists, QUERY)
@@ -446,6 +617,14 @@ def _search(
     )
 
 
+def _radii(listed: DataFrame, name: str, cosine: str, n: int) -> np.ndarray:
+    """The largest angle between a list's pivot and its vectors, one number per list; nan for an empty list."""
+    reach = np.full(n, np.nan)
+    for row in listed.groupBy(name).agg(F.min(cosine).alias("c")).collect():
+        reach[row[name]] = np.arccos(np.clip(row["c"], -1.0, 1.0)) + SLACK
+    return reach
+
+
 def _with_details(matches: DataFrame, index: DataFrame) -> DataFrame:
     details = index.select(F.col("news_id").alias("match_id"), "title", "category")
     return matches.join(details, "match_id").select(
@@ -490,24 +669,49 @@ def top_k(
     nprobe: int = 8,
     rows_per_tile: int = ROWS_PER_TILE,
     details: bool = True,
+    levels: int | None = None,
 ) -> DataFrame:
     """Exact top k per request (news_id, k, category_filter); a null filter searches everything.
 
     Requests that are invalid or whose source is not indexed yield no rows.
+    ``levels`` of pivots follow from their size unless given.
     """
-    return _top_k(requests, index, None, n_lists, nprobe, rows_per_tile, True, details)
+    return _top_k(requests, index, None, n_lists, nprobe, rows_per_tile, True, details, levels=levels)
 
 
 def top_k_approximate(
     requests: DataFrame,
     index: DataFrame,
     centres: np.ndarray,
-    nprobe: int = 10,
+    nprobe: int = 4,
     rows_per_tile: int = ROWS_PER_TILE,
     details: bool = True,
+    spill: int = 2,
+    stop: float = STOP,
 ) -> DataFrame:
-    """Top k from the ``nprobe`` lists nearest to each source; scores are exact, members may be missed."""
-    return _top_k(requests, index, centres, None, nprobe, rows_per_tile, False, details)
+    """Top k from lists near each source; scores are exact, members may be missed.
+
+    Each vector is filed under ``spill`` lists. A request visits at least ``nprobe``
+    lists, and all up to ``stop`` radians farther than the nearest: many where lists
+    are about equally near, few where one stands out.
+    """
+    return _top_k(requests, index, centres, None, nprobe, rows_per_tile, False, details, spill=spill, stop=stop)
+
+
+def scored_share(requests: DataFrame, index: DataFrame, centres: np.ndarray, nprobe: int = 4, spill: int = 2, stop: float = STOP) -> DataFrame:
+    """(n_lists, lists_visited, scored_share): per request on average, the lists and the share of vectors that are scored."""
+    ship_package(index.sparkSession)
+    usable = index.where(F.exists("embedding", lambda x: x != 0))
+    filed = with_lists(usable.select("news_id", "embedding"), centres, spill).groupBy("list_id").agg(F.count("*").alias("rows"))
+    asked = requests.select("news_id").distinct().join(usable, "news_id").select("news_id", "embedding")
+    went = _visits(asked, centres, np.zeros(len(centres)), nprobe, False, stop).groupBy("list_id").agg(F.count("*").alias("visits"))
+    sizes = usable.agg(F.count("*").alias("vectors")).crossJoin(asked.agg(F.count("*").alias("requests")))
+    sums = went.join(filed, "list_id").agg(F.sum("visits").alias("visits"), F.sum(F.col("visits") * F.col("rows")).alias("scored"))
+    return sums.crossJoin(sizes).select(
+        F.lit(len(centres)).alias("n_lists"),
+        (F.col("visits") / F.col("requests")).alias("lists_visited"),
+        (F.col("scored") / F.col("requests") / F.col("vectors")).alias("scored_share"),
+    )
 
 
 def _top_k(
@@ -519,6 +723,9 @@ def _top_k(
     rows_per_tile: int,
     exact: bool,
     details: bool,
+    spill: int = 1,
+    stop: float = 0.0,
+    levels: int | None = None,
 ) -> DataFrame:
     checked = check_requests(requests).where("status = 'ok'")
     no_filter = F.col("category_filter").isNull()
@@ -535,7 +742,7 @@ def _top_k(
     if pivots is None:
         if n_lists is None:
             n_lists = default_lists(size["n"], size["sets"], rows_per_tile)
-        pivots = choose_pivots(index, n_lists) if n_lists > 1 else np.empty((0, 0))
+        pivots = choose_pivots(index, n_lists, levels) if n_lists > 1 else np.empty((0, 0))
     # For a single list the sizes come from plain counts, before any vector is touched.
     if shape["filtered"]:
         one_list = _grid(candidates.select("space"), tagged.select("space"), ["space"], rows_per_tile)
@@ -544,7 +751,7 @@ def _top_k(
             max(1, -(-size["n"] // rows_per_tile)),
             max(1, -(-shape["n"] // (rows_per_tile * TILES_PER_CHUNK))),
         )
-    found = _search(asked, candidates, pivots, nprobe, rows_per_tile, exact, shape["max_k"], one_list)
+    found = _search(asked, candidates, pivots, nprobe, rows_per_tile, exact, shape["max_k"], one_list, spill, stop)
     return _with_details(found, index) if details else found
 
 

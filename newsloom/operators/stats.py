@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,13 +23,15 @@ def index_stats(index: DataFrame) -> DataFrame:
     )
 
 
+def tally_counts() -> list[Column]:
+    """The counts of a statused batch, as an aggregate or for an observation of one."""
+    status = F.col("status")
+    skipped = status.isin("already_indexed", "no_title")
+    counts = {"indexed": status == "indexed", "skipped": skipped}
+    counts |= {name: status == name for name in ("already_indexed", "no_title", "invalid")}
+    return [F.count_if(which).alias(name) for name, which in counts.items()]
+
+
 def tally(statused: DataFrame) -> DataFrame:
     """Counts of a statused batch; ``skipped`` is already indexed or without a title."""
-    skipped = F.col("status").isin("already_indexed", "no_title")
-    return statused.agg(
-        F.count_if(F.col("status") == "indexed").alias("indexed"),
-        F.count_if(skipped).alias("skipped"),
-        F.count_if(F.col("status") == "already_indexed").alias("already_indexed"),
-        F.count_if(F.col("status") == "no_title").alias("no_title"),
-        F.count_if(F.col("status") == "invalid").alias("invalid"),
-    )
+    return statused.agg(*tally_counts())

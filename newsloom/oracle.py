@@ -177,6 +177,22 @@ ALL_INDEXED = indexed(f"""SELECT id AS news_id, coalesce(category, 'UNKNOWN') AS
   {shown(f'CASE WHEN doc_id IS NULL THEN {AS_OF} ELSE {EARLIER} END')} AS created_at
 FROM texts LEFT JOIN vectors USING (id) LEFT JOIN labels ON doc_id = id""")
 
+TALLY = f"""WITH {ARTICLES}, statused AS (SELECT CASE WHEN doc_id IS NOT NULL THEN 'known' WHEN coalesce(title, '') = '' THEN 'untitled' WHEN length(category) > 50 THEN 'bad' ELSE 'new' END AS s
+  FROM articles LEFT JOIN seeded ON doc_id = id)
+SELECT count(*) FILTER (s = 'new') AS indexed, count(*) FILTER (s IN ('known', 'untitled')) AS skipped,
+  count(*) FILTER (s = 'known') AS already_indexed, count(*) FILTER (s = 'untitled') AS no_title, count(*) FILTER (s = 'bad') AS invalid FROM statused"""
+# Indexed before: the labelled documents with a title.
+TALLY = TALLY.replace("statused AS", "seeded AS (SELECT doc_id FROM labels JOIN articles ON id = doc_id WHERE title <> ''), statused AS", 1)
+
+HITS_SINCE = f"""WITH {CACHE}, {ARTICLES},
+added AS (SELECT DISTINCT substr(category, 4) AS category FROM articles
+  WHERE category IN ('src1', 'src2', 'src3') AND title <> '' AND id NOT IN (SELECT doc_id FROM labels)),
+since AS (SELECT category FROM added UNION SELECT 'all' FROM added),
+live AS (SELECT * FROM cache WHERE {AS_OF} < expires_at
+  AND NOT (category_key IN (SELECT category FROM since) AND computed_at <= TIMESTAMP '2024-01-15 12:00:00'))
+SELECT event_id, coalesce(category_filter, 'all') AS category_key, l.news_id IS NOT NULL AS hit
+FROM log LEFT JOIN live l ON l.news_id = log.news_id AND l.k = log.k AND l.category_key = coalesce(log.category_filter, 'all')"""
+
 ORACLE: dict[str, str] = {
     "list_articles": f"WITH {ARTICLES} SELECT {LIST_COLUMNS} FROM articles",
     "articles_in_category": f"WITH {ARTICLES} SELECT {LIST_COLUMNS} FROM articles WHERE category = 'src3'",
@@ -184,13 +200,24 @@ ORACLE: dict[str, str] = {
     "fetch_content": f"""WITH {ARTICLES}, {KNOWN_IDS}
 SELECT news_id, title, content AS content_plain_text, CASE WHEN id IS NULL THEN 'not_found' ELSE 'ok' END AS status
 FROM asked LEFT JOIN articles ON id = news_id""",
-    "append_batches": f"WITH {INDEX} SELECT news_id, category, title, len(v) AS dim FROM idx",
+    "append_batches": f"""WITH {INDEX} SELECT news_id, category, title,
+  array_to_string(list_transform(v, lambda x: round(x * 1e6)::BIGINT::VARCHAR), ',') AS vector FROM idx""",
     "upsert_results": f"""WITH {RESULTS},
 new AS (SELECT doc_id AS news_id, CASE WHEN lang = 'en' THEN 'new ' || n_chars END AS short FROM documents)
 SELECT news_id, coalesce(n_audio, 0)::BIGINT AS n_audio, coalesce(short, summary_short) AS summary_short, summary_medium, summary_default,
   {shown(f'coalesce(created_at, {AS_OF})')} AS created_at,
   {shown(f'CASE WHEN n.news_id IS NULL THEN updated_at ELSE {AS_OF} END')} AS updated_at
 FROM results FULL JOIN new n USING (news_id)""",
+    "merged_updates": """SELECT user_id AS news_id, 's' || max(event_id) FILTER (event_type = 'click') AS summary_short,
+  'd' || max(event_id) FILTER (event_type <> 'click') AS summary_default FROM events GROUP BY user_id""",
+    "published_results": f"""WITH {RESULTS},
+new AS (SELECT doc_id AS news_id, CASE WHEN lang = 'en' THEN 'new ' || n_chars END AS short FROM documents)
+SELECT news_id, coalesce(short, summary_short) AS summary_short, summary_medium, summary_default,
+  {shown(f'coalesce(created_at, {AS_OF})')} AS created_at, {shown(f'CASE WHEN n.news_id IS NULL THEN updated_at ELSE {AS_OF} END')} AS updated_at,
+  CASE WHEN n_audio = 1 THEN 'Binh|d|u/' || news_id || '|audio/Binh/' || news_id || '|' || news_id ELSE '' END AS audio_files
+FROM results FULL JOIN new n USING (news_id) WHERE news_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr')""",
+    "links_after_delete": """SELECT 'audio/Binh/' || doc_id AS s3_key FROM labels
+WHERE toxic = 1 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr')""",
     "delete_results": f"""WITH {RESULTS} SELECT {SHOWN_RESULTS} FROM results
 WHERE news_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr')""",
     "deletion_report": """SELECT d.doc_id AS news_id, l.doc_id IS NOT NULL AS deleted
@@ -268,6 +295,7 @@ WHERE NOT (voice_id = 'Binh' AND d.doc_id IN (SELECT doc_id FROM labels WHERE to
     "similar_to_one_in_category": top_k("a.news_id = 7 AND b.category = '3'", 50).replace("SELECT source_news_id, rank", "SELECT rank"),
     "top_k_all": top_k("true", 10),
     "top_k_all_by_lists": top_k("true", 10),
+    "top_k_all_by_tree": top_k("true", 10),
     "top_k_approximate_all_lists": top_k("true", 10),
     "top_k_same_category": top_k("a.category = b.category", 50),
     "top_k_other_category": top_k("((a.category::INT + 3) % 10)::VARCHAR = b.category", 50),
@@ -301,7 +329,6 @@ FROM best JOIN units a USING (doc_id, idx) JOIN units b ON b.doc_id = a.doc_id A
     "embedding_summary": summary(hashed(), "ASC"),
     "second_embedder_summary": summary(hashed(96, "b:"), "DESC"),
     "short_documents": f"WITH {SPLIT_DOCS} SELECT doc_id, c AS cleaned, c AS summary FROM split_docs WHERE len(ss) <= 2",
-    "row_plugin_summary": f"""SELECT doc_id, len(list_filter(regexp_split_to_array(text, '{SPACE}'), lambda w: w <> ''))::VARCHAR AS summary FROM documents""",
     "two_summaries": f"""WITH {RESULTS}, {LEFT_OUT}, {SPLIT_DOCS}, {hashed()}, {CENTRALITY}, {ranks('ASC')}, {picked(0.3)}
 SELECT news_id, 'ok' AS status, {lead(0.2)} AS summary_short, coalesce(p.summary, '') AS summary_default,
   'position' AS short_method, 'embedding' AS default_method
@@ -314,6 +341,10 @@ SELECT news_id, coalesce(n_audio, 0)::BIGINT AS n_audio, coalesce(short, summary
 FROM results FULL JOIN made m USING (news_id)""",
     "index_snapshot": ALL_INDEXED,
     "index_from_stream": ALL_INDEXED,
+    "index_from_stream_by_catalog": ALL_INDEXED,
+    "stream_tally": TALLY,
+    "cache_hits_after_batch": HITS_SINCE,
+    "cache_hits_after_stream": HITS_SINCE,
     "cache_lookup": f"""WITH {CACHE}
 SELECT event_id, coalesce(category_filter, 'all') AS category_key, c.news_id IS NOT NULL AS hit,
   CASE WHEN c.news_id IS NOT NULL THEN 1 ELSE 0 END::BIGINT AS n_items

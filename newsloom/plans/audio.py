@@ -97,6 +97,17 @@ def store_audio(results: DataFrame, files: DataFrame, as_of: Column) -> DataFram
     return upsert(results, files, as_of)
 
 
+def drop_links(links: DataFrame, results: DataFrame, deleted: DataFrame) -> DataFrame:
+    """The links (s3_key, ...) without those of result rows (news_id) that are deleted.
+
+    A key that a row which stays refers to as well keeps its link.
+    """
+    files = results.select("news_id", F.explode("audio_files").alias("a")).select("news_id", "a.s3_key")
+    gone = files.join(deleted.select("news_id"), "news_id", "left_semi").select("s3_key")
+    shared = files.join(deleted.select("news_id"), "news_id", "left_anti").select("s3_key")
+    return links.join(gone.join(shared, "s3_key", "left_anti"), "s3_key", "left_anti").select(links.columns)
+
+
 def links_to_refresh(results: DataFrame, links: DataFrame, as_of: Column) -> DataFrame:
     """(news_id, voice_id, s3_key) of artifacts whose link is absent or about to expire.
 

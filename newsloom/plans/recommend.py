@@ -13,13 +13,33 @@ from newsloom.session import shared_dir
 KEY = ["news_id", "k", "category_key"]
 
 
-def read_cache(requests: DataFrame, cache: DataFrame, as_of: Column) -> DataFrame:
+def current_lists(cache: DataFrame, as_of: Column, epochs: DataFrame | None = None) -> DataFrame:
+    """Cached lists that may be served: not expired and, with ``epochs``, computed after the last indexing.
+
+    ``epochs`` is (category, indexed_at), see :func:`newsloom.plans.indexing.read_epochs`.
+    A list over a category counts as old from that category's last indexing on, a
+    list over everything from the last one of all. Categories are few, so Spark
+    broadcasts them and the cache is neither shuffled nor rewritten.
+    """
+    live = cache.where(F.col("expires_at") > as_of)
+    if epochs is None:
+        return live
+    own = epochs.select(F.col("category").alias("category_key"), "indexed_at")
+    last = epochs.agg(F.max("indexed_at").alias("indexed_at")).where("indexed_at is not null")
+    own = own.where(F.col("category_key") != ALL_CATEGORIES_KEY).unionByName(last.withColumn("category_key", F.lit(ALL_CATEGORIES_KEY)))
+    since = own.groupBy("category_key").agg(F.max("indexed_at").alias("indexed_at"))
+    dated = live.join(since, "category_key", "left")
+    return dated.where(F.col("indexed_at").isNull() | (F.col("computed_at") > F.col("indexed_at"))).select(cache.columns)
+
+
+def read_cache(requests: DataFrame, cache: DataFrame, as_of: Column, epochs: DataFrame | None = None) -> DataFrame:
     """Requests (news_id, k, category_filter) with ``category_key``, ``hit`` and the cached ``items``.
 
-    A hit needs the same key and ``as_of`` before the expiry. The expiry filter is
-    on the cache side of the join, so expired lists are dropped at the scan.
+    A hit needs the same key, ``as_of`` before the expiry and, with ``epochs``, a list
+    computed after the last indexing that concerns it. The expiry filter is on the
+    cache side of the join, so expired lists are dropped at the scan.
     """
-    live = cache.where(F.col("expires_at") > as_of).select(*KEY, "items", F.lit(True).alias("_live"))
+    live = current_lists(cache, as_of, epochs).select(*KEY, "items", F.lit(True).alias("_live"))
     keyed = normal_requests(requests).withColumn("category_key", category_key(F.col("category_filter")))
     return keyed.join(live, KEY, "left").withColumn("hit", F.coalesce("_live", F.lit(False))).drop("_live")
 
@@ -88,14 +108,16 @@ def invalidate(cache: DataFrame, indexed: DataFrame) -> DataFrame:
     return cache.join(changed.unionByName(everything), "category_key", "left_anti").select(cache.columns)
 
 
-def serve(requests: DataFrame, index: DataFrame, cache: DataFrame, as_of: Column, **search) -> tuple[DataFrame, DataFrame]:
+def serve(
+    requests: DataFrame, index: DataFrame, cache: DataFrame, as_of: Column, epochs: DataFrame | None = None, **search
+) -> tuple[DataFrame, DataFrame]:
     """Answer requests: (news_id, k, category_key, items, cached) and the cache afterwards.
 
     Requests that cannot be answered get null items. The computed lists feed both
     results, so they are written to the checkpoint folder once.
     """
     shared_dir(requests.sparkSession)
-    looked = read_cache(requests, cache, as_of)
+    looked = read_cache(requests, cache, as_of, epochs)
     fresh = expiring(missed_lists(looked.where(~F.col("hit")), index, **search), as_of).checkpoint()
     made = fresh.select(*KEY, F.col("items").alias("_made"))
     answers = looked.join(made, KEY, "left").select(

@@ -25,6 +25,7 @@ from newsloom.schemas import AUDIO_FILE, EMBEDDING, RESULT
 from newsloom.session import scratch_path
 from newsloom.sources import articles as A
 from newsloom.sources.batches import BatchTable
+from newsloom.sources.buckets import BucketTable
 from newsloom.streaming.index_stream import index_stream
 from newsloom.streaming.ttl import computed_once
 
@@ -170,7 +171,8 @@ def append_batches(spark, sf_dir):
     stored.append(rows.where("category < '5'"), "first")
     stored.append(rows.where("category >= '5'"), "second")
     stored.append(rows, "second")
-    return stored.read().select("news_id", "category", "title", F.size("embedding").cast("bigint").alias("dim"))
+    numbers = F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 1e6).cast("bigint").cast("string")), ",")
+    return stored.read().select("news_id", "category", "title", numbers.alias("vector"))
 
 
 def shown_results(rows: DataFrame) -> DataFrame:
@@ -185,12 +187,50 @@ def shown_results(rows: DataFrame) -> DataFrame:
     )
 
 
-def upsert_results(spark, sf_dir):
-    updates = table(spark, sf_dir, "documents").select(
+def result_updates(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("news_id"),
         F.when(F.col("lang") == "en", F.concat(F.lit("new "), F.col("n_chars").cast("string"))).alias("summary_short"),
     )
-    return shown_results(merge.upsert(results(spark, sf_dir), updates, at(AS_OF)))
+
+
+def upsert_results(spark, sf_dir):
+    return shown_results(merge.upsert(results(spark, sf_dir), result_updates(spark, sf_dir), at(AS_OF)))
+
+
+def file_text(files: str) -> Column:
+    """Audio records with all their fields."""
+    parts = ("voice_id", "description", "url", "s3_key", "filename")
+    return F.array_join(F.transform(files, lambda a: F.concat_ws("|", *[a[p] for p in parts])), ",")
+
+
+def merged_updates(spark, sf_dir):
+    """Several updates per article, each with another column, from the event log; the latest non-null value of each counts."""
+    events = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("news_id"),
+        "event_id",
+        F.when(F.col("event_type") == "click", F.concat(F.lit("s"), F.col("event_id").cast("string"))).alias("summary_short"),
+        F.when(F.col("event_type") != "click", F.concat(F.lit("d"), F.col("event_id").cast("string"))).alias("summary_default"),
+    )
+    return merge.merged_updates(events, "news_id", "event_id")
+
+
+def published_results(spark, sf_dir):
+    """The stored results after two published changes: updates by article, then deletions; read back with all records."""
+    stored = BucketTable(spark, scratch_path(spark, "results"), RESULT, n_buckets=16)
+    stored.create(results(spark, sf_dir))
+    stored.upsert(result_updates(spark, sf_dir), at(AS_OF))
+    stored.delete(french(spark, sf_dir))
+    return shown_results(stored.read()).withColumnRenamed("n_audio", "_n").join(
+        stored.read().select("news_id", file_text("audio_files").alias("audio_files")), "news_id"
+    ).drop("_n")
+
+
+def links_after_delete(spark, sf_dir):
+    """The links that stay when the results of French documents are deleted."""
+    keys = results(spark, sf_dir).select(F.explode("audio_files").alias("a")).select("a.s3_key")
+    links = keys.withColumn("signed_at", at(AS_OF))
+    return audio.drop_links(links, results(spark, sf_dir), french(spark, sf_dir)).select("s3_key")
 
 
 def french(spark, sf_dir):
@@ -451,21 +491,33 @@ def top_k_other_category(spark, sf_dir):
     return ranked(S.top_k(asked, rows))
 
 
+def top_k_all_by_tree(spark, sf_dir):
+    """The same result through sixteen lists under four branches, the lower pivots met in a join."""
+    rows = index(spark, sf_dir)
+    return ranked(S.top_k(S.all_requests(rows), rows, n_lists=16, nprobe=2, levels=2))
+
+
+# These vectors hardly cluster, so one list each and a wide stop find most for what is scored.
+LISTS, NEAR = 32, {"nprobe": 4, "spill": 1, "stop": 0.5}
+
+
 def top_k_approximate(spark, sf_dir):
     rows = index(spark, sf_dir)
-    centres = S.train_lists(rows, n_lists=32)
-    return ranked(S.top_k_approximate(S.all_requests(rows), rows, centres, nprobe=12))
+    return ranked(S.top_k_approximate(S.all_requests(rows), rows, S.train_lists(rows, n_lists=LISTS), **NEAR))
 
 
 def top_k_approximate_all_lists(spark, sf_dir):
-    """Visiting every list leaves nothing out, so this is the exact result."""
+    """Visiting every list, with each vector filed twice, leaves nothing out and repeats nothing: the exact result."""
     rows = index(spark, sf_dir)
-    return ranked(S.top_k_approximate(S.all_requests(rows), rows, S.train_lists(rows, n_lists=32), nprobe=32))
+    return ranked(S.top_k_approximate(S.all_requests(rows), rows, S.train_lists(rows, n_lists=LISTS), nprobe=LISTS, spill=2))
 
 
 def approximate_recall(spark, sf_dir):
+    """Recall of the approximate search, and the share of vectors that it scores."""
     rows = index(spark, sf_dir)
-    return S.recall(top_k_approximate(spark, sf_dir), S.top_k(S.all_requests(rows), rows))
+    requests, centres = S.all_requests(rows), S.train_lists(rows, n_lists=LISTS)
+    found = S.recall(S.top_k_approximate(requests, rows, centres, **NEAR), S.top_k(requests, rows))
+    return found.crossJoin(S.scored_share(requests, rows, centres, **NEAR))
 
 
 def shown_ranks(scored: DataFrame, ties: str) -> DataFrame:
@@ -570,29 +622,6 @@ def short_documents(spark, sf_dir):
     return split.select("doc_id", "cleaned", summaries.position_column(F.col("sentences"), 0.3).alias("summary"))
 
 
-def load_last_sentence():
-    """A stand-in generator: the last sentence of the prompt, and nothing for prompts with the first prefix."""
-
-    def generate(prompts):
-        first = summaries.PROMPT_PREFIXES[0]
-        return [None if p.startswith(first) else p.replace("! ", ". ").replace("? ", ". ").rsplit(". ", 1)[-1] for p in prompts]
-
-    return generate
-
-
-def generated_summary(spark, sf_dir):
-    return summaries.generated_summary(docs(spark, sf_dir), "last-sentence", load_last_sentence)
-
-
-def load_word_counter():
-    return lambda text, ratio: str(len(text.split()))
-
-
-def row_plugin_summary(spark, sf_dir):
-    """A summarizer supplied as a function of one text."""
-    return summaries.row_summarizer("word-counter", load_word_counter)(docs(spark, sf_dir), 0.3)
-
-
 def two_summaries(spark, sf_dir):
     made = summaries.summarize_misses(
         forced_requests(spark, sf_dir), articles(spark, sf_dir), results(spark, sf_dir), embedder=get_embedder()
@@ -627,9 +656,7 @@ def index_snapshot(spark, sf_dir):
 
 def index_from_stream(spark, sf_dir):
     stored = seeded_index(spark, sf_dir)
-    schema = table(spark, sf_dir, "documents").schema
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-    query = index_stream(as_articles(arriving), stored, at(AS_OF), scratch_path(spark, "index-stream"))
+    query = index_stream(document_stream(spark, sf_dir), stored, at(AS_OF), scratch_path(spark, "index-stream"))
     query.awaitTermination()
     return shown_index(stored.read())
 
@@ -658,13 +685,69 @@ def cache_invalidation(spark, sf_dir):
 
 def cache_after_indexing(spark, sf_dir):
     """What stays cached after new articles of three sources, each named like a cached category, were indexed."""
-    given = articles(spark, sf_dir).where("category in ('src1', 'src2', 'src3')")
-    arriving = given.withColumn("category", F.substring("category", 4, 10))
-    statused = indexing.index_batch(arriving, seeded_index(spark, sf_dir), at(AS_OF))
+    statused = indexing.index_batch(arriving_articles(articles(spark, sf_dir)), seeded_index(spark, sf_dir), at(AS_OF))
     kept = recommend.invalidate(cache(spark, sf_dir), statused.where("status = 'indexed'").select("category"))
     return kept.select("news_id", F.col("k").cast("bigint").alias("k"), "category_key")
 
 
+INDEXED_AT = "2024-01-15 12:00:00"
+
+
+def arriving_articles(articles: DataFrame) -> DataFrame:
+    """Articles of three sources, each named like a cached category."""
+    given = articles.where("category in ('src1', 'src2', 'src3')")
+    return given.withColumn("category", F.substring("category", 4, 10))
+
+
+def hits_since(spark, sf_dir, epochs: str) -> DataFrame:
+    looked = recommend.read_cache(request_log(spark, sf_dir), cache(spark, sf_dir), at(AS_OF), indexing.read_epochs(spark, epochs))
+    return looked.select("event_id", "category_key", "hit")
+
+
+def cache_hits_after_batch(spark, sf_dir):
+    """Hits once a snapshot has been indexed: only lists computed later, without a call to drop any."""
+    epochs = scratch_path(spark, "epochs")
+    indexing.index_batch(arriving_articles(articles(spark, sf_dir)), seeded_index(spark, sf_dir), at(INDEXED_AT), epochs=epochs)
+    return hits_since(spark, sf_dir, epochs)
+
+
+def document_stream(spark, sf_dir) -> DataFrame:
+    schema = table(spark, sf_dir, "documents").schema
+    return as_articles(spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir))
+
+
+def cache_hits_after_stream(spark, sf_dir):
+    """The same after the articles arrived in a stream."""
+    epochs, checkpoint = scratch_path(spark, "epochs"), scratch_path(spark, "index-stream")
+    arriving = arriving_articles(document_stream(spark, sf_dir))
+    index_stream(arriving, seeded_index(spark, sf_dir), at(INDEXED_AT), checkpoint, epochs=epochs).awaitTermination()
+    return hits_since(spark, sf_dir, epochs)
+
+
+def without_categories(articles: DataFrame) -> DataFrame:
+    """Every third article arrives without its category."""
+    return articles.withColumn("category", F.when(F.col("id") % 3 != 0, F.col("category")))
+
+
+def index_from_stream_by_catalog(spark, sf_dir):
+    """Articles that arrive without a category get it from the article table."""
+    stored = seeded_index(spark, sf_dir)
+    catalog = lambda: articles(spark, sf_dir).select("id", "category")
+    arriving = without_categories(document_stream(spark, sf_dir))
+    index_stream(arriving, stored, at(AS_OF), scratch_path(spark, "index-stream"), catalog=catalog).awaitTermination()
+    return shown_index(stored.read())
+
+
+def stream_tally(spark, sf_dir):
+    """The tallies of all micro-batches of the stream together."""
+    tallies = scratch_path(spark, "tallies")
+    query = index_stream(document_stream(spark, sf_dir), seeded_index(spark, sf_dir), at(AS_OF), scratch_path(spark, "index-stream"), tallies=tallies)
+    query.awaitTermination()
+    counts = ["indexed", "skipped", "already_indexed", "no_title", "invalid"]
+    made = spark.read.schema("batch_id bigint, " + ", ".join(f"{c} bigint" for c in counts)).parquet(tallies)
+    return made.agg(*[F.sum(c).alias(c) for c in counts])
+
+
 def links_to_refresh(spark, sf_dir):
     """Stored artifacts against links signed at the times of the event log."""
     signed = table(spark, sf_dir, "events").groupBy(
@@ -688,7 +771,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         list_articles, articles_in_category, article_page, fetch_content, append_batches,
-        upsert_results, delete_results, deletion_report, one_per_key, duplicate_counts,
+        upsert_results, merged_updates, published_results, links_after_delete, delete_results, deletion_report, one_per_key, duplicate_counts,
         row_constraints, result_defaults,
         titled_articles, content_status, request_bounds, usable_summaries,
         clean_text, sentences, embedding_inputs, lead_words, printable_text, tidied_titles,
@@ -696,16 +779,17 @@ QUERIES: dict[str, Query] = {
         unit_vectors, pair_cosines, article_embeddings, sentence_embeddings,
         new_articles, known_articles, request_sources, article_categories, article_exists,
         summary_cache, audio_cache, audio_work_list, missing_voices,
-        similar_to_one, similar_to_one_in_category, top_k_all, top_k_all_by_lists,
+        similar_to_one, similar_to_one_in_category, top_k_all, top_k_all_by_lists, top_k_all_by_tree,
         top_k_same_category, top_k_other_category, top_k_approximate, approximate_recall,
         top_k_approximate_all_lists,
         position_ranking, tfidf_ranking, embedding_ranking,
         total_indexed, count_by_category, index_stats, index_tally, collected_audio,
         tfidf_weights, similarity_rows, compared_methods,
         position_summary, tfidf_summary, embedding_summary, second_embedder_summary,
-        short_documents, generated_summary, row_plugin_summary, two_summaries, stored_summaries,
+        short_documents, two_summaries, stored_summaries,
         index_snapshot, index_from_stream, cache_lookup, cache_write_back, cache_invalidation,
-        cache_after_indexing,
+        cache_after_indexing, cache_hits_after_batch, cache_hits_after_stream,
+        index_from_stream_by_catalog, stream_tally,
         links_to_refresh, computed_once_stream,
     )
 }

@@ -111,3 +111,54 @@ def test_scores_fall_and_recall(spark, crowd):
     assert S.recall(near, exact).first().recall > 0.9
     every = S.top_k_approximate(S.all_requests(index), index, centres, nprobe=6)
     assert S.recall(every, exact).first().recall == 1.0
+
+
+@pytest.mark.parametrize("lists,nprobe,bytes_", [(9, 1, 1), (30, 2, 1), (16, 1, 64 << 20)])
+def test_pivot_tree_equals_brute_force(spark, crowd, monkeypatch, lists, nprobe, bytes_):
+    """Pivots that are too large to broadcast become a tree instead of an error; results stay exact."""
+    monkeypatch.setattr(S, "MAX_PIVOT_BYTES", bytes_)
+    monkeypatch.setattr(S, "ROWS_PER_BRANCH_PART", 7)
+    index = table(spark, crowd)
+    levels = 2 if bytes_ > 1 else None
+    assert isinstance(S.choose_pivots(index, lists, levels), S.PivotTree)
+    requests = S.all_requests(index, 10).union(S.all_requests(index, 3, same_category=True))
+    got = answers(S.top_k(requests, index, n_lists=lists, nprobe=nprobe, rows_per_tile=11, levels=levels))
+    for i, c, _ in crowd:
+        assert got.get((i, 10, None), []) == brute_force(crowd, i, 10), i
+        assert got.get((i, 3, c), []) == brute_force(crowd, i, 3, c), i
+
+
+def test_pivot_tree_of_odd_tables(spark):
+    zeros = table(spark, [(1, "a", [0, 0]), (2, "a", None)])
+    assert len(S.choose_pivots(zeros, 4, 2)) == 0 and S.top_k(S.all_requests(zeros), zeros, n_lists=4, levels=2).count() == 0
+    same = table(spark, [(i, "a", [1, 2]) for i in range(9)])
+    got = answers(S.top_k(S.all_requests(same, 3), same, n_lists=5, nprobe=1, levels=2))
+    assert [i for i, _ in got[(4, 3, None)]] == [0, 1, 2] and [i for i, _ in got[(0, 3, None)]] == [1, 2, 3]
+
+
+def test_spilled_lists(spark, crowd):
+    """Each vector is filed once per list; what two lists both find is one match; a wider stop visits more."""
+    index = table(spark, crowd)
+    centres = S.train_lists(index, n_lists=6)
+    filed = S.with_lists(index.where("news_id <> 300").select("news_id", "embedding"), centres, 3).collect()
+    lists = {}
+    for r in filed:
+        lists.setdefault(r.news_id, []).append(r.list_id)
+    assert all(len(x) == len(set(x)) == 3 for x in lists.values()) and len(lists) == len(crowd) - 1
+    first = S.with_list(index.where("news_id <> 300").select("news_id", "embedding"), centres).collect()
+    assert all(lists[r.news_id][0] == r.list_id for r in first)
+    exact = S.top_k(S.all_requests(index), index)
+    every = S.top_k_approximate(S.all_requests(index), index, centres, nprobe=6, spill=3, stop=0.0)
+    assert answers(every) == answers(exact)
+    shares = [S.scored_share(S.all_requests(index), index, centres, nprobe=1, spill=1, stop=stop).first() for stop in (0.0, 0.5, 9.0)]
+    assert shares[0].lists_visited == 1 < shares[1].lists_visited < shares[2].lists_visited == 6 and shares[2].scored_share == 1
+    near = S.top_k_approximate(S.all_requests(index), index, centres, nprobe=1, spill=2, stop=0.6)
+    assert S.recall(near, exact).first().recall > 0.9
+
+
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_registered_recall(spark, folder):
+    from newsloom.workloads import approximate_recall
+
+    found = approximate_recall(spark, f"/root/testdata/{folder}").first()
+    assert found.recall >= 0.9 and found.scored_share < 0.95

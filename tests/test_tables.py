@@ -9,6 +9,7 @@ from newsloom.schemas import EMBEDDING, RESULT
 from newsloom.session import scratch_path
 from newsloom.sources import articles as A
 from newsloom.sources.batches import BatchTable
+from newsloom.sources.buckets import BucketTable
 from newsloom.streaming.index_stream import index_stream
 from newsloom.streaming.ttl import computed_once, computed_once_native
 
@@ -242,3 +243,95 @@ def test_ttl_stream(spark, tmp_path):
     assert got == [("a", second(0), 2), ("a", second(3600), 2), ("a", second(7200), 1), ("b", second(10), 1), ("b", second(9000), 1), ("c", second(9000), 1)]
     run("native", computed_once_native(spark.readStream.schema(schema).parquet(inbox)))
     assert {r.key for r in spark.read.parquet(str(tmp_path / "native")).collect()} == {"a", "b", "c"}
+
+
+def test_updates_merge_by_column(spark):
+    fields = "news_id bigint, seq int, summary_short string, summary_default string"
+    given = [(1, 1, "S2", None), (1, 2, None, "D2"), (2, 1, "a", "x"), (2, 2, "b", None), (2, 3, None, None), (3, None, "only", None), (None, 1, "n", None)]
+    updates = spark.createDataFrame(given, fields)
+    got = {r.news_id: r[1:] for r in merge.merged_updates(updates, "news_id", "seq").collect()}
+    assert got == {1: ("S2", "D2"), 2: ("b", "x"), 3: ("only", None), None: ("n", None)}
+    assert {r.news_id: r[1:] for r in merge.merged_updates(updates.drop("seq")).collect()}[2] == ("b", "x")
+    t = dt.datetime(2023, 1, 1)
+    after = merge.upsert(result(spark, [(1, [], "s", "m", "d", t, t)]), updates.where("news_id = 1"), at(T1), order="seq").first()
+    assert (after.summary_short, after.summary_medium, after.summary_default) == ("S2", "m", "D2")
+
+
+def files_of(path):
+    import glob
+    import os
+
+    return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/bucket=*/*.parquet")}
+
+
+def test_bucket_table(spark, tmp_path):
+    t = dt.datetime(2023, 1, 1)
+    stored = BucketTable(spark, str(tmp_path / "results"), RESULT, n_buckets=8)
+    stored.create(result(spark, [(i, [("Binh", "d", "u", f"k{i}", "f")], f"s{i}", None, None, t, t) for i in range(60)]))
+    with pytest.raises(Exception):
+        stored.create(result(spark, []))
+    before = files_of(stored.path)
+    updates = spark.createDataFrame([(3, "new", None), (3, None, "default"), (99, "added", None)], "news_id bigint, summary_short string, summary_default string")
+    touched = stored.upsert(updates, at(T1))
+    bucket = {r.id: r.b for r in spark.range(100).select("id", F.pmod(F.xxhash64("id"), F.lit(8)).alias("b")).collect()}
+    assert touched == sorted({bucket[3], bucket[99]})
+    after = files_of(stored.path)
+    kept = {f for f in before if int(f.split("bucket=")[1].split("/")[0]) not in touched}
+    assert kept and all(after.get(f) == before[f] for f in kept) and not (set(before) - kept) & set(after)
+    rows = {r.news_id: r for r in stored.read().collect()}
+    assert len(rows) == 61 and (rows[3].summary_short, rows[3].summary_default) == ("new", "default") and rows[3].created_at == t
+    assert rows[4].summary_short == "s4" and rows[99].audio_files == [] and rows[3].audio_files[0].s3_key == "k3"
+    # Repeating a change gives the same; deleting all of a bucket removes it.
+    stored.upsert(updates, at(T1))
+    assert stored.read().count() == 61
+    gone = [i for i in range(60) if bucket[i] == touched[0]] + [99] * (bucket[99] == touched[0])
+    keys = spark.createDataFrame([(i,) for i in gone] + [(12345,)], "news_id bigint")
+    assert stored.delete(keys) == [touched[0]] and not any(f"bucket={touched[0]}/" in f for f in files_of(stored.path))
+    assert {r.news_id for r in stored.read().collect()} == set(rows) - set(gone)
+    assert stored.delete(keys) == [] and stored.delete(keys.limit(0)) == [] and stored.upsert(updates.limit(0), at(T1)) == []
+
+
+def test_links_go_with_their_rows(spark):
+    t = dt.datetime(2023, 1, 1)
+    files = lambda *keys: [("v", "d", "u", k, "f") for k in keys]
+    stored = result(spark, [(1, files("a", "shared"), None, None, None, t, t), (2, files("b", "shared"), None, None, None, t, t), (3, [], None, None, None, t, t)])
+    links = spark.createDataFrame([(k, t) for k in ("a", "b", "shared", "unknown")], "s3_key string, signed_at timestamp")
+    drop = spark.createDataFrame([(1,), (3,), (7,)], "news_id bigint")
+    assert {r.s3_key for r in audio.drop_links(links, stored, drop).collect()} == {"b", "shared", "unknown"}
+
+
+def test_stream_looks_up_categories_and_dates_them(spark, tmp_path):
+    inbox, epochs, tallies = tmp_path / "in", str(tmp_path / "epochs"), str(tmp_path / "tallies")
+    catalog_path = str(tmp_path / "catalog")
+    arriving = [(1, "One", "d", None, None, "x"), (2, "Two", "d", "", None, "x"), (3, "Three", "d", "own", None, "x"), (4, "Four", "d", None, None, "x"), (5, None, "d", "c", None, "x")]
+    spark.createDataFrame([(1, "c1"), (1, "z"), (3, "other")], "id bigint, category string").write.parquet(catalog_path)
+    stored, checkpoint = index_of(spark), str(tmp_path / "cp")
+
+    def run(rows, when):
+        spark.createDataFrame(rows, ARTICLE_FIELDS).coalesce(1).write.parquet(str(inbox), mode="append")
+        stream = spark.readStream.schema(ARTICLE_FIELDS).parquet(str(inbox))
+        catalog = lambda: spark.read.parquet(catalog_path)
+        index_stream(stream, stored, at(when), checkpoint, catalog=catalog, epochs=epochs, tallies=tallies).awaitTermination()
+
+    run(arriving, T0)
+    assert {r.news_id: r.category for r in stored.read().collect()} == {1: "c1", 2: "UNKNOWN", 3: "own", 4: "UNKNOWN"}
+    # The catalogue is read again for the next batch.
+    spark.createDataFrame([(6, "late")], "id bigint, category string").write.parquet(catalog_path, mode="append")
+    run([(6, "Six", "d", None, None, "x"), (3, "Three", "d", "own", None, "x")], T1)
+    assert {r.news_id: r.category for r in stored.read().collect()}[6] == "late"
+    counts = [(r.indexed, r.skipped, r.already_indexed, r.no_title, r.invalid) for r in spark.read.parquet(tallies).orderBy("batch_id").collect()]
+    assert counts == [(4, 1, 0, 1, 0), (1, 1, 1, 0, 0)]
+    dated = {r.category: str(r.indexed_at) for r in indexing.read_epochs(spark, epochs).collect()}
+    assert set(dated) == {"c1", "UNKNOWN", "own", "late"} and dated["late"] > dated["own"]
+
+    item = F.array(F.struct(F.lit(1).cast("bigint").alias("news_id"), F.lit("t").alias("title"), F.lit("c").alias("category"), F.lit(0.5).alias("similarity_score")))
+    lists = spark.createDataFrame(
+        [(1, 5, "own", T0), (2, 5, "own", "2024-01-01 00:00:01"), (3, 5, "all", "2024-01-01 12:00:00"), (4, 5, "all", "2024-01-02 00:00:01"), (5, 5, "quiet", "2023-12-31 00:00:00")],
+        "news_id bigint, k int, category_key string, computed string",
+    )
+    cache = lists.select("news_id", "k", "category_key", item.alias("items"), F.col("computed").cast("timestamp").alias("computed_at"), at("2024-02-01 00:00:00").alias("expires_at"))
+    asked = cache.select("news_id", "k", F.when(F.col("category_key") != "all", F.col("category_key")).alias("category_filter"))
+    looked = recommend.read_cache(asked, cache, at("2024-01-03 00:00:00"), indexing.read_epochs(spark, epochs))
+    assert {r.news_id: r.hit for r in looked.collect()} == {1: False, 2: True, 3: False, 4: True, 5: True}
+    none = indexing.read_epochs(spark, epochs).limit(0)
+    assert all(r.hit for r in recommend.read_cache(asked, cache, at("2024-01-03 00:00:00"), none).collect())
