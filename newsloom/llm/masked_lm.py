@@ -2,27 +2,38 @@
 
 Every token is predicted from the ``SIDE`` tokens on each side, itself hidden; a
 document's score is the sum of the conditional log-probabilities of all its tokens.
-Tokens are lower-case words in ``VOCABULARY`` hashed places. The network gives the
-probability of a token's class, and the counts of the whole corpus that of the
-token within its class: the ``SINGLE`` commonest places are classes of their own,
-the others share the rest.
-
-Counts cover every token of every document. Training also passes over every
-document: each task fits the network to every position of its rows, from common
-first weights, and the weights are averaged by the positions seen. So what is
-gathered grows with the corpus, while counts and weights themselves have fixed
-sizes. Sums are taken in the order of the partitions, so a rerun over the same
-files gives the same scores.
+Tokens are lower-case words. The network gives the probability of a token's class,
+in two levels: its group of classes, then the class within the group. The exact
+counts of the whole corpus give the word's share of its class, so that different
+words of one class keep their own probabilities.
+
+The counts of all words are a Spark table that grows with the corpus. The ``KNOWN``
+commonest words have a rank that tasks hold (a broadcast of bounded size): the
+``SINGLE`` first are classes of their own, the others form bands of like frequency
+and about equal mass. All further words are one class, and their counts meet the
+documents in a join; none of them is frequent, so no key of it is hot. Words of
+more than ``LONGEST`` characters are named by a 128-bit digest.
+
+Training passes over every position of every document: each task fits the network
+to its rows, from common first weights, and the weights are averaged by the
+positions seen. The ``INPUTS`` - 1 commonest words are told apart as neighbours.
+Scores depend on how the files are split into tasks, as the averaged weights do;
+they are rounded to six digits.
+
+``n_alone`` counts the tokens whose word stands in no other row: of a document that
+occurs twice there are none.
 
 A null text counts as empty and scores 0 over 0 tokens. Rows repeated as a whole
-are scored alike. Texts are scored whole.
+are scored alike. Texts are scored whole. Key columns may be null and repeat.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,44 +41,41 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import map_batches, text_or_empty
+from newsloom.llm.common import map_batches, text_or_empty, written
 
-VOCABULARY = 1 << 16
-CLASSES, SINGLE = 128, 64
-INPUTS, SIZE, HIDDEN = 4096, 16, 32
+KNOWN = 1 << 16
+SINGLE, GROUPS, EACH = 128, 8, 32
+CLASSES = GROUPS * EACH
+INPUTS, HIDDEN = 4096, 16
 SIDE = 2
-BATCH, RATE = 2048, 0.01
-CHUNK = 2048
-CACHED_WORDS = 300_000
+BATCH, RATE = 2048, 0.1
+CHUNK = 4096
+COUNTED_WORDS = 400_000
 AT_ONCE = 1 << 14
+LONGEST = 64
 WORD = re.compile(r"\w+")
 SLOTS = tuple(d for d in range(-SIDE, SIDE + 1) if d)
 
 
-class Reader:
-    """Texts as places in the vocabulary."""
+def words_of(text: str) -> list[str]:
+    found = WORD.findall(text.lower())
+    if len(text) > LONGEST and found and max(map(len, found)) > LONGEST:
+        # No word holds a blank, so digests are told from words.
+        found = [w if len(w) <= LONGEST else " " + hashlib.blake2b(w.encode(), digest_size=16).hexdigest() for w in found]
+    return found
 
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
 
-    def places(self, text: str) -> np.ndarray:
-        words, known = WORD.findall(text.lower()), self.known
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        found = [known.get(w) for w in words]
-        if None in found:
-            for i, w in enumerate(words):
-                if found[i] is None:
-                    known[w] = found[i] = zlib.crc32(w.encode()) % VOCABULARY
-        return np.array(found, np.int64)
+def ranks_of(words: list[str], known: dict[str, int]) -> np.ndarray:
+    """Places in the order of frequency; words that are not known share the one behind the last."""
+    return np.fromiter(map(known.get, words, repeat(len(known))), np.int64, len(words))
 
 
 def contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, their neighbours as input rows: tokens x 2 SIDE); INPUTS marks a text's ends."""
+    """(ranks, their neighbours as input rows: tokens x slots); row INPUTS marks a text's ends."""
     edge = np.full(SIDE, -1, np.int64)
     joined = np.concatenate([x for t in texts for x in (t, edge)] or [edge])
     padded = np.concatenate([edge, joined, edge])
-    rows = np.where(padded >= 0, padded % INPUTS, INPUTS)
+    rows = np.where(padded >= 0, np.minimum(padded, INPUTS - 1), INPUTS)
     at = np.flatnonzero(joined >= 0)
     return joined[at], np.stack([rows[at + SIDE + d] for d in SLOTS], axis=1)
 
@@ -76,17 +84,24 @@ def contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Statistics:
-    """Class of each place, log-probability of the place within it and alone, log-probability of the classes."""
-
-    def __init__(self, counts: np.ndarray) -> None:
-        order = np.lexsort((np.arange(VOCABULARY), -counts))
-        self.classes = SINGLE + np.arange(VOCABULARY) % (CLASSES - SINGLE)
-        self.classes[order[:SINGLE]] = np.arange(SINGLE)
-        smooth = counts + 1.0
-        total = np.bincount(self.classes, weights=smooth, minlength=CLASSES)
-        self.within = np.log(smooth / total[self.classes])
-        self.alone = np.log(smooth / smooth.sum())
-        self.prior = np.log(total / total.sum())
+    """Of the known words and the class of all others: counts, classes, log-probabilities within the class and alone."""
+
+    def __init__(self, words: list[str], counts: np.ndarray, total: int) -> None:
+        self.known = {w: i for i, w in enumerate(words)}
+        self.counts, self.total = counts.astype(np.int64), max(int(total), 1)
+        n = len(words)
+        self.classes = np.full(n + 1, CLASSES - 1)
+        self.classes[:n][:SINGLE] = np.arange(min(n, SINGLE))
+        if n > SINGLE:
+            mass = np.cumsum(counts[SINGLE:]) / counts[SINGLE:].sum()
+            bands = CLASSES - 1 - SINGLE
+            self.classes[SINGLE:n] = SINGLE + np.minimum((mass * bands).astype(int), bands - 1)
+        self.others = max(int(total) - int(self.counts.sum()), 0)
+        mass = np.bincount(self.classes, weights=np.append(self.counts, self.others), minlength=CLASSES)
+        # What the counts of further words add is joined later.
+        self.within = np.append(np.log(self.counts / mass[self.classes[:n]]), 0.0)
+        self.alone = np.append(np.log(self.counts / self.total), 0.0)
+        self.prior = np.log((mass + 1) / (mass + 1).sum()).reshape(GROUPS, EACH)
 
 
 # --- the network ----------------------------------------------------------------
@@ -98,12 +113,14 @@ def first_weights(prior: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
     def normal(*shape: int, by: float) -> np.ndarray:
         return (rng.standard_normal(shape) * by).astype(np.float32)
 
+    groups = np.log(np.exp(prior).sum(axis=1))
     return {
-        "embed": normal(INPUTS + 1, SIZE, by=0.1),
-        "hidden": normal(len(SLOTS), SIZE, HIDDEN, by=0.25),
-        "hidden_bias": np.zeros(HIDDEN, np.float32),
-        "out": normal(HIDDEN, CLASSES, by=0.05),
-        "out_bias": prior.astype(np.float32),
+        "near": normal(len(SLOTS) * (INPUTS + 1), HIDDEN, by=0.2),
+        "near_bias": np.zeros(HIDDEN, np.float32),
+        "group": normal(HIDDEN, GROUPS, by=0.1),
+        "group_bias": groups.astype(np.float32),
+        "class": normal(GROUPS, HIDDEN, EACH, by=0.1),
+        "class_bias": (prior - groups[:, None]).astype(np.float32),
     }
 
 
@@ -119,121 +136,157 @@ def shaped(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndar
     return out
 
 
-def slot_tables(p: dict[str, np.ndarray]) -> np.ndarray:
-    """What each input row adds to the hidden layer in each slot."""
-    return np.stack([p["embed"] @ w for w in p["hidden"]])
+def _table_rows(near: np.ndarray) -> np.ndarray:
+    return near + np.arange(len(SLOTS)) * (INPUTS + 1)
 
 
-def class_log_probs(p: dict[str, np.ndarray], tables: np.ndarray, near: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    total = p["hidden_bias"] + tables[0][near[:, 0]]
+def _hidden(p: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
+    total = p["near"][rows[:, 0]]
     for slot in range(1, len(SLOTS)):
-        total += tables[slot][near[:, slot]]
-    logits = np.tanh(total, out=total) @ p["out"] + p["out_bias"]
+        total += p["near"][rows[:, slot]]
+    total += p["near_bias"]
+    return np.tanh(total, out=total)
+
+
+def _softmax(logits: np.ndarray) -> np.ndarray:
     logits -= logits.max(axis=1, keepdims=True)
-    picked = logits[np.arange(len(near)), wanted]
-    return picked - np.log(np.exp(logits, out=logits).sum(axis=1))
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=1, keepdims=True)
+    return logits
+
+
+def _by_group(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in the order of their group, and where each group begins."""
+    groups = (classes // EACH).astype(np.uint8)
+    return np.argsort(groups, kind="stable"), np.searchsorted(np.sort(groups), np.arange(GROUPS + 1))
+
+
+def class_log_probs(p: dict[str, np.ndarray], near: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    order, starts = _by_group(wanted)
+    classes = wanted[order]
+    h = _hidden(p, _table_rows(near[order]))
+    found = _softmax(h @ p["group"] + p["group_bias"])[np.arange(len(order)), classes // EACH]
+    for g in range(GROUPS):
+        a, b = starts[g], starts[g + 1]
+        if a < b:
+            shares = _softmax(h[a:b] @ p["class"][g] + p["class_bias"][g])
+            found[a:b] *= shares[np.arange(b - a), classes[a:b] % EACH]
+    out = np.empty(len(order))
+    out[order] = np.log(np.maximum(found, np.float32(1e-30)))
+    return out
 
 
 class Trainer:
+    """Adagrad over batches of positions."""
+
     def __init__(self, p: dict[str, np.ndarray]) -> None:
         self.p = {k: v.copy() for k, v in p.items()}
-        self.m = {k: np.zeros_like(v) for k, v in p.items()}
-        self.v = {k: np.zeros_like(v) for k, v in p.items()}
-        self.t = self.seen = 0
+        self.v = {k: np.full_like(v, 1e-4) for k, v in p.items()}
+        self.seen = 0
 
     def step(self, near: np.ndarray, wanted: np.ndarray) -> None:
         p, n = self.p, len(near)
-        x = p["embed"][near]  # positions x slots x SIZE
-        h = np.tanh(np.einsum("nsd,sdh->nh", x, p["hidden"], optimize=True) + p["hidden_bias"])
-        logits = h @ p["out"] + p["out_bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        d = np.exp(logits)
-        d /= d.sum(axis=1, keepdims=True)
-        d[np.arange(n), wanted] -= 1
-        d /= n
-        d_h = (d @ p["out"].T) * (1 - h * h)
-        g = {"out": h.T @ d, "out_bias": d.sum(axis=0), "hidden_bias": d_h.sum(axis=0)}
-        g["hidden"] = np.einsum("nsd,nh->sdh", x, d_h, optimize=True)
-        d_x = np.einsum("nh,sdh->nsd", d_h, p["hidden"], optimize=True).reshape(-1, SIZE)
-        rows = near.ravel()
-        order = np.argsort(rows, kind="stable")
-        starts = np.flatnonzero(np.r_[True, np.diff(rows[order]) > 0])
-        self.t += 1
-        self.seen += n
-        self._adam("embed", rows[order][starts], np.add.reduceat(d_x[order], starts, axis=0))
+        order, starts = _by_group(wanted)
+        classes, rows = wanted[order], _table_rows(near[order])
+        h = _hidden(p, rows)
+        d = _softmax(h @ p["group"] + p["group_bias"])
+        d[np.arange(n), classes // EACH] -= 1
+        d_h = d @ p["group"].T
+        g = {"group": h.T @ d, "group_bias": d.sum(axis=0), "class": np.zeros_like(p["class"]), "class_bias": np.zeros_like(p["class_bias"])}
+        for k in range(GROUPS):
+            a, b = starts[k], starts[k + 1]
+            if a < b:
+                d = _softmax(h[a:b] @ p["class"][k] + p["class_bias"][k])
+                d[np.arange(b - a), classes[a:b] % EACH] -= 1
+                g["class"][k], g["class_bias"][k] = h[a:b].T @ d, d.sum(axis=0)
+                d_h[a:b] += d @ p["class"][k].T
+        d_h *= 1 - h * h
+        g["near_bias"] = d_h.sum(axis=0)
         for name, value in g.items():
-            self._adam(name, slice(None), value)
+            self._adagrad(name, slice(None), value)
+        flat_rows = rows.ravel().astype(np.uint16)
+        by = np.argsort(flat_rows, kind="stable")
+        held = flat_rows[by]
+        first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
+        self._adagrad("near", held[first], np.add.reduceat(d_h[by // len(SLOTS)], first, axis=0))
+        self.seen += n
 
-    def _adam(self, name: str, at: np.ndarray | slice, grad: np.ndarray) -> None:
-        m, v = self.m[name], self.v[name]
-        m[at] = 0.9 * m[at] + 0.1 * grad
-        v[at] = 0.99 * v[at] + 0.01 * grad * grad
-        step = RATE * (m[at] / (1 - 0.9**self.t)) / (np.sqrt(v[at] / (1 - 0.99**self.t)) + 1e-6)
-        self.p[name][at] -= step.astype(np.float32)
+    def _adagrad(self, name: str, at: np.ndarray | slice, grad: np.ndarray) -> None:
+        v = self.v[name][at] + grad * grad
+        self.v[name][at] = v
+        self.p[name][at] -= np.float32(RATE) * grad / np.sqrt(v)
 
 
 # --- tables ---------------------------------------------------------------------
 
 
-def corpus_counts(docs: DataFrame) -> np.ndarray:
-    """Occurrences of every place of the vocabulary in all documents; at most VOCABULARY rows reach the driver."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) over all texts, written in the shared folder; tasks add up before anything is shuffled."""
+
+    def made(counter: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counter), pa.string()), pa.array(list(counter.values()), pa.int64())], ["word", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, total = Reader(), np.zeros(VOCABULARY, np.int64)
+        counter: Counter = Counter()
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                places = [reader.places(t.as_py()) for t in batch["_text"].slice(i, 256)]
-                total += np.bincount(np.concatenate(places), minlength=VOCABULARY)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["place", "n"])
-
-    rows = map_batches(docs.select(text_or_empty().alias("_text")), count, "place long, n long")
-    out = np.zeros(VOCABULARY, np.int64)
-    for r in rows.groupBy("place").agg(F.sum("n").alias("n")).collect():
-        out[r["place"]] = r["n"]
-    return out
+            for text in batch["_text"]:
+                counter.update(words_of(text.as_py()))
+                if len(counter) >= COUNTED_WORDS:
+                    yield made(counter)
+                    counter = Counter()
+        if counter:
+            yield made(counter)
+
+    rows = map_batches(docs.select(text_or_empty().alias("_text")), count, "word string, n long")
+    return written(rows.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+
+
+def statistics_of(counts: DataFrame, known: int = KNOWN) -> Statistics:
+    """At most ``known`` words of at most ``LONGEST`` characters reach the driver."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    rows = counts.orderBy(F.col("n").desc(), "word").limit(known).toPandas()
+    return Statistics(rows["word"].tolist(), rows["n"].to_numpy(np.int64), total)
 
 
 def fit(docs: DataFrame, statistics: Statistics) -> dict[str, np.ndarray]:
     """Weights averaged over the tasks that each train on their share of the documents."""
     first = first_weights(statistics.prior)
     size = flat(first).size
-    shared = docs.sparkSession.sparkContext.broadcast((first, statistics.classes))
+    shared = docs.sparkSession.sparkContext.broadcast((first, statistics.known, statistics.classes))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, classes = shared.value
-        trainer, reader = Trainer(start), Reader()
+        start, known, classes = shared.value
+        trainer = Trainer(start)
         near, wanted, held = [], [], 0
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
-                tokens, around = contexts([reader.places(t.as_py()) for t in batch["_text"].slice(i, 64)])
+                ranks, around = contexts([ranks_of(words_of(t.as_py()), known) for t in batch["_text"].slice(i, 64)])
                 near.append(around)
-                wanted.append(classes[tokens])
-                held += len(wanted[-1])
+                wanted.append(classes[ranks])
+                held += len(ranks)
                 if held >= 32 * BATCH:
                     _learn(trainer, np.concatenate(near), np.concatenate(wanted))
                     near, wanted, held = [], [], 0
         if held:
             _learn(trainer, np.concatenate(near), np.concatenate(wanted))
         if trainer.seen:
-            part, values = TaskContext.get().partitionId(), flat(trainer.p).astype(np.float64) * trainer.seen
+            part, values = TaskContext.get().partitionId(), flat(trainer.p)
             chunks = [values[i : i + CHUNK].tobytes() for i in range(0, size, CHUNK)]
             n = len(chunks)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, trainer.seen)), pa.array(chunks)],
-                ["chunk", "part", "n", "sums"],
+                ["chunk", "part", "n", "weights"],
             )
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, n, total = None, 0, None
 
         def done() -> pa.RecordBatch:
-            mean = [(total / n).tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array(mean)], ["chunk", "mean"])
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([(total / n).tobytes()])], ["chunk", "mean"])
 
         for batch in batches:
             for row in batch.to_pylist():
-                values = np.frombuffer(row["sums"])
+                values = np.frombuffer(row["weights"], np.float32).astype(np.float64) * row["n"]
                 if row["chunk"] != chunk:
                     if chunk is not None:
                         yield done()
@@ -242,9 +295,9 @@ def fit(docs: DataFrame, statistics: Statistics) -> dict[str, np.ndarray]:
         if chunk is not None:
             yield done()
 
-    parts = map_batches(docs.select(text_or_empty().alias("_text")), local, "chunk int, part int, n long, sums binary")
+    parts = map_batches(docs.select(text_or_empty().alias("_text")), local, "chunk int, part int, n long, weights binary")
     ordered = parts.repartition("chunk").sortWithinPartitions("chunk", "part")
-    means = {r["chunk"]: np.frombuffer(r["mean"]) for r in map_batches(ordered, summed, "chunk int, mean binary").collect()}
+    means = {r["chunk"]: np.frombuffer(r["mean"]) for r in map_batches(ordered, averaged, "chunk int, mean binary").collect()}
     return shaped(np.concatenate([means[c] for c in sorted(means)]), first) if means else first
 
 
@@ -254,39 +307,72 @@ def _learn(trainer: Trainer, near: np.ndarray, wanted: np.ndarray) -> None:
         trainer.step(near[order[i : i + BATCH]], wanted[order[i : i + BATCH]])
 
 
-def scored(docs: DataFrame, weights: dict[str, np.ndarray], statistics: Statistics, keys: dict[str, Column]) -> DataFrame:
-    """The key columns, n_tokens, log_prob (sum over all tokens), mean_log_prob and unigram_log_prob per row."""
+def known_sums(docs: DataFrame, weights: dict[str, np.ndarray], statistics: Statistics, keys: dict[str, Column]) -> DataFrame:
+    """Per row the key columns, a number ``_row``, ``n_tokens``, what known words give, and ``_rest``: the other words with their number."""
     names = list(keys)
     rows = docs.select(*[c.alias(n) for n, c in keys.items()], text_or_empty().alias("_text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
     shared = docs.sparkSession.sparkContext.broadcast((weights, statistics))
+    rest_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, stats = shared.value
-        tables, reader = slot_tables(p), Reader()
+        n_known, number = len(stats.known), TaskContext.get().partitionId() << 40
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
-                texts = [reader.places(t.as_py()) for t in part["_text"]]
-                tokens, near = contexts(texts)
-                wanted, logs = stats.classes[tokens], np.empty(len(tokens))
-                for i in range(0, len(tokens), AT_ONCE):
-                    logs[i : i + AT_ONCE] = class_log_probs(p, tables, near[i : i + AT_ONCE], wanted[i : i + AT_ONCE])
+                words = [words_of(t.as_py()) for t in part["_text"]]
+                texts = [ranks_of(w, stats.known) for w in words]
+                ranks, near = contexts(texts)
+                wanted, logs = stats.classes[ranks], np.empty(len(ranks))
+                for i in range(0, len(ranks), AT_ONCE):
+                    logs[i : i + AT_ONCE] = class_log_probs(p, near[i : i + AT_ONCE], wanted[i : i + AT_ONCE])
+                m = len(texts)
                 n = np.array([len(t) for t in texts], np.int64)
-                doc = np.repeat(np.arange(len(texts)), n)
-                total = np.bincount(doc, weights=logs + stats.within[tokens], minlength=len(texts))
-                alone = np.bincount(doc, weights=stats.alone[tokens], minlength=len(texts))
+                doc = np.repeat(np.arange(m), n)
+                sums = [np.bincount(doc, weights=x, minlength=m) for x in (logs + stats.within[ranks], stats.alone[ranks])]
+                pairs, times = np.unique((doc * (n_known + 1) + ranks)[ranks < n_known], return_counts=True)
+                whole = times == stats.counts[pairs % (n_known + 1)]
+                alone = np.bincount(pairs[whole] // (n_known + 1), weights=times[whole], minlength=m).astype(np.int64)
+                rest = []
+                for w, r in zip(words, texts, strict=True):
+                    found = Counter(w[i] for i in np.flatnonzero(r == n_known).tolist())
+                    rest.append([{"word": k, "n": c} for k, c in found.items()])
+                arrays = [np.arange(number, number + m), n, *sums, alone]
+                number += m
                 yield pa.RecordBatch.from_arrays(
-                    [*[part[c] for c in names], pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1)), pa.array(alone)],
-                    [*names, "n_tokens", "log_prob", "mean_log_prob", "unigram_log_prob"],
+                    [*[part[c] for c in names], *map(pa.array, arrays), pa.array(rest, rest_type)],
+                    [*names, "_row", "n_tokens", "_log_prob", "_unigram", "_alone", "_rest"],
                 )
 
     return map_batches(
-        rows, score, f"{kept}, n_tokens long, log_prob double, mean_log_prob double, unigram_log_prob double"
+        rows, score, f"{kept}_row long, n_tokens long, _log_prob double, _unigram double, _alone long, _rest array<struct<word:string,n:bigint>>"
     )
 
 
-def pseudo_likelihood(docs: DataFrame, keys: dict[str, Column]) -> DataFrame:
-    """Counts, trains and scores: three passes over ``docs``."""
-    statistics = Statistics(corpus_counts(docs))
-    return scored(docs, fit(docs, statistics), statistics, keys)
+def pseudo_likelihood(docs: DataFrame, keys: dict[str, Column], known: int = KNOWN) -> DataFrame:
+    """The key columns, n_tokens, log_prob (sum over all tokens), mean_log_prob, unigram_log_prob and n_alone of every row.
+
+    Counts, trains and scores in three passes over ``docs``. Names of key columns may not begin with an underscore.
+    """
+    counts = word_counts(docs)
+    statistics = statistics_of(counts, known)
+    base = written(known_sums(docs, fit(docs, statistics), statistics, keys), "known-sums")
+    rest = base.select("_row", F.explode("_rest").alias("x")).select("_row", "x.word", F.col("x.n").alias("times")).join(counts, "word")
+    more = rest.groupBy("_row").agg(
+        F.sum("times").alias("_times"), F.sum(F.col("times") * F.log("n")).alias("_logs"), F.sum(F.when(F.col("times") == F.col("n"), F.col("times"))).alias("_whole")
+    )
+
+    def joined(known_part: str, of: int) -> Column:
+        further = F.col("_logs") - F.col("_times") * F.lit(float(np.log(max(of, 1))))
+        return F.col(known_part) + F.coalesce(further, F.lit(0.0))
+
+    total = joined("_log_prob", statistics.others)
+    return base.join(more, "_row", "left").select(
+        *keys,
+        "n_tokens",
+        F.round(total, 6).alias("log_prob"),
+        F.round(total / F.greatest("n_tokens", F.lit(1)), 6).alias("mean_log_prob"),
+        F.round(joined("_unigram", statistics.total), 6).alias("unigram_log_prob"),
+        (F.col("_alone") + F.coalesce("_whole", F.lit(0))).alias("n_alone"),
+    )

@@ -1,5 +1,6 @@
 """The training-data operators against brute force, on small tables with the awkward cases."""
 
+import collections
 import hashlib
 import random
 
@@ -343,12 +344,75 @@ def test_windows_cover_texts():
 def test_masked_lm_trains_on_every_position(spark):
     texts = ["one two three"] * 3 + ["four", "", "five six"]
     table = spark.createDataFrame(rows_of(texts), DOCS).coalesce(1)
-    statistics = masked_lm.Statistics(masked_lm.corpus_counts(table))
+    statistics = masked_lm.statistics_of(masked_lm.word_counts(table))
     first, weights = masked_lm.first_weights(statistics.prior), masked_lm.fit(table, statistics)
-    inputs = {w: int(masked_lm.Reader().places(w)[0]) % masked_lm.INPUTS for w in "one two three five six".split()}
-    for row in inputs.values():  # each is a neighbour of a position
-        assert (weights["embed"][row] != first["embed"][row]).any()
-    assert (weights["out"] != first["out"]).all(axis=0).any()
+    changed = (weights["near"] != first["near"]).any(axis=1).reshape(len(masked_lm.SLOTS), -1).any(axis=0)
+    for w in "one two three five six".split():  # each is a neighbour of a position
+        assert changed[statistics.known[w]]
+    assert not changed[statistics.known["four"]] and (weights["group"] != first["group"]).all()
+
+
+def test_masked_lm_gradients():
+    rng = np.random.default_rng(4)
+    statistics = masked_lm.Statistics([f"w{i}" for i in range(300)], np.arange(300, 0, -1) * 5, 300000)
+    p = {k: v.astype(np.float64) for k, v in masked_lm.first_weights(statistics.prior).items()}
+    near, wanted = rng.integers(0, 50, (40, len(masked_lm.SLOTS))), rng.integers(0, masked_lm.CLASSES, 40)
+    trainer = masked_lm.Trainer(p)
+    seen = {}
+    trainer._adagrad = lambda name, at, grad: seen.update({name: (at, grad)})
+    trainer.step(near, wanted)
+    for name, (at, grad) in seen.items():
+        full = np.zeros_like(p[name])
+        full[at] = grad
+        for i in rng.choice(np.flatnonzero(full.ravel()), 5):
+            values = []
+            for by in (1e-5, -1e-5):
+                moved = {k: v.copy() for k, v in p.items()}
+                moved[name].ravel()[i] += by
+                values.append(-masked_lm.class_log_probs(moved, near, wanted).sum())
+            assert full.ravel()[i] == pytest.approx((values[0] - values[1]) / 2e-5, abs=1e-5)
+
+
+def test_masked_lm_equals_brute_force(spark):
+    rnd = random.Random(8)
+    once = " ".join(f"x{i} the" for i in range(40))
+    texts = [" ".join(rnd.choices([f"v{i}" for i in range(400)], [1 / (i + 1) for i in range(400)], k=rnd.randint(0, 90))) for _ in range(60)]
+    twice = " ".join(f"y{i} the" for i in range(40))
+    texts += [once, twice, twice, "Q" * 100 + " " + "q" * 101 + " the", "q" * 100]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(2)
+    keys = {"doc_id": F.col("doc_id")}
+    got = {r.doc_id: r for r in masked_lm.pseudo_likelihood(table, keys, known=150).collect()}
+    assert len(got) == len(texts)
+    statistics = masked_lm.statistics_of(masked_lm.word_counts(table), 150)
+    p = masked_lm.fit(table, statistics)
+    split = [t.lower().split() for t in texts]
+    counts = collections.Counter(w for t in split for w in t)
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))[:150]
+    mass = collections.Counter()
+    class_of = {}
+    for w in counts:
+        class_of[w] = int(statistics.classes[ranked.index(w) if w in ranked else 150])
+        mass[class_of[w]] += counts[w]
+
+    def share(logits, k):
+        return logits[k] - np.log(np.exp(logits).sum())
+
+    for i, t in enumerate(split):
+        total = 0.0
+        for j, w in enumerate(t):
+            u = p["near_bias"].astype(float)
+            for slot, d in enumerate((-2, -1, 1, 2)):
+                inside = 0 <= j + d < len(t)
+                row = (ranked.index(t[j + d]) if t[j + d] in ranked else 150) if inside else masked_lm.INPUTS
+                u = u + p["near"][slot * (masked_lm.INPUTS + 1) + row]
+            h, (g, c) = np.tanh(u), divmod(class_of[w], masked_lm.EACH)
+            total += share(h @ p["group"] + p["group_bias"], g) + share(h @ p["class"][g] + p["class_bias"][g], c)
+            total += np.log(counts[w] / mass[class_of[w]])
+        assert got[i].n_tokens == len(t) and got[i].log_prob == pytest.approx(total, rel=1e-4, abs=1e-4)
+        assert got[i].unigram_log_prob == pytest.approx(sum(np.log(counts[w] / sum(counts.values())) for w in t), abs=1e-4)
+        assert got[i].n_alone == sum(counts[w] == t.count(w) for w in t)
+    assert got[60].n_alone == 40 and got[61].n_alone == got[62].n_alone == 0
+    assert got[61].log_prob == got[62].log_prob > got[60].log_prob + 10
 
 
 def test_masked_lm_uses_both_sides(spark, docs, nothing):
