@@ -48,21 +48,24 @@ SINGLE, GROUPS, EACH = 128, 8, 32
 CLASSES = GROUPS * EACH
 INPUTS, HIDDEN = 4096, 16
 SIDE = 2
-BATCH, RATE = 2048, 0.1
+BATCH, RATE = 4096, 0.1
 CHUNK = 4096
 COUNTED_WORDS = 400_000
 AT_ONCE = 1 << 14
 LONGEST = 64
 WORD = re.compile(r"\w+")
 SLOTS = tuple(d for d in range(-SIDE, SIDE + 1) if d)
+STARTS = (np.arange(len(SLOTS)) * (INPUTS + 1)).astype(np.uint16)  # of the slots' parts of the table
+FAR = 40  # logits end there
 
 
 def words_of(text: str) -> list[str]:
-    found = WORD.findall(text.lower())
-    if len(text) > LONGEST and found and max(map(len, found)) > LONGEST:
-        # No word holds a blank, so digests are told from words.
-        found = [w if len(w) <= LONGEST else " " + hashlib.blake2b(w.encode(), digest_size=16).hexdigest() for w in found]
-    return found
+    return WORD.findall(text.lower())
+
+
+def named(words: list[str]) -> list[str]:
+    """The words as tables hold them; no word holds a blank, so digests are told from words."""
+    return [w if len(w) <= LONGEST else " " + hashlib.blake2b(w.encode(), digest_size=16).hexdigest() for w in words]
 
 
 def ranks_of(words: list[str], known: dict[str, int]) -> np.ndarray:
@@ -71,13 +74,13 @@ def ranks_of(words: list[str], known: dict[str, int]) -> np.ndarray:
 
 
 def contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(ranks, their neighbours as input rows: tokens x slots); row INPUTS marks a text's ends."""
+    """(ranks, the table rows of their neighbours: tokens x slots); row INPUTS of a slot marks a text's ends."""
     edge = np.full(SIDE, -1, np.int64)
     joined = np.concatenate([x for t in texts for x in (t, edge)] or [edge])
     padded = np.concatenate([edge, joined, edge])
-    rows = np.where(padded >= 0, np.minimum(padded, INPUTS - 1), INPUTS)
+    rows = np.where(padded >= 0, np.minimum(padded, INPUTS - 1), INPUTS).astype(np.uint16)
     at = np.flatnonzero(joined >= 0)
-    return joined[at], np.stack([rows[at + SIDE + d] for d in SLOTS], axis=1)
+    return joined[at], np.stack([rows[at + SIDE + d] for d in SLOTS], axis=1) + STARTS
 
 
 # --- what the counts give -------------------------------------------------------
@@ -136,22 +139,17 @@ def shaped(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndar
     return out
 
 
-def _table_rows(near: np.ndarray) -> np.ndarray:
-    return near + np.arange(len(SLOTS)) * (INPUTS + 1)
-
-
 def _hidden(p: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
-    total = p["near"][rows[:, 0]]
+    total = np.take(p["near"], rows[:, 0], axis=0)
     for slot in range(1, len(SLOTS)):
-        total += p["near"][rows[:, slot]]
+        total += np.take(p["near"], rows[:, slot], axis=0)
     total += p["near_bias"]
     return np.tanh(total, out=total)
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
+    np.exp(np.clip(logits, -FAR, FAR, out=logits), out=logits)
+    logits /= (logits @ np.ones(logits.shape[1], logits.dtype))[:, None]
     return logits
 
 
@@ -164,7 +162,7 @@ def _by_group(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def class_log_probs(p: dict[str, np.ndarray], near: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     order, starts = _by_group(wanted)
     classes = wanted[order]
-    h = _hidden(p, _table_rows(near[order]))
+    h = _hidden(p, near[order])
     found = _softmax(h @ p["group"] + p["group_bias"])[np.arange(len(order)), classes // EACH]
     for g in range(GROUPS):
         a, b = starts[g], starts[g + 1]
@@ -187,7 +185,7 @@ class Trainer:
     def step(self, near: np.ndarray, wanted: np.ndarray) -> None:
         p, n = self.p, len(near)
         order, starts = _by_group(wanted)
-        classes, rows = wanted[order], _table_rows(near[order])
+        classes, rows = wanted[order], near[order]
         h = _hidden(p, rows)
         d = _softmax(h @ p["group"] + p["group_bias"])
         d[np.arange(n), classes // EACH] -= 1
@@ -204,11 +202,11 @@ class Trainer:
         g["near_bias"] = d_h.sum(axis=0)
         for name, value in g.items():
             self._adagrad(name, slice(None), value)
-        flat_rows = rows.ravel().astype(np.uint16)
+        flat_rows = rows.ravel()
         by = np.argsort(flat_rows, kind="stable")
         held = flat_rows[by]
         first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
-        self._adagrad("near", held[first], np.add.reduceat(d_h[by // len(SLOTS)], first, axis=0))
+        self._adagrad("near", held[first], np.add.reduceat(np.take(d_h, by // len(SLOTS), axis=0), first, axis=0))
         self.seen += n
 
     def _adagrad(self, name: str, at: np.ndarray | slice, grad: np.ndarray) -> None:
@@ -224,7 +222,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all texts, written in the shared folder; tasks add up before anything is shuffled."""
 
     def made(counter: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counter), pa.string()), pa.array(list(counter.values()), pa.int64())], ["word", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(named(list(counter)), pa.string()), pa.array(list(counter.values()), pa.int64())], ["word", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter: Counter = Counter()
@@ -313,7 +311,6 @@ def known_sums(docs: DataFrame, weights: dict[str, np.ndarray], statistics: Stat
     rows = docs.select(*[c.alias(n) for n, c in keys.items()], text_or_empty().alias("_text"))
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
     shared = docs.sparkSession.sparkContext.broadcast((weights, statistics))
-    rest_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, stats = shared.value
@@ -331,17 +328,19 @@ def known_sums(docs: DataFrame, weights: dict[str, np.ndarray], statistics: Stat
                 n = np.array([len(t) for t in texts], np.int64)
                 doc = np.repeat(np.arange(m), n)
                 sums = [np.bincount(doc, weights=x, minlength=m) for x in (logs + stats.within[ranks], stats.alone[ranks])]
-                pairs, times = np.unique((doc * (n_known + 1) + ranks)[ranks < n_known], return_counts=True)
+                # A word that is commoner than the longest of these texts stands elsewhere, too.
+                few = (ranks < n_known) & (np.append(stats.counts, 0)[ranks] <= n.max(initial=0))
+                pairs, times = np.unique((doc * (n_known + 1) + ranks)[few], return_counts=True)
                 whole = times == stats.counts[pairs % (n_known + 1)]
                 alone = np.bincount(pairs[whole] // (n_known + 1), weights=times[whole], minlength=m).astype(np.int64)
-                rest = []
-                for w, r in zip(words, texts, strict=True):
-                    found = Counter(w[i] for i in np.flatnonzero(r == n_known).tolist())
-                    rest.append([{"word": k, "n": c} for k, c in found.items()])
+                rest = [Counter(w[i] for i in np.flatnonzero(r == n_known).tolist()) for w, r in zip(words, texts, strict=True)]
+                ends = np.cumsum([0, *map(len, rest)], dtype=np.int32)
+                others, of = named([w for x in rest for w in x]), [c for x in rest for c in x.values()]
+                held = pa.StructArray.from_arrays([pa.array(others, pa.string()), pa.array(of, pa.int64())], ["word", "n"])
                 arrays = [np.arange(number, number + m), n, *sums, alone]
                 number += m
                 yield pa.RecordBatch.from_arrays(
-                    [*[part[c] for c in names], *map(pa.array, arrays), pa.array(rest, rest_type)],
+                    [*[part[c] for c in names], *map(pa.array, arrays), pa.ListArray.from_arrays(pa.array(ends), held)],
                     [*names, "_row", "n_tokens", "_log_prob", "_unigram", "_alone", "_rest"],
                 )
 
