@@ -1,8 +1,10 @@
 """License scan: an exact set-similarity join of text blocks with license notices.
 
-A block is a line of a document, a set of words; a template is the set of words
-of a notice. They link when the block holds at least ``THRESHOLD`` of the
-template's words. Words are ordered by how many documents of the whole corpus
+A template is the set of words of a notice. For a notice of n words the blocks of a
+document are the runs of 2 * n words that begin at every n-th word of the whole text
+(the last are shorter), so every n words in a row stand in one block together, however
+their lines are wrapped and whatever stands around them. A block and a template link
+when the block holds at least ``THRESHOLD`` of the template's words. Words are ordered by how many documents of the whole corpus
 hold them, rarest first. A block that holds ``need`` of a template's ``size``
 words holds one of its ``size - need + 1`` rarest (prefix filter), has at least
 ``need`` template words (length filter), and at the first word they share both
@@ -46,6 +48,30 @@ TEMPLATES = (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"
         " and associated documentation files",
     ),
+    (
+        "mit-full",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"
+        " and associated documentation files (the Software), to deal in the Software without restriction,"
+        " including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense,"
+        " and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,"
+        " subject to the following conditions: The above copyright notice and this permission notice shall be"
+        " included in all copies or substantial portions of the Software. The Software is provided as is,"
+        " without warranty of any kind, express or implied, including but not limited to the warranties of"
+        " merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors"
+        " or copyright holders be liable for any claim, damages or other liability, whether in an action of"
+        " contract, tort or otherwise, arising from, out of or in connection with the Software or the use or"
+        " other dealings in the Software.",
+    ),
+    (
+        "isc-full",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is"
+        " hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+        " The software is provided as is and the author disclaims all warranties with regard to this software"
+        " including all implied warranties of merchantability and fitness. In no event shall the author be liable"
+        " for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from"
+        " loss of use, data or profits, whether in an action of contract, negligence or other tortious action,"
+        " arising out of or in connection with the use or performance of this software.",
+    ),
     (
         "bsd-text",
         "Redistribution and use in source and binary forms, with or without modification, are permitted"
@@ -56,10 +82,9 @@ TEMPLATES = (
 )
 
 
-def spaced(text: Column, keep_lines: bool = False) -> Column:
-    """The text with A-Z lower-cased and a blank for whatever stands between words (line ends may stay)."""
-    gaps = GAPS.replace("\n", "") if keep_lines else GAPS
-    return F.translate(text, UPPER + gaps, LOWER + " " * len(gaps))
+def spaced(text: Column) -> Column:
+    """The text with A-Z lower-cased and a blank for whatever stands between words."""
+    return F.translate(text, UPPER + GAPS, LOWER + " " * len(GAPS))
 
 
 def words(blanked: Column) -> Column:
@@ -74,12 +99,13 @@ def _literals(values: list[str]) -> Column:
 
 
 def template_rows(spark: SparkSession, templates: tuple[tuple[str, str], ...]) -> DataFrame:
-    """template, label, tokens (its distinct words)."""
+    """template, label, length (its words) and tokens (its distinct words)."""
     rows = [F.struct(F.lit(i).alias("template"), F.lit(a).alias("label"), F.lit(b).alias("notice")) for i, (a, b) in enumerate(templates)]
     return (
         spark.range(1)
         .select(F.explode(F.array(*rows)).alias("t"))
-        .select("t.template", "t.label", F.array_distinct(words(spaced(F.col("t.notice")))).alias("tokens"))
+        .select("t.template", "t.label", words(spaced(F.col("t.notice"))).alias("all"))
+        .select("template", "label", F.size("all").alias("length"), F.array_distinct("all").alias("tokens"))
     )
 
 
@@ -99,39 +125,43 @@ def block_matches(
     templates: tuple[tuple[str, str], ...] = TEMPLATES,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """The key columns, block (line number), label, containment of every pair that qualifies, once."""
+    """The key columns, block (its number among those of its length), label, containment of every pair that qualifies, once."""
     spark = docs.sparkSession
     rows = template_rows(spark, templates)
-    order = token_order(docs, sorted({w for r in rows.collect() for w in r["tokens"]}))
+    known = rows.collect()
+    order = token_order(docs, sorted({w for r in known for w in r["tokens"]}))
     rank = F.create_map(*[x for i, w in enumerate(order) for x in (F.lit(w), F.lit(i))])
     by_rank = lambda held: F.array_sort(F.transform(held, lambda w: F.try_element_at(rank, w)))
     size = F.size("tokens")
-    sets = rows.select("label", "template", by_rank(F.col("tokens")).alias("wanted"), size.alias("size")).withColumn(
+    sets = rows.select("label", "template", "length", by_rank(F.col("tokens")).alias("wanted"), size.alias("size")).withColumn(
         "need", F.ceil(F.round(F.col("size") * threshold, 9)).cast("int")
     )
     index = sets.select("*", F.posexplode("wanted").alias("at", "token")).where("at <= size - need")
-    first = sorted({r["token"] for r in index.select("token").collect()})
-
-    # A text or line without any of the first words as a substring has no match and need not be cut into words.
-    def may(text: Column) -> Column:
-        return reduce(or_, [text.contains(order[i]) for i in first])
+    first: dict[int, set[int]] = {}
+    for r in index.select("length", "token").collect():
+        first.setdefault(r["length"], set()).add(r["token"])
+    firsts = sorted(set().union(*first.values()))
 
+    # A text without any of the first words as a substring has no match and need not be cut into words.
+    may = reduce(or_, [F.col("_spaced").contains(order[i]) for i in firsts])
     texts = docs.select(*[c.alias(n) for n, c in keys.items()], text_or_empty().alias("_whole"))
-    texts = with_evaluated(texts, "_spaced", spaced(F.col("_whole"), keep_lines=True)).drop("_whole")
-    lines = texts.where(may(F.col("_spaced"))).select(*keys, F.split("_spaced", "\n").alias("_lines"))
-    blocks = lines.select(*keys, F.posexplode("_lines").alias("block", "line"))
+    texts = with_evaluated(texts, "_spaced", spaced(F.col("_whole"))).drop("_whole")
+    texts = with_evaluated(texts.where(may), "_words", words(F.col("_spaced"))).drop("_spaced")
+    # Only lengths of which a text holds a first word; runs are cut before they are dealt out, so a row holds one.
+    lengths = F.array(*[F.struct(F.lit(n).alias("length"), _literals([order[i] for i in sorted(f)]).alias("first")) for n, f in sorted(first.items())])
+    texts = texts.select(*keys, "_words", F.explode(F.filter(lengths, lambda x: F.arrays_overlap(x["first"], F.col("_words")))).alias("_of"))
+    n = F.col("_of.length")
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("_words") - 1) / n).cast("int")), lambda b: F.slice("_words", b * n + 1, 2 * n))
+    blocks = texts.select(*keys, n.alias("_length"), F.col("_of.first").alias("_first"), F.posexplode(runs).alias("block", "run"))
     blocks = with_evaluated(
-        blocks.where(may(F.col("line"))),
-        "held",
-        by_rank(F.array_intersect(words(F.col("line")), _literals(order))),
-    ).drop("line")
-    smallest = min(math.ceil(round(len(set(r["tokens"])) * threshold, 9)) for r in rows.collect())
-    blocks = blocks.where((F.size("held") >= smallest) & F.arrays_overlap("held", F.array(*[F.lit(x) for x in first])))
-    seen = blocks.select(*keys, "block", "held", F.posexplode("held").alias("mine", "token")).where(
-        F.col("token").isin(first)
+        blocks.where(F.arrays_overlap("run", "_first")).drop("_first"), "held", by_rank(F.array_intersect("run", _literals(order)))
+    ).drop("run")
+    smallest = min(math.ceil(round(len(r["tokens"]) * threshold, 9)) for r in known)
+    seen = blocks.where(F.size("held") >= smallest).select(*keys, "_length", "block", "held", F.posexplode("held").alias("mine", "token")).where(
+        F.col("token").isin(firsts)
     )
     left = F.least(F.col("size") - F.col("at"), F.size("held") - F.col("mine"))
-    pairs = seen.join(F.broadcast(index), "token").where((left >= F.col("need")) & (F.size("held") >= F.col("need")))
+    pairs = seen.join(F.broadcast(index), (seen["token"] == index["token"]) & (F.col("_length") == F.col("length"))).drop(seen["token"]).where((left >= F.col("need")) & (F.size("held") >= F.col("need")))
     shared = F.array_intersect("held", "wanted")
     # the first word that both hold is counted once, so a pair leaves the join once
     return (

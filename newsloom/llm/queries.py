@@ -108,8 +108,6 @@ QUERIES = {
     )
 }
 
-_NOTICES = ", ".join(f"('{label}', '{notice}')" for label, notice in license_scan.TEMPLATES)
-
 _CAPITALS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
 
@@ -135,16 +133,45 @@ ORACLE = {
                    list(DISTINCT label) AS labels
             FROM places WHERE label IS NOT NULL GROUP BY doc_id),
         templates AS (
-            SELECT label, list_distinct(regexp_extract_all(lower(notice), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS tokens
-            FROM (VALUES {_NOTICES}) AS t(label, notice)),
+            SELECT label, len(all_words) AS n, list_distinct(all_words) AS tokens
+            FROM (SELECT label, regexp_extract_all(lower(notice), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS all_words
+                  FROM (VALUES
+                ('mit-notice', 'Released under the MIT License'),
+                ('apache-2.0', 'Licensed under the Apache License, Version 2.0'),
+                ('gpl-3.0', 'This work is licensed under the GNU General Public License, version 3'),
+                ('mit-text', 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and'
+                 || ' associated documentation files'),
+                ('mit-full', 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and'
+                 || ' associated documentation files (the Software), to deal in the Software without restriction,'
+                 || ' including without limitation the rights to use, copy, modify, merge, publish, distribute,'
+                 || ' sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is'
+                 || ' furnished to do so, subject to the following conditions: The above copyright notice and this'
+                 || ' permission notice shall be included in all copies or substantial portions of the Software. The'
+                 || ' Software is provided as is, without warranty of any kind, express or implied, including but not'
+                 || ' limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.'
+                 || ' In no event shall the authors or copyright holders be liable for any claim, damages or other'
+                 || ' liability, whether in an action of contract, tort or otherwise, arising from, out of or in'
+                 || ' connection with the Software or the use or other dealings in the Software.'),
+                ('isc-full', 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee'
+                 || ' is hereby granted, provided that the above copyright notice and this permission notice appear in all'
+                 || ' copies. The software is provided as is and the author disclaims all warranties with regard to this'
+                 || ' software including all implied warranties of merchantability and fitness. In no event shall the'
+                 || ' author be liable for any special, direct, indirect, or consequential damages or any damages'
+                 || ' whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence'
+                 || ' or other tortious action, arising out of or in connection with the use or performance of this'
+                 || ' software.'),
+                ('bsd-text', 'Redistribution and use in source and binary forms, with or without modification, are permitted'
+                 || ' provided that the following conditions are met'),
+                ('cc-by-4.0', 'This work is licensed under a Creative Commons Attribution 4.0 International License'),
+                ('mpl-2.0', 'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0')) AS t(label, notice))),
         blocks AS (
-            SELECT doc_id, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS words
-            FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+            SELECT doc_id, label, tokens,
+                   unnest(list_transform(range(0, len(words), n), lambda b: list_slice(words, b + 1, b + 2 * n))) AS block
+            FROM w, templates),
         notices AS (
             SELECT doc_id, list(DISTINCT label) AS labels, max(shared / size) AS best
-            FROM (SELECT doc_id, label, len(list_intersect(words, tokens)) AS shared, len(tokens) AS size
-                  FROM blocks, templates)
-            WHERE shared >= ceil(round(size * {license_scan.THRESHOLD}, 9)) GROUP BY doc_id)
+            FROM (SELECT doc_id, label, len(list_intersect(list_distinct(block), tokens)) AS shared, len(tokens) AS size FROM blocks)
+            WHERE shared >= ceil(round(size * 0.9, 9)) GROUP BY doc_id)
         SELECT w.doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
                coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
                coalesce(array_to_string(list_sort(list_distinct(

@@ -107,15 +107,33 @@ def test_similarity_join_finds_all(spark):
     rows = license_scan.block_matches(spark.createDataFrame(rows_of(texts), DOCS), {"k": F.col("doc_id")}, templates, 0.6)
     want = []
     for i, t in enumerate(texts):
-        for b, line in enumerate(t.split("\n")):
-            for label, notice in templates:
-                tokens = set(notice.split())
-                share = len(tokens & set(line.split())) / len(tokens)
+        for label, notice in templates:
+            tokens, n, held = set(notice.split()), len(notice.split()), t.split()
+            for b in range(0, len(held), n):
+                share = len(tokens & set(held[b : b + 2 * n])) / len(tokens)
                 if share >= 0.6 - 1e-12:
-                    want.append((i, b, label, round(share, 9)))
+                    want.append((i, b // n, label, round(share, 9)))
     assert sorted((r.k, r.block, r.label, round(r.containment, 9)) for r in rows.collect()) == sorted(want)
 
 
+def test_wrapped_notices_are_found(spark):
+    full = dict(license_scan.TEMPLATES)
+    def wrapped(text, width, margin):
+        lines, line = [], ""
+        for w in text.split():
+            if len(line) + len(w) > width:
+                lines.append(margin + line)
+                line = ""
+            line += w + " "
+        return "\n".join([*lines, margin + line])
+    texts = [f"int x;\n{wrapped(t, w, m)}\nint y; " + "z " * 50 for t in full.values() for w in (20, 70) for m in ("", " * ")]
+    texts += [full["mit-text"].replace("obtaining a copy of this software", ""), " ".join(full["mit-full"].split()[::3])]
+    got = license_scan.scan(spark.createDataFrame(rows_of(texts), DOCS)).orderBy("doc_id").collect()
+    for i, label in enumerate(label for label in full for _ in range(4)):
+        assert label in got[i].labels.split(",") and got[i].score == 1.0
+    assert got[-1].labels == got[-2].labels == "" and got[-1].score == 0
+
+
 # --- SimHash --------------------------------------------------------------------
 
 
@@ -356,11 +374,11 @@ def test_masked_lm_gradients():
     rng = np.random.default_rng(4)
     statistics = masked_lm.Statistics([f"w{i}" for i in range(300)], np.arange(300, 0, -1) * 5, 300000)
     p = {k: v.astype(np.float64) for k, v in masked_lm.first_weights(statistics.prior).items()}
-    near, wanted = rng.integers(0, 50, (40, len(masked_lm.SLOTS))), rng.integers(0, masked_lm.CLASSES, 40)
+    near, wanted = rng.integers(0, 50, (40, len(masked_lm.SLOTS))) + masked_lm.STARTS, rng.integers(0, masked_lm.CLASSES, 40)
     trainer = masked_lm.Trainer(p)
     seen = {}
     trainer._adagrad = lambda name, at, grad: seen.update({name: (at, grad)})
-    trainer.step(near, wanted)
+    trainer.step(near.astype(np.uint16), wanted)
     for name, (at, grad) in seen.items():
         full = np.zeros_like(p[name])
         full[at] = grad
