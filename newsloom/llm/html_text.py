@@ -13,7 +13,11 @@ containers among menus, headers, footers, sidebars, notices, adverts, forms and
 comments. Their number is the documented bound of the training sample.
 
 A null html counts as empty; a page without main text gives an empty text. Broken
-markup, open tags and blocks of any length are read to their end. Rows repeated as
+markup, open tags and blocks of any length are read to their end; an open head ends
+where something begins that may not stand in a head. Formulas, drawings and fallback
+content of noscript, object and canvas are text like any other, for the labeller to
+judge. Elements share the paths of their ancestors, so deeply nested pages take time
+in proportion to their length. Rows repeated as
 a whole are extracted alike.
 """
 
@@ -37,7 +41,8 @@ CELLS_AT_ONCE = 1 << 14
 
 # Elements of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-DROPPED = frozenset("script style template title noscript iframe object svg math canvas head".split())
+DROPPED = frozenset("script style template title iframe head".split())
+IN_HEAD = frozenset("base basefont bgsound head link meta noscript script style template title".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary"
@@ -61,55 +66,78 @@ def _hash(token: str, size: int) -> int:
 # --- pages as blocks ------------------------------------------------------------
 
 
+class Path:
+    """What an element adds to the tokens (tags, classes, ids, roles) of its ancestors."""
+
+    __slots__ = ("added", "parent")
+
+    def __init__(self, parent: Path | None, added: tuple[str, ...]) -> None:
+        self.parent, self.added = parent, added
+
+
+Block = tuple[str, Path, str, int]
+
+
 class BlockReader(HTMLParser):
-    """Collects (text, path tokens, characters inside links) of the leaf blocks."""
+    """Collects (text, path, last token of the path, characters inside links) of the leaf blocks."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, tuple[str, ...], int]] = []
-        self.open: list[tuple[str, tuple[str, ...]]] = []
+        self.blocks: list[Block] = []
+        self.root = Path(None, ())
+        self.open: list[tuple[str, tuple[str, ...], Path]] = []
+        self.borders: list[int] = []  # places of the open block elements
+        self.held: dict[str, int] = {}  # how many open elements have a token
         self.parts: list[str] = []
         self.linked = self.links = self.dropped = 0
-        self.path: tuple[str, ...] = ()
+        self.path, self.last = self.root, ""
 
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append((text, self.path, self.linked))
+            self.blocks.append((text, self.path, self.last, self.linked))
         self.parts, self.linked = [], 0
 
     def _pop(self, keep: int) -> None:
-        if any(tag in BLOCKS for tag, _ in self.open[keep:]):
+        if self.borders and self.borders[-1] >= keep:
             self._flush()
         while len(self.open) > keep:
-            tag, _ = self.open.pop()
+            tag, names, _ = self.open.pop()
+            for name in names:
+                self.held[name] -= 1
             self.links -= tag == "a"
             self.dropped -= tag in DROPPED
+        while self.borders and self.borders[-1] >= keep:
+            self.borders.pop()
+
+    def _end_head(self) -> None:
+        if self.held.get("head"):
+            self._pop(next(i for i, x in enumerate(self.open) if x[0] == "head"))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in IN_HEAD:
+            self._end_head()
         if tag == "br":
             self.parts.append(" ")
             return
-        if tag == "body" and self.dropped:
-            self._pop(0)  # an open head ends here
         if tag in BLOCKS:
             self._flush()
-            ends = CLOSES.get(tag, set()) | {"p"}
-            for i in range(len(self.open) - 1, -1, -1):
-                name = self.open[i][0]
-                if name in ends:
-                    self._pop(i)
-                    break
-                if name in BLOCKS:
-                    break
+            if self.borders and (self.open[self.borders[-1]][0] == "p" or self.open[self.borders[-1]][0] in CLOSES.get(tag, ())):
+                self._pop(self.borders[-1])
         if tag in VOID:
             return
-        names = [tag]
+        names = {tag: None}
         for key, value in attrs:
             if key in ("class", "id", "role") and value:
                 cleaned = "".join(c if c.isalnum() else " " for c in value.lower())
-                names += [f"{key[0]}:{w}" for w in cleaned.split()[:12]]
-        self.open.append((tag, tuple(names)))
+                names |= {f"{key[0]}:{w}": None for w in cleaned.split()}
+        above = self.open[-1][2] if self.open else self.root
+        added = tuple(x for x in names if not self.held.get(x))
+        for name in names:
+            self.held[name] = self.held.get(name, 0) + 1
+        if tag in BLOCKS:
+            self.borders.append(len(self.open))
+        self.open.append((tag, tuple(names), Path(above, added) if added else above))
         self.links += tag == "a"
         self.dropped += tag in DROPPED
 
@@ -119,22 +147,25 @@ class BlockReader(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self._pop(i)
-                return
+        if self.held.get(tag):
+            at = len(self.open) - 1
+            while self.open[at][0] != tag:
+                at -= 1
+            self._pop(at)
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self._end_head()
         if self.dropped:
             return
         if not self.parts:
-            self.path = tuple(n for _, names in self.open for n in names)
+            self.path, self.last = (self.open[-1][2], self.open[-1][1][-1]) if self.open else (self.root, "")
         self.parts.append(data)
         if self.links:
             self.linked += len(data)
 
 
-def blocks_of(html: str) -> list[tuple[str, tuple[str, ...], int]]:
+def blocks_of(html: str) -> list[Block]:
     reader = BlockReader()
     reader.feed(html)
     reader.close()
@@ -143,19 +174,37 @@ def blocks_of(html: str) -> list[tuple[str, tuple[str, ...], int]]:
 
 
 class Features:
-    """Blocks as (path hashes, word hashes, numbers); remembers the hashes of words."""
+    """Blocks as (paths, word hashes, numbers); remembers the hashes of words.
+
+    Paths are, of a page: the parent and the added hashes of every node, parents first,
+    and of every block its node, the number of tokens and the hash of the last one.
+    """
 
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
 
-    def of(self, blocks: list[tuple[str, tuple[str, ...], int]]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
+    def of(self, blocks: list[Block]) -> tuple[tuple, list[list[int]], np.ndarray]:
         known = self.known
         if len(known) > 200_000:
             known.clear()
-        paths, words, numbers = [], [], np.zeros((len(blocks), NUMBERS), np.float32)
-        for i, (text, path, linked) in enumerate(blocks):
-            last = path[-1] if path else ""
-            paths.append([_hash(p, PATHS) for p in dict.fromkeys(path)] + [_hash(f"^{last}", PATHS)])
+        place: dict[int, int] = {}
+        parents, added, tokens = [], [], []
+        at, sizes, lasts = [], [], []
+        words, numbers = [], np.zeros((len(blocks), NUMBERS), np.float32)
+        for i, (text, path, last, linked) in enumerate(blocks):
+            new, node = [], path
+            while node is not None and id(node) not in place:
+                new.append(node)
+                node = node.parent
+            above = -1 if node is None else place[id(node)]
+            for node in reversed(new):
+                parents.append(above)
+                added.append([_hash(p, PATHS) for p in node.added])
+                tokens.append(len(node.added) + (tokens[above] if above >= 0 else 0))
+                above = place[id(node)] = len(parents) - 1
+            at.append(above)
+            sizes.append(tokens[above] + 1)
+            lasts.append(_hash(f"^{last}", PATHS))
             split = text.lower().split()
             for w in split:
                 if w not in known:
@@ -169,7 +218,7 @@ class Features:
                 i / len(blocks),
                 np.log1p(len(blocks)) / 5,
             )
-        return paths, words, numbers
+        return (parents, added, at, sizes, lasts), words, numbers
 
 
 def _joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -177,6 +226,43 @@ def _joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([v for x in lists for v in x], np.int64), of
 
 
+class Paths:
+    """The paths of several pages: sums of a table's rows go down from parents to children, gradients up."""
+
+    def __init__(self, pages: list[tuple]) -> None:
+        self.parents, added, at, sizes, lasts = [], [], [], [], []
+        for parents, more, nodes, n, last in pages:
+            start = len(self.parents)
+            self.parents += [p + start if p >= 0 else -1 for p in parents]
+            added += more
+            at += [x + start for x in nodes]
+            sizes += n
+            lasts += last
+        self.hashes, self.of = _joined(added)
+        self.at, self.lasts = np.array(at, np.int64), np.array(lasts, np.int64)
+        self.weight = (1.0 / np.array(sizes)).astype(np.float32)
+
+    def means(self, table: np.ndarray) -> np.ndarray:
+        sums = np.zeros((len(self.parents), table.shape[1]), np.float32)
+        if len(self.hashes):
+            first = np.flatnonzero(np.r_[True, self.of[1:] != self.of[:-1]])
+            sums[self.of[first]] = np.add.reduceat(table[self.hashes], first, axis=0)
+        for i, p in enumerate(self.parents):
+            if p >= 0:
+                sums[i] += sums[p]
+        return (sums[self.at] + table[self.lasts]) * self.weight[:, None]
+
+    def gradients(self, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, values) of the table, from those of the means."""
+        d = d * self.weight[:, None]
+        nodes = np.zeros((len(self.parents), d.shape[1]), np.float32)
+        np.add.at(nodes, self.at, d)
+        for i in range(len(self.parents) - 1, -1, -1):
+            if self.parents[i] >= 0:
+                nodes[self.parents[i]] += nodes[i]
+        return np.concatenate([self.hashes, self.lasts]), np.concatenate([nodes[self.of], d])
+
+
 def _means(table: np.ndarray, values: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Mean of the table's rows per block, and 1 / their number."""
     weight = (1.0 / np.maximum(np.bincount(of, minlength=n), 1)).astype(np.float32)
@@ -245,11 +331,11 @@ class Labeller:
     def run(self, pages: list[tuple], keep: bool = False) -> tuple[np.ndarray, tuple]:
         """Logits (time x pages, by the longest page) of pages given as features."""
         p = self.p
-        lengths = [len(x[0]) for x in pages]
+        lengths = [len(x[1]) for x in pages]
         cells = np.concatenate([t * len(pages) + k for k, n in enumerate(lengths) for t in [np.arange(n)]])
-        paths = _joined([x for page in pages for x in page[0]])
+        paths = Paths([page[0] for page in pages])
         words = _joined([x for page in pages for x in page[1]])
-        a, wa = _means(p["path"], *paths, len(cells))
+        a = paths.means(p["path"])
         b, wb = _means(p["word"], *words, len(cells))
         x = np.concatenate([3 * a, b, np.concatenate([page[2] for page in pages])], axis=1)
         steps = max(lengths)
@@ -264,12 +350,12 @@ class Labeller:
             outs.append(out)
             tapes.append(tape)
         states = np.concatenate(outs, axis=2)
-        return states @ p["out"] + p["out_bias"][0], (cells, paths, words, wa, wb, x, mask, states, tapes)
+        return states @ p["out"] + p["out_bias"][0], (cells, paths, words, wb, x, mask, states, tapes)
 
     def gradients(self, pages: list[tuple], labels: list[np.ndarray]) -> tuple[dict, dict]:
         """Of all tables: dense ones, and {name: (rows, values)} of the hashed vectors."""
         p = self.p
-        logits, (cells, paths, words, wa, wb, x, mask, states, tapes) = self.run(pages, keep=True)
+        logits, (cells, paths, words, wb, x, mask, states, tapes) = self.run(pages, keep=True)
         wanted = np.zeros(mask.size, np.float32)
         wanted[cells] = np.concatenate(labels)
         d = (_sigmoid(logits) - wanted.reshape(mask.shape)) * mask / mask.sum()
@@ -283,7 +369,7 @@ class Labeller:
             g[f"in_{name}"], g[f"bias_{name}"] = x.T @ flat, flat.sum(axis=0)
             d_x += flat @ p[f"in_{name}"].T
         sparse = {
-            "path": (paths[0], (3 * d_x[:, :SIZE] * wa[:, None])[paths[1]]),
+            "path": paths.gradients(3 * d_x[:, :SIZE]),
             "word": (words[0], (d_x[:, SIZE : 2 * SIZE] * wb[:, None])[words[1]]),
         }
         return g, sparse
@@ -375,6 +461,14 @@ class Layouts:
             out = [w + "." if self.chance(0.12) else w for w in out]
         return " ".join(out).capitalize()
 
+    def among(self, name: str) -> str:
+        """The name alone or among class names that say nothing."""
+        if not self.chance(0.15):
+            return name
+        filling = [f"{self.pick(self.SYLLABLES)}-{self.rng.integers(9)}" for _ in range(int(self.rng.integers(3, 18)))]
+        filling.insert(int(self.rng.integers(len(filling) + 1)), name)
+        return " ".join(filling)
+
     def block(self, opening: str, text: str, closing: str, label: int) -> None:
         self.html.append(f"{opening}{text}{closing}")
         self.labels.append(label)
@@ -387,7 +481,7 @@ class Layouts:
         self.html.append("</ul>")
 
     def boxed(self, tag: str, names: tuple, kind: str) -> None:
-        attribute = f' {self.pick(("class", "class", "id"))}="{self.pick(names)}"' if names else ""
+        attribute = f' {self.pick(("class", "class", "id"))}="{self.among(self.pick(names))}"' if names else ""
         self.html.append(f"<{tag}{attribute}>")
         shape = self.rng.random()
         if shape < 0.35:
@@ -408,7 +502,7 @@ class Layouts:
         elif kind == 1:
             self.boxed(*((("aside", ()) if self.chance(0.4) else (self.pick(("div", "section", "aside")), self.SIDES))), "side")
         elif kind == 2:
-            self.boxed(self.pick(("div", "section", "dialog")), self.NOTICES, "notice")
+            self.boxed(self.pick(("div", "div", "section", "section", "dialog", "noscript")), self.NOTICES, "notice")
         elif kind == 3:
             self.boxed(*((("nav", ()) if self.chance(0.5) else (self.pick(("div", "ul")) if self.chance(0) else "div", self.MENUS))), "menu")
         elif kind == 4:
@@ -422,7 +516,7 @@ class Layouts:
 
     def comments(self) -> None:
         tag = self.pick(("section", "div", "ol"))
-        self.html.append(f'<{tag} {self.pick(("class", "id"))}="{self.pick(self.COMMENTS)}">')
+        self.html.append(f'<{tag} {self.pick(("class", "id"))}="{self.among(self.pick(self.COMMENTS))}">')
         if self.chance(0.5):
             self.block("<h3>", self.words(1, 3, "comment"), "</h3>", 0)
         for _ in range(int(self.rng.integers(1, 7))):
@@ -433,6 +527,9 @@ class Layouts:
 
     def main(self) -> None:
         tag, attribute = self.pick(self.ARTICLES)
+        if attribute:
+            key, name = attribute.rstrip('"').split('="')
+            attribute = f'{key}="{self.among(name)}"'
         wrapped = self.chance(0.3)
         self.html.append("<main>" if wrapped else "")
         self.html.append(f"<{tag}{attribute}>")

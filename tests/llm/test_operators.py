@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -228,6 +229,42 @@ def test_blocks():
     assert [b[0] for b in html_text.blocks_of(html)] == ["a&b c d", "e", "f", "g", "h", "i"]
 
 
+def test_open_heads_and_other_content():
+    texts = lambda html: [b[0] for b in html_text.blocks_of(html)]
+    assert texts("<html><head><title>T</title><article><p>Body") == ["Body"]
+    assert texts("<head><meta x><noscript>n</noscript><script>s</script>words<p>p") == ["words", "p"]
+    assert texts("<p>x <math>a</math> y<object>o</object><p><svg><title>t</title><text>d</text></svg>") == ["x a yo", "d"]
+    assert texts("<body><iframe>i</iframe><p>a<style>b</style>c<template>d</template></i></p></p>e") == ["ac", "e"]
+    last = html_text.blocks_of(f'<div class="{" ".join(f"u{i}" for i in range(14))} comment-list">x')[0]
+    assert last[2] == "c:list" and "c:comment" in last[1].added
+
+
+def test_deep_pages_take_time_in_proportion(labeller):
+    start = time.monotonic()
+    for page in (
+        "<div>x" * 40_000,
+        "".join(f'<div class="c{i}">x' for i in range(40_000)),
+        "<b>" * 40_000 + "<p>x</p>" * 40_000,
+        "<i>" * 40_000 + "</u>" * 40_000,
+    ):
+        logits, _ = labeller.run([html_text.Features().of(html_text.blocks_of(page + "z"))])
+        assert np.isfinite(logits).all()
+    assert time.monotonic() - start < 60
+
+
+def test_labeller_path_gradients():
+    rng, reader = np.random.default_rng(2), html_text.Features()
+    paths = html_text.Paths([reader.of(html_text.blocks_of(h))[0] for h in ("<div class='a b'><p>x<p id=c>y<div>z", "t<ul><li>u<li class=a>v")])
+    table, d = rng.standard_normal((html_text.PATHS, 3)), rng.standard_normal((6, 3))
+    rows, values = paths.gradients(d)
+    full = np.zeros_like(table)
+    np.add.at(full, rows, values)
+    for r in set(rows.tolist()):
+        moved = table.copy()
+        moved[r] += 0.01
+        assert full[r].sum() == pytest.approx(((paths.means(moved) - paths.means(table)) * d).sum() / 0.01, abs=1e-3)
+
+
 def test_labeller_on_new_layouts(labeller):
     reader, right, n = html_text.Features(), 0, 0
     for html, labels in html_text.training_pages(150, seed=77):
