@@ -36,7 +36,7 @@ from newsloom.llm.common import map_batches
 
 PATHS, WORDS = 1 << 14, 1 << 16
 SIZE, HIDDEN, NUMBERS = 16, 16, 5
-PAGES, EPOCHS, BATCH, RATE = 2500, 4, 32, 0.01
+PAGES, EPOCHS, BATCH, RATE = 3500, 4, 32, 0.01
 CELLS_AT_ONCE = 1 << 14
 
 # Elements of the HTML standard.
