@@ -670,13 +670,15 @@ def top_k(
     rows_per_tile: int = ROWS_PER_TILE,
     details: bool = True,
     levels: int | None = None,
+    among: DataFrame | None = None,
 ) -> DataFrame:
     """Exact top k per request (news_id, k, category_filter); a null filter searches everything.
 
     Requests that are invalid or whose source is not indexed yield no rows.
-    ``levels`` of pivots follow from their size unless given.
+    ``levels`` of pivots follow from their size unless given. With ``among``, only
+    these rows are candidates, while the sources are still those of ``index``.
     """
-    return _top_k(requests, index, None, n_lists, nprobe, rows_per_tile, True, details, levels=levels)
+    return _top_k(requests, index, None, n_lists, nprobe, rows_per_tile, True, details, levels=levels, among=among)
 
 
 def top_k_approximate(
@@ -726,7 +728,9 @@ def _top_k(
     spill: int = 1,
     stop: float = 0.0,
     levels: int | None = None,
+    among: DataFrame | None = None,
 ) -> DataFrame:
+    sources, index = index, index if among is None else among
     checked = check_requests(requests).where("status = 'ok'")
     no_filter = F.col("category_filter").isNull()
     shape = checked.agg(
@@ -736,7 +740,7 @@ def _top_k(
         F.coalesce(F.bool_or(~no_filter), F.lit(False)).alias("filtered"),
     ).first()
     tagged, candidates = _spaces(checked, index, shape["unfiltered"], shape["filtered"])
-    asked = with_source(tagged, index).where("status = 'ok'")
+    asked = with_source(tagged, sources).where("status = 'ok'")
     n_sets = F.lit(1) if shape["unfiltered"] else F.approx_count_distinct("category")
     size = index.agg(F.count("*").alias("n"), n_sets.alias("sets")).first()
     if pivots is None:

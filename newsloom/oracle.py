@@ -349,6 +349,20 @@ FROM results FULL JOIN made m USING (news_id)""",
 SELECT event_id, coalesce(category_filter, 'all') AS category_key, c.news_id IS NOT NULL AS hit,
   CASE WHEN c.news_id IS NOT NULL THEN 1 ELSE 0 END::BIGINT AS n_items
 FROM log l LEFT JOIN cache c ON c.news_id = l.news_id AND c.k = l.k AND c.category_key = coalesce(l.category_filter, 'all') AND {AS_OF} < c.expires_at""",
+    "checked_articles": """SELECT CASE WHEN doc_id % 7 <> 0 THEN doc_id END AS id, CASE WHEN doc_id % 7 <> 0 THEN text END AS content,
+  CASE WHEN doc_id % 7 = 0 THEN '{"id":' || doc_id || ',"title":"cut' END AS record FROM documents""",
+    "cache_refresh": f"""WITH {LOG}, {INDEX},
+asked AS (SELECT DISTINCT news_id, k, category_filter FROM log WHERE k BETWEEN 1 AND 50 AND news_id % 5 <> 0),
+sources AS (SELECT DISTINCT news_id FROM asked),
+scores AS (SELECT s.news_id, b.news_id AS match_id, b.category, list_cosine_similarity(a.v, b.v) AS score
+  FROM sources s JOIN idx a USING (news_id) JOIN idx b ON b.news_id <> s.news_id),
+found AS (SELECT m.news_id, m.k, coalesce(m.category_filter, 'all') AS category_key, match_id, score
+  FROM asked m JOIN scores s ON s.news_id = m.news_id AND (m.category_filter IS NULL OR m.category_filter = s.category)),
+listed AS (SELECT DISTINCT news_id, k, category_key FROM found WHERE match_id % 5 <> 0),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY news_id, k, category_key ORDER BY round(score, 9) DESC, match_id) AS rank
+  FROM found WHERE score >= 0.1),
+lists AS (SELECT news_id, k, category_key, string_agg(match_id::VARCHAR, ',' ORDER BY rank) AS items FROM ranks WHERE rank <= k GROUP BY ALL)
+SELECT news_id, k::BIGINT AS k, category_key, coalesce(items, '') AS items FROM listed LEFT JOIN lists USING (news_id, k, category_key)""",
     "cache_write_back": f"""WITH {CACHE}, {INDEX},
 misses AS (SELECT DISTINCT l.news_id, l.k, l.category_filter FROM log l
   LEFT JOIN cache c ON c.news_id = l.news_id AND c.k = l.k AND c.category_key = coalesce(l.category_filter, 'all') AND {AS_OF} < c.expires_at
@@ -377,5 +391,10 @@ WHERE toxic = 1 AND NOT coalesce(signed_at + INTERVAL 86340 SECOND > {AS_OF}, fa
 c AS (SELECT key, min(ts) AS t FROM r GROUP BY key
   UNION ALL SELECT c.key, min(r.ts) AS t FROM c JOIN r ON r.key = c.key AND r.ts >= c.t + INTERVAL 3600 SECOND GROUP BY c.key)
 SELECT c.key, {shown('c.t')} AS computed_at, {shown('c.t + INTERVAL 3600 SECOND')} AS expires_at, count(*) AS n_requests
+FROM c JOIN r ON r.key = c.key AND r.ts >= c.t AND r.ts < c.t + INTERVAL 3600 SECOND GROUP BY ALL""",
+    "computed_once_hot": f"""WITH RECURSIVE r AS (SELECT (event_id % 3)::VARCHAR AS key, ts FROM events),
+c AS (SELECT key, min(ts) AS t FROM r GROUP BY key
+  UNION ALL SELECT c.key, min(r.ts) AS t FROM c JOIN r ON r.key = c.key AND r.ts >= c.t + INTERVAL 3600 SECOND GROUP BY c.key)
+SELECT c.key, {shown('c.t')} AS computed_at, {shown('c.t + INTERVAL 3600 SECOND')} AS expires_at, count(*) AS n_requests
 FROM c JOIN r ON r.key = c.key AND r.ts >= c.t AND r.ts < c.t + INTERVAL 3600 SECOND GROUP BY ALL""",
 }

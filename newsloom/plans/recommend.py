@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.payloads import category_key
-from newsloom.operators.similarity import check_requests, normal_requests, top_k, with_source
+from newsloom.operators.similarity import RANK_DIGITS, check_requests, normal_requests, pair_scores, top_k, with_source
 from newsloom.schemas import ALL_CATEGORIES_KEY, CACHE_TTL_SECONDS, CACHED_LIST
 from newsloom.session import shared_dir
 
@@ -97,6 +97,41 @@ def write_back(cache: DataFrame, fresh: DataFrame) -> DataFrame:
     return kept.unionByName(fresh.select(cache.columns))
 
 
+def refreshed_lists(
+    cache: DataFrame, indexed: DataFrame, index: DataFrame, as_of: Column, search=top_k, **options
+) -> DataFrame:
+    """The cache after ``indexed`` articles came into ``index``: the same lists as if all were computed again.
+
+    The sources of the lists in force are searched among the newly indexed articles
+    only, and what is found is merged into the lists. Cached scores are rounded, so
+    the items of lists that gain something are scored again, at most k pairs a list.
+    ``search`` is :func:`top_k` or a function with its arguments. Refreshed lists count
+    as computed at ``as_of`` and expire when they did; expired ones are left out.
+    """
+    shared_dir(cache.sparkSession)
+    live = cache.where(F.col("expires_at") > as_of)
+    keys = live.select(*KEY, F.nullif("category_key", F.lit(ALL_CATEGORIES_KEY)).alias("category_filter"))
+    found = search(keys.select("news_id", "k", "category_filter"), index, among=indexed, details=False, **options)
+    gained = found.select("news_id", "k", category_key(F.col("category_filter")).alias("category_key"), "match_id", "score")
+    gained = gained.checkpoint()
+    known = live.join(gained.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, F.explode("items").alias("item"))
+    held = known.select(*KEY, F.col("item.news_id").alias("match_id"), "item.title", "item.category")
+    pairs = held.select(F.col("news_id").alias("left_id"), F.col("match_id").alias("right_id")).distinct()
+    scores = pair_scores(pairs, index).select(F.col("left_id").alias("news_id"), F.col("right_id").alias("match_id"), F.col("similarity").alias("score"))
+    details = indexed.select(F.col("news_id").alias("match_id"), "title", "category")
+    both = held.join(scores, ["news_id", "match_id"]).unionByName(gained.join(details, "match_id"))
+    # An article indexed once more stands in a list once.
+    single = both.groupBy(*KEY, "match_id").agg(F.max_by(F.struct("score", "title", "category"), "score").alias("m"))
+    ordered = F.sort_array(F.collect_list(F.struct((-F.round("m.score", RANK_DIGITS)).alias("order"), "match_id", "m")))
+    item = lambda x: F.struct(
+        x["match_id"].alias("news_id"), x["m"]["title"].alias("title"), x["m"]["category"].alias("category"),
+        F.round(x["m"]["score"], 4).alias("similarity_score"),
+    )
+    merged = single.groupBy(*KEY).agg(ordered.alias("_all")).select(*KEY, F.transform(F.slice("_all", 1, F.col("k")), item).alias("_new"))
+    fresh = live.join(merged, KEY, "left").withColumn("items", F.coalesce("_new", "items")).withColumn("computed_at", as_of)
+    return fresh.select(cache.columns)
+
+
 def invalidate(cache: DataFrame, indexed: DataFrame) -> DataFrame:
     """Drop the lists that newly indexed articles (category) may have changed.
 

@@ -28,6 +28,7 @@ from newsloom.sources.batches import BatchTable
 from newsloom.sources.buckets import BucketTable
 from newsloom.streaming.index_stream import index_stream
 from newsloom.streaming.ttl import computed_once
+from newsloom.streaming.ttl_split import COMPUTED, computed_once_split
 
 EARLIER, AS_OF = "2024-01-01 00:00:00", "2024-01-16 00:00:00"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,6 +144,18 @@ def list_articles(spark, sf_dir):
     return A.list_articles(articles(spark, sf_dir)).drop("publisher_id")
 
 
+def checked_articles(spark, sf_dir):
+    """Articles written as JSON lines, every seventh of them cut off, and read again with their quarantine."""
+    folder = scratch_path(spark, "lines")
+    whole = F.to_json(F.struct(F.col("id"), F.col("content_plain_text")))
+    cut = F.concat(F.lit('{"id":'), F.col("id").cast("string"), F.lit(',"title":"cut'))
+    given = articles(spark, sf_dir)
+    given.select(F.when(F.col("id") % 7 == 0, cut).otherwise(whole).alias("value")).write.text(folder)
+    rows, quarantine = A.read_checked(spark, folder)
+    lines = quarantine.select(F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("string").alias("content"), "record")
+    return rows.select("id", F.col("content_plain_text").alias("content"), F.lit(None).cast("string").alias("record")).unionByName(lines)
+
+
 def articles_in_category(spark, sf_dir):
     return A.list_articles(articles(spark, sf_dir), "src3").drop("publisher_id")
 
@@ -341,6 +354,11 @@ def tidied_titles(spark, sf_dir):
     return articles(spark, sf_dir).select("id", X.tidy_generated(F.col("title")).alias("tidied"))
 
 
+def tidied_documents(spark, sf_dir):
+    """Whole documents as if they had been generated."""
+    return docs(spark, sf_dir).select("doc_id", X.tidy_whole(F.col("text")).alias("tidied"))
+
+
 def default_categories(spark, sf_dir):
     return articles(spark, sf_dir).select("id", X.category_or_unknown(F.col("category")).alias("category"))
 
@@ -676,6 +694,16 @@ def cache_write_back(spark, sf_dir):
     )
 
 
+def cache_refresh(spark, sf_dir):
+    """The log's lists over four fifths of the articles, refreshed after the last fifth was indexed."""
+    rows, late = index(spark, sf_dir), F.col("news_id") % 5 == 0
+    log = request_log(spark, sf_dir).select("news_id", "k", "category_filter")
+    before = recommend.expiring(recommend.missed_lists(log, rows.where(~late)), at(AS_OF)).checkpoint()
+    after = recommend.refreshed_lists(before, rows.where(late), rows, at(AS_OF))
+    ids = F.transform("items", lambda i: i["news_id"].cast("string"))
+    return after.select("news_id", F.col("k").cast("bigint").alias("k"), "category_key", F.array_join(ids, ",").alias("items"))
+
+
 def cache_invalidation(spark, sf_dir):
     """What stays cached after articles of the first three categories were indexed."""
     indexed = index(spark, sf_dir).where("category in ('0', '1', '2')").select("category")
@@ -767,14 +795,25 @@ def computed_once_stream(spark, sf_dir):
     return made.select("key", shown(F.col("computed_at")).alias("computed_at"), shown(F.col("expires_at")).alias("expires_at"), "n_requests")
 
 
+def computed_once_hot(spark, sf_dir):
+    """The same of three keys, so that each holds a third of all requests, spread over tasks."""
+    schema = table(spark, sf_dir, "events").schema
+    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    requests = arriving.select((F.col("event_id") % 3).cast("string").alias("key"), "ts")
+    out = scratch_path(spark, "computed")
+    computed_once_split(requests, out, scratch_path(spark, "expiries"), scratch_path(spark, "ttl")).awaitTermination()
+    made = spark.read.schema(COMPUTED).parquet(out)
+    return made.select("key", shown(F.col("computed_at")).alias("computed_at"), shown(F.col("expires_at")).alias("expires_at"), "n_requests")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        list_articles, articles_in_category, article_page, fetch_content, append_batches,
+        list_articles, checked_articles, articles_in_category, article_page, fetch_content, append_batches,
         upsert_results, merged_updates, published_results, links_after_delete, delete_results, deletion_report, one_per_key, duplicate_counts,
         row_constraints, result_defaults,
         titled_articles, content_status, request_bounds, usable_summaries,
-        clean_text, sentences, embedding_inputs, lead_words, printable_text, tidied_titles,
+        clean_text, sentences, embedding_inputs, lead_words, printable_text, tidied_titles, tidied_documents,
         default_categories, sentence_terms, artifact_manifest, cached_payloads,
         unit_vectors, pair_cosines, article_embeddings, sentence_embeddings,
         new_articles, known_articles, request_sources, article_categories, article_exists,
@@ -787,9 +826,9 @@ QUERIES: dict[str, Query] = {
         tfidf_weights, similarity_rows, compared_methods,
         position_summary, tfidf_summary, embedding_summary, second_embedder_summary,
         short_documents, two_summaries, stored_summaries,
-        index_snapshot, index_from_stream, cache_lookup, cache_write_back, cache_invalidation,
+        index_snapshot, index_from_stream, cache_lookup, cache_write_back, cache_refresh, cache_invalidation,
         cache_after_indexing, cache_hits_after_batch, cache_hits_after_stream,
         index_from_stream_by_catalog, stream_tally,
-        links_to_refresh, computed_once_stream,
+        links_to_refresh, computed_once_stream, computed_once_hot,
     )
 }

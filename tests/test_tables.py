@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from newsloom.sources.batches import BatchTable
 from newsloom.sources.buckets import BucketTable
 from newsloom.streaming.index_stream import index_stream
 from newsloom.streaming.ttl import computed_once, computed_once_native
+from newsloom.streaming.ttl_split import COMPUTED, chained, computed_once_split, next_steps
 
 ARTICLE_FIELDS = "id bigint, title string, description string, category string, publisher_id bigint, content_plain_text string"
 EDGE_ARTICLES = [
@@ -335,3 +337,107 @@ def test_stream_looks_up_categories_and_dates_them(spark, tmp_path):
     assert {r.news_id: r.hit for r in looked.collect()} == {1: False, 2: True, 3: False, 4: True, 5: True}
     none = indexing.read_epochs(spark, epochs).limit(0)
     assert all(r.hit for r in recommend.read_cache(asked, cache, at("2024-01-03 00:00:00"), none).collect())
+
+
+def test_checked_reading(spark, tmp_path):
+    lines = ['{"id": 1, "title": "a"}', '{"id": 2, "title": "b', "", '{"id": 3, "publisher_id": "x"}', '{"title": null}', "[", '{"id": 4, "more": 1}']
+    (tmp_path / "a.json").write_text("\n".join(lines))
+    rows, broken = A.read_checked(spark, str(tmp_path / "a.json"))
+    # A value of the wrong type counts in queries that do not read its column, too.
+    assert sorted((r.id or 0) for r in rows.select("id").collect()) == [0, 1, 4]
+    assert rows.count() == 3 and broken.count() == 3
+    assert sorted(r.record for r in broken.collect()) == sorted(["[", lines[1], lines[3]])
+    assert all(r.file.endswith("a.json") for r in broken.collect())
+    (tmp_path / "a.csv").write_text("1,t,d,c,7,text\nx,t,d,c,7,text\n2,t,d\n3,,,,,\n")
+    rows, broken = A.read_checked(spark, str(tmp_path / "a.csv"), "csv")
+    assert sorted(r.id for r in rows.collect()) == [1, 3]
+    assert sorted(r.record for r in broken.select("record").collect()) == ["2,t,d", "x,t,d,c,7,text"]
+    with pytest.raises(ValueError):
+        A.read_checked(spark, "nowhere", "parquet")
+
+
+def test_refreshed_lists(spark):
+    from newsloom.schemas import CACHED_LIST
+
+    dice = random.Random(4)
+    columns = "news_id bigint, category string, title string, embedding array<float>"
+    rows = [(i, "abc"[i % 3], f"t{i}", [dice.gauss(0, 1) for _ in range(4)]) for i in range(60)]
+    rows += [(100, "a", "copy", rows[3][3]), (101, "d", "alone", [1.0, 0.0, 0.0, 0.0]), (102, "a", "zero", [0.0] * 4)]
+    index = spark.createDataFrame(rows, columns)
+    late = F.col("news_id") % 4 == 0
+    asked = spark.createDataFrame([(i, 1 + i % 9, c) for i in range(60) for c in (None, "a", "d")], "news_id bigint, k int, category_filter string")
+    before = recommend.expiring(recommend.missed_lists(asked, index.where(~late)), at(T0)).checkpoint()
+
+    def lists(table):
+        return {(r.news_id, r.k, r.category_key): [tuple(i) for i in r["items"]] for r in table.collect()}
+
+    def refreshed(indexed, time=T0):
+        return recommend.refreshed_lists(before, indexed, index, at(time))
+
+    want = lists(recommend.missed_lists(asked, index))
+    held = lists(before)
+    assert held and lists(refreshed(index.where(late))) == {k: want[k] for k in held}
+    assert lists(refreshed(index)) == {k: want[k] for k in held}  # indexed again: no doubles
+    assert lists(refreshed(index.where("false"))) == held
+    assert refreshed(index.where(late), "2024-01-01 01:00:00").count() == 0
+    stamped = refreshed(index.where(late), "2024-01-01 00:10:00")
+    assert stamped.select("computed_at", "expires_at").distinct().collect() == [(dt.datetime(2024, 1, 1, 0, 10), dt.datetime(2024, 1, 1, 1))]
+    assert stamped.columns == CACHED_LIST.names
+
+
+def by_hand(times, ttl):
+    """(computed_at, n_requests) in microseconds."""
+    made = []
+    for t in sorted(times):
+        if not made or t >= made[-1][0] + ttl:
+            made.append([t, 0])
+        made[-1][1] += 1
+    return [tuple(m) for m in made]
+
+
+def test_steps_of_one_hot_key(spark):
+    """Times of one key, dense, sparse and repeated; its rows are dealt to many tasks."""
+    dice = random.Random(7)
+    for slices in (1, 64):
+        asked = {"hot": [dice.randrange(40_000_000) for _ in range(3000)], "gaps": [i * 97_000_000 + dice.randrange(9) for i in range(40)], None: [5, 5, 2_000_005]}
+        rows = [(k, dt.datetime(2024, 1, 1) + dt.timedelta(microseconds=t)) for k, ts in asked.items() for t in ts]
+        steps = next_steps(spark.createDataFrame(rows, "key string, ts timestamp"), 2, slices)
+        base = int(dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).timestamp() * 1_000_000)
+        got = sorted((str(r.key), r.t - base, r.n) for r in chained(steps).collect())
+        assert got == sorted((str(k), t, n) for k, ts in asked.items() for t, n in by_hand(ts, 2_000_000))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        hot = steps.where("key = 'hot'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(hot) > 1 and max(r["count"] for r in hot) < 3000 / 2
+
+
+def test_split_ttl_stream(spark, tmp_path):
+    def second(s):
+        return dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+
+    schema = "key string, ts timestamp"
+    inbox = str(tmp_path / "in")
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(inbox, mode="append")
+        stream = spark.readStream.schema(schema).parquet(inbox)
+        computed_once_split(stream, str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "cp"), lateness="1 hour").awaitTermination()
+
+    def state(batch):
+        return {r.key for r in spark.read.parquet(f"{tmp_path}/state/batch={batch}").where("expires_at is not null").collect()}
+
+    arrive([("a", second(0)), ("a", second(3599)), ("a", second(3600)), ("b", second(10)), ("a", second(3700)), ("e", None)])
+    # Out of order: the request at 3500 lies before a's last expiry and is a hit.
+    arrive([("a", second(7200)), ("a", second(7199)), ("a", second(3500)), ("c", second(9000)), ("b", second(9000))])
+    # Before the latest request by more than an hour: dropped.
+    arrive([("d", second(5000)), ("d", second(5400)), ("b", second(9001))])
+    got = sorted((r.key, r.computed_at, r.n_requests) for r in spark.read.schema(COMPUTED).parquet(f"{tmp_path}/out").collect())
+    assert got == [
+        ("a", second(0), 2), ("a", second(3600), 2), ("a", second(7200), 1), ("b", second(10), 1), ("b", second(9000), 1),
+        ("c", second(9000), 1), ("d", second(5400), 1),
+    ]
+    assert state(0) == {"a", "b"} and state(1) == {"a", "b", "c"} and state(2) == {"a", "b", "c", "d"}
+    arrive([("z", second(13000))])
+    assert state(3) == {"a", "b", "c", "z"}

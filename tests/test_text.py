@@ -1,9 +1,11 @@
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
 from newsloom.functions import artifacts, text as X
+from newsloom.functions.repeats import shorten
 from newsloom.operators import centrality as C
 
 EDGE_TEXTS = [
@@ -133,6 +135,32 @@ def test_tidy_generated(spark):
             assert row.got == cases[row.text]
 
 
+def test_shortened_repeats():
+    """Equal to the pattern, on texts dense with repeats."""
+    pattern, dice = re.compile(r"(.+?)\1{2,}", re.S), random.Random(3)
+    for _ in range(4000):
+        letters = dice.choice(["a", "ab", "abc", "ab \U0001f600"])
+        word = lambda n: "".join(dice.choice(letters) for _ in range(n))
+        text = word(dice.randint(0, 40)) + word(dice.randint(1, 14)) * dice.randint(1, 5) + word(dice.randint(0, 20))
+        assert shorten(text) == pattern.sub(r"\1", text), repr(text)
+
+
+def test_shortening_long_texts():
+    dice = random.Random(3)
+    unit = "".join(dice.choice("abcdefgh ") for _ in range(100_000))
+    start = time.time()
+    assert shorten(unit * 10) == unit  # what stands in the unit stays
+    assert shorten("a" * 1_000_000) == "a"
+    assert time.time() - start < 60
+
+
+def test_whole_documents_are_tidied_like_summaries(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(8)
+    both = docs.select(X.tidy_generated(F.col("text")).alias("want"), X.tidy_whole(F.col("text")).alias("got"))
+    rows = both.unionByName(docs.limit(1).select(F.lit(None).cast("string").alias("want"), X.tidy_whole(F.lit(None).cast("string")).alias("got"))).collect()
+    assert len(rows) == 201 and all(r.want == r.got for r in rows)
+
+
 def test_usable_summary(spark):
     texts = ["abc", "ABC", "Ộ", "123 !?", "", "漢字", "ÀÁ 1"]
     got = run(spark, X.is_usable_summary(F.col("text")).alias("fold"), X.is_usable_summary(F.col("text"), False).alias("exact"), texts=texts)
