@@ -8,6 +8,9 @@ be unique and not null, see :func:`newsloom.operators.constraints.keep_one_per_k
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -18,6 +21,7 @@ from newsloom.functions.columns import with_evaluated
 from newsloom.functions.text import clean_sentences, clean_text, terms
 from newsloom.functions.vectors import dot
 from newsloom.operators.embedding import Embedder
+from newsloom.session import ship_package
 
 SCORE_DIGITS = 9
 LOWER_INDEX_FIRST, HIGHER_INDEX_FIRST = "lower", "higher"
@@ -95,6 +99,58 @@ def sparse_centrality(weights: DataFrame) -> DataFrame:
     return totals.groupBy("doc_id", "idx").agg(score.alias("score"))
 
 
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _tfidf_centrality(terms: pa.Array) -> np.ndarray:
+    """One score per sentence of some documents, each a list of sentences, each a list of terms."""
+    n, sentences = _lengths(terms), terms.flatten()
+    m = _lengths(sentences)
+    words = sentences.flatten().dictionary_encode()
+    size = max(1, len(words.dictionary))
+    # One cell per (sentence, term), then its place among the (document, term).
+    cells, tf = np.unique(np.repeat(np.arange(len(m)), m) * size + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    row = cells // size
+    doc = np.repeat(np.arange(len(n)), n)[row]
+    _, place, df = np.unique(doc * size + cells % size, return_inverse=True, return_counts=True)
+    raw = tf * (np.log((1.0 + n[doc]) / (1.0 + df[place])) + 1.0)
+    weight = raw / np.sqrt(np.bincount(row, raw * raw, len(m)))[row]
+    return np.bincount(row, weight * np.bincount(place, weight)[place], len(m))
+
+
+def with_tfidf_scores(split: DataFrame, block: int = 1 << 20) -> DataFrame:
+    """:func:`sparse_centrality` of whole documents as an array ``scores``, one per sentence.
+
+    Works where the documents are: no exchange, no sort and no row per term. Only the
+    terms go to the Python workers, and only the scores come back. The documents of
+    a batch are taken in blocks of about ``block`` terms. Null sentences give null scores.
+    """
+    ship_package(split.sparkSession)
+
+    @F.arrow_udf("array<double>")
+    def scored(terms: pa.Array) -> pa.Array:
+        sizes, n = _lengths(terms.flatten()), _lengths(terms)
+        ends = np.r_[0, np.cumsum(sizes)][np.cumsum(n)]
+        cuts = np.r_[0, np.flatnonzero(np.diff(ends // block)) + 1, len(n)]
+        parts = [_tfidf_centrality(terms.slice(a, b - a)) for a, b in zip(cuts[:-1], cuts[1:])]
+        offsets = pa.array(np.r_[0, np.cumsum(n)].astype(np.int32), mask=np.r_[terms.is_null().to_numpy(zero_copy_only=False), False])
+        return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts), pa.float64()))
+
+    return split.withColumn("scores", scored(F.transform("sentences", terms)))
+
+
+def pick_top_scores(scored: DataFrame, ratio: float, ties: str = LOWER_INDEX_FIRST) -> DataFrame:
+    """:func:`pick_top` for documents that carry their sentences and ``scores``."""
+    k = n_kept(F.col("n_sentences"), ratio)
+    ranked = F.transform("scores", lambda s, i: F.struct((-F.round(s, SCORE_DIGITS)).alias("s"), (i if ties == LOWER_INDEX_FIRST else -i).alias("t"), i.alias("i")))
+    best = F.array_sort(F.transform(F.slice(F.sort_array(ranked), 1, k), lambda r: r["i"]))
+    # The order of equal scores and of no scores at all is another one.
+    nothing = F.coalesce(F.round(F.array_max("scores"), SCORE_DIGITS), F.lit(0.0)) == 0
+    chosen = F.when(nothing, F.slice("sentences", 1, k)).otherwise(F.transform(best, lambda i: F.col("sentences")[i]))
+    return scored.select("doc_id", F.coalesce(F.array_join(chosen, " "), F.lit("")).alias("summary"))
+
+
 def embed_sentences(sentences: DataFrame, embedder: Embedder) -> DataFrame:
     """One vector per sentence."""
     return embedder.embed(sentences, "sentence", "embedding")

@@ -44,12 +44,12 @@ def position_summary_of_split(split: DataFrame, ratio: float = DEFAULT_RATIO) ->
 
 
 def tfidf_summary(docs: DataFrame, ratio: float = DEFAULT_RATIO) -> DataFrame:
-    return tfidf_summary_of_split(C.split_documents(docs), ratio)
+    """The most central sentences by TF-IDF, found document by document without a shuffle."""
+    return tfidf_summary_of_split(C.with_sentences(docs), ratio)
 
 
 def tfidf_summary_of_split(split: DataFrame, ratio: float = DEFAULT_RATIO) -> DataFrame:
-    scored = C.sparse_centrality(C.tfidf_weights(C.explode_sentences(split)))
-    return C.pick_top(split, scored, ratio, ties=C.HIGHER_INDEX_FIRST)
+    return C.pick_top_scores(C.with_tfidf_scores(split), ratio, ties=C.HIGHER_INDEX_FIRST)
 
 
 def embedding_summary(

@@ -46,6 +46,16 @@ def list_articles(articles: DataFrame, category: str | None = None) -> DataFrame
     return rows.select(LIST_FIELDS)
 
 
+def dealt(scan: DataFrame) -> DataFrame:
+    """A scan that comes in fewer pieces than there are cores, dealt out to all; any other stays where it is.
+
+    For work done row by row on a few large files. Give it scans only: an input
+    with a shuffle would be run to learn its pieces.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def page_of(rows: DataFrame, page: int = 0, size: int = DEFAULT_PAGE_SIZE, key: str = "id") -> DataFrame:
     """Rows ``[page * size, (page + 1) * size)`` in key order, null keys first.
 

@@ -624,7 +624,7 @@ def position_summary(spark, sf_dir):
 
 
 def tfidf_summary(spark, sf_dir):
-    return summaries.tfidf_summary(docs(spark, sf_dir))
+    return summaries.tfidf_summary(A.dealt(docs(spark, sf_dir)))
 
 
 def embedding_summary(spark, sf_dir):

@@ -12,6 +12,7 @@ from newsloom.operators import centrality as C
 from newsloom.operators.embedding import get_embedder, hashed_embedder, model_embedder
 from newsloom.plans import summaries
 from newsloom.plans.compare import compare_methods
+from newsloom.sources.articles import dealt
 
 # The plug-ins defined here reach the workers by value; this file is not shipped.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -113,11 +114,29 @@ def test_methods_split_once(spark, docs, plan):
         together = plan(compare_methods(docs, ["position", "tfidf", "embedding"]))
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
-    for text, reused in [(alone[0], 1), (alone[1], 1), (together, 4)]:
+    assert "Exchange" not in alone[0] and "Sort" not in alone[0]
+    for text, reused in [(alone[1], 1), (together, 3)]:
         assert text.count("ReusedExchange") == reused
         assert text.count("REPARTITION_BY_COL") == 1 + reused
 
 
+@pytest.mark.parametrize("block", [1, 50, 1 << 20])
+def test_scores_of_whole_documents(docs, block):
+    """The arrays hold what the rows hold, however the documents are cut into blocks."""
+    split = C.with_sentences(docs).coalesce(1)
+    arrays = C.with_tfidf_scores(split, block).select("doc_id", F.posexplode("scores").alias("idx", "s"))
+    got = {(r.doc_id, r.idx): round(r.s, 9) for r in arrays.collect()}
+    rows = C.sparse_centrality(C.tfidf_weights(C.explode_sentences(C.split_documents(docs)))).collect()
+    assert got == {(r.doc_id, r.idx): pytest.approx(r.score, abs=2e-9) for r in rows} and got
+
+
+def test_dealt_scans(spark, docs):
+    cores = spark.sparkContext.defaultParallelism
+    few, many = docs.coalesce(1), docs.repartition(2 * cores)
+    assert dealt(few).rdd.getNumPartitions() == cores and dealt(few).count() == docs.count()
+    assert dealt(many) is many
+
+
 def test_position_summary_does_not_shuffle(docs, plan):
     assert "Exchange" not in plan(summaries.position_summary(docs))
 
