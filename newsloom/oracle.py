@@ -349,7 +349,7 @@ FROM results FULL JOIN made m USING (news_id)""",
 SELECT event_id, coalesce(category_filter, 'all') AS category_key, c.news_id IS NOT NULL AS hit,
   CASE WHEN c.news_id IS NOT NULL THEN 1 ELSE 0 END::BIGINT AS n_items
 FROM log l LEFT JOIN cache c ON c.news_id = l.news_id AND c.k = l.k AND c.category_key = coalesce(l.category_filter, 'all') AND {AS_OF} < c.expires_at""",
-    "checked_articles": """SELECT CASE WHEN doc_id % 7 <> 0 THEN doc_id END AS id, CASE WHEN doc_id % 7 <> 0 THEN text END AS content,
+    "checked_articles": """SELECT CASE WHEN doc_id % 7 <> 0 THEN doc_id::VARCHAR END AS id, CASE WHEN doc_id % 7 <> 0 THEN text END AS content,
   CASE WHEN doc_id % 7 = 0 THEN '{"id":' || doc_id || ',"title":"cut' END AS record FROM documents""",
     "cache_refresh": f"""WITH {LOG}, {INDEX},
 asked AS (SELECT DISTINCT news_id, k, category_filter FROM log WHERE k BETWEEN 1 AND 50 AND news_id % 5 <> 0),

@@ -152,8 +152,8 @@ def checked_articles(spark, sf_dir):
     given = articles(spark, sf_dir)
     given.select(F.when(F.col("id") % 7 == 0, cut).otherwise(whole).alias("value")).write.text(folder)
     rows, quarantine = A.read_checked(spark, folder)
-    lines = quarantine.select(F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("string").alias("content"), "record")
-    return rows.select("id", F.col("content_plain_text").alias("content"), F.lit(None).cast("string").alias("record")).unionByName(lines)
+    lines = quarantine.select(F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("content"), "record")
+    return rows.select(F.col("id").cast("string").alias("id"), F.col("content_plain_text").alias("content"), F.lit(None).cast("string").alias("record")).unionByName(lines)
 
 
 def articles_in_category(spark, sf_dir):
