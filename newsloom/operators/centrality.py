@@ -145,7 +145,7 @@ def pick_top_scores(scored: DataFrame, ratio: float, ties: str = LOWER_INDEX_FIR
     k = n_kept(F.col("n_sentences"), ratio)
     ranked = F.transform("scores", lambda s, i: F.struct((-F.round(s, SCORE_DIGITS)).alias("s"), (i if ties == LOWER_INDEX_FIRST else -i).alias("t"), i.alias("i")))
     best = F.array_sort(F.transform(F.slice(F.sort_array(ranked), 1, k), lambda r: r["i"]))
-    # The order of equal scores and of no scores at all is another one.
+    # Where nothing scores, the first sentences stand for the document.
     nothing = F.coalesce(F.round(F.array_max("scores"), SCORE_DIGITS), F.lit(0.0)) == 0
     chosen = F.when(nothing, F.slice("sentences", 1, k)).otherwise(F.transform(best, lambda i: F.col("sentences")[i]))
     return scored.select("doc_id", F.coalesce(F.array_join(chosen, " "), F.lit("")).alias("summary"))
