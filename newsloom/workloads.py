@@ -739,16 +739,20 @@ def cache_hits_after_batch(spark, sf_dir):
     return hits_since(spark, sf_dir, epochs)
 
 
+def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as a stream. As a pattern its path may be one file or a folder of them; a source takes no bare file."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def document_stream(spark, sf_dir) -> DataFrame:
-    schema = table(spark, sf_dir, "documents").schema
-    return as_articles(spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir))
+    return as_articles(arriving(spark, sf_dir, "documents"))
 
 
 def cache_hits_after_stream(spark, sf_dir):
     """The same after the articles arrived in a stream."""
     epochs, checkpoint = scratch_path(spark, "epochs"), scratch_path(spark, "index-stream")
-    arriving = arriving_articles(document_stream(spark, sf_dir))
-    index_stream(arriving, seeded_index(spark, sf_dir), at(INDEXED_AT), checkpoint, epochs=epochs).awaitTermination()
+    given = arriving_articles(document_stream(spark, sf_dir))
+    index_stream(given, seeded_index(spark, sf_dir), at(INDEXED_AT), checkpoint, epochs=epochs).awaitTermination()
     return hits_since(spark, sf_dir, epochs)
 
 
@@ -761,8 +765,8 @@ def index_from_stream_by_catalog(spark, sf_dir):
     """Articles that arrive without a category get it from the article table."""
     stored = seeded_index(spark, sf_dir)
     catalog = lambda: articles(spark, sf_dir).select("id", "category")
-    arriving = without_categories(document_stream(spark, sf_dir))
-    index_stream(arriving, stored, at(AS_OF), scratch_path(spark, "index-stream"), catalog=catalog).awaitTermination()
+    given = without_categories(document_stream(spark, sf_dir))
+    index_stream(given, stored, at(AS_OF), scratch_path(spark, "index-stream"), catalog=catalog).awaitTermination()
     return shown_index(stored.read())
 
 
@@ -785,9 +789,7 @@ def links_to_refresh(spark, sf_dir):
 
 
 def computed_once_stream(spark, sf_dir):
-    schema = table(spark, sf_dir, "events").schema
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    requests = arriving.select(F.col("user_id").cast("string").alias("key"), "ts")
+    requests = arriving(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), "ts")
     out = scratch_path(spark, "computed")
     writer = computed_once(requests).writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "ttl"))
     writer.trigger(availableNow=True).start(out).awaitTermination()
@@ -797,9 +799,7 @@ def computed_once_stream(spark, sf_dir):
 
 def computed_once_hot(spark, sf_dir):
     """The same of three keys, so that each holds a third of all requests, spread over tasks."""
-    schema = table(spark, sf_dir, "events").schema
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    requests = arriving.select((F.col("event_id") % 3).cast("string").alias("key"), "ts")
+    requests = arriving(spark, sf_dir, "events").select((F.col("event_id") % 3).cast("string").alias("key"), "ts")
     out = scratch_path(spark, "computed")
     computed_once_split(requests, out, scratch_path(spark, "expiries"), scratch_path(spark, "ttl")).awaitTermination()
     made = spark.read.schema(COMPUTED).parquet(out)

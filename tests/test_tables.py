@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from newsloom import workloads as W
 from newsloom.operators import constraints, merge, stats
 from newsloom.plans import audio, indexing, recommend
 from newsloom.schemas import EMBEDDING, RESULT
@@ -441,3 +442,21 @@ def test_split_ttl_stream(spark, tmp_path):
     assert state(0) == {"a", "b"} and state(1) == {"a", "b", "c"} and state(2) == {"a", "b", "c", "d"}
     arrive([("z", second(13000))])
     assert state(3) == {"a", "b", "c", "z"}
+
+
+def test_streams_read_folders(spark, tmp_path):
+    """A table that is a folder of files streams like one that is a single file."""
+    documents = [(i, f"Title {i}. More words. Last.", "en", f"src{i % 4}", 28) for i in range(12)]
+    days = ["2024-01-15 10:00:00", "2024-01-15 13:00:00", "2024-01-20 00:00:00"]
+    events = [(i, i % 5, "click", 3.0, days[i % 3]) for i in range(30)]
+    made = {
+        "documents": spark.createDataFrame(documents, "doc_id long, text string, lang string, source string, n_chars long"),
+        "events": spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double, ts string"),
+        "labels": spark.createDataFrame([(i, 1, 0) for i in (0, 5, 10)], "doc_id long, quality int, toxic int"),
+    }
+    for name, rows in made.items():
+        rows.repartition(2).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert [tuple(r) for r in W.stream_tally(spark, str(tmp_path)).collect()] == [(9, 3, 3, 0, 0)]
+    hits = [sorted(map(tuple, q(spark, str(tmp_path)).collect())) for q in (W.cache_hits_after_stream, W.cache_hits_after_batch)]
+    assert hits[0] == hits[1] and len(hits[0]) == 30
+    assert W.computed_once_stream(spark, str(tmp_path)).agg(F.sum("n_requests")).first()[0] > 0
