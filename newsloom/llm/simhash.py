@@ -49,7 +49,11 @@ def fingerprint(text: bytes) -> int:
     if not words:
         return 0
     parts = zip(*[words[i:] for i in range(SHINGLE)]) if len(words) >= SHINGLE else [words]
-    hashed = [xxhash.xxh64_intdigest(b" ".join(part), SEED) for part in parts]
+    return majority([xxhash.xxh64_intdigest(b" ".join(part), SEED) for part in parts])
+
+
+def majority(hashed: list[int] | np.ndarray) -> int:
+    """The fingerprint of some unsigned 64-bit hashes: a bit is 1 if over half of them have it."""
     bits = np.zeros(64, np.int64)
     for start in range(0, len(hashed), 1 << 16):
         some = np.array(hashed[start : start + (1 << 16)], dtype=">u8")

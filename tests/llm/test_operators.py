@@ -619,3 +619,25 @@ def test_shingle_groups_equal_brute_force(spark, monkeypatch, frequent):
     first = min(got)
     assert got == {first + i: first + g for i, g in enumerate(group)}
     assert sorted(r.doc_id - first for r in shingle_join.one_per_group(table).collect()) == sorted(set(group))
+
+
+def test_pipeline_asks_simhash(spark, monkeypatch):
+    """Near copies are linked by SimHash first, whose links are checked exactly."""
+    import corpus_pipeline
+
+    rnd = random.Random(2)
+    base = [f"w{rnd.randrange(9000)}" for _ in range(1500)]
+    texts = [" ".join(base), " ".join([*base, "end"]), " ".join(["start", *base]), " ".join(base[:700]), "other words altogether and more"]
+    table = spark.createDataFrame(rows_of(texts), DOCS)
+    links, met = simhash.links, []
+
+    def watched(nodes):
+        found = links(nodes)
+        met.append(found.count())
+        return found
+
+    monkeypatch.setattr(simhash, "links", watched)
+    kept = corpus_pipeline.without_near_copies(spark, table, "")
+    first = table.agg(F.min("doc_id")).first()[0]
+    assert sorted(r.doc_id - first for r in kept.collect()) == [0, 3, 4]
+    assert met and met[0] > 0
