@@ -8,6 +8,8 @@ be unique and not null, see :func:`newsloom.operators.constraints.keep_one_per_k
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,7 +23,7 @@ from newsloom.functions.columns import with_evaluated
 from newsloom.functions.text import clean_sentences, clean_text, terms
 from newsloom.functions.vectors import dot
 from newsloom.operators.embedding import Embedder
-from newsloom.session import ship_package
+from newsloom.session import bound_batches, ship_package
 
 SCORE_DIGITS = 9
 LOWER_INDEX_FIRST, HIGHER_INDEX_FIRST = "lower", "higher"
@@ -66,34 +68,96 @@ def _by(*keys: str) -> Window:
     return Window.partitionBy(F.xxhash64(*keys), *keys)
 
 
-def term_counts(sentences: DataFrame) -> DataFrame:
-    """(doc_id, n_sentences, idx, term, tf); a sentence without terms keeps one row with a null term."""
-    words = sentences.select(
-        "doc_id", "n_sentences", "idx", F.explode_outer(terms(F.col("sentence"))).alias("term")
-    )
-    return words.groupBy("doc_id", "n_sentences", "idx", "term").agg(F.count("term").alias("tf"))
+CELL = "array<struct<n_sentences:int,idx:int,term:string,tf:bigint,df:bigint,idf:double,weight:double,sentence_score:double>>"
+TERMS_PER_BLOCK = 1 << 18
 
 
 def tfidf_weights(sentences: DataFrame) -> DataFrame:
-    """Unit-length TF-IDF rows, where a document's own sentences are the corpus.
+    """Unit-length TF-IDF rows (doc_id, n_sentences, idx, term, tf), where a document's own sentences are the corpus.
+
+    Adds ``df``, ``idf = ln((1 + n) / (1 + df)) + 1``, the L2-normalised ``weight`` and, on
+    one row of each sentence, ``sentence_score``, see :func:`sparse_centrality`. A sentence
+    without terms keeps one row with a null term. The sentences of a document are gathered
+    where they are and weighed together, so there is no exchange, sort or window over terms.
+    """
+    row = F.struct(F.col("n_sentences").cast("int").alias("n"), F.col("idx").cast("int").alias("idx"), terms(F.col("sentence")).alias("terms"))
+    gathered = sentences.groupBy("doc_id").agg(F.collect_list(row).alias("_rows"))
+    ship_package(sentences.sparkSession)
+    bound_batches(sentences.sparkSession)
+
+    @F.arrow_udf(CELL)
+    def weighed(rows: pa.Array) -> pa.Array:
+        return _in_blocks(rows, rows, rows.flatten().field("terms"), _tfidf_cells)
 
-    Adds ``df``, ``idf = ln((1 + n) / (1 + df)) + 1`` and the L2-normalised ``weight``.
+    cells = gathered.select("doc_id", F.explode(weighed("_rows")).alias("_cell"))
+    made = cells.select("doc_id", "_cell.*")
+    made._gathered = gathered
+    return made
+
+
+def _in_blocks(documents: pa.Array, rows: pa.Array, terms: pa.Array | None, function: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """``function`` of some documents at a time, which bounds what it needs.
+
+    ``rows`` are the documents' lists; about ``TERMS_PER_BLOCK`` of the terms of their rows, or of the rows, go together.
     """
-    counted = term_counts(sentences).withColumn("df", F.count("term").over(_by("doc_id", "term")))
-    idf = F.log((F.lit(1.0) + F.col("n_sentences")) / (F.lit(1.0) + F.col("df"))) + 1.0
-    raw = counted.withColumn("idf", idf).withColumn("_raw", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(_by("doc_id", "idx")))
-    normed = raw.withColumn("_norm", norm)
-    weight = F.when(F.col("_norm") == 0, 0.0).otherwise(F.col("_raw") / F.col("_norm"))
-    return normed.withColumn("weight", weight).drop("_raw", "_norm")
+    ends = np.cumsum(_lengths(rows))
+    if terms is not None:
+        ends = np.r_[0, np.cumsum(_lengths(terms))][ends]
+    cuts = np.r_[0, np.flatnonzero(np.diff(ends // TERMS_PER_BLOCK)) + 1, len(documents)]
+    return pa.concat_arrays([function(documents.slice(a, b - a)) for a, b in zip(cuts[:-1], cuts[1:])])
+
+
+def _tfidf_cells(rows: pa.Array) -> pa.Array:
+    """Per document the cells of :func:`tfidf_weights`, from lists of (n, idx, terms)."""
+    flat = rows.flatten()
+    doc = np.repeat(np.arange(len(rows)), _lengths(rows))
+    n, idx = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "idx"))
+    # Rows of one document with equal numbers are one sentence; all with one idx share a norm.
+    width = int(idx.max(initial=0)) + 1
+    place, held = np.unique(doc * width + idx, return_inverse=True)
+    height = int(n.max(initial=0)) + 1
+    sentence, own = np.unique(held * height + n, return_inverse=True)
+    norm_of, n_of = sentence // height, sentence % height
+    doc_of, idx_of = place[norm_of] // width, place[norm_of] % width
+    m, words = _lengths(flat.field("terms")), flat.field("terms").flatten().dictionary_encode()
+    none = len(words.dictionary)
+    size = none + 1
+    codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    cells, tf = np.unique(np.concatenate([np.repeat(own, m) * size + codes, own[m == 0] * size + none]), return_counts=True)
+    row, code = cells // size, cells % size
+    doc = doc_of[row]
+    _, term, df = np.unique(doc * size + code, return_inverse=True, return_counts=True)
+    tf = np.where(code == none, 0, tf)
+    df = np.where(code == none, 0, df[term])
+    idf = np.log((1.0 + n_of[row]) / (1.0 + df)) + 1.0
+    raw = tf * idf
+    norm = np.sqrt(np.bincount(norm_of[row], raw * raw, len(place)))[norm_of[row]]
+    weight = np.divide(raw, norm, out=np.zeros(len(raw)), where=norm > 0)
+    # u_i.u_j summed over j is u_i.(the sum of all u_j): a total per term is enough.
+    score = np.bincount(norm_of[row], weight * np.bincount(term, weight)[term], len(place))
+    first = np.r_[True, norm_of[row][1:] != norm_of[row][:-1]] if len(row) else np.zeros(0, bool)
+    text = words.dictionary.take(pa.array(code, mask=code == none))
+    columns = [n_of[row].astype(np.int32), idx_of[row].astype(np.int32), text, tf, df, idf, weight]
+    names = ["n_sentences", "idx", "term", "tf", "df", "idf", "weight", "sentence_score"]
+    arrays = [*[pa.array(c) for c in columns], pa.array(score[norm_of[row]], mask=~first)]
+    return pa.ListArray.from_arrays(_offsets(doc, len(rows)), pa.StructArray.from_arrays(arrays, names))
+
+
+def _offsets(doc: np.ndarray, n: int) -> pa.Array:
+    """Where the cells of each of ``n`` documents begin, from the ascending document of each cell."""
+    return pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32))
 
 
 def sparse_centrality(weights: DataFrame) -> DataFrame:
     """Row sums of each document's sentence similarity matrix, self included.
 
     The sum over j of u_i.u_j equals u_i.(sum over j of u_j), so one total per
-    (document, term) is enough and no sentence pair is formed.
+    (document, term) is enough and no sentence pair is formed. The rows of
+    :func:`tfidf_weights` carry the sums, made where the documents are; weights from
+    elsewhere are summed here.
     """
+    if "sentence_score" in weights.columns:
+        return weights.where("sentence_score is not null").select("doc_id", "idx", F.round("sentence_score", SCORE_DIGITS).alias("score"))
     totals = weights.withColumn("_total", F.sum("weight").over(_by("doc_id", "term")))
     score = F.round(F.sum(F.col("weight") * F.col("_total")), SCORE_DIGITS)
     return totals.groupBy("doc_id", "idx").agg(score.alias("score"))
@@ -127,6 +191,7 @@ def with_tfidf_scores(split: DataFrame, block: int = 1 << 20) -> DataFrame:
     a batch are taken in blocks of about ``block`` terms. Null sentences give null scores.
     """
     ship_package(split.sparkSession)
+    bound_batches(split.sparkSession)
 
     @F.arrow_udf("array<double>")
     def scored(terms: pa.Array) -> pa.Array:
@@ -216,14 +281,57 @@ def similarity_rows(weights: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows of the sentence similarity matrix for the wanted (doc_id, idx) only.
 
     The full matrix is the product of ``weights`` with its transpose and is never
-    written out: its size is quadratic in the sentences of a document.
+    written out: its size is quadratic in the sentences of a document. What
+    :func:`tfidf_weights` has gathered meets the wanted rows by ``doc_id`` where it is and is
+    weighed there, so that no row per term is sent, sorted or joined; weights from
+    elsewhere are gathered by document first.
     """
-    asked = wanted.select("doc_id", F.col("idx").alias("row_idx"))
-    rows = asked.join(
-        weights.select("doc_id", F.col("idx").alias("row_idx"), "term", F.col("weight").alias("_row_weight")),
-        ["doc_id", "row_idx"],
-    )
-    products = rows.join(weights.select("doc_id", "term", "idx", "weight"), ["doc_id", "term"])
-    return products.groupBy("doc_id", "row_idx", "idx").agg(
-        F.round(F.sum(F.col("_row_weight") * F.col("weight")), SCORE_DIGITS).alias("similarity")
-    )
+    ship_package(weights.sparkSession)
+    bound_batches(weights.sparkSession)
+    gathered = getattr(weights, "_gathered", None)
+    weigh, counted = _tfidf_cells, "terms"
+    if gathered is None:
+        weigh, counted = None, None
+        cell = F.struct(F.col("idx").cast("int").alias("idx"), "term", F.col("weight").cast("double").alias("weight"))
+        gathered = weights.groupBy("doc_id").agg(F.collect_list(cell).alias("_rows"))
+    # A row asked for twice counts twice, as in a join.
+    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.col("idx").cast("int")).alias("_asked"))
+
+    @F.arrow_udf("array<struct<row_idx:int,idx:int,similarity:double>>")
+    def compared(both: pa.Array) -> pa.Array:
+        rows = both.field("_rows")
+        return _in_blocks(both, rows, rows.flatten().field(counted) if counted else None, lambda x: _similarities(x, weigh))
+
+    joined = gathered.join(asked.hint("shuffle_hash"), "doc_id")
+    made = joined.select("doc_id", F.explode(compared(F.struct("_rows", "_asked"))).alias("_pair"))
+    return made.select("doc_id", "_pair.row_idx", "_pair.idx", F.round("_pair.similarity", SCORE_DIGITS).alias("similarity"))
+
+
+def _similarities(both: pa.Array, weigh: Callable[[pa.Array], pa.Array] | None) -> pa.Array:
+    """Per document (row_idx, idx, similarity) of its wanted rows with the sentences that share a term."""
+    n, out = len(both), []
+    cells, asked = both.field("_rows"), both.field("_asked")
+    cells = weigh(cells) if weigh else cells
+    flat = cells.flatten()
+    idx, weight = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("idx", "weight"))
+    # A null term is no term that two sentences share.
+    codes = pc.fill_null(flat.field("term").dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+    starts, wants = np.r_[0, np.cumsum(_lengths(cells))], np.r_[0, np.cumsum(_lengths(asked))]
+    wanted = asked.flatten().to_numpy(zero_copy_only=False)
+    for d in range(n):
+        here = slice(starts[d], starts[d + 1])
+        row, code, own = idx[here], codes[here], weight[here]
+        terms_, term = np.unique(code, return_inverse=True)
+        numbers, place = np.unique(row, return_inverse=True)
+        for w, times in zip(*np.unique(wanted[wants[d] : wants[d + 1]], return_counts=True)):
+            at = row == w
+            if at.any():
+                # Each cell of the row times the cells of the same term.
+                factor = np.bincount(term[at], own[at], len(terms_))[term]
+                shared = (np.bincount(term[at], minlength=len(terms_))[term] > 0) & (code >= 0)
+                met = np.unique(place[shared])
+                sums = times * np.bincount(place[shared], (own * factor)[shared], len(numbers))[met]
+                out.append((np.full(len(met), d), np.full(len(met), w, np.int32), numbers[met].astype(np.int32), sums))
+    doc, row, other, sums = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))
+    pairs = pa.StructArray.from_arrays([pa.array(row), pa.array(other), pa.array(sums)], ["row_idx", "idx", "similarity"])
+    return pa.ListArray.from_arrays(_offsets(doc, n), pairs)

@@ -231,3 +231,54 @@ def test_compare(docs):
     table = compare_methods(docs.where("length(text) > 0"), ["position", "tfidf"]).toPandas().set_index("method")
     assert set(table.index) == {"position", "tfidf"} and (table.n_docs == 6).all()
     assert (table.avg_compression <= 1).all() and isinstance(table, pd.DataFrame)
+
+
+def brute_weights(rows):
+    """{(doc_id, n, idx, term): (tf, df, weight)} and scores {(doc_id, idx)}, cell by cell."""
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    tf, df, squares, totals, scores = Counter(), Counter(), Counter(), Counter(), defaultdict(float)
+    for i, n, idx, text in rows:
+        found = re.findall(r"\w{2,}", (text or "").lower())
+        for t in found or [None]:
+            tf[i, n, idx, t] += bool(found)
+    for i, _, _, t in tf:
+        df[i, t] += t is not None
+    raw = {c: v * (math.log((1 + c[1]) / (1 + df[c[0], c[3]])) + 1) for c, v in tf.items()}
+    for c, x in raw.items():
+        squares[c[0], c[2]] += x * x
+    made = {c: (tf[c], df[c[0], c[3]], x / squares[c[0], c[2]] ** 0.5 if squares[c[0], c[2]] else 0.0) for c, x in raw.items()}
+    for c, (_, _, w) in made.items():
+        totals[c[0], c[3]] += w
+    for c, (_, _, w) in made.items():
+        scores[c[0], c[2]] += w * totals[c[0], c[3]]
+    return made, scores
+
+
+@pytest.mark.parametrize("block", [1, 1 << 18])
+def test_weights_of_odd_sentences(spark, plan, monkeypatch, block):
+    """Repeated ids and sentences, empty and null ones; terms are neither sent, sorted nor joined."""
+    monkeypatch.setattr(C, "TERMS_PER_BLOCK", block)
+    rows = [(1, 3, 0, "cat dog"), (1, 3, 1, "dog dog bird"), (1, 3, 2, "!"), (2, 1, 0, "cat"), (2, 2, 0, "cat owl"), (2, 2, 1, None)]
+    rows += [(3, 2, 0, "same words"), (3, 2, 0, "same words"), (3, 2, 1, "words ạo"), (4, 1, 0, "?")]
+    given = spark.createDataFrame(rows, "doc_id bigint, n_sentences int, idx int, sentence string").repartition("doc_id")
+    weights = C.tfidf_weights(given)
+    want, scores = brute_weights(rows)
+    got = {(r.doc_id, r.n_sentences, r.idx, r.term): (r.tf, r.df, r.weight) for r in weights.collect()}
+    assert got.keys() == want.keys() and all(got[c] == pytest.approx(want[c]) for c in want)
+    assert {(r.doc_id, r.idx): r.score for r in C.sparse_centrality(weights).collect()} == pytest.approx(scores, abs=1e-8)
+    assert {(r.doc_id, r.idx): r.score for r in C.sparse_centrality(weights.drop("sentence_score")).collect()} == pytest.approx(scores, abs=1e-8)
+    best = C.rank_sentences(C.sparse_centrality(weights)).where("rank = 1")
+    asked = best.union(best.where("doc_id = 1"))
+    pairs = {}
+    for r in best.collect():
+        for (i, _, idx, t), (_, _, w) in want.items():
+            for (j, _, other, u), (_, _, x) in want.items():
+                if i == j == r.doc_id and idx == r.idx and t == u is not None:
+                    pairs[i, idx, other] = pairs.get((i, idx, other), 0) + w * x * (2 if i == 1 else 1)
+    for rows_ in (C.similarity_rows(weights, asked), C.similarity_rows(weights.select("*"), asked)):
+        assert {(r.doc_id, r.row_idx, r.idx): r.similarity for r in rows_.collect()} == pytest.approx(pairs, abs=1e-8)
+    text = plan(C.similarity_rows(weights, best))
+    assert "SortMergeJoin" not in text and "term" not in "".join(x for x in text.splitlines() if "Exchange" in x or " Sort" in x)
