@@ -22,10 +22,13 @@ What keeps hot groups small:
 
 * equal vectors are collapsed before anything else, on both sides. All copies
   score the same, so the lowest ids are enough;
-* a list is cut into tiles of about ``rows_per_tile`` vectors, and the requests
-  that visit it into chunks, so that one task holds one tile and streams one
-  chunk of requests past it;
-* each tile emits its own top k per request, never pairs.
+* requests are cut into a bounded number of chunks, whatever their number is. A task
+  holds one chunk and the best matches that its requests have so far, and streams
+  the candidates past it list by list; each request meets only the lists it
+  visits. So a vector is sent once per chunk, and not once per list;
+* few requests make few chunks; then candidates are cut into tiles of at least
+  ``rows_per_tile`` vectors, too;
+* each task emits its own top k per request, never pairs.
 """
 
 from __future__ import annotations
@@ -51,7 +54,9 @@ SLACK = 1e-8
 ROWS_PER_TILE = 2048
 QUERIES_PER_PRODUCT = 512
 VISITS_PER_BATCH = 8192
-TILES_PER_CHUNK = 8
+# Requests are cut into CELLS chunks, unless these would hold more or less than this.
+CELLS = 16
+MIN_CHUNK, MAX_CHUNK = 2048, 1 << 15
 ROWS_PER_BRANCH_PART = 1 << 16
 # Pivots are broadcast up to this size; larger sets become a tree.
 MAX_PIVOT_BYTES = 64 << 20
@@ -395,143 +400,219 @@ def _visits(
     return queries.mapInArrow(route, f"{fields}, list_id int")
 
 
-def _grid(candidates: DataFrame, visits: DataFrame, place: list[str], rows_per_tile: int) -> DataFrame:
-    """Per place: into how many tiles its candidates go and into how many chunks its visits."""
+def _grid(candidates: Column, requests: Column, rows_per_tile: int) -> list[Column]:
+    """Into how many tiles the candidates of a set go and into how many chunks its requests, from their numbers."""
 
-    def pieces(rows: DataFrame, size: int, name: str) -> DataFrame:
-        return rows.groupBy(*place).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    def pieces(n: Column, size: int) -> Column:
+        return F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
 
-    return pieces(candidates, rows_per_tile, "tiles").join(
-        pieces(visits, rows_per_tile * TILES_PER_CHUNK, "chunks"), place
-    )
+    chunks = F.greatest(F.least(pieces(requests, MIN_CHUNK), F.lit(CELLS)), pieces(requests, MAX_CHUNK))
+    tiles = F.least(F.greatest(F.lit(1), F.floor(F.lit(CELLS) / chunks)).cast("int"), pieces(candidates, rows_per_tile))
+    return [tiles.alias("tiles"), chunks.alias("chunks")]
 
 
-def _score(
-    visits: DataFrame, candidates: DataFrame, grid: DataFrame | tuple[int, int], keep: int, floor: float
-) -> DataFrame:
+@dataclass(frozen=True)
+class _Route:
+    """Which lists a query visits, see :func:`_visits`; without pivots those named in its column ``lists``, or all if there is none."""
+
+    pivots: np.ndarray | None = None
+    reach: np.ndarray | None = None
+    nprobe: int = 1
+    beyond: bool = False
+    stop: float = 0.0
+
+
+def _score(queries: DataFrame, candidates: DataFrame, grid: DataFrame, keep: int, floor: float, route: _Route) -> DataFrame:
     """(space, key_a, key_b, ids, score, ranked): the best ``keep`` vectors per query and tile.
 
-    ``ranked`` is the score rounded for ranking. ``grid`` is the table of
-    :func:`_grid`, or two numbers where there is one place only.
+    ``ranked`` is the score rounded for ranking. ``grid`` has tiles and chunks per
+    space, or for all alike.
     """
-    place = ["space", "list_id"]
-    if isinstance(grid, tuple):
-        sizes = [F.lit(grid[0]).alias("tiles"), F.lit(grid[1]).alias("chunks")]
-        candidates, visits = candidates.select("*", *sizes), visits.select("*", *sizes)
+    if "space" in grid.columns:
+        candidates, queries = candidates.join(grid, "space"), queries.join(grid, "space")
     else:
-        on = [c for c in place if c in grid.columns]
-        candidates, visits = candidates.join(grid, on), visits.join(grid, on)
+        sizes = grid.first()
+        numbers = [F.lit(sizes[c]).alias(c) for c in ("tiles", "chunks")]
+        candidates, queries = candidates.select("*", *numbers), queries.select("*", *numbers)
 
-    def numbers(n: str) -> Column:
+    def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
     def slot(value: Column, n: str) -> Column:
         return F.pmod(F.xxhash64(value), F.col(n)).cast("int")
 
-    # A candidate goes to one tile of its list, once per chunk of requests; a request to every tile.
+    named = F.col("lists") if "lists" in queries.columns else F.lit(None).cast("array<int>").alias("lists")
+    # A query goes to one chunk, once per tile; a candidate to one tile, once per chunk.
+    asking = (
+        queries.withColumn("chunk", slot(F.col("key_a"), "chunks"))
+        .withColumn("tile", every("tiles"))
+        .select("space", "tile", "chunk", F.lit(0).alias("side"), F.lit(-1).alias("list_id"),
+                F.lit(None).cast("array<bigint>").alias("ids"), "embedding", "key_a", "key_b", "bound", named)
+    )
     tiled = (
         candidates.withColumn("tile", slot(F.col("ids")[0], "tiles"))
-        .withColumn("chunk", numbers("chunks"))
-        .select(*place, "tile", "chunk", F.lit(0).alias("side"), "ids", "embedding",
+        .withColumn("chunk", every("chunks"))
+        .select("space", "tile", "chunk", F.lit(1).alias("side"), "list_id", "ids", "embedding",
                 F.lit(None).cast("bigint").alias("key_a"), F.lit(None).cast("bigint").alias("key_b"),
-                F.lit(None).cast("double").alias("bound"))
+                F.lit(None).cast("double").alias("bound"), F.lit(None).cast("array<int>").alias("lists"))
     )
-    chunked = (
-        visits.withColumn("chunk", slot(F.col("key_a"), "chunks"))
-        .withColumn("tile", numbers("tiles"))
-        .select(*place, "tile", "chunk", F.lit(1).alias("side"),
-                F.lit(None).cast("array<bigint>").alias("ids"), "embedding", "key_a", "key_b", "bound")
-    )
-    cell = [*place, "tile", "chunk"]
-    stream = tiled.unionByName(chunked).repartition(*cell).sortWithinPartitions(*cell, "side")
+    cell = ["space", "tile", "chunk"]
+    stream = asking.unionByName(tiled).repartition(*cell).sortWithinPartitions(*cell, "side", "list_id")
+    shared = queries.sparkSession.sparkContext.broadcast(route)
 
     def score_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, parts, tile = None, [], None
+        current, parts, asked = None, [], None
         for batch in batches:
-            for here, side, rows in _runs(batch):
+            for here, side, number, rows in _runs(batch):
                 if here != current:
-                    current, parts, tile = here, [], None
+                    if asked is not None:
+                        yield from asked.found()
+                    current, parts, asked = here, [], None
                 if side == 0:
-                    parts.append((_matrix(rows.column("embedding")), rows.column("ids")))
-                    continue
-                if not parts and tile is None:
-                    continue
-                if tile is None:
-                    tile = _Tile(parts, keep)
-                    parts = []
-                yield from _best_in_tile(rows, tile, keep, floor)
+                    parts.append(rows)
+                elif parts or asked is not None:
+                    if asked is None:
+                        asked, parts = _Asked(parts, keep, floor, shared.value), []
+                    asked.meet(number, rows)
+        if asked is not None:
+            yield from asked.found()
 
     return stream.mapInArrow(
         score_cells, "space string, key_a bigint, key_b bigint, ids array<bigint>, score double, ranked double"
     )
 
 
-def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, int, pa.RecordBatch]]:
-    """Cut a sorted batch where the cell or the side changes."""
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, int, int, pa.RecordBatch]]:
+    """Cut a sorted batch where the cell, the side or the list changes."""
     if batch.num_rows == 0:
         return
     space = batch.column("space").dictionary_encode().indices.to_numpy(zero_copy_only=False)
-    rest = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("list_id", "tile", "chunk", "side")]
+    rest = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "chunk", "side", "list_id")]
     marks = np.stack([space, *rest]).astype(np.int64)
     edges = np.flatnonzero((np.diff(marks, axis=1) != 0).any(axis=0)) + 1
     for start, stop in zip([0, *edges], [*edges, batch.num_rows]):
-        cell = (batch.column("space")[int(start)].as_py(), *(int(c[start]) for c in rest[:3]))
-        yield cell, int(rest[3][start]), batch.slice(int(start), int(stop - start))
-
-
-class _Tile:
-    """Unit vectors and id lists of a tile, ordered by lowest id so that position breaks ties."""
-
-    def __init__(self, parts: list[tuple[np.ndarray, pa.Array]], keep: int):
-        vectors = np.concatenate([p[0] for p in parts])
-        ids = pa.concat_arrays([p[1] for p in parts])
-        lengths = ids.value_lengths().to_numpy(zero_copy_only=False)
-        firsts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-        order = np.argsort(ids.flatten().to_numpy(zero_copy_only=False)[firsts], kind="stable")
-        self.ids = ids.take(pa.array(order))
-        self.exact = _unit(vectors[order])
-        # The rough pass takes every n_groups-th column as a group; zero vectors fill them up.
-        self.n_groups = 4 * keep
-        self.width = -(-len(order) // self.n_groups)
-        rough = np.zeros((self.n_groups * self.width, vectors.shape[1]), dtype=np.float32)
-        rough[: len(order)] = self.exact
-        self.rough = np.ascontiguousarray(rough.T)
+        cell = (batch.column("space")[int(start)].as_py(), *(int(c[start]) for c in rest[:2]))
+        yield cell, int(rest[2][start]), int(rest[3][start]), batch.slice(int(start), int(stop - start))
 
 
-def _best_in_tile(rows: pa.RecordBatch, tile: _Tile, keep: int, floor: float) -> Iterator[pa.RecordBatch]:
-    """The best ``keep`` vectors of the tile for each query.
+class _Asked:
+    """The queries of a chunk and the best ``keep`` vectors that each has met.
 
     Single precision finds who can be among them, double precision decides. The
-    rough scores are off by less than ``error``, and the keep-th largest of the
-    group maxima is a lower bound on the keep-th score, so nothing is missed.
+    rough scores are off by less than ``error``, so nothing is missed.
     """
-    for part in _blocks(rows, QUERIES_PER_PRODUCT):
-        queries = _unit(_matrix(part.column("embedding")))
-        error = (queries.shape[1] + 16) * 2.0**-24 + 10.0**-RANK_DIGITS
-        scores = queries.astype(np.float32) @ tile.rough
-        maxima = scores.reshape(len(scores), tile.width, tile.n_groups).max(axis=1)
-        at = tile.n_groups - keep
-        reached = np.partition(maxima, at, axis=1)[:, at].astype(np.float64) - error
-        needed = np.maximum(part.column("bound").to_numpy(zero_copy_only=False), reached) - 2 * error
-        hits = np.flatnonzero(scores >= needed.astype(np.float32)[:, None])
-        row, col = np.divmod(hits, scores.shape[1])
-        exact = np.concatenate(
-            [np.einsum("ij,ij->i", queries[row[p]], tile.exact[col[p]]) for p in _pieces(len(row))] or [np.empty(0)]
-        )
-        good = exact >= floor
-        row, col, exact = row[good], col[good], exact[good]
+
+    def __init__(self, parts: list[pa.RecordBatch], keep: int, floor: float, route: _Route):
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        self.keys, self.keep, self.floor = rows.select(QUERY), keep, floor
+        self.exact = _unit(np.concatenate([_matrix(p.column("embedding")) for p in parts]))
+        self.rough = self.exact.astype(np.float32)
+        self.error = (self.exact.shape[1] + 16) * 2.0**-24 + 10.0**-RANK_DIGITS
+        self.needed = rows.column("bound").to_numpy().astype(np.float64)
+        n = len(self.exact)
+        self.score, self.first = np.full((n, keep), -np.inf), np.zeros((n, keep), np.int64)
+        self.ref, self.n = np.zeros((n, keep), np.int64), np.zeros(n, np.int64)
+        # The id lists of the vectors that ``ref`` names.
+        self.pool, self.pooled = [], 0
+        self.visiting = self._lists(parts, route)
+
+    def _lists(self, parts: list[pa.RecordBatch], route: _Route) -> Callable[[int], np.ndarray]:
+        """The queries that visit a list."""
+        n = len(self.exact)
+        if route.pivots is None:
+            lists = pa.concat_arrays([p.column("lists") for p in parts])
+            if lists.null_count:
+                return lambda number: np.arange(n)
+            named = lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False))
+            order = np.lexsort((row, named))
+            named, row = named[order], row[order]
+            return lambda number: np.unique(row[slice(*np.searchsorted(named, [number, number + 1]))])
+        bits = []
+        bound = pa.array(self.needed)
+        for start in range(0, n, QUERIES_PER_PRODUCT):
+            some = slice(start, start + QUERIES_PER_PRODUCT)
+            cosines = np.clip(self.exact[some] @ route.pivots.T, -1.0, 1.0)
+            used = np.isfinite(route.reach)[None, :]
+            part = pa.RecordBatch.from_arrays([bound[some]], ["bound"])
+            near = _near(part, np.where(used, cosines, -2.0), route.reach, route.nprobe, route.beyond, route.stop) & used
+            bits.append(np.packbits(near, axis=1).T)
+        packed = np.concatenate(bits, axis=1)
+        return lambda number: np.flatnonzero(packed[number >> 3] & (128 >> (number & 7)))
+
+    def meet(self, number: int, rows: pa.RecordBatch) -> None:
+        """Let the queries that visit a list meet some vectors of it."""
+        asking = self.visiting(number)
+        if not len(asking):
+            return
+        vectors, ids = _unit(_matrix(rows.column("embedding"))), rows.column("ids")
+        lengths = ids.value_lengths().to_numpy(zero_copy_only=False)
+        firsts = ids.flatten().to_numpy(zero_copy_only=False)[np.cumsum(lengths) - lengths]
+        rough = np.ascontiguousarray(vectors.T, dtype=np.float32)
+        for start in range(0, len(asking), QUERIES_PER_PRODUCT):
+            at = asking[start : start + QUERIES_PER_PRODUCT]
+            scores = self.rough[at] @ rough
+            if len(vectors) > self.keep:
+                # The keep-th best of these vectors is a lower bound, too.
+                open_ = np.flatnonzero(self.n[at] < self.keep)
+                if len(open_):
+                    worst = len(vectors) - self.keep
+                    reached = np.partition(scores[open_], worst, axis=1)[:, worst].astype(np.float64) - self.error
+                    self.needed[at[open_]] = np.maximum(self.needed[at[open_]], reached)
+            least = (self.needed[at] - 2 * self.error).astype(np.float32)
+            row, col = np.divmod(np.flatnonzero(scores >= least[:, None]), scores.shape[1])
+            if len(row):
+                row = at[row]
+                exact = np.concatenate([np.einsum("ij,ij->i", self.exact[row[p]], vectors[col[p]]) for p in _pieces(len(row))])
+                good = exact >= self.floor
+                self._merge(row[good], exact[good], firsts, col[good], ids)
+
+    def _merge(self, row: np.ndarray, exact: np.ndarray, firsts: np.ndarray, col: np.ndarray, ids: pa.Array) -> None:
+        if not len(row):
+            return
+        used, own = np.unique(col, return_inverse=True)
+        hit = np.unique(row)
+        old_row, old_col = np.nonzero(np.arange(self.keep) < self.n[hit][:, None])
+        old_row = hit[old_row]
+        row = np.concatenate([old_row, row])
+        exact = np.concatenate([self.score[old_row, old_col], exact])
+        first = np.concatenate([self.first[old_row, old_col], firsts[col]])
+        ref = np.concatenate([self.ref[old_row, old_col], own + self.pooled])
+        self.pool.append(ids.take(pa.array(used)))
+        self.pooled += len(used)
         ranked = np.round(exact, RANK_DIGITS)
-        order = np.lexsort((col, -ranked, row))
-        row, col, exact, ranked = row[order], col[order], exact[order], ranked[order]
-        # Position within the query's own run of hits.
-        starts = np.searchsorted(row, row, side="left")
-        chosen = np.arange(len(row)) - starts < keep
-        if not chosen.any():
-            continue
-        at_row = pa.array(row[chosen])
-        columns = [part.column(c).take(at_row) for c in QUERY]
-        columns += [tile.ids.take(pa.array(col[chosen])), pa.array(exact[chosen]), pa.array(ranked[chosen])]
-        yield pa.RecordBatch.from_arrays(columns, [*QUERY, "ids", "score", "ranked"])
+        order = np.lexsort((first, -ranked, row))
+        row, exact, first, ref, ranked = row[order], exact[order], first[order], ref[order], ranked[order]
+        # A vector that is filed under several lists is met again.
+        new = np.r_[True, (row[1:] != row[:-1]) | (first[1:] != first[:-1])]
+        row, exact, first, ref, ranked = row[new], exact[new], first[new], ref[new], ranked[new]
+        place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+        best = place < self.keep
+        row, place = row[best], place[best]
+        self.score[row, place], self.first[row, place], self.ref[row, place] = exact[best], first[best], ref[best]
+        self.n[hit] = np.bincount(np.searchsorted(hit, row), minlength=len(hit))
+        full = place == self.keep - 1
+        self.needed[row[full]] = np.maximum(self.needed[row[full]], ranked[best][full])
+        if self.pooled > 2 * self.ref.size + (1 << 16):
+            self._shrink()
+
+    def _shrink(self) -> None:
+        """Forget the id lists that no query needs any more."""
+        held = np.arange(self.keep) < self.n[:, None]
+        used, at = np.unique(self.ref[held], return_inverse=True)
+        self.pool = [pa.concat_arrays(self.pool).take(pa.array(used))]
+        self.ref[held], self.pooled = at, len(used)
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        if not self.pool:
+            return
+        ids = pa.concat_arrays(self.pool)
+        row, place = np.nonzero(np.arange(self.keep) < self.n[:, None])
+        for p in _pieces(len(row), VISITS_PER_BATCH):
+            at, exact = pa.array(row[p]), self.score[row[p], place[p]]
+            columns = [c.combine_chunks() for c in self.keys.take(at).columns]
+            columns += [ids.take(pa.array(self.ref[row[p], place[p]])), pa.array(exact), pa.array(np.round(exact, RANK_DIGITS))]
+            yield pa.RecordBatch.from_arrays(columns, [*QUERY, "ids", "score", "ranked"])
 
 
 def _pieces(n: int, size: int = 1 << 16) -> Iterator[slice]:
@@ -549,10 +630,9 @@ def _search(
     candidates: DataFrame,
     pivots: np.ndarray | PivotTree,
     nprobe: int,
-    rows_per_tile: int,
     exact: bool,
     max_k: int,
-    one_list: DataFrame | tuple[int, int],
+    grid: DataFrame,
     spill: int = 1,
     stop: float = 0.0,
 ) -> DataFrame:
@@ -561,6 +641,8 @@ def _search(
     shared_dir(spark)  # makes checkpoint() usable
     ship_package(spark)
     keep = max_k + 1  # one more, because the article itself is dropped at the end
+    if "space" in grid.columns:
+        grid = grid.checkpoint()  # one row per set, read in every round
     distinct = _distinct_vectors(candidates, keep)
     usable = F.exists("embedding", lambda x: x != 0)
     keyed = requests.where(usable).select(*REQUEST, "space", "embedding", *_vector_key())
@@ -569,7 +651,7 @@ def _search(
 
     if len(pivots) <= 1:
         only = F.lit(0).alias("list_id")
-        found = _score(queries.select("*", only), distinct.select("*", only), one_list, keep, SCORE_FLOOR)
+        found = _score(queries, distinct.select("*", only), grid, keep, SCORE_FLOOR, _Route())
         found = _best(found, keep)
     else:
         tree = isinstance(pivots, PivotTree)
@@ -582,12 +664,11 @@ def _search(
         reach = _radii(listed, "list_id", "pivot_cosine", len(pivots))
 
         def scored(asking: DataFrame, beyond: bool) -> DataFrame:
-            if tree:
-                visits = _visits_by_tree(asking, pivots, top_reach, reach, nprobe, beyond)
-            else:
-                visits = _visits(asking, pivots, reach, nprobe, beyond, stop)
-            grid = _grid(listed, visits, ["space", "list_id"], rows_per_tile)
-            return _score(visits, listed, grid, keep, SCORE_FLOOR)
+            if not tree:
+                return _score(asking, listed, grid, keep, SCORE_FLOOR, _Route(pivots, reach, nprobe, beyond, stop))
+            visits = _visits_by_tree(asking, pivots, top_reach, reach, nprobe, beyond)
+            lists = visits.groupBy(*QUERY).agg(F.collect_list("list_id").alias("lists"))
+            return _score(asking.join(lists, QUERY), listed, grid, keep, SCORE_FLOOR, _Route())
 
         # A vector that was met in several lists stands there as often, until ids are told apart below.
         found = _best(scored(queries, beyond=False), keep * spill)
@@ -734,7 +815,7 @@ def _top_k(
     checked = check_requests(requests).where("status = 'ok'")
     no_filter = F.col("category_filter").isNull()
     shape = checked.agg(
-        F.count("*").alias("n"),
+        F.approx_count_distinct("news_id").alias("sources"),
         F.coalesce(F.max("k"), F.lit(MIN_K)).alias("max_k"),
         F.coalesce(F.bool_or(no_filter), F.lit(True)).alias("unfiltered"),
         F.coalesce(F.bool_or(~no_filter), F.lit(False)).alias("filtered"),
@@ -747,15 +828,14 @@ def _top_k(
         if n_lists is None:
             n_lists = default_lists(size["n"], size["sets"], rows_per_tile)
         pivots = choose_pivots(index, n_lists, levels) if n_lists > 1 else np.empty((0, 0))
-    # For a single list the sizes come from plain counts, before any vector is touched.
+    # The sizes come from plain counts, before any vector is touched.
     if shape["filtered"]:
-        one_list = _grid(candidates.select("space"), tagged.select("space"), ["space"], rows_per_tile)
+        given = candidates.groupBy("space").agg(F.count("*").alias("_candidates"))
+        wanted = tagged.select("space", "news_id").distinct().groupBy("space").agg(F.count("*").alias("_requests"))
+        grid = given.join(wanted, "space").select("space", *_grid(F.col("_candidates"), F.col("_requests"), rows_per_tile))
     else:
-        one_list = (
-            max(1, -(-size["n"] // rows_per_tile)),
-            max(1, -(-shape["n"] // (rows_per_tile * TILES_PER_CHUNK))),
-        )
-    found = _search(asked, candidates, pivots, nprobe, rows_per_tile, exact, shape["max_k"], one_list, spill, stop)
+        grid = index.sparkSession.range(1).select(*_grid(F.lit(size["n"]), F.lit(shape["sources"]), rows_per_tile))
+    found = _search(asked, candidates, pivots, nprobe, exact, shape["max_k"], grid, spill, stop)
     return _with_details(found, index) if details else found
 
 

@@ -162,3 +162,50 @@ def test_registered_recall(spark, folder):
 
     found = approximate_recall(spark, f"/root/testdata/{folder}").first()
     assert found.recall >= 0.9 and found.scored_share < 0.95
+
+
+@pytest.mark.parametrize("cells,least,most", [(3, 10, 1 << 15), (64, 1, 1 << 15), (4, 5, 20)])
+def test_chunks_and_tiles_equal_brute_force(spark, crowd, monkeypatch, cells, least, most):
+    """However requests and candidates are cut, and although id lists are forgotten meanwhile."""
+    for name, value in (("CELLS", cells), ("MIN_CHUNK", least), ("MAX_CHUNK", most)):
+        monkeypatch.setattr(S, name, value)
+    index = table(spark, crowd)
+    requests = S.all_requests(index, 4).union(S.all_requests(index, 50, same_category=True))
+    for lists in (1, 12):
+        got = answers(S.top_k(requests, index, n_lists=lists, nprobe=2, rows_per_tile=9))
+        for i, c, _ in crowd:
+            assert got.get((i, 4, None), []) == brute_force(crowd, i, 4), i
+            assert got.get((i, 50, c), []) == brute_force(crowd, i, 50, c), i
+
+
+def test_vectors_are_sent_once_per_chunk(spark):
+    """Neither side is sent once per list or tile that it meets: six times the rows are sent as often, not six times as often."""
+    def sent(n):
+        row = spark.range(1).select(*S._grid(F.lit(n), F.lit(n), S.ROWS_PER_TILE)).first()
+        return row.chunks + row.tiles
+
+    assert sent(100_000) == sent(500_000) == S.CELLS + 1 and sent(600_000) <= S.CELLS + 4
+    assert sent(1) == sent(2000) == 2
+
+
+def test_forgotten_lists():
+    import pyarrow as pa
+
+    dice = np.random.default_rng(1)
+    vectors = dice.normal(size=(4000, 3))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+
+    def batch(rows, **more):
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * 3, pa.int32()), pa.array(rows.ravel()))
+        return pa.RecordBatch.from_pydict({"embedding": flat, **more})
+
+    asked = S._Asked([batch(vectors[:5], space=["*"] * 5, key_a=range(5), key_b=range(5), bound=[0.1] * 5, lists=pa.nulls(5, pa.list_(pa.int32())))], 2, 0.1, S._Route())
+    order = np.argsort(vectors[:, 0])
+    for at in np.array_split(order, 80):
+        asked.meet(0, batch(vectors[at], ids=[[int(i), int(i) + 10000] for i in at]))
+        asked._shrink() if asked.pool else None
+    got = pa.Table.from_batches(list(asked.found())).to_pylist()
+    assert len(got) == 10 and asked.pooled <= 10
+    for q in range(5):
+        best = np.argsort(-np.round(vectors @ vectors[q], 9), kind="stable")[:2]
+        assert [r["ids"] for r in got if r["key_a"] == q] == [[int(i), int(i) + 10000] for i in best]
