@@ -48,3 +48,21 @@ def test_stages_keep_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in P.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_sets_leave_in_small_pieces():
+    """Sets and prefixes are made a few hundred at a time, and repeated shingles are counted in place."""
+    import numpy as np
+    import pyarrow as pa
+
+    from newsloom.llm import shingle_join as J
+
+    batch = pa.RecordBatch.from_pydict({"x": list(range(1000))})
+    pieces = list(J.small(iter([batch])))
+    assert max(p.num_rows for p in pieces) <= J.SETS_PER_BATCH and [x for p in pieces for x in p["x"].to_pylist()] == list(range(1000))
+    dice = np.random.default_rng(2)
+    for n in (1, 2, 50):
+        values = np.sort(dice.integers(0, 12, n))
+        starts, ends = J._runs_of_equals(values)
+        known, counts = np.unique(values, return_counts=True)
+        assert values[starts].tolist() == known[counts > 1].tolist() and (ends - starts).tolist() == counts[counts > 1].tolist()

@@ -191,3 +191,18 @@ def test_artifact_names(spark):
     row = rows.select(name.alias("n"), artifacts.generated_at(name).alias("t"), artifacts.object_key("p", F.col("voice"), name).alias("k")).first()
     assert re.fullmatch(r"tts_20260207_224000_[0-9a-f]{8}\.wav", row.n)
     assert str(row.t) == "2026-02-07 22:40:00" and row.k == f"p/Doan/{row.n}"
+
+
+def test_batches_of_documents_stay_small(spark):
+    """Workers get whole documents in batches of a thousand rows, unless the user chose a number."""
+    from newsloom.functions.text import tidy_whole
+    from newsloom.session import DOCUMENTS_PER_BATCH
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for given, want in (("10000", str(DOCUMENTS_PER_BATCH)), ("777", "777")):
+        spark.conf.set(name, given)
+        try:
+            rows = spark.createDataFrame([("ab ab ab ",)], "text string").select(tidy_whole(F.col("text")).alias("t"))
+            assert spark.conf.get(name) == want and rows.count() == 1
+        finally:
+            spark.conf.unset(name)
