@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.vectors import cosine
 from newsloom.schemas import DEFAULT_K, MAX_K, MIN_K, SCORE_FLOOR
-from newsloom.session import shared_dir, ship_package
+from newsloom.session import shared_dir, ship_package, stored
 
 # Scores are rounded before ranking, so that ties are ties and not floating-point noise.
 RANK_DIGITS = 9
@@ -673,7 +673,7 @@ def _search(
         # A vector that was met in several lists stands there as often, until ids are told apart below.
         found = _best(scored(queries, beyond=False), keep * spill)
         if exact and int(np.isfinite(reach).sum()) > nprobe:
-            found = found.checkpoint()
+            found = stored(found, "found")
             # With keep vectors found, the worst of them bounds what can still matter.
             full = found.groupBy(*QUERY).agg(F.count("*").alias("n"), F.min("score").alias("least"))
             bound = F.when(F.col("n") >= keep, F.col("least")).otherwise(F.lit(SCORE_FLOOR))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.payloads import category_key
 from newsloom.operators.similarity import RANK_DIGITS, check_requests, normal_requests, pair_scores, top_k, with_source
 from newsloom.schemas import ALL_CATEGORIES_KEY, CACHE_TTL_SECONDS, CACHED_LIST
-from newsloom.session import shared_dir
+from newsloom.session import shared_dir, stored
 
 KEY = ["news_id", "k", "category_key"]
 
@@ -113,7 +113,7 @@ def refreshed_lists(
     keys = live.select(*KEY, F.nullif("category_key", F.lit(ALL_CATEGORIES_KEY)).alias("category_filter"))
     found = search(keys.select("news_id", "k", "category_filter"), index, among=indexed, details=False, **options)
     gained = found.select("news_id", "k", category_key(F.col("category_filter")).alias("category_key"), "match_id", "score")
-    gained = gained.checkpoint()
+    gained = stored(gained, "gained")
     known = live.join(gained.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, F.explode("items").alias("item"))
     held = known.select(*KEY, F.col("item.news_id").alias("match_id"), "item.title", "item.category")
     pairs = held.select(F.col("news_id").alias("left_id"), F.col("match_id").alias("right_id")).distinct()
@@ -153,7 +153,7 @@ def serve(
     """
     shared_dir(requests.sparkSession)
     looked = read_cache(requests, cache, as_of, epochs)
-    fresh = expiring(missed_lists(looked.where(~F.col("hit")), index, **search), as_of).checkpoint()
+    fresh = stored(expiring(missed_lists(looked.where(~F.col("hit")), index, **search), as_of), "fresh-lists")
     made = fresh.select(*KEY, F.col("items").alias("_made"))
     answers = looked.join(made, KEY, "left").select(
         *KEY, F.coalesce("items", "_made").alias("items"), F.col("hit").alias("cached")

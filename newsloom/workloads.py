@@ -22,7 +22,7 @@ from newsloom.operators.embedding import get_embedder
 from newsloom.plans import audio, indexing, recommend, summaries
 from newsloom.plans.compare import compare_methods
 from newsloom.schemas import AUDIO_FILE, EMBEDDING, RESULT
-from newsloom.session import scratch_path
+from newsloom.session import scratch_path, stored
 from newsloom.sources import articles as A
 from newsloom.sources.batches import BatchTable
 from newsloom.sources.buckets import BucketTable
@@ -698,7 +698,7 @@ def cache_refresh(spark, sf_dir):
     """The log's lists over four fifths of the articles, refreshed after the last fifth was indexed."""
     rows, late = index(spark, sf_dir), F.col("news_id") % 5 == 0
     log = request_log(spark, sf_dir).select("news_id", "k", "category_filter")
-    before = recommend.expiring(recommend.missed_lists(log, rows.where(~late)), at(AS_OF)).checkpoint()
+    before = stored(recommend.expiring(recommend.missed_lists(log, rows.where(~late)), at(AS_OF)), "lists")
     after = recommend.refreshed_lists(before, rows.where(late), rows, at(AS_OF))
     ids = F.transform("items", lambda i: i["news_id"].cast("string"))
     return after.select("news_id", F.col("k").cast("bigint").alias("k"), "category_key", F.array_join(ids, ",").alias("items"))
