@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -54,13 +55,21 @@ COUNTED_WORDS = 400_000
 AT_ONCE = 1 << 14
 LONGEST = 64
 WORD = re.compile(r"\w+")
+MARKS = string.punctuation.replace("_", "")  # none is part of a word
 SLOTS = tuple(d for d in range(-SIDE, SIDE + 1) if d)
 STARTS = (np.arange(len(SLOTS)) * (INPUTS + 1)).astype(np.uint16)  # of the slots' parts of the table
 FAR = 40  # logits end there
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """The matches of ``WORD`` in the lower-case text; only parts with unusual marks need the expression itself."""
+    text = text.lower()
+    for mark in MARKS:
+        text = text.replace(mark, " ")
+    parts = text.split()
+    if "".join(parts).isalnum():
+        return parts
+    return [w for part in parts for w in ((part,) if part.isalnum() else WORD.findall(part))]
 
 
 def named(words: list[str]) -> list[str]:
@@ -162,7 +171,7 @@ def _by_group(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def class_log_probs(p: dict[str, np.ndarray], near: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     order, starts = _by_group(wanted)
     classes = wanted[order]
-    h = _hidden(p, near[order])
+    h = _hidden(p, np.take(near, order, axis=0))
     found = _softmax(h @ p["group"] + p["group_bias"])[np.arange(len(order)), classes // EACH]
     for g in range(GROUPS):
         a, b = starts[g], starts[g + 1]
@@ -185,7 +194,7 @@ class Trainer:
     def step(self, near: np.ndarray, wanted: np.ndarray) -> None:
         p, n = self.p, len(near)
         order, starts = _by_group(wanted)
-        classes, rows = wanted[order], near[order]
+        classes, rows = wanted[order], np.take(near, order, axis=0)
         h = _hidden(p, rows)
         d = _softmax(h @ p["group"] + p["group_bias"])
         d[np.arange(n), classes // EACH] -= 1
@@ -210,9 +219,14 @@ class Trainer:
         self.seen += n
 
     def _adagrad(self, name: str, at: np.ndarray | slice, grad: np.ndarray) -> None:
-        v = self.v[name][at] + grad * grad
-        self.v[name][at] = v
-        self.p[name][at] -= np.float32(RATE) * grad / np.sqrt(v)
+        p, v = self.p[name], self.v[name]
+        some = isinstance(at, np.ndarray)
+        squares = grad * grad
+        squares += np.take(v, at, axis=0) if some else v[at]
+        v[at] = squares
+        grad = np.float32(RATE) * grad
+        grad /= np.sqrt(squares, out=squares)
+        p[at] = np.subtract(np.take(p, at, axis=0) if some else p[at], grad, out=grad)
 
 
 # --- tables ---------------------------------------------------------------------
@@ -302,7 +316,8 @@ def fit(docs: DataFrame, statistics: Statistics) -> dict[str, np.ndarray]:
 def _learn(trainer: Trainer, near: np.ndarray, wanted: np.ndarray) -> None:
     order = np.random.default_rng(len(wanted)).permutation(len(wanted))
     for i in range(0, len(order), BATCH):
-        trainer.step(near[order[i : i + BATCH]], wanted[order[i : i + BATCH]])
+        some = order[i : i + BATCH]
+        trainer.step(np.take(near, some, axis=0), np.take(wanted, some))
 
 
 def known_sums(docs: DataFrame, weights: dict[str, np.ndarray], statistics: Statistics, keys: dict[str, Column]) -> DataFrame:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 import time
 
 import numpy as np
@@ -407,6 +408,16 @@ def test_masked_lm_trains_on_every_position(spark):
     assert not changed[statistics.known["four"]] and (weights["group"] != first["group"]).all()
 
 
+def test_masked_lm_words(monkeypatch):
+    """Words are those of the expression, which usual texts do not need."""
+    texts = ["", " ", "One, two.Three!", "a_b _ c-d's", "x·y €5 “z” ٣ ½ é\u0301", "p\x1cq\u2028r\u0085s\x00t", "ǅ İstanbul %&*$| 1,2"]
+    texts += ["".join(random.Random(i).choices("aZ_é1½ .,·\t\n\x1f\u3000一\ud800", k=60)) for i in range(200)]
+    texts += [f"a{chr(c)}b" for c in range(0x3100)]
+    assert [masked_lm.words_of(t) for t in texts] == [re.findall(r"\w+", t.lower()) for t in texts]
+    monkeypatch.setattr(masked_lm, "WORD", None)
+    assert masked_lm.words_of("Über 12 words (100%); that's \"all\"!") == ["über", "12", "words", "100", "that", "s", "all"]
+
+
 def test_masked_lm_gradients():
     rng = np.random.default_rng(4)
     statistics = masked_lm.Statistics([f"w{i}" for i in range(300)], np.arange(300, 0, -1) * 5, 300000)
