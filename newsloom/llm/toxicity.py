@@ -9,7 +9,7 @@ gives one vector and a logit. Windows start every ``STEP`` words, so that they
 overlap, and cover the whole text; the document's logit is that of its worst
 window, put on a probability scale fitted on the training documents.
 
-Training is numpy on the driver, on at most ``PER_CLASS`` labelled documents of
+Training is numpy in one task, on at most ``PER_CLASS`` labelled documents of
 each class (those with the least hashes of their ids; the bound is the only
 sample). First every window carries its document's label; then rounds train on
 each document's worst windows. Labels are read from the rows given for training
@@ -23,6 +23,7 @@ or none, every score is 0.
 
 from __future__ import annotations
 
+import pickle
 import re
 import sys
 import zlib
@@ -399,11 +400,23 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Net |
         .select("doc_id", text_or_empty().alias("text"), "toxic")
         .orderBy(F.xxhash64("doc_id"), "text")
         .limit(2 * per_class)
-        .collect()
     )
     total = sum(counts.values()) or 1
     rates = (counts.get(0, 0) / total, counts.get(1, 0) / total)
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows], rates) if rows else None
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels = [], []
+        for batch in batches:
+            texts += batch["text"].to_pylist()
+            labels += batch["toxic"].to_pylist()
+        net = train(texts, labels, rates) if texts else None
+        if net is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)])], ["net"])
+
+    # The limit leaves one partition. Of the task only the weights and the vocabulary return, so that
+    # neither the texts nor what training needs is ever in the driver's memory.
+    made = map_batches(rows.select("text", "toxic").coalesce(1), trained, "net binary").collect()
+    return pickle.loads(made[0]["net"]) if made else None
 
 
 def scored(docs: DataFrame, net: Net | None, keys: dict[str, Column]) -> DataFrame:

@@ -397,6 +397,22 @@ def test_windows_cover_texts():
 # --- language model -------------------------------------------------------------
 
 
+def test_toxicity_trains_in_a_task(spark, monkeypatch):
+    """The driver gets the network only, and it is the one that the texts give."""
+    rnd = random.Random(5)
+    rows = [(i, bag(rnd, i % 2), i % 2) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    monkeypatch.setattr(toxicity.np, "lexsort", None)  # of the driver's process; training calls it
+    net = toxicity.fit(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    monkeypatch.undo()
+    used = table.where(~toxicity.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).collect()
+    rates = [sum(r.toxic == c for r in used) / len(used) for c in (0, 1)]
+    want = toxicity.train([r.text for r in used], [r.toxic for r in used], tuple(rates))
+    assert net.vocabulary == want.vocabulary and all(np.allclose(net.p[k], want.p[k], atol=1e-4) for k in want.p)
+    only = table.where("toxic = 1")
+    assert toxicity.fit(only.select("doc_id", "text"), only.select("doc_id", "toxic")) is None
+
+
 def test_masked_lm_trains_on_every_position(spark):
     texts = ["one two three"] * 3 + ["four", "", "five six"]
     table = spark.createDataFrame(rows_of(texts), DOCS).coalesce(1)
