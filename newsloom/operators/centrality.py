@@ -222,15 +222,20 @@ def embed_sentences(sentences: DataFrame, embedder: Embedder) -> DataFrame:
 
 
 def dense_centrality(embedded: DataFrame) -> DataFrame:
-    """:func:`sparse_centrality` for dense vectors (doc_id, idx, embedding)."""
-    vectors = embedded.select("doc_id", "idx", array_to_vector("embedding").alias("_vector"))
+    """:func:`sparse_centrality` for dense vectors (doc_id, idx, embedding).
+
+    The rows are sorted by document while they hold one vector of floats; unit vectors
+    and sums, several times wider, are made behind the sort, which the window uses.
+    """
+    narrow = embedded.select("doc_id", "idx", "embedding").sortWithinPartitions("doc_id")
+    vectors = narrow.select("doc_id", "idx", array_to_vector("embedding").alias("_vector"))
     unit = Normalizer(inputCol="_vector", outputCol="_unit", p=2.0).transform(vectors)
     total = Summarizer.metrics("sum").summary(F.col("_unit")).over(Window.partitionBy("doc_id"))
-    summed = unit.select(
+    summed = unit.select("doc_id", "idx", "_unit", total.alias("_total")).select(
         "doc_id",
         "idx",
         vector_to_array("_unit").alias("_unit"),
-        vector_to_array(total.getField("sum")).alias("_total"),
+        vector_to_array(F.col("_total").getField("sum")).alias("_total"),
     )
     score = F.round(dot(F.col("_unit"), F.col("_total")), SCORE_DIGITS)
     return summed.select("doc_id", "idx", score.alias("score"))

@@ -99,6 +99,24 @@ def test_hashed_embedder(spark):
     assert got == [want, [0.0] * 8, [0.0] * 8]
 
 
+def test_dense_centrality_sorts_narrow_rows(spark, plan):
+    """What is sorted holds the given vector only, and the window sorts nothing again; zero vectors score 0."""
+    vectors = {1: [[3.0, 4.0], [0.0, 0.0], [3.0, 4.0]], 2: [[0.0, 0.0]], None: [[1.0, 1.0], [2.0, 0.0]]}
+    rows = [(d, i, v) for d, vs in vectors.items() for i, v in enumerate(vs)]
+    scored = C.dense_centrality(spark.createDataFrame(rows, "doc_id long, idx int, embedding array<float>"))
+    assert scored.columns == ["doc_id", "idx", "score"]
+    split = C.split_documents(spark.createDataFrame([(1, "A b. C d.")], "doc_id long, text string"))
+    steps = plan(C.dense_centrality(C.embed_sentences(C.explode_sentences(split), get_embedder()))).splitlines()
+    sorts = [i for i, step in enumerate(steps) if " Sort [" in step]
+    assert len(sorts) == 1 and any(" Window [" in s for s in steps[: sorts[0]])
+    below = steps[sorts[0] + 1].split("Generate")[-1] if "Generate" in steps[sorts[0] + 1] else steps[sorts[0] + 1]
+    assert "_unit" not in below and "embedding" in below
+    half = round(1 + 0.5**0.5, 9)
+    want = [(1, 0, 2.0), (1, 1, 0.0), (1, 2, 2.0), (2, 0, 0.0), (None, 0, half), (None, 1, half)]
+    assert sorted(map(str, map(tuple, scored.collect()))) == sorted(map(str, want))
+    assert C.dense_centrality(spark.createDataFrame([], "doc_id long, idx int, embedding array<float>")).count() == 0
+
+
 def test_tfidf_needs_one_exchange(docs, plan):
     text = plan(C.sparse_centrality(C.tfidf_weights(C.explode_sentences(C.split_documents(docs)))))
     assert text.count("Exchange hashpartitioning") == 1
