@@ -26,8 +26,6 @@ from __future__ import annotations
 import pickle
 import re
 import sys
-import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import map_batches, text_or_empty
+from newsloom.session import bound_batches
 
 WINDOW, STEP = 24, 12
 SIZE, HIDDEN = 16, 8
@@ -48,22 +47,46 @@ PER_CLASS = 1000
 FIRST_WINDOWS = 12_000  # per class, in the first phase
 ROUNDS = 5
 THRESHOLD = 0.7
-CACHED_WORDS = 150_000
-WINDOWS_AT_ONCE = 4096
+CACHED_WORDS = 100_000
+WINDOWS_AT_ONCE, WORDS_AT_ONCE = 512, 4096  # what is made of them at once stays in a core's cache
 WORD = re.compile(r"[^\W_]+")
 
 
 def words_of(text: str) -> list[str]:
     """The words of a text; a longer one than ``PIECE`` as overlapping pieces, each a word of its own."""
     found = WORD.findall(text.lower())
-    if all(len(w) <= PIECE for w in found):
+    if max(map(len, found), default=0) <= PIECE:
         return found
     return [w[i : i + PIECE] for w in found for i in range(0, max(1, len(w) - OVERLAP), PIECE - OVERLAP)]
 
 
-def ngrams(word: str) -> list[int]:
-    marked = f"^{word}$".encode()
-    return [zlib.crc32(marked[i : i + n]) % BUCKETS for n in NGRAMS for i in range(len(marked) - n + 1)]
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = (table >> 1) ^ (table & 1) * np.uint32(0xEDB88320)
+    return table
+
+
+CRC = _crc_table()
+
+
+def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets (by CRC-32) of all words' n-grams, by word, length and place, and the word of each."""
+    marked = [f"^{w}$".encode() for w in words]
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    text = np.frombuffer(b"".join(marked), np.uint8)
+    crc, buckets = np.full(len(text), 0xFFFFFFFF, np.uint32), np.empty((len(NGRAMS), len(text)), np.int32)
+    for k in range(max(NGRAMS)):
+        byte = text[k:]  # of the n-grams that begin k bytes before
+        crc = crc[: len(byte)]
+        crc = CRC[(crc ^ byte) & 255] ^ (crc >> 8)
+        if k + 1 in NGRAMS:
+            buckets[NGRAMS.index(k + 1), : len(crc)] = ~crc % BUCKETS
+    n = np.maximum(sizes[:, None] - np.array(NGRAMS) + 1, 0)
+    first = np.cumsum(n).reshape(n.shape) - n
+    at = (np.cumsum(sizes) - sizes)[:, None] + np.arange(len(NGRAMS)) * len(text) - first
+    grams = buckets.ravel()[np.repeat(at.ravel(), n.ravel()) + np.arange(n.sum())]
+    return grams, np.repeat(np.arange(len(words), dtype=np.int32), n.sum(axis=1))
 
 
 def window_starts(n: int) -> range:
@@ -83,12 +106,12 @@ class Net:
     def inputs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows of the word table (0: unknown) and the n-grams as (buckets, word of each)."""
         rows = np.array([self.vocabulary.get(w, 0) for w in words], np.int64)
-        grams, lengths = array("i"), np.zeros(len(words), np.int32)
-        for i, w in enumerate(words):
-            found = ngrams(w)
-            grams.extend(found)
-            lengths[i] = len(found)
-        return rows, np.array(grams, np.int32), np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        grams, of = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for i in range(0, len(words), WORDS_AT_ONCE):
+            found, word = ngrams(words[i : i + WORDS_AT_ONCE])
+            grams.append(found)
+            of.append(word + np.int32(i))
+        return rows, np.concatenate(grams), np.concatenate(of)
 
     def vectors(self, rows: np.ndarray, grams: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = np.bincount(of, minlength=len(rows)).astype(np.float32)
@@ -204,10 +227,10 @@ class Trainer:
     def logits(self, windows: np.ndarray) -> np.ndarray:
         """Of all windows; every word is projected once."""
         parts = []
-        for i in range(0, len(self.rows), 20_000):
-            begin = self.begin[i : i + 20_001]
+        for i in range(0, len(self.rows), WORDS_AT_ONCE):
+            begin = self.begin[i : i + WORDS_AT_ONCE + 1]
             inner = slice(begin[0], begin[-1])
-            x, _ = self.net.vectors(self.rows[i : i + 20_000], self.grams[inner], self.of[inner] - i)
+            x, _ = self.net.vectors(self.rows[i : i + WORDS_AT_ONCE], self.grams[inner], self.of[inner] - i)
             p = self.net.p
             parts.append(np.concatenate([x @ p["in_f"] + p["bias_f"], x @ p["in_b"] + p["bias_b"]], axis=1))
         table, out = np.concatenate(parts), []
@@ -352,19 +375,19 @@ class Scorer:
     def _numbers(self, texts: list[list[str]]) -> list[np.ndarray]:
         if len(self.number) > CACHED_WORDS:
             self._forget()
-        new = sorted({w for t in texts for w in t} - self.number.keys())
+        number = self.number
+        new = [w for w in set().union(*texts) if w not in number]
         if new:
-            at = len(self.number)
-            self.number.update(zip(new, range(at, at + len(new)), strict=True))
+            at = len(number)
+            number.update(zip(new, range(at, at + len(new)), strict=True))
             if at + len(new) > len(self.table):
                 grown = np.zeros((2 * (at + len(new)), 6 * HIDDEN), np.float32)
                 grown[:at] = self.table[:at]
                 self.table = grown
-            for i in range(0, len(new), 20_000):
-                part = new[i : i + 20_000]
+            for i in range(0, len(new), WORDS_AT_ONCE):
+                part = new[i : i + WORDS_AT_ONCE]
                 self.table[at + i : at + i + len(part)] = self.net.projected(part)
-        number = self.number
-        return [np.array([number[w] for w in t], np.int64) for t in texts]
+        return [np.fromiter(map(number.__getitem__, t), np.int32, len(t)) for t in texts]
 
     def scores(self, texts: list[str]) -> np.ndarray:
         per_text = [windows_of(n) for n in self._numbers([words_of(t) for t in texts])]
@@ -419,13 +442,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Net |
     return pickle.loads(made[0]["net"]) if made else None
 
 
-def scored(docs: DataFrame, net: Net | None, keys: dict[str, Column]) -> DataFrame:
-    """The key columns and ``score`` of every row of ``docs``."""
-    names = list(keys)
-    rows = docs.select(*[c.alias(n) for n, c in keys.items()], text_or_empty().alias("_text"))
+def scored(docs: DataFrame, net: Net | None, keys: dict[str, Column], text: bool = False) -> DataFrame:
+    """The key columns, with ``text`` also the text as ``_text``, and ``score`` of every row of ``docs``."""
+    names = [*keys, "_text"] if text else list(keys)
+    rows = docs.select(*[c.alias(n) for n, c in keys.items()], F.col("text").alias("_text"))
     if net is None:
         return rows.select(*names, F.lit(0.0).alias("score"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    kept = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)  # its size is set by the parameters above
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -433,7 +457,7 @@ def scored(docs: DataFrame, net: Net | None, keys: dict[str, Column]) -> DataFra
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
                 part = batch.slice(start, 128)
-                values = scorer.scores(part["_text"].to_pylist())
+                values = scorer.scores([t or "" for t in part["_text"].to_pylist()])
                 yield pa.RecordBatch.from_arrays([*[part[n] for n in names], pa.array(values)], [*names, "score"])
 
     return map_batches(rows, score, f"{kept}, score double")
@@ -446,8 +470,8 @@ def predicted(score: Column) -> Column:
 def clean_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns.
 
-    Rows travel whole through the scoring task, so nothing is joined back.
+    Rows travel whole, each text once, through the scoring task, so nothing is joined back.
     """
-    keys = {f"_c{i}": F.col(c) for i, c in enumerate(docs.columns)}
-    rows = scored(docs, fit(docs, labels), keys)
-    return rows.where(predicted(F.col("score")) == 0).select(*[F.col(k).alias(c) for k, c in zip(keys, docs.columns, strict=True)])
+    at = {c: "_text" if c == "text" else f"_c{i}" for i, c in enumerate(docs.columns)}
+    rows = scored(docs, fit(docs, labels), {k: F.col(c) for c, k in at.items() if c != "text"}, text=True)
+    return rows.where(predicted(F.col("score")) == 0).select(*[F.col(k).alias(c) for c, k in at.items()])

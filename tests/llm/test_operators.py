@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -397,6 +398,21 @@ def test_windows_cover_texts():
 # --- language model -------------------------------------------------------------
 
 
+def test_ngrams_of_many_words():
+    dice = random.Random(4)
+    words = ["", "a", "漢字", *["".join(dice.choices("abcé漢😀", k=dice.randrange(70))) for _ in range(300)]]
+    for given in ([], [""], words):
+        want = []
+        for at, word in enumerate(given):
+            marked = f"^{word}$".encode()
+            want += [(zlib.crc32(marked[i : i + n]) % toxicity.BUCKETS, at) for n in toxicity.NGRAMS for i in range(len(marked) - n + 1)]
+        grams, of = toxicity.ngrams(given)
+        assert list(zip(grams.tolist(), of.tolist(), strict=True)) == want
+    net = toxicity.new_net([words], 1)
+    rows, grams, of = net.inputs(words * 20)  # more than are hashed at once
+    assert len(rows) == 20 * len(words) > toxicity.WORDS_AT_ONCE and of[-1] == len(rows) - 1 and len(grams) == 20 * len(want)
+
+
 def test_toxicity_trains_in_a_task(spark, monkeypatch):
     """The driver gets the network only, and it is the one that the texts give."""
     rnd = random.Random(5)
