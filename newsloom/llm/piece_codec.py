@@ -28,11 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import map_batches, text_or_empty
+from newsloom.session import bound_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-CACHED_CHARS, WORD_COST = 64_000_000, 64  # of the words remembered, and what each adds to its characters
+CACHED_CHARS, WORD_COST = 16_000_000, 64  # of the words remembered, and what each adds to its characters
 DOCS_AT_ONCE = 128
 
 # Piece and model kinds of the format.
@@ -224,6 +225,7 @@ def encoded(docs: DataFrame, keys: dict[str, Column], model: bytes, threads: int
     names = list(keys)
     rows = docs.select(*[c.alias(n) for n, c in keys.items()], text_or_empty().alias("_text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    bound_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(model, threads)
@@ -249,6 +251,7 @@ def decoded(rows: DataFrame, keys: dict[str, Column], model: bytes, threads: int
     names = list(keys)
     rows = rows.select(*[c.alias(n) for n, c in keys.items()], F.coalesce("ids", F.array().cast("array<int>")).alias("_ids"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    bound_batches(rows.sparkSession)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(model, threads)

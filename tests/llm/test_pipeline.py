@@ -66,3 +66,45 @@ def test_sets_leave_in_small_pieces():
         starts, ends = J._runs_of_equals(values)
         known, counts = np.unique(values, return_counts=True)
         assert values[starts].tolist() == known[counts > 1].tolist() and (ends - starts).tolist() == counts[counts > 1].tolist()
+
+
+def test_texts_travel_once_and_in_small_batches(spark, monkeypatch):
+    """Scoring gets each text in one column, and both ends of the pipeline a thousand rows at a time."""
+    docs = spark.createDataFrame([(i, None if i % 50 == 0 else f"word{i % 7} here", "s") for i in range(1500)], "doc_id long, text string, source string")
+    net = toxicity.train(["good word", "bad thing"] * 5, [0, 1] * 5)
+    seen = []
+
+    def watched(rows, function, schema):
+        seen.append(rows.columns)
+        sizes = lambda batches: function(b for b in batches if b.num_rows <= 1000)
+        return rows.mapInArrow(sizes, schema)
+
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    monkeypatch.setattr(toxicity, "map_batches", watched)
+    monkeypatch.setattr(piece_codec, "map_batches", watched)
+    monkeypatch.setattr(toxicity, "fit", lambda docs, labels: net)
+    monkeypatch.setattr(toxicity, "THRESHOLD", 2.0)  # every row stays
+    try:
+        spark.conf.unset(setting)
+        kept = toxicity.clean_rows(docs.coalesce(1), docs)
+        assert len(seen[0]) == len(docs.columns)
+        assert kept.schema == docs.schema and kept.exceptAll(docs).count() == 0 and kept.count() == 1500
+        spark.conf.unset(setting)
+        assert piece_codec.encoded(docs.coalesce(1), {"doc_id": F.col("doc_id")}, piece_codec.read_model()).count() == 1500
+    finally:
+        spark.conf.unset(setting)
+
+
+def test_codec_forgets():
+    """Forgetting words changes no ids, and what is remembered stays within the bound and one batch."""
+    texts = [f"some w{i} words x{i * i} und ähnliches {i}" for i in range(300)]
+    data = piece_codec.read_model()
+    whole = piece_codec.Codec(data).encode(texts)
+    codec = piece_codec.Codec(data)
+    old, piece_codec.CACHED_CHARS = piece_codec.CACHED_CHARS, 2000
+    try:
+        parts = [codec.encode(texts[i : i + 10]) for i in range(0, 300, 10)]
+    finally:
+        piece_codec.CACHED_CHARS = old
+    assert [(x.tolist(), a, b) for x, a, b in whole] == [(x.tolist(), a, b) for part in parts for x, a, b in part]
+    assert len(codec.cache) < 200
