@@ -44,6 +44,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.functions.columns import with_evaluated
 from newsloom.functions.vectors import cosine
 from newsloom.schemas import DEFAULT_K, MAX_K, MIN_K, SCORE_FLOOR
 from newsloom.session import shared_dir, ship_package, stored
@@ -56,7 +57,9 @@ QUERIES_PER_PRODUCT = 512
 VISITS_PER_BATCH = 8192
 # Requests are cut into CELLS chunks, unless these would hold more or less than this.
 CELLS = 16
-MIN_CHUNK, MAX_CHUNK = 2048, 1 << 15
+MIN_CHUNK, MAX_CHUNK = 2048, 1 << 16
+PAIRS_PER_CHUNK = 1 << 22
+QUERIES_PER_BATCH = 1024
 ROWS_PER_BRANCH_PART = 1 << 16
 # Pivots are broadcast up to this size; larger sets become a tree.
 MAX_PIVOT_BYTES = 64 << 20
@@ -123,14 +126,96 @@ def similar_to(index: DataFrame, news_id: int, k: int = DEFAULT_K, category: str
     )
 
 
-def pair_scores(pairs: DataFrame, index: DataFrame) -> DataFrame:
-    """Cosine for a given list of pairs (left_id, right_id)."""
+def pair_scores(pairs: DataFrame, index: DataFrame, many: bool = False) -> DataFrame:
+    """Cosine for a given list of pairs (left_id, right_id).
+
+    With ``many`` pairs a vector is not sent once per pair: left articles are cut into
+    chunks, each with its pairs, and every vector is sent once per chunk. The pairs of
+    one left article are one row.
+    """
+    if many:
+        return _many_pair_scores(pairs, index)
     left = index.select(F.col("news_id").alias("left_id"), F.col("embedding").alias("_left"))
     right = index.select(F.col("news_id").alias("right_id"), F.col("embedding").alias("_right"))
+    return _joined_scores(pairs, left, right)
+
+
+def _joined_scores(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     joined = pairs.join(left, "left_id").join(right, "right_id")
     return joined.select("left_id", "right_id", cosine(F.col("_left"), F.col("_right")).alias("similarity"))
 
 
+def _many_pair_scores(pairs: DataFrame, index: DataFrame) -> DataFrame:
+    ship_package(pairs.sparkSession)
+    packed = stored(pairs.groupBy("left_id").agg(F.collect_list("right_id").alias("ids")), "pairs")
+    size = packed.agg(F.count("*").alias("lefts"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("pairs")).first()
+    dim = index.agg(F.max(F.size("embedding")).alias("dim")).first()["dim"]
+    plain = (F.size("embedding") == F.lit(dim)) & ~F.exists("embedding", lambda x: x.isNull())
+    vectors = index.select("news_id", "embedding", F.coalesce(plain, F.lit(False)).alias("_plain"))
+    chunks = max(min(CELLS, -(-size["lefts"] // MIN_CHUNK)), -(-size["lefts"] // MAX_CHUNK), -(-size["pairs"] // PAIRS_PER_CHUNK), 1)
+    given = vectors.where("_plain").drop("_plain")
+    asking = packed.join(given.withColumnRenamed("news_id", "left_id"), "left_id").select(
+        F.pmod(F.xxhash64("left_id"), F.lit(chunks)).cast("int").alias("chunk"), F.lit(0).alias("side"), F.col("left_id").alias("id"), "embedding", "ids"
+    )
+    sent = given.where("news_id is not null").select(
+        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(1).alias("side"), F.col("news_id").alias("id"), "embedding",
+        F.lit(None).cast("array<bigint>").alias("ids"),
+    )
+    stream = asking.unionByName(sent).repartition("chunk").sortWithinPartitions("chunk", "side")
+
+    def score_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, parts, held = None, [], None
+        for batch in batches:
+            marks = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("chunk", "side")]).astype(np.int64)
+            edges = np.flatnonzero((np.diff(marks, axis=1) != 0).any(axis=0)) + 1 if batch.num_rows else []
+            for start, stop in zip([0, *edges], [*edges, batch.num_rows]):
+                if start == stop:
+                    continue
+                rows, here = batch.slice(int(start), int(stop - start)), marks[0, start]
+                if here != current:
+                    current, parts, held = here, [], None
+                if marks[1, start] == 0:
+                    parts.append(rows)
+                elif parts or held is not None:
+                    if held is None:
+                        held, parts = _Pairs(parts), []
+                    yield from held.meet(rows)
+
+    scored = stream.mapInArrow(score_chunks, "left_id bigint, right_id bigint, similarity double")
+    odd = vectors.where(~F.col("_plain")).drop("_plain")
+    if odd.limit(1).count():
+        # Vectors that are missing or of another length score as they do in short lists.
+        known = packed.select("left_id", F.explode("ids").alias("right_id"))
+        left, right = (lambda v: v.toDF("left_id", "_left")), (lambda v: v.toDF("right_id", "_right"))
+        every = vectors.drop("_plain")
+        scored = scored.unionByName(_joined_scores(known, left(odd), right(every))).unionByName(_joined_scores(known, left(given), right(odd)))
+    return scored
+
+
+class _Pairs:
+    """The left vectors of a chunk and their pairs, ordered by the right id."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        self.unit = _unit(np.concatenate([_matrix(p.column("embedding")) for p in parts]))
+        self.left = np.concatenate([p.column("id").to_numpy(zero_copy_only=False) for p in parts])
+        ids = pa.concat_arrays([p.column("ids") for p in parts])
+        row = np.repeat(np.arange(len(ids), dtype=np.int32), ids.value_lengths().to_numpy(zero_copy_only=False))
+        right = ids.flatten().to_numpy(zero_copy_only=False)
+        order = np.argsort(right, kind="stable")
+        self.row, self.right = row[order], right[order]
+
+    def meet(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, unit = rows.column("id").to_numpy(zero_copy_only=False), _unit(_matrix(rows.column("embedding")))
+        first, last = (np.searchsorted(self.right, ids, side=side) for side in ("left", "right"))
+        n = last - first
+        at = np.repeat(np.arange(len(ids)), n)
+        pair = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        for p in _pieces(len(at)):
+            row, col = self.row[pair[p]], at[p]
+            columns = [self.left[row], ids[col], np.einsum("ij,ij->i", self.unit[row], unit[col])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["left_id", "right_id", "similarity"])
+
+
 # --- lists ---------------------------------------------------------------------------------
 
 
@@ -400,14 +485,18 @@ def _visits(
     return queries.mapInArrow(route, f"{fields}, list_id int")
 
 
-def _grid(candidates: Column, requests: Column, rows_per_tile: int) -> list[Column]:
-    """Into how many tiles the candidates of a set go and into how many chunks its requests, from their numbers."""
+def _grid(candidates: Column, requests: Column, rows_per_tile: int, share: Column | None = None) -> list[Column]:
+    """Into how many tiles the candidates of a set go and into how many chunks its requests, from their numbers.
+
+    Sets that are searched together divide the cells by their ``share`` of the pairs.
+    """
 
     def pieces(n: Column, size: int) -> Column:
         return F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
 
-    chunks = F.greatest(F.least(pieces(requests, MIN_CHUNK), F.lit(CELLS)), pieces(requests, MAX_CHUNK))
-    tiles = F.least(F.greatest(F.lit(1), F.floor(F.lit(CELLS) / chunks)).cast("int"), pieces(candidates, rows_per_tile))
+    cells = F.lit(CELLS) if share is None else F.ceil(F.lit(CELLS) * share).cast("int")
+    chunks = F.greatest(F.least(pieces(requests, MIN_CHUNK), cells), pieces(requests, MAX_CHUNK))
+    tiles = F.least(F.greatest(F.lit(1), F.floor(cells / chunks)).cast("int"), pieces(candidates, rows_per_tile))
     return [tiles.alias("tiles"), chunks.alias("chunks")]
 
 
@@ -422,11 +511,12 @@ class _Route:
     stop: float = 0.0
 
 
-def _score(queries: DataFrame, candidates: DataFrame, grid: DataFrame, keep: int, floor: float, route: _Route) -> DataFrame:
-    """(space, key_a, key_b, ids, score, ranked): the best ``keep`` vectors per query and tile.
+def _score(queries: DataFrame, candidates: DataFrame, grid: DataFrame, keep: int, floor: float, route: _Route, bounds: bool = False) -> DataFrame:
+    """(space, key_a, key_b, ids, scores): the best ids per query and tile, as many as its ``keep``, in one row.
 
-    ``ranked`` is the score rounded for ranking. ``grid`` has tiles and chunks per
-    space, or for all alike.
+    With ``bounds`` it is (space, key_a, key_b, n, scores): of how many vectors, up to
+    ``keep``, the scores are known; the least one where they are all in one tile.
+    ``grid`` has tiles and chunks per space, or for all alike.
     """
     if "space" in grid.columns:
         candidates, queries = candidates.join(grid, "space"), queries.join(grid, "space")
@@ -447,14 +537,15 @@ def _score(queries: DataFrame, candidates: DataFrame, grid: DataFrame, keep: int
         queries.withColumn("chunk", slot(F.col("key_a"), "chunks"))
         .withColumn("tile", every("tiles"))
         .select("space", "tile", "chunk", F.lit(0).alias("side"), F.lit(-1).alias("list_id"),
-                F.lit(None).cast("array<bigint>").alias("ids"), "embedding", "key_a", "key_b", "bound", named)
+                F.lit(None).cast("array<bigint>").alias("ids"), "embedding", "key_a", "key_b", "bound", named, "keep", (F.col("tiles") == 1).alias("whole"))
     )
     tiled = (
         candidates.withColumn("tile", slot(F.col("ids")[0], "tiles"))
         .withColumn("chunk", every("chunks"))
         .select("space", "tile", "chunk", F.lit(1).alias("side"), "list_id", "ids", "embedding",
                 F.lit(None).cast("bigint").alias("key_a"), F.lit(None).cast("bigint").alias("key_b"),
-                F.lit(None).cast("double").alias("bound"), F.lit(None).cast("array<int>").alias("lists"))
+                F.lit(None).cast("double").alias("bound"), F.lit(None).cast("array<int>").alias("lists"),
+                F.lit(None).cast("int").alias("keep"), F.lit(None).cast("boolean").alias("whole"))
     )
     cell = ["space", "tile", "chunk"]
     stream = asking.unionByName(tiled).repartition(*cell).sortWithinPartitions(*cell, "side", "list_id")
@@ -466,7 +557,7 @@ def _score(queries: DataFrame, candidates: DataFrame, grid: DataFrame, keep: int
             for here, side, number, rows in _runs(batch):
                 if here != current:
                     if asked is not None:
-                        yield from asked.found()
+                        yield from asked.bounds() if bounds else asked.packed()
                     current, parts, asked = here, [], None
                 if side == 0:
                     parts.append(rows)
@@ -475,11 +566,10 @@ def _score(queries: DataFrame, candidates: DataFrame, grid: DataFrame, keep: int
                         asked, parts = _Asked(parts, keep, floor, shared.value), []
                     asked.meet(number, rows)
         if asked is not None:
-            yield from asked.found()
+            yield from asked.bounds() if bounds else asked.packed()
 
-    return stream.mapInArrow(
-        score_cells, "space string, key_a bigint, key_b bigint, ids array<bigint>, score double, ranked double"
-    )
+    made = "n bigint, scores array<double>" if bounds else "ids array<bigint>, scores array<double>"
+    return stream.mapInArrow(score_cells, f"space string, key_a bigint, key_b bigint, {made}")
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, int, int, pa.RecordBatch]]:
@@ -496,7 +586,7 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, int, int, pa.RecordBat
 
 
 class _Asked:
-    """The queries of a chunk and the best ``keep`` vectors that each has met.
+    """The queries of a chunk and the best ``keep`` vectors that each has met, or fewer if it says so.
 
     Single precision finds who can be among them, double precision decides. The
     rough scores are off by less than ``error``, so nothing is missed.
@@ -505,6 +595,9 @@ class _Asked:
     def __init__(self, parts: list[pa.RecordBatch], keep: int, floor: float, route: _Route):
         rows = pa.Table.from_batches(parts).combine_chunks()
         self.keys, self.keep, self.floor = rows.select(QUERY), keep, floor
+        self.limit, self.whole = np.full(rows.num_rows, keep), False
+        if "keep" in rows.column_names:
+            self.limit, self.whole = rows.column("keep").to_numpy().astype(np.int64), rows.column("whole")[0].as_py()
         self.exact = _unit(np.concatenate([_matrix(p.column("embedding")) for p in parts]))
         self.rough = self.exact.astype(np.float32)
         self.error = (self.exact.shape[1] + 16) * 2.0**-24 + 10.0**-RANK_DIGITS
@@ -535,7 +628,7 @@ class _Asked:
             cosines = np.clip(self.exact[some] @ route.pivots.T, -1.0, 1.0)
             used = np.isfinite(route.reach)[None, :]
             part = pa.RecordBatch.from_arrays([bound[some]], ["bound"])
-            near = _near(part, np.where(used, cosines, -2.0), route.reach, route.nprobe, route.beyond, route.stop) & used
+            near = _near(part, np.where(used, cosines, -2.0), route.reach, route.nprobe, route.beyond, route.stop, again=True) & used
             bits.append(np.packbits(near, axis=1).T)
         packed = np.concatenate(bits, axis=1)
         return lambda number: np.flatnonzero(packed[number >> 3] & (128 >> (number & 7)))
@@ -554,7 +647,7 @@ class _Asked:
             scores = self.rough[at] @ rough
             if len(vectors) > self.keep:
                 # The keep-th best of these vectors is a lower bound, too.
-                open_ = np.flatnonzero(self.n[at] < self.keep)
+                open_ = np.flatnonzero(self.n[at] < self.limit[at])
                 if len(open_):
                     worst = len(vectors) - self.keep
                     reached = np.partition(scores[open_], worst, axis=1)[:, worst].astype(np.float64) - self.error
@@ -587,11 +680,11 @@ class _Asked:
         new = np.r_[True, (row[1:] != row[:-1]) | (first[1:] != first[:-1])]
         row, exact, first, ref, ranked = row[new], exact[new], first[new], ref[new], ranked[new]
         place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
-        best = place < self.keep
+        best = place < self.limit[row]
         row, place = row[best], place[best]
         self.score[row, place], self.first[row, place], self.ref[row, place] = exact[best], first[best], ref[best]
         self.n[hit] = np.bincount(np.searchsorted(hit, row), minlength=len(hit))
-        full = place == self.keep - 1
+        full = place == self.limit[row] - 1
         self.needed[row[full]] = np.maximum(self.needed[row[full]], ranked[best][full])
         if self.pooled > 2 * self.ref.size + (1 << 16):
             self._shrink()
@@ -604,15 +697,48 @@ class _Asked:
         self.ref[held], self.pooled = at, len(used)
 
     def found(self) -> Iterator[pa.RecordBatch]:
+        """The best vectors of each query; a query, by its number here, is in one batch."""
         if not self.pool:
             return
         ids = pa.concat_arrays(self.pool)
-        row, place = np.nonzero(np.arange(self.keep) < self.n[:, None])
-        for p in _pieces(len(row), VISITS_PER_BATCH):
-            at, exact = pa.array(row[p]), self.score[row[p], place[p]]
-            columns = [c.combine_chunks() for c in self.keys.take(at).columns]
-            columns += [ids.take(pa.array(self.ref[row[p], place[p]])), pa.array(exact), pa.array(np.round(exact, RANK_DIGITS))]
-            yield pa.RecordBatch.from_arrays(columns, [*QUERY, "ids", "score", "ranked"])
+        asking = np.flatnonzero(self.n)
+        for p in _pieces(len(asking), QUERIES_PER_BATCH):
+            some = asking[p]
+            at, place = np.nonzero(np.arange(self.keep) < self.n[some][:, None])
+            columns = [c.combine_chunks() for c in self.keys.take(pa.array(some[at])).columns]
+            columns += [ids.take(pa.array(self.ref[some][at, place])), pa.array(self.score[some][at, place]), pa.array(some[at])]
+            yield pa.RecordBatch.from_arrays(columns, [*QUERY, "ids", "score", "query"])
+
+    def packed(self) -> Iterator[pa.RecordBatch]:
+        """The same as a row per query, by ids instead of vectors."""
+        for rows in self.found():
+            some, at = np.unique(rows.column("query").to_numpy(), return_inverse=True)
+            lists = rows.column("ids")
+            times = lists.value_lengths().to_numpy(zero_copy_only=False)
+            one, score, at = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(rows.column("score").to_numpy(), times), np.repeat(at, times)
+            order = np.lexsort((one, -np.round(score, RANK_DIGITS), at))
+            one, score, at = one[order], score[order], at[order]
+            best = np.arange(len(at)) - np.searchsorted(at, at, side="left") < self.limit[some][at]
+            yield self._rows(some, at[best], [("ids", one[best])], score[best])
+
+    def bounds(self) -> Iterator[pa.RecordBatch]:
+        """How many vectors each query has met, and their scores; where it meets no others elsewhere, the least, once it has enough."""
+        asking = np.flatnonzero(self.n == self.limit if self.whole else self.n)
+        for p in _pieces(len(asking), QUERIES_PER_BATCH):
+            some = asking[p]
+            known = np.arange(self.keep) < self.n[some][:, None]
+            if self.whole:
+                yield self._rows(some, np.arange(len(some)), [], np.where(known, self.score[some], np.inf).min(axis=1))
+            else:
+                yield self._rows(some, np.nonzero(known)[0], [], self.score[some][known])
+
+    def _rows(self, some: np.ndarray, at: np.ndarray, named: list, score: np.ndarray) -> pa.RecordBatch:
+        """A row per query with lists of what stands ``at`` its place."""
+        ends = pa.array(np.searchsorted(at, np.arange(len(some) + 1)), pa.int32())
+        columns = [c.combine_chunks() for c in self.keys.take(pa.array(some)).columns]
+        columns += [pa.ListArray.from_arrays(ends, pa.array(v)) for _, v in named] or [pa.array(self.n[some])]
+        columns.append(pa.ListArray.from_arrays(ends, pa.array(score)))
+        return pa.RecordBatch.from_arrays(columns, [*QUERY, *([n for n, _ in named] or ["n"]), "scores"])
 
 
 def _pieces(n: int, size: int = 1 << 16) -> Iterator[slice]:
@@ -620,11 +746,6 @@ def _pieces(n: int, size: int = 1 << 16) -> Iterator[slice]:
         yield slice(start, min(n, start + size))
 
 
-def _best(found: DataFrame, keep: int) -> DataFrame:
-    order = Window.partitionBy(*QUERY).orderBy(F.col("ranked").desc(), F.col("ids")[0])
-    return found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= keep).drop("_rank")
-
-
 def _search(
     requests: DataFrame,
     candidates: DataFrame,
@@ -633,6 +754,7 @@ def _search(
     exact: bool,
     max_k: int,
     grid: DataFrame,
+    copies: int,
     spill: int = 1,
     stop: float = 0.0,
 ) -> DataFrame:
@@ -643,51 +765,60 @@ def _search(
     keep = max_k + 1  # one more, because the article itself is dropped at the end
     if "space" in grid.columns:
         grid = grid.checkpoint()  # one row per set, read in every round
+    tiles = grid.agg(F.coalesce(F.max("tiles"), F.lit(1)).alias("tiles")).first()["tiles"]
     distinct = _distinct_vectors(candidates, keep)
     usable = F.exists("embedding", lambda x: x != 0)
     keyed = requests.where(usable).select(*REQUEST, "space", "embedding", *_vector_key())
-    vectors = keyed.groupBy(*QUERY).agg(F.first("embedding").alias("embedding"))
+    # A query keeps what its own requests need, besides the rows of the article itself: at most ``copies``.
+    own = F.least(F.lit(keep), F.col("k") + copies).cast("int").alias("keep")
+    largest = F.row_number().over(Window.partitionBy(*QUERY).orderBy(F.col("k").desc(), "news_id"))
+    vectors = keyed.withColumn("_rank", largest).where("_rank <= 1").select(*QUERY, "embedding", own)
     queries = vectors.withColumn("bound", F.lit(SCORE_FLOOR))
 
     if len(pivots) <= 1:
         only = F.lit(0).alias("list_id")
         found = _score(queries, distinct.select("*", only), grid, keep, SCORE_FLOOR, _Route())
-        found = _best(found, keep)
     else:
         tree = isinstance(pivots, PivotTree)
         # Lists are read for their radius, by both rounds and for their counts.
         if tree:
-            listed = _with_list_by_tree(distinct, pivots).checkpoint()
+            listed = stored(_with_list_by_tree(distinct, pivots), "listed")
             top_reach = _radii(listed, "top_id", "top_cosine", len(pivots.tops))
         else:
-            listed = (with_lists(distinct, pivots, spill) if spill > 1 else with_list(distinct, pivots)).checkpoint()
+            listed = stored(with_lists(distinct, pivots, spill) if spill > 1 else with_list(distinct, pivots), "listed")
         reach = _radii(listed, "list_id", "pivot_cosine", len(pivots))
 
-        def scored(asking: DataFrame, beyond: bool) -> DataFrame:
+        def scored(asking: DataFrame, beyond: bool, bounds: bool = False) -> DataFrame:
             if not tree:
-                return _score(asking, listed, grid, keep, SCORE_FLOOR, _Route(pivots, reach, nprobe, beyond, stop))
+                return _score(asking, listed, grid, keep, SCORE_FLOOR, _Route(pivots, reach, nprobe, beyond, stop), bounds)
             visits = _visits_by_tree(asking, pivots, top_reach, reach, nprobe, beyond)
             lists = visits.groupBy(*QUERY).agg(F.collect_list("list_id").alias("lists"))
-            return _score(asking.join(lists, QUERY), listed, grid, keep, SCORE_FLOOR, _Route())
-
-        # A vector that was met in several lists stands there as often, until ids are told apart below.
-        found = _best(scored(queries, beyond=False), keep * spill)
-        if exact and int(np.isfinite(reach).sum()) > nprobe:
-            found = stored(found, "found")
-            # With keep vectors found, the worst of them bounds what can still matter.
-            full = found.groupBy(*QUERY).agg(F.count("*").alias("n"), F.min("score").alias("least"))
-            bound = F.when(F.col("n") >= keep, F.col("least")).otherwise(F.lit(SCORE_FLOOR))
-            bounded = vectors.join(full, QUERY, "left").select(*vectors.columns, bound.alias("bound"))
-            found = _best(found.unionByName(scored(bounded, beyond=True)), keep * (2 if tree else 1))
-            spill = 2 if tree else spill
-
-    # Per distinct query vector at most keep * keep pairs, cut to keep; then one list per request.
-    pairs = found.select(*QUERY, "score", "ranked", F.explode("ids").alias("id"))
-    if spill > 1:
-        pairs = pairs.groupBy(*QUERY, "id").agg(F.max("score").alias("score"), F.max("ranked").alias("ranked"))
-    gathered = F.sort_array(F.collect_list(F.struct((-F.col("ranked")).alias("order"), "id", "score")))
-    lists = pairs.groupBy(*QUERY).agg(F.slice(gathered, 1, keep).alias("matches"))
-    asked = keyed.select(*REQUEST, *QUERY).join(lists, QUERY)
+            return _score(asking.join(lists, QUERY), listed, grid, keep, SCORE_FLOOR, _Route(), bounds)
+
+        further = exact and int(np.isfinite(reach).sum()) > nprobe
+        if further:
+            # The first round only says how good the worst of the best must be. What is found, the second finds.
+            known = stored(scored(queries, beyond=False, bounds=True), "bounds").groupBy(*QUERY)
+            known = known.agg(F.sum("n").alias("n"), F.sort_array(F.flatten(F.collect_list("scores")), asc=False).alias("scores"))
+            least = F.element_at("scores", F.least("keep", F.size("scores")))
+            bound = F.when(F.col("n") >= F.col("keep"), least).otherwise(F.lit(SCORE_FLOOR))
+            queries = vectors.join(known, QUERY, "left").select(*vectors.columns, bound.alias("bound"))
+        found = scored(queries, beyond=further)
+        spill = 2 if tree else spill
+
+    # One list per distinct query vector, then one per request.
+    zipped = F.arrays_zip(F.col("ids").alias("id"), F.col("scores").alias("score"))
+    order = (-F.rint(F.col("m.score") * 10.0**RANK_DIGITS)).alias("order")
+    if spill > 1 or tiles > 1:
+        pairs = found.select(*QUERY, F.explode(zipped).alias("m")).select(*QUERY, order, "m.id", "m.score")
+        if spill > 1:
+            pairs = pairs.groupBy(*QUERY, "id").agg(F.min("order").alias("order"), F.max("score").alias("score"))
+        gathered = F.sort_array(F.collect_list(F.struct("order", "id", "score")))
+        lists = pairs.groupBy(*QUERY).agg(F.slice(gathered, 1, keep).alias("matches"))
+        asked = keyed.select(*REQUEST, *QUERY).join(lists, QUERY)
+    else:
+        # Zipped after the exchange: apart, the lists are shorter.
+        asked = with_evaluated(keyed.select(*REQUEST, *QUERY).join(found, QUERY), "matches", zipped)
     others = F.filter("matches", lambda m: m["id"] != F.col("news_id"))
     top = asked.select(*REQUEST, F.posexplode(F.slice(others, 1, F.col("k"))).alias("_pos", "m"))
     return top.select(
@@ -822,6 +953,7 @@ def _top_k(
     ).first()
     tagged, candidates = _spaces(checked, index, shape["unfiltered"], shape["filtered"])
     asked = with_source(tagged, sources).where("status = 'ok'")
+    copies = index.groupBy("news_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(1)).alias("n")).first()["n"]
     n_sets = F.lit(1) if shape["unfiltered"] else F.approx_count_distinct("category")
     size = index.agg(F.count("*").alias("n"), n_sets.alias("sets")).first()
     if pivots is None:
@@ -832,10 +964,13 @@ def _top_k(
     if shape["filtered"]:
         given = candidates.groupBy("space").agg(F.count("*").alias("_candidates"))
         wanted = tagged.select("space", "news_id").distinct().groupBy("space").agg(F.count("*").alias("_requests"))
-        grid = given.join(wanted, "space").select("space", *_grid(F.col("_candidates"), F.col("_requests"), rows_per_tile))
+        pairs = F.col("_candidates").cast("double") * F.col("_requests")
+        share = pairs / F.sum(pairs).over(Window.partitionBy(F.lit(0)))
+        sized = given.join(wanted, "space").withColumn("_share", share)
+        grid = sized.select("space", *_grid(F.col("_candidates"), F.col("_requests"), rows_per_tile, F.col("_share")))
     else:
         grid = index.sparkSession.range(1).select(*_grid(F.lit(size["n"]), F.lit(shape["sources"]), rows_per_tile))
-    found = _search(asked, candidates, pivots, nprobe, exact, shape["max_k"], grid, spill, stop)
+    found = _search(asked, candidates, pivots, nprobe, exact, shape["max_k"], grid, copies, spill, stop)
     return _with_details(found, index) if details else found
 
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.functions.columns import with_evaluated
 from newsloom.functions.payloads import category_key
 from newsloom.operators.similarity import RANK_DIGITS, check_requests, normal_requests, pair_scores, top_k, with_source
-from newsloom.schemas import ALL_CATEGORIES_KEY, CACHE_TTL_SECONDS, CACHED_LIST
+from newsloom.schemas import ALL_CATEGORIES_KEY, CACHE_TTL_SECONDS, CACHED_LIST, MAX_K, MIN_K
 from newsloom.session import shared_dir, stored
 
 KEY = ["news_id", "k", "category_key"]
+# The items of a list while it is merged, best first; of an article indexed once more, what is new comes first.
+MERGED = "array<struct<order:double,match_id:bigint,held:boolean,shown:double,title:string,category:string>>"
 
 
 def current_lists(cache: DataFrame, as_of: Column, epochs: DataFrame | None = None) -> DataFrame:
@@ -75,20 +78,23 @@ def missed_lists(misses: DataFrame, index: DataFrame, **search) -> DataFrame:
     Candidates that are all below the score floor still give a list, an empty one.
     """
     # Read by several branches of the search and by the final join.
-    shared_dir(misses.sparkSession)
-    asked = answerable(misses, index).checkpoint()
-    matches = top_k(asked, index, **search)
+    asked = stored(answerable(misses, index), "asked")
+    # The lists of an article over the same candidates begin alike: only the longest is searched, the others are cut from it.
+    longest = F.max("k").over(Window.partitionBy("news_id", "category_filter"))
+    widest = stored(asked.withColumn("_longest", longest).where("k = _longest").select(asked.columns), "widest")
+    matches = stored(top_k(widest, index, **search), "matches")
+    # A filter that is null may equal none that is given.
+    among = F.concat(F.when(F.col("category_filter").isNull(), "*").otherwise("="), F.coalesce("category_filter", F.lit(""))).alias("_among")
     item = F.struct("rank", F.struct("news_id", "title", "category", "similarity_score").alias("item"))
-    in_order = F.transform(F.sort_array(F.collect_list(item)), lambda x: x["item"])
     lists = (
-        matches.withColumn("category_key", category_key(F.col("category_filter")))
-        .groupBy(F.col("source_news_id"), "k", "category_key")
-        .agg(in_order.alias("items"))
-        .withColumnRenamed("source_news_id", "news_id")
+        matches.select(F.col("source_news_id").alias("_source"), among, item.alias("_item"))
+        .groupBy(F.col("_source").alias("news_id"), "_among")
+        .agg(F.sort_array(F.collect_list("_item")).alias("_items"))
     )
-    keyed = asked.select("news_id", "k", category_key(F.col("category_filter")).alias("category_key"))
+    keyed = asked.select("news_id", "k", category_key(F.col("category_filter")).alias("category_key"), among)
+    cut = F.transform(F.filter("_items", lambda x: x["rank"] <= F.col("k")), lambda x: x["item"])
     empty = F.array().cast(CACHED_LIST["items"].dataType)
-    return keyed.join(lists, KEY, "left").withColumn("items", F.coalesce("items", empty))
+    return keyed.join(lists, ["news_id", "_among"], "left").select(*KEY, F.coalesce(cut, empty).alias("items"))
 
 
 def write_back(cache: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -104,32 +110,60 @@ def refreshed_lists(
 
     The sources of the lists in force are searched among the newly indexed articles
     only, and what is found is merged into the lists. Cached scores are rounded, so
-    the items of lists that gain something are scored again, at most k pairs a list.
+    the items of lists that gain something are scored again, a pair of articles once.
     ``search`` is :func:`top_k` or a function with its arguments. Refreshed lists count
     as computed at ``as_of`` and expire when they did; expired ones are left out.
+
+    The lists are sent once for their ids and once for the merge, an article's lists to
+    one place, and are merged as they are, without a row per item.
     """
-    shared_dir(cache.sparkSession)
     live = cache.where(F.col("expires_at") > as_of)
-    keys = live.select(*KEY, F.nullif("category_key", F.lit(ALL_CATEGORIES_KEY)).alias("category_filter"))
-    found = search(keys.select("news_id", "k", "category_filter"), index, among=indexed, details=False, **options)
-    gained = found.select("news_id", "k", category_key(F.col("category_filter")).alias("category_key"), "match_id", "score")
-    gained = stored(gained, "gained")
-    known = live.join(gained.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, F.explode("items").alias("item"))
-    held = known.select(*KEY, F.col("item.news_id").alias("match_id"), "item.title", "item.category")
-    pairs = held.select(F.col("news_id").alias("left_id"), F.col("match_id").alias("right_id")).distinct()
-    scores = pair_scores(pairs, index).select(F.col("left_id").alias("news_id"), F.col("right_id").alias("match_id"), F.col("similarity").alias("score"))
+    valid = F.col("k").between(MIN_K, MAX_K)
+    longest = live.where(valid).groupBy("news_id", "category_key").agg(F.max("k").alias("k"))
+    keys = stored(longest.select("news_id", "k", F.nullif("category_key", F.lit(ALL_CATEGORIES_KEY)).alias("category_filter")), "keys")
+    found = search(keys, index, among=indexed, details=False, **options)
     details = indexed.select(F.col("news_id").alias("match_id"), "title", "category")
-    both = held.join(scores, ["news_id", "match_id"]).unionByName(gained.join(details, "match_id"))
+    found = found.select("news_id", category_key(F.col("category_filter")).alias("category_key"), "rank", "match_id", "score")
+    gained = stored(found.join(details, "match_id"), "gained")
+
+    ids = live.where(valid).select("news_id", F.col("items.news_id").alias("ids")).groupBy("news_id")
+    ids = ids.agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+    held = ids.join(gained.select("news_id").distinct(), "news_id", "left_semi")
+    pairs = held.select(F.col("news_id").alias("left_id"), F.explode("ids").alias("right_id"))
+    scores = stored(pair_scores(pairs, index, many=True), "scores")
+
+    # Rounded once per pair, not once per list.
+    order, shown = (-F.rint(F.col("score") * 10.0**RANK_DIGITS)).alias("order"), F.round("score", 4).alias("shown")
+    # All by the article, so that nothing is sent again for the groupings and joins below.
+    known = scores.where("similarity is not null").repartition("left_id").groupBy("left_id", "right_id").agg(F.max("similarity").alias("score"))
+    scored = F.map_from_entries(F.collect_list(F.struct("right_id", F.struct(order, shown))))
+    known = known.groupBy(F.col("left_id").alias("news_id")).agg(scored.alias("_scores"))
+    item = F.struct(order, "match_id", shown, "title", "category", "rank")
+    more = gained.repartition("news_id").groupBy("news_id", "category_key").agg(F.collect_list(item).alias("_more"))
+    more = more.groupBy("news_id").agg(F.map_from_entries(F.collect_list(F.struct("category_key", "_more"))).alias("_gained"))
+    rows = live.join(more, "news_id", "left").join(known, "news_id", "left")
+
+    def entry(of: Column, match_id: Column, x: Column, held: bool) -> Column:
+        parts = [of["order"].alias("order"), match_id.alias("match_id"), F.lit(held).alias("held"), of["shown"].alias("shown")]
+        return F.struct(*parts, x["title"].alias("title"), x["category"].alias("category"))
+
+    gains = F.filter(F.col("_gained")[F.col("category_key")], lambda x: x["rank"] <= F.col("k"))
+    gains = F.transform(gains, lambda x: entry(x, x["match_id"], x, False))
+    # Items that are not in the index any more have no score.
+    old = F.transform("items", lambda x: entry(F.col("_scores")[x["news_id"]], x["news_id"], x, True))
+    old = F.coalesce(F.filter(old, lambda x: x["order"].isNotNull()), F.array().cast(MERGED))
+    both = F.when(valid, F.sort_array(F.concat(old, gains)))
+    rows = with_evaluated(rows, "_both", both)
     # An article indexed once more stands in a list once.
-    single = both.groupBy(*KEY, "match_id").agg(F.max_by(F.struct("score", "title", "category"), "score").alias("m"))
-    ordered = F.sort_array(F.collect_list(F.struct((-F.round("m.score", RANK_DIGITS)).alias("order"), "match_id", "m")))
-    item = lambda x: F.struct(
-        x["match_id"].alias("news_id"), x["m"]["title"].alias("title"), x["m"]["category"].alias("category"),
-        F.round(x["m"]["score"], 4).alias("similarity_score"),
+    ids = F.transform("_both", lambda x: x["match_id"])
+    single = F.when(F.size(F.array_distinct(ids)) == F.size("_both"), F.col("_both")).otherwise(
+        F.filter("_both", lambda x, i: F.array_position(ids, x["match_id"]) == i + 1)
+    )
+    new = F.transform(
+        F.slice(single, 1, F.col("k")),
+        lambda x: F.struct(x["match_id"].alias("news_id"), x["title"].alias("title"), x["category"].alias("category"), x["shown"].alias("similarity_score")),
     )
-    merged = single.groupBy(*KEY).agg(ordered.alias("_all")).select(*KEY, F.transform(F.slice("_all", 1, F.col("k")), item).alias("_new"))
-    fresh = live.join(merged, KEY, "left").withColumn("items", F.coalesce("_new", "items")).withColumn("computed_at", as_of)
-    return fresh.select(cache.columns)
+    return rows.withColumn("items", F.when(F.size("_both") > 0, new).otherwise(F.col("items"))).withColumn("computed_at", as_of).select(cache.columns)
 
 
 def invalidate(cache: DataFrame, indexed: DataFrame) -> DataFrame:

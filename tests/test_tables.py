@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -386,6 +387,87 @@ def test_refreshed_lists(spark):
     assert stamped.columns == CACHED_LIST.names
 
 
+def test_lists_of_an_article_are_searched_once(spark, monkeypatch):
+    """The search gets one request per article and category, the one for most items; the lists are still those of each k."""
+    from newsloom.operators import similarity as S
+
+    dice = random.Random(5)
+    rows = [(i, "ab"[i % 2], f"t{i}", [dice.gauss(0, 1) for _ in range(4)]) for i in range(40)]
+    index = spark.createDataFrame([*rows, *rows[:6]], "news_id bigint, category string, title string, embedding array<float>")
+    asked = spark.createDataFrame([(i, k, c) for i in range(20) for k in (1, 4, 9, 51) for c in (None, "a")], "news_id bigint, k int, category_filter string")
+    seen = []
+
+    def search(requests, index, **options):
+        seen.append(sorted(set(requests.select("news_id", "k", "category_filter").collect()), key=str))
+        return S.top_k(requests, index, **options)
+
+    monkeypatch.setattr(recommend, "top_k", search)
+    late = F.col("news_id") % 3 == 0
+    made = recommend.missed_lists(asked, index.where(~late)).checkpoint()
+    after = recommend.refreshed_lists(recommend.expiring(made, at(T0)), index.where(late), index, at(T0), search).collect()
+    for requests in seen:
+        assert {r.k for r in requests} == {9} and len(requests) == len({(r.news_id, r.category_filter) for r in requests}) > 20
+    assert len(seen) == 2 and {r.k for r in after} == {1, 4, 9}
+    best = {(i, c): [] for i in range(20) for c in ("all", "a")}
+    unit = {i: [x / sum(y * y for y in v) ** 0.5 for x in v] for i, _, _, v in rows}
+    for (i, c), found in best.items():
+        scores = [(-round(sum(x * y for x, y in zip(unit[i], unit[j])), 9), j) for j, own, _, _ in rows if j != i and c in ("all", own)]
+        found += [j for score, j in sorted(scores) if -score >= 0.1]
+    for r in after:
+        # Copies of a row take places in the list that is cached; what is held after the merge is in order.
+        ids = [x.news_id for x in r["items"]]
+        assert len(set(ids)) == len(ids) <= r.k and [j for j in best[r.news_id, r.category_key] if j in ids] == ids
+
+
+def test_what_is_indexed_once_more_is_shown_as_it_is_now(spark):
+    columns = "news_id bigint, category string, title string, embedding array<float>"
+    index = spark.createDataFrame([(i, "a", f"t{i}", [1.0, 0.1 * i]) for i in range(4)], columns)
+    asked = spark.createDataFrame([(0, 2, None), (0, 3, None)], "news_id bigint, k int, category_filter string")
+    before = recommend.expiring(recommend.missed_lists(asked, index), at(T0)).checkpoint()
+    again = index.withColumn("title", F.concat(F.lit("a new "), "title"))
+    for r in recommend.refreshed_lists(before, again.where("news_id in (1, 2)"), again, at(T0)).collect():
+        assert [x.title for x in r["items"]] == ["a new t1", "a new t2", "t3"][: r.k]
+
+
+def test_many_pairs(spark, monkeypatch):
+    """Sent chunk by chunk they score as one by one: copies of ids, vectors that are zero, missing or of another length, unknown ids."""
+    from newsloom.operators import similarity as S
+
+    dice = random.Random(6)
+    rows = [(i, [dice.gauss(0, 1) for _ in range(5)]) for i in range(50)]
+    rows += [rows[3], rows[4], (4, rows[9][1]), (60, [0.0] * 5), (61, None), (62, [1.0, 2.0]), (63, [1.0, None, 2.0, 0.0, 1.0]), (None, rows[1][1])]
+    index = spark.createDataFrame(rows, "news_id bigint, embedding array<float>")
+    pairs = [(i, j) for i in [*range(0, 50, 3), 4, 60, 61, 62, 63, 99] for j in [*range(0, 50, 7), 4, 60, 61, 62, 63, 98]]
+    pairs = spark.createDataFrame([*pairs, pairs[0], (None, 1), (1, None)], "left_id bigint, right_id bigint")
+
+    def shown(scored):
+        return sorted((r.left_id, r.right_id, None if r.similarity is None else round(r.similarity, 9) + 0.0) for r in scored.collect() if r.similarity is not None), scored.where("similarity is null").count()
+
+    want = shown(S.pair_scores(pairs, index))
+    for size in (1 << 22, 40):
+        monkeypatch.setattr(S, "PAIRS_PER_CHUNK", size)
+        assert shown(S.pair_scores(pairs, index, many=True)) == want
+    assert S.pair_scores(pairs.limit(0), index, many=True).count() == 0
+
+
+def test_stored_rows_leave_no_shuffle_files(spark):
+    from newsloom.session import stored
+
+    def files():
+        held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in (held.apply(i).getName() for i in range(held.size())) if name.startswith("shuffle_")}
+
+    known = files()
+    rows = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("a")).count().join(spark.range(7).toDF("a").repartition(3), "a"), "kept")
+    assert rows.count() == 7 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
+    for _ in range(50):
+        if not (left := {f for f in files() - known if f.endswith(".data")}):
+            break
+        time.sleep(0.1)
+    # The count's own shuffle may stay.
+    assert len(left) <= 1
+
+
 def by_hand(times, ttl):
     """(computed_at, n_requests) in microseconds."""
     made = []
