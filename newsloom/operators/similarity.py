@@ -509,6 +509,8 @@ class _Route:
     nprobe: int = 1
     beyond: bool = False
     stop: float = 0.0
+    #: Whether an id stands in a query's list once, or as often as there are rows of it.
+    once: bool = False
 
 
 def _score(queries: DataFrame, candidates: DataFrame, grid: DataFrame, keep: int, floor: float, route: _Route, bounds: bool = False) -> DataFrame:
@@ -595,7 +597,7 @@ class _Asked:
     def __init__(self, parts: list[pa.RecordBatch], keep: int, floor: float, route: _Route):
         rows = pa.Table.from_batches(parts).combine_chunks()
         self.keys, self.keep, self.floor = rows.select(QUERY), keep, floor
-        self.limit, self.whole = np.full(rows.num_rows, keep), False
+        self.limit, self.whole, self.once = np.full(rows.num_rows, keep), False, route.once
         if "keep" in rows.column_names:
             self.limit, self.whole = rows.column("keep").to_numpy().astype(np.int64), rows.column("whole")[0].as_py()
         self.exact = _unit(np.concatenate([_matrix(p.column("embedding")) for p in parts]))
@@ -716,6 +718,10 @@ class _Asked:
             lists = rows.column("ids")
             times = lists.value_lengths().to_numpy(zero_copy_only=False)
             one, score, at = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(rows.column("score").to_numpy(), times), np.repeat(at, times)
+            if self.once:
+                order = np.lexsort((-score, one, at))
+                order = order[np.r_[True, (np.diff(at[order]) != 0) | (np.diff(one[order]) != 0)]]
+                one, score, at = one[order], score[order], at[order]
             order = np.lexsort((one, -np.round(score, RANK_DIGITS), at))
             one, score, at = one[order], score[order], at[order]
             best = np.arange(len(at)) - np.searchsorted(at, at, side="left") < self.limit[some][at]
@@ -777,7 +783,7 @@ def _search(
 
     if len(pivots) <= 1:
         only = F.lit(0).alias("list_id")
-        found = _score(queries, distinct.select("*", only), grid, keep, SCORE_FLOOR, _Route())
+        found = _score(queries, distinct.select("*", only), grid, keep, SCORE_FLOOR, _Route(once=spill > 1))
     else:
         tree = isinstance(pivots, PivotTree)
         # Lists are read for their radius, by both rounds and for their counts.
@@ -790,10 +796,10 @@ def _search(
 
         def scored(asking: DataFrame, beyond: bool, bounds: bool = False) -> DataFrame:
             if not tree:
-                return _score(asking, listed, grid, keep, SCORE_FLOOR, _Route(pivots, reach, nprobe, beyond, stop), bounds)
+                return _score(asking, listed, grid, keep, SCORE_FLOOR, _Route(pivots, reach, nprobe, beyond, stop, spill > 1), bounds)
             visits = _visits_by_tree(asking, pivots, top_reach, reach, nprobe, beyond)
             lists = visits.groupBy(*QUERY).agg(F.collect_list("list_id").alias("lists"))
-            return _score(asking.join(lists, QUERY), listed, grid, keep, SCORE_FLOOR, _Route(), bounds)
+            return _score(asking.join(lists, QUERY), listed, grid, keep, SCORE_FLOOR, _Route(once=beyond), bounds)
 
         further = exact and int(np.isfinite(reach).sum()) > nprobe
         if further:
@@ -804,7 +810,7 @@ def _search(
             bound = F.when(F.col("n") >= F.col("keep"), least).otherwise(F.lit(SCORE_FLOOR))
             queries = vectors.join(known, QUERY, "left").select(*vectors.columns, bound.alias("bound"))
         found = scored(queries, beyond=further)
-        spill = 2 if tree else spill
+        spill = 2 if tree and further else spill
 
     # One list per distinct query vector, then one per request.
     zipped = F.arrays_zip(F.col("ids").alias("id"), F.col("scores").alias("score"))

@@ -209,3 +209,20 @@ def test_forgotten_lists():
     for q in range(5):
         best = np.argsort(-np.round(vectors @ vectors[q], 9), kind="stable")[:2]
         assert [r["ids"] for r in got if r["key_a"] == q] == [[int(i), int(i) + 10000] for i in best]
+
+
+def test_rows_of_one_id_take_one_place():
+    """Where ids are to stand once, copies of a row do not use up a query's places."""
+    import pyarrow as pa
+
+    vectors = np.array([[1.0, 0.0], [0.9, 0.1], [0.8, 0.2], [0.7, 0.3]])
+
+    def batch(rows, **more):
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * 2, pa.int32()), pa.array(rows.ravel()))
+        return pa.RecordBatch.from_pydict({"embedding": flat, **more})
+
+    for once, want in ((True, [10, 11, 12]), (False, [10, 10, 11])):
+        query = batch(vectors[:1], space=["*"], key_a=[0], key_b=[0], bound=[0.1], lists=pa.nulls(1, pa.list_(pa.int32())), keep=pa.array([3], pa.int32()), whole=[True])
+        asked = S._Asked([query], 9, 0.1, S._Route(once=once))
+        asked.meet(0, batch(vectors, ids=[[10 + i, 10 + i] for i in range(4)]))
+        assert [r["ids"] for r in pa.Table.from_batches(list(asked.packed())).to_pylist()] == [want]
